@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +40,55 @@ def without_spaces(text: Column) -> Column:
     return text
 
 
-def lower_ascii(data: bytes) -> bytes:
-    """A to Z lower-cased; all other bytes as they are."""
-    return data.lower()
+def by_value(name: str) -> None:
+    """Ship the module's functions themselves to the executors, so that they need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
+def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
+    """The UTF-8 bytes of a string column."""
+    return column.cast(pa.binary()).to_pylist()
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal ``keys`` from batches that are sorted by them.
+
+    Holds one batch and one unfinished run at a time; with ``most``, a run that grows beyond it comes in pieces.
+    """
+    rest: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = _starts(batch, keys)
+        if rest:
+            same = all(rest[-1].column(k)[-1].as_py() == batch.column(k)[0].as_py() for k in keys)
+            first = starts[1] if len(starts) > 1 else batch.num_rows
+            if same:
+                rest.append(batch.slice(0, first))
+                held += first
+                batch = batch.slice(first)
+                starts = starts[1:] - first
+            if batch.num_rows or most and held >= most:
+                yield pa.Table.from_batches(rest)
+                rest, held = [], 0
+        if batch.num_rows:
+            last = int(starts[-1])
+            if last:
+                yield pa.Table.from_batches([batch.slice(0, last)])
+            rest, held = [batch.slice(last)], batch.num_rows - last
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _starts(batch: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
+    """Where the runs of equal keys begin."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        v = batch.column(k).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(k).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+by_value(__name__)

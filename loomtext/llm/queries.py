@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtext.llm import exact_dedup, mixing, sharding
+from loomtext.llm import byte_bpe, exact_dedup, mixing, quality_rules, sharding
 from loomtext.llm.common import documents
 
 
+def op3_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.encoded(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, ids=False, digests=True)
+
+
+def op6_quality_rules(spark, sf_dir):
+    rows = quality_rules.judged(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(documents(spark, sf_dir), digest=True).drop("content_key")
 
