@@ -2,7 +2,7 @@
 
 Each rule votes good or bad, or abstains.  A document counts only by its pattern of votes, of which there are at
 most ``3 ** len(RULES)``; the counts of the patterns over all documents are sufficient for expectation-maximisation,
-which estimates the share of good documents and, for both classes, how often each rule votes which way.  The
+which estimates the share of good documents and, class by class, how often each rule votes which way.  The
 posterior probability of the class good then decides, in place of a test that all rules pass.
 """
 
@@ -90,33 +90,47 @@ def votes() -> list[Column]:
     mean = F.col("word_chars") / n
     upper = F.col("n_upper") / F.greatest("n_letters", F.lit(1))
     return [
-        _vote(share("n_symbols") < 0.05, share("n_symbols") > 0.15),
+        _vote(share("n_symbols") < 0.03, share("n_symbols") > 0.2),
         _vote(share("n_repeat_words") < 0.1, share("n_repeat_words") > 0.3),
         _vote(F.col("n_dup_lines") == 0, F.col("n_dup_lines") >= 3),
-        _vote(mean.between(3.0, 10.0), (mean < 2.0) | (mean > 14.0)),
+        _vote(mean.between(3.0, 6.5), (mean < 2.5) | (mean > 10.0)),
         _vote(upper < 0.15, upper > 0.35),
         _vote(share("n_marks") < 0.05, share("n_marks") > 0.2),
         _vote(share("n_pipes") < 0.02, share("n_pipes") > 0.1),
     ]
 
 
-def posteriors(patterns: np.ndarray, weights: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """The probability of good for each pattern of votes, by expectation-maximisation from the vote of the majority.
+#: What is taken for a rule before any document is seen: how often its votes are bad and good on a good document, on
+#: one that is bad in the rule's own way, and on one that is bad in another way.
+ON_GOOD, ON_OWN, ON_OTHER = (0.02, 0.98), (0.98, 0.02), (0.15, 0.85)
+EXPECTED_GOOD = 0.8
+#: The weight of these expectations, as a share of the documents; it keeps the classes to their meaning.
+PRIOR = 0.1
 
-    Each class has, for each rule, a probability for each of the three votes, kept off zero by a count of one.
+
+def posteriors(patterns: np.ndarray, weights: np.ndarray, rounds: int = 500) -> np.ndarray:
+    """The probability of good for each pattern of votes, by expectation-maximisation.
+
+    A document is good or bad in the way of one rule, for bad documents seldom fail all rules at once.  Each of these
+    classes has, for each rule that votes, a probability for each vote: the rule's accuracy on the class.  To abstain says
+    nothing for or against a class.
     """
-    p = np.clip(0.5 + 0.45 * np.sign(patterns.sum(1) + 0.5) - 0.1 * (patterns == -1).sum(1), 0.05, 0.95)
-    hot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)  # pattern, rule, vote
+    rules = patterns.shape[1]
+    hot = np.stack([patterns == v for v in (-1, 1)], 2).astype(float)  # pattern, rule, vote
+    expected = np.array([[ON_GOOD] * rules] + [[ON_OWN if i == j else ON_OTHER for j in range(rules)] for i in range(rules)])
+    share = np.array([EXPECTED_GOOD] + [(1 - EXPECTED_GOOD) / rules] * rules)
+    prior = PRIOR * weights.sum()
+    p = np.zeros((len(patterns), rules + 1))
     for _ in range(rounds):
-        joint = []
-        for q in (p * weights, (1 - p) * weights):
-            seen = np.tensordot(q, hot, (0, 0)) + 1.0
-            joint.append(np.log(q.sum() + 1.0) + np.tensordot(hot, np.log(seen / seen.sum(1, keepdims=True)), ([1, 2], [0, 1])))
-        new = 1 / (1 + np.exp(np.clip(joint[1] - joint[0], -500, 500)))
+        q = p * weights[:, None]
+        seen = np.einsum("pc,prv->crv", q, hot) + prior * share[:, None, None] * expected
+        joint = np.log(q.sum(0) + prior * share) + np.einsum("prv,crv->pc", hot, np.log(seen / seen.sum(2, keepdims=True)))
+        new = np.exp(joint - joint.max(1, keepdims=True))
+        new /= new.sum(1, keepdims=True)
         if np.abs(new - p).max() < 1e-9:
-            return new
+            break
         p = new
-    return p
+    return new[:, 0]
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
