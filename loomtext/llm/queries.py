@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtext.llm import byte_bpe, exact_dedup, mixing, quality_rules, sharding
+from loomtext.llm import byte_bpe, exact_dedup, mixing, quality_rules, sharding, simhash
 from loomtext.llm.common import documents
 
 
@@ -15,6 +15,10 @@ def op3_byte_bpe(spark, sf_dir):
     return byte_bpe.encoded(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, ids=False, digests=True)
 
 
+def op5_simhash(spark, sf_dir):
+    return simhash.grouped(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark, sf_dir):
     rows = quality_rules.judged(documents(spark, sf_dir))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
