@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtext.llm import byte_bpe, exact_dedup, mixing, quality_rules, sharding, simhash
+from loomtext.llm import byte_bpe, exact_dedup, line_dedup, mixing, quality_rules, sharding, simhash
 from loomtext.llm.common import documents
 
 
@@ -24,6 +24,11 @@ def op6_quality_rules(spark, sf_dir):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op7_line_dedup(spark, sf_dir):
+    rows = line_dedup.deduplicated(documents(spark, sf_dir))
+    return rows.select("doc_id", F.coalesce(F.size("removed_lines"), F.lit(0)).alias("n_removed"), F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n_chars"), "removed_lines")
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(documents(spark, sf_dir), digest=True).drop("content_key")
 
