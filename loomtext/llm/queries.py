@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtext.llm import byte_bpe, exact_dedup, line_dedup, mixing, quality_rules, sharding, simhash
+from loomtext.llm import byte_bpe, exact_dedup, line_dedup, lm_scoring, mixing, quality_rules, sharding, simhash
 from loomtext.llm.common import documents
 
 
+def op1_lm_scoring(spark, sf_dir):
+    return lm_scoring.scored(documents(spark, sf_dir))
+
+
 def op3_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
