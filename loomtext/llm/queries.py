@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtext.llm import byte_bpe, exact_dedup, line_dedup, lm_scoring, mixing, quality_rules, sharding, simhash
+from loomtext.llm import byte_bpe, exact_dedup, line_dedup, lm_scoring, mixing, quality_mil, quality_rules, sharding, simhash
 from loomtext.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op1_lm_scoring(spark, sf_dir):
     return lm_scoring.scored(documents(spark, sf_dir))
 
 
+def op2_quality_mil(spark, sf_dir):
+    return quality_mil.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
