@@ -87,11 +87,16 @@ def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as ``sampled`` gives it; the table mixed to its targets.
+    """The rows of ``docs``, each as often as ``sampled`` gives it: the table mixed to its targets.
 
-    Rows that repeat an id share their copies: the sum for the id goes to one of them.
+    Rows that repeat an id are dealt the copies of that id evenly, the first by text getting one more where it must be.
     """
-    copies = sampled(docs, id_col, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.sum("copies").cast("int").alias("_mix_copies"))
-    one = docs.dropDuplicates([id_col])
-    out = one.join(copies, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).drop("_mix_id", "_mix_copies", "_mix_copy")
+    copies = sampled(docs, id_col, **options).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_rows"))
+    copies = settled(copies.filter("_mix_copies > 0"))
+    same = F.col(id_col).eqNullSafe(F.col("_mix_id"))
+    once = docs.join(copies.filter("_mix_rows = 1"), same)
+    again = docs.join(copies.filter("_mix_rows > 1"), same)
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(*[c for c, kind in docs.dtypes if not kind.startswith("map")]))
+    share = F.floor(F.col("_mix_copies") / F.col("_mix_rows")) + (place <= F.col("_mix_copies") % F.col("_mix_rows")).cast("long")
+    out = once.unionByName(again.withColumn("_mix_copies", share).filter("_mix_copies > 0"))
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).drop("_mix_id", "_mix_copies", "_mix_rows", "_mix_copy")

@@ -23,6 +23,27 @@ SELECT doc_id, bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(prefix), 6
 FROM t JOIN leaf USING (doc_id) JOIN s USING (depth) WHERE s.prefix = hash >> ({sharding.BITS} - depth)
 """
 
+_REST = "{0}[prompt_turns + 1:]"
+_TEXT = "array_to_string(list_transform({0}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), '')"
+_SPANS = """array_to_string(list_transform(list_filter(range(1, len({0}) + 1), lambda i: {0}[i].role = 'assistant'), lambda i:
+    CAST(coalesce(list_sum(list_transform({0}[1:i - 1], lambda t: length(t.role) + length(t.text) + 6)), 0) + length({0}[i].role) + 5 AS BIGINT) || ':' ||
+    CAST(coalesce(list_sum(list_transform({0}[1:i], lambda t: length(t.role) + length(t.text) + 6)), 0) AS BIGINT)), ',')"""
+
+OP4 = f"""
+WITH talk AS (SELECT conv_id, list({{'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns FROM conversations GROUP BY conv_id),
+k AS (SELECT *, {{'role': turns[1].role, 'text': turns[1].text}} AS first, turns[-1].role <> 'assistant' AS open FROM talk),
+g AS (SELECT first, arg_min(conv_id, (open, conv_id)) AS chosen_id, count(*) AS n FROM k GROUP BY first),
+p AS (SELECT g.chosen_id, CASE WHEN n > 1 THEN k.conv_id END AS rejected_id, b.turns AS chosen, CASE WHEN n > 1 THEN k.turns END AS rejected
+      FROM g JOIN k USING (first) JOIN talk b ON b.conv_id = g.chosen_id WHERE n = 1 OR k.conv_id <> g.chosen_id),
+q AS (SELECT *, CAST(CASE WHEN rejected IS NULL THEN 0 ELSE coalesce(list_position(list_transform(range(1, least(len(chosen), len(rejected)) + 1),
+      lambda i: chosen[i].role = rejected[i].role AND chosen[i].text = rejected[i].text), false) - 1, least(len(chosen), len(rejected))) END AS INTEGER) AS prompt_turns FROM p),
+c AS (SELECT *, {_REST.format("chosen")} AS cr, {_REST.format("rejected")} AS rr FROM q)
+SELECT chosen_id, coalesce(rejected_id, -1) AS rejected_id, prompt_turns, {_TEXT.format("chosen[1:prompt_turns]")} AS prompt,
+       {_TEXT.format("cr")} AS chosen_completion, {_SPANS.format("cr")} AS chosen_spans,
+       coalesce({_TEXT.format("rr")}, '') AS rejected_completion, coalesce({_SPANS.format("rr")}, '') AS rejected_spans
+FROM c
+"""
+
 
 def oracle_sql():
-    return {"op8_exact_dedup": OP8, "op9_sharding": OP9}
+    return {"op4_preference": OP4, "op8_exact_dedup": OP8, "op9_sharding": OP9}

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomtext.llm.common import by_value, settled, texts_of
 
@@ -68,16 +69,17 @@ def repeated(words: list[bytes], window: int = 3) -> int:
     return int(inside.sum())
 
 
-def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and COUNTS for each row; null counts as the empty text."""
+def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with a column for each of COUNTS (which replaces one of that name); null counts as the empty text."""
+    rows = docs.drop(*COUNTS)
+    at = rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([counted(t or b"") for t in texts_of(batch.column(1))], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, i]) for i in range(len(COUNTS)))], names=["doc_id", *COUNTS])
+            found = np.array([counted(t or b"") for t in texts_of(batch.column(at))], np.int64).reshape(-1, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, i]) for i in range(len(COUNTS)))], names=[*batch.schema.names, *COUNTS])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join([f"doc_id {rows.schema[0].dataType.simpleString()}", *(f"{c} bigint" for c in COUNTS)]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -139,16 +141,29 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     * null or empty text: no words, fails the base test.  A table of one pattern: its posterior is that of its votes.
     * empty table: no rows.  Repeated rows: one result each.  Other columns are ignored, whatever their names.
     """
-    rows = settled(counts(docs, id_col, text_col).withColumn("votes", F.array(*votes())))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = settled(counts(rows).drop("text").withColumn("votes", F.array(*votes())))
+    return _verdicts(rows, rows).select("doc_id", *COUNTS, "votes", "posterior", "base_failed", "kept")
+
+
+def _verdicts(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``rows`` with posterior, base_failed and kept, by expectation-maximisation over the votes of ``patterns``."""
     # at most 3 ** 7 patterns, however many documents
-    seen = sorted((tuple(r["votes"]), r["count"]) for r in rows.groupBy("votes").count().collect())
+    seen = sorted((tuple(r["votes"]), r["count"]) for r in patterns.groupBy("votes").count().collect())
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    spark = docs.sparkSession
-    table = "votes array<int>, posterior double"
     good = posteriors(np.array([v for v, _ in seen]), np.array([n for _, n in seen], float)) if seen else []
-    found = spark.createDataFrame([(list(v), float(p)) for (v, _), p in zip(seen, good, strict=True)], table)
+    found = rows.sparkSession.createDataFrame([(list(v), float(p)) for (v, _), p in zip(seen, good, strict=True)], "votes array<int>, posterior double")
     rows = rows.join(F.broadcast(found), "votes", "left").withColumn("base_failed", failed)
-    return rows.select("doc_id", *COUNTS, "votes", "posterior", "base_failed", (~F.col("base_failed") & (F.col("posterior") >= KEEP)).alias("kept"))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP))
+
+
+def passed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with their columns; the rules run twice, so that no text is shuffled."""
+    own = docs.columns
+    patterns = counts(docs.select(F.col(text_col).cast("string").alias("text"))).select(F.array(*votes()).alias("votes"))
+    # the table's own columns stand aside, as names may clash
+    rows = counts(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(text_col).cast("string").alias("text"))).drop("text")
+    return _verdicts(rows.withColumn("votes", F.array(*votes())), patterns).filter("kept").select("row.*")
 
 
 by_value(__name__)

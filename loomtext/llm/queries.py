@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtext.llm import byte_bpe, exact_dedup, line_dedup, lm_scoring, mixing, quality_mil, quality_rules, sharding, simhash
+from loomtext.llm import byte_bpe, exact_dedup, line_dedup, lm_scoring, mixing, preference, quality_mil, quality_rules, sharding, simhash
 from loomtext.llm.common import documents
 
 
@@ -23,6 +23,14 @@ def op3_byte_bpe(spark, sf_dir):
     return byte_bpe.encoded(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, ids=False, digests=True)
 
 
+def op4_preference(spark, sf_dir):
+    talks = preference.conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    rows = preference.formatted(preference.by_first_turn(talks))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    rows = rows.withColumn("chosen_spans", spans("chosen_spans")).withColumn("rejected_spans", spans("rejected_spans"))
+    return rows.fillna({"rejected_id": -1, "rejected_completion": "", "rejected_spans": ""})
+
+
 def op5_simhash(spark, sf_dir):
     return simhash.grouped(documents(spark, sf_dir))
 
