@@ -2,39 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import settled
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """For each node ``u`` of directed edges (u, v): the least of itself and its neighbours."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _stars(edges: DataFrame) -> DataFrame:
+    """Distinct directed edges (u, v) with ``m``, the least neighbour of u; one exchange by u."""
+    w = Window.partitionBy("u").orderBy("v")
+    seen = edges.withColumn("m", F.first("v").over(w)).withColumn("_last", F.lag("v").over(w))
+    return seen.filter(F.col("_last").isNull() | (F.col("_last") != F.col("v"))).drop("_last")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root for every node of the edges (a, b); the root is the least node of its component.
 
     Large stars hang each node's larger neighbours on its least neighbour, small stars do so with the smaller
-    ones, until nothing moves; the number of rounds grows with the logarithm of the number of nodes.  Each
-    round joins edges with one row per node and writes its edges to the checkpoint folder.  Loops and repeated edges
-    are allowed; no edges: no rows.
+    ones, until nothing moves; the number of rounds grows with the logarithm of the number of nodes.  A round
+    has two exchanges and writes its edges to the checkpoint folder.  Loops and repeated edges are allowed; no
+    edges: no rows.
     """
-    e = settled(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = settled(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     before = None
     for _ in range(rounds):
-        # e holds each edge once, as (larger, smaller)
+        # e holds edges as (larger, smaller)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = _least(large)
-        small = large.join(low, "u").select("u", "v", "m")
-        small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        e = settled(small)
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        large = _stars(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        hung = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))  # u itself goes with its least neighbour's row
+        e = settled(_stars(large).select(hung.alias("u"), F.col("m").alias("v")))
+        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == before:
             break
-        before = tuple(state)
+        before = state
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
