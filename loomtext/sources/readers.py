@@ -17,7 +17,7 @@ DOCUMENT = "text string, source string, title string, url string"
 
 def jsonl(spark: SparkSession, path: str, schema: str = DOCUMENT, bad: str = "_bad") -> DataFrame:
     """JSON lines; a line that is no JSON object has its text in ``bad`` and nulls elsewhere."""
-    return spark.read.schema(f"{schema}, {bad} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
+    return parsed_lines(spark.read.text(path).withColumnRenamed("value", "line"), schema, "line", bad)
 
 
 def parsed_lines(lines: DataFrame, schema: str = DOCUMENT, line: str = "line", bad: str = "_bad") -> DataFrame:
