@@ -70,6 +70,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = settled(rows)
 
     best = F.min(F.struct((-F.col("_points")).alias("less"), F.col("doc_id").alias("id")))
-    groups = rows.groupBy("content_key").agg(best.alias("_best"), F.count("*").alias("group_size"))
-    kept = F.col("doc_id").eqNullSafe(F.col("_best.id")) & (F.col("_points") == -F.col("_best.less"))
-    return rows.join(groups, "content_key").select("doc_id", F.col("_best.id").alias("keep_id"), "group_size", kept.alias("kept"), *(["text_sha256"] if digest else []), "content_key")
+    # saved, so that both sides of the join come by an exchange of their own and a group of very many copies can be split
+    groups = settled(rows.groupBy("content_key").agg(best.alias("_best"), F.count("*").alias("_n")).filter("_n > 1"))
+    alone = F.col("_n").isNull()
+    kept = alone | F.col("doc_id").eqNullSafe(F.col("_best.id")) & (F.col("_points") == -F.col("_best.less"))
+    out = rows.join(groups, "content_key", "left")
+    keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("_best.id"))
+    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("_n", F.lit(1)).alias("group_size"), kept.alias("kept"), *(["text_sha256"] if digest else []), "content_key")
