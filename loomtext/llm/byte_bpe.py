@@ -14,10 +14,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,6 +143,48 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, T.StructType(fields))
 
 
+def folded(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word", buckets: int = 1 << 16) -> DataFrame:
+    """``words`` with ``ids``: the same fold in Spark's higher-order functions, with the rank map as a literal.
+
+    For tables of distinct words, such as a vocabulary to be encoded once; ``encoded`` gives the same ids.  Bytes are written in
+    hexadecimal, and the map is laid out in buckets by CRC-32, as a lookup in a Spark map is linear.  A null word gives null, the
+    empty word no ids.
+    """
+    table: list[dict[str, int]] = [{} for _ in range(buckets)]
+    for piece, rank in ranks.items():
+        key = piece.hex().upper()
+        table[zlib.crc32(key.encode()) % buckets][key] = rank
+    literal = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<map<string,int>>")
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  computes the value once
+    none, pair = F.array().cast("array<int>"), "struct<parts:array<string>,ranks:array<int>>"
+
+    def fold(word: Column, maps: Column) -> Column:
+        look = lambda key: F.try_element_at(F.get(maps, (F.crc32(key.cast("binary")) % buckets).cast("int")), key)
+        n = (F.length(word) / 2).cast("int")
+        parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, 2 * i - 1, F.lit(2)))
+        first = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: look(F.substring(word, 2 * i - 1, F.lit(4))))).otherwise(none)
+
+        def merge_at(acc: Column, i: Column) -> Column:
+            def joined(new: Column) -> Column:
+                left = F.when(i > 1, F.array(look(F.concat(F.get(acc["parts"], i - 2), new)))).otherwise(none)
+                right = F.when(i + 1 < F.size(acc["parts"]), F.array(look(F.concat(new, F.get(acc["parts"], i + 1))))).otherwise(none)
+                after = F.concat(F.slice(acc["parts"], F.lit(1), i - 1), F.array(new), F.slice(acc["parts"], i + 2, F.size(acc["parts"])))
+                ranks_after = F.concat(F.slice(acc["ranks"], F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(acc["ranks"], i + 2, F.size(acc["parts"])))
+                return F.struct(after.alias("parts"), ranks_after.alias("ranks")).cast(pair)
+
+            return once(F.concat(F.get(acc["parts"], i - 1), F.get(acc["parts"], i)), joined)
+
+        def step(acc: Column, _: Column) -> Column:
+            low = F.array_min(acc["ranks"])
+            return F.when(low.isNull(), acc).otherwise(once(F.array_position(acc["ranks"], low).cast("int"), lambda i: merge_at(acc, i)))
+
+        merged = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), F.struct(parts.alias("parts"), first.alias("ranks")).cast(pair), step, lambda acc: F.transform(acc["parts"], look))
+        whole = lambda rank: F.when(rank.isNotNull(), F.array(rank)).when(n < 1, none).otherwise(merged)
+        return F.when(word.isNotNull(), once(look(word), whole))
+
+    return words.withColumn("ids", once(literal, lambda maps: fold(F.hex(F.encode(F.col(word_col), "UTF-8")), maps)))
+
+
 def decoded(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """``rows`` with the binary column ``to``: the concatenated pieces of ``ids``; unknown ids raise, null gives null."""
     pieces = {i: p for p, i in ranks.items()}

@@ -458,3 +458,9 @@ def test_entry_works_without_the_subpackage(tmp_path):
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "corpus_pipeline.py", "spark-warehouse"))
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') for q in e.queries()))"], cwd=tmp_path / "r", capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert said.stdout.split()[1] == "False" and int(said.stdout.split()[0]) > 60
+
+
+def test_bpe_fold_in_spark_functions(spark, docs, ranks):
+    words = docs.limit(20).select(F.explode(F.split("text", " ")).alias("word")).distinct().unionByName(spark.createDataFrame([(None,), ("",)], "word string"))
+    for r in byte_bpe.folded(words, ranks).collect():
+        assert r["ids"] == (None if r["word"] is None else byte_bpe.merge(r["word"].encode(), ranks) if r["word"] else [])
