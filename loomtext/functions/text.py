@@ -14,20 +14,26 @@ from pyspark.sql import functions as F
 #: White space, as a class without its brackets; valid for Java and RE2.
 SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WORD = f"[^{SPACE}]+"
+#: The same characters for Java alone, whose own class is three times as fast as the ranges; with the flag (?U).
+FAST_SPACE = r"\s\x1C-\x1F"
 LETTER = r"\p{L}"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(text, f"(?U)^[{FAST_SPACE}]+|[{FAST_SPACE}]+$", "")
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{SPACE}]+$", "")
+    return F.regexp_replace(text, f"(?U)[{FAST_SPACE}]+$", "")
 
 
 def words(text: Column) -> Column:
     """The words of a text; none for the empty text."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"(?U)[^{FAST_SPACE}]+"), F.lit(0))
+
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"(?U)[^{FAST_SPACE}]+"))
 
 
 def count_of(text: Column, part: str) -> Column:
@@ -37,7 +43,7 @@ def count_of(text: Column, part: str) -> Column:
 
 def share_of(text: Column, kept: str) -> Column:
     """The share of characters that the class ``kept`` (without brackets) has; 0 for the empty text."""
-    return F.length(F.regexp_replace(text, f"[^{kept}]", "")) / F.greatest(F.length(text), F.lit(1))
+    return F.length(F.regexp_replace(text, f"(?U)[^{kept}]", "")) / F.greatest(F.length(text), F.lit(1))
 
 
 def alpha_share(text: Column) -> Column:
@@ -45,12 +51,11 @@ def alpha_share(text: Column) -> Column:
 
 
 def alpha_or_space_share(text: Column) -> Column:
-    return share_of(text, LETTER + SPACE)
+    return share_of(text, LETTER + FAST_SPACE)
 
 
 def unique_share(text: Column) -> Column:
-    w = words(text)
-    return F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1))
+    return bound(words(text), lambda w: F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1)))
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:

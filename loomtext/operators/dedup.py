@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import SPACE, alpha_share, words
+from loomtext.functions.text import FAST_SPACE, alpha_share, words
 from loomtext.operators.gates import first_failure
 
 
 def content_key(text: Column) -> Column:
     """MD5 of the text in lower case with runs of white space as one space."""
-    return F.md5(F.regexp_replace(F.lower(text), f"[{SPACE}]+", " ").cast("binary"))
+    return F.md5(F.regexp_replace(F.lower(text), f"(?U)[{FAST_SPACE}]+", " ").cast("binary"))
 
 
 def prefix_key(text: Column, n: int = 500) -> Column:

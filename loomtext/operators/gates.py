@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.config import Quality
-from loomtext.functions.text import alpha_or_space_share, strip, unique_share, words
+from loomtext.functions.text import alpha_or_space_share, strip, unique_share, word_count
 
 
 def quality_rules(text: Column, q: Quality = Quality()) -> dict[str, Column]:
@@ -18,7 +18,7 @@ def quality_rules(text: Column, q: Quality = Quality()) -> dict[str, Column]:
     mean = (F.length(text) - F.size(lines) + 1) / F.size(lines)
     return {
         "chars": F.length(text) >= q.min_chars,
-        "words": F.size(words(text)) >= q.min_words,
+        "words": word_count(text) >= q.min_words,
         "unique": unique_share(text) >= q.min_unique,
         "alpha": alpha_or_space_share(text) >= q.min_alpha,
         "lines": ~((mean < q.min_line) & (F.size(lines) > q.max_short_lines)),
@@ -43,7 +43,7 @@ def audit(gated: DataFrame, gate: str = "gate") -> DataFrame:
 
 
 def web_gate(text: Column, min_chars: int = 200, min_words: int = 30, min_unique: float = 0.3) -> Column:
-    return (F.length(text) >= min_chars) & (F.size(words(text)) >= min_words) & (unique_share(text) >= min_unique)
+    return (F.length(text) >= min_chars) & (word_count(text) >= min_words) & (unique_share(text) >= min_unique)
 
 
 def language_gate(lang: Column, allowed: tuple[str, ...] = ("fr", "en")) -> Column:

@@ -13,16 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.config import BOS, EOS, SPECIAL_TOKENS, VOCAB_SIZE
-from loomtext.functions.text import SPACE
+from loomtext.functions.text import FAST_SPACE, SPACE
 from loomtext.operators.mix import running_sum
 
 #: How texts are split into words before merging. Letters are ASCII and U+00C0 to U+00FF; what no branch takes, such as
 #: an underscore or other alphabets, is dropped.
-SPLIT = rf"'(?:s|t|re|ve|m|ll|d)| ?[a-zA-Z\x{{C0}}-\x{{FF}}]+| ?[0-9]+| ?[^{SPACE}\p{{L}}\p{{N}}_]+|[{SPACE}]+"
+BRANCHES = r"'(?:s|t|re|ve|m|ll|d)| ?[a-zA-Z\x{{C0}}-\x{{FF}}]+| ?[0-9]+| ?[^{0}\p{{L}}\p{{N}}_]+|[{0}]+"
+SPLIT = BRANCHES.format(SPACE)
 
 
 def pretokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(SPLIT), F.lit(0))
+    return F.regexp_extract_all(text, F.lit("(?U)" + BRANCHES.format(FAST_SPACE)), F.lit(0))
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:

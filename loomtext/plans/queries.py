@@ -370,9 +370,10 @@ def m1_arrivals(spark, sf_dir):
 @query(f"""WITH a AS ({_ARRIVAL}), q AS (SELECT *, {_GATE} AS gate FROM a WHERE length(text) >= 50), d AS (SELECT *, row_number() OVER (PARTITION BY md5(substr(text, 1, 500)) ORDER BY arrival) AS n FROM q WHERE gate = 'kept'),
 b AS (SELECT *, coalesce(sum(length(text)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d WHERE n = 1) SELECT doc_id, source FROM b WHERE before < 400000""")
 def m1_mixed_stream(spark, sf_dir):
-    a = mix.arrivals(table(spark, sf_dir, "documents"), SOURCES)
-    kept = a.filter((F.length("text") >= Mix().min_chars) & gates.good(F.col("text")))
-    first = dedup.first_wins(kept, dedup.prefix_key(F.col("text")), "arrival").filter("is_first").select("doc_id", "source", "arrival", F.length("text").alias("n"))
+    # the gates read the texts once; what follows is narrow, and lost parts of it are computed anew
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n"), gates.good(F.col("text")).alias("good"), dedup.prefix_key(F.col("text")).alias("key")).persist()
+    kept = mix.arrivals(d, SOURCES).filter((F.col("n") >= Mix().min_chars) & F.col("good"))
+    first = dedup.first_wins(kept, F.col("key"), "arrival").filter("is_first").select("doc_id", "source", "arrival", "n")
     return mix.within_budget(first, F.col("n"), 400_000, ["arrival"]).select("doc_id", "source")
 
 
