@@ -89,12 +89,12 @@ def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1, distinct: bool = F
 def position_sets(size: int, most: int) -> list[tuple[int, ...]]:
     """Sets of byte positions such that fingerprints of ``size`` bytes within ``most`` bits agree on one at least.
 
-    For 8 bytes and 3 bits, the 14 blocks of the module's docstring; else all pairs of neighbouring positions,
-    which is a guarantee only up to ``size / 2 - 1`` bits and a high chance of a shared pair beyond.
+    For 8 bytes and 3 bits, the 14 blocks of the module's docstring; else all pairs of neighbouring positions on a
+    ring, which is a guarantee only up to ``size / 2 - 1`` bits and a high chance of a shared pair beyond.
     """
     if (size, most) == (8, 3):
         return [s for s in itertools.combinations(range(8), 4) if s[0] ^ s[1] ^ s[2] ^ s[3] == 0]
-    return [(i, i + 1) for i in range(0, size, 2)]
+    return [(i, (i + 1) % size) for i in range(size)]
 
 
 def _entries(prints: np.ndarray, sets: list[tuple[int, ...]]) -> np.ndarray:

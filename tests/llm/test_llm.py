@@ -433,6 +433,17 @@ def test_pipeline_stages_on_edge_rows(spark, edge, sf_dir, tmp_path):
         stage(spark, edge.filter("doc_id > 1000"), sf_dir).write.parquet(str(tmp_path / f"{name}-empty"))
 
 
+def test_wide_index_finds_pairs_at_the_threshold():
+    sets, rng = simhash.position_sets(64, 78), np.random.default_rng(3)
+    one = rng.integers(0, 256, (4000, 64), np.uint8)
+    flips = np.zeros((4000, 512), np.uint8)
+    for row in flips:
+        row[rng.choice(512, 78, replace=False)] = 1
+    other = one ^ np.packbits(flips, axis=1)
+    met = (simhash._entries(one, sets) == simhash._entries(other, sets)).any(0)
+    assert met.mean() > 0.96
+
+
 def test_near_duplicate_stage(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(8)
