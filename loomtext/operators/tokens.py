@@ -6,6 +6,7 @@ training bounds by ``max_words``.  Encoding folds each distinct word of a batch
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,23 +47,34 @@ def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, max_words: int = 2_00
         for p in zip(ids, ids[1:], strict=False):
             pairs[p] = pairs.get(p, 0) + n
             where.setdefault(p, set()).add(w)
+    # a changed count is pushed anew; entries whose count has changed since are skipped when they surface
+    heap = [(-n, p) for p, n in pairs.items()]
+    heapq.heapify(heap)
     merges: list[tuple[int, int]] = []
-    while len(merges) < vocab_size - base and pairs:
-        best = min(pairs, key=lambda p: (-pairs[p], p))
+    while len(merges) < vocab_size - base and heap:
+        n, best = heapq.heappop(heap)
+        if pairs.get(best) != -n:
+            continue
         new = base + len(merges)
         merges.append(best)
+        changed: set[tuple[int, int]] = set()
         for w in where.pop(best, ()):
             ids, n = words[w]
             for p in zip(ids, ids[1:], strict=False):
                 pairs[p] -= n
-                if not pairs[p]:
-                    del pairs[p]
+                changed.add(p)
             out = merged(ids, best, new)
             words[w] = (out, n)
             for p in zip(out, out[1:], strict=False):
                 pairs[p] = pairs.get(p, 0) + n
                 where.setdefault(p, set()).add(w)
+                changed.add(p)
         pairs.pop(best, None)
+        for p in changed:
+            if pairs.get(p):
+                heapq.heappush(heap, (-pairs[p], p))
+            else:
+                pairs.pop(p, None)
     return merges
 
 

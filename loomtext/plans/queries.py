@@ -522,7 +522,8 @@ def t4_encode(spark, sf_dir):
 @query(f"SELECT doc_id, array_to_string({_PRE}, '') AS text FROM documents")
 def t5_round_trip(spark, sf_dir):
     merges = _merges(spark, sf_dir)
-    return t4_encode(spark, sf_dir).select("doc_id", tokens.decoder(merges)(F.col("ids")).alias("text"))
+    ids = tokens.encoder(merges, ends=True)(tokens.pretokens(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", tokens.decoder(merges)(ids).alias("text"))
 
 
 _LENGTHS = f"SELECT doc_id, list_transform({_PRE}, lambda x: CAST(length(x) AS INTEGER)) AS ids FROM documents"
