@@ -7,6 +7,10 @@ of the partner are aligned as patience diff does it: lines that both hold once a
 increasing run is taken, and the gaps between are filled in with the remaining common lines in order.  Blocks of
 aligned lines are deleted from the later document.  Only line numbers and hashes meet; texts are not shuffled for it.
 
+The first holder of a line need not be the document that shares the block around it, nor hold it in the same order.
+So the shortest runs of lines that make a block have keys too: a block that a document shares with any earlier one
+consists of such runs, and a run that any earlier document holds is deleted, whichever document held it first.
+
 Later means the larger id.  Every key that a document shares with any earlier one is looked at, however frequent: rare
 keys have few holders and frequent ones many, but each holder has one partner for the key.
 """
@@ -44,6 +48,44 @@ def line_keys(text: bytes) -> list[tuple[int, int, int, bool, int]]:
     return out
 
 
+def run_keys(text: bytes, block_words: int = BLOCK_WORDS) -> list[tuple[list[int], int, int, int]]:
+    """(line numbers, two halves of the key, words) of the shortest runs of two or more lines with ``block_words`` words.
+
+    Shortest from their first line on or back from their last one; in step as in ``blocks``, so one line may lie between.
+    A run is numbered by its lines' occurrences and by its own, since a line may occur elsewhere before the run.
+    """
+    lines = text.split(b"\n")
+    words = [len(x.split()) for x in lines]
+    paths = set()
+    for start, n in enumerate(words):
+        for step in (1, -1):
+            open_ = [((start,), n)] if 0 < n < block_words else []
+            while open_:
+                path, total = open_.pop()
+                for at in (path[-1] + step, path[-1] + 2 * step):
+                    if 0 <= at < len(lines) and words[at]:
+                        if total + words[at] >= block_words:
+                            paths.add((*path, at)[::step])
+                        else:
+                            open_.append(((*path, at), total + words[at]))
+    if not paths:
+        return []
+    seen: dict[bytes, int] = {}
+    number = []
+    for line in lines:
+        number.append(seen.get(line, 0))
+        seen[line] = number[-1] + 1
+    times: dict[bytes, int] = {}
+    out = []
+    for path in sorted(paths):
+        whole = b"".join(xxhash.xxh3_128_digest(lines[i]) for i in path)
+        own = times[whole] = times.get(whole, -1) + 1
+        for numbers in {tuple(number[i] for i in path), (own,) * len(path)}:
+            key = xxhash.xxh3_128_intdigest(whole + b"".join(n.to_bytes(8, "little") for n in numbers))
+            out.append((list(path), _signed(key >> 64), _signed(key & (1 << 64) - 1), sum(words[i] for i in path)))
+    return out
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -110,30 +152,35 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
         for batch in batches:
             ids, keys = [], []
             for i, text in enumerate(texts_of(batch.column(1))):
-                found = line_keys(text)
+                found = [(*key, None) for key in line_keys(text)]
+                found += [(path[0], h, low, False, words, path[1:]) for path, h, low, words in run_keys(text, block_words)]
                 keys += found
                 ids += [i] * len(found)
-            columns = list(zip(*keys, strict=True)) or [[]] * 5
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "line", "h", "l", "once", "words"])
+            columns = list(zip(*keys, strict=True)) or [[]] * 6
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "line", "h", "l", "once", "words", "rest"])
 
-    lines = settled(rows.mapInArrow(cut, f"doc_id {kind}, line int, h bigint, l bigint, once boolean, words int"))
+    lines = settled(rows.mapInArrow(cut, f"doc_id {kind}, line int, h bigint, l bigint, once boolean, words int, rest array<int>"))
     first = F.min(F.struct("doc_id", "line", "once")).alias("f")
     shared = settled(lines.groupBy("h", "l").agg(first, F.max("doc_id").alias("last")).filter("f.doc_id < last").select("h", "l", "f"))
     matches = lines.join(shared, ["h", "l"]).filter(F.col("doc_id") > F.col("f.doc_id"))
-    matches = matches.select("doc_id", F.col("f.doc_id").alias("other"), "line", F.col("f.line").alias("at"), (F.col("once") & F.col("f.once")).alias("once"), "words").distinct()
+    matches = matches.select("doc_id", F.col("f.doc_id").alias("other"), "line", F.col("f.line").alias("at"), (F.col("once") & F.col("f.once")).alias("once"), "words", "rest").distinct()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["doc_id", "other"]):
             bounds = np.append(_starts(table, ["doc_id", "other"]), table.num_rows).tolist()
-            line, at, once, words = (table.column(c).to_pylist() for c in ("line", "at", "once", "words"))
-            gone = []
+            line, at, once, words, rest = (table.column(c).to_pylist() for c in ("line", "at", "once", "words", "rest"))
+            rows, gone = [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                hit = [a + i for i in aligned(line[a:b], at[a:b], once[a:b])]
+                found = {n for i in range(a, b) if words[i] >= block_words for n in (line[i], *(rest[i] or ()))}
+                single = [i for i in range(a, b) if rest[i] is None]
+                hit = [single[i] for i in aligned([line[i] for i in single], [at[i] for i in single], [once[i] for i in single])]
                 for block in blocks([line[i] for i in hit], [at[i] for i in hit]):
                     if sum(words[hit[i]] for i in block) >= block_words:
-                        gone += [hit[i] for i in block]
-            part = table.select(["doc_id", "line", "other"]).take(pa.array(gone, pa.int64()))
+                        found |= {line[hit[i]] for i in block}
+                rows += [a] * len(found)
+                gone += sorted(found)
+            part = table.select(["doc_id", "other"]).take(pa.array(rows, pa.int64())).add_column(1, "line", pa.array(gone, pa.int32()))
             yield from part.combine_chunks().to_batches()
 
     dealt = matches.repartition("doc_id").sortWithinPartitions("doc_id", "other", "line")

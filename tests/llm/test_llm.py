@@ -326,6 +326,45 @@ def test_passage_goes_from_the_later_document(spark):
     assert got == {1: rows[0][1], 2: "own two words\nmore of my own", 3: rows[2][1], 4: rows[3][1], 5: rows[4][1]}
 
 
+def chained(mine, other, least):
+    """Lines of ``mine`` in chains of common lines, in step in both texts, of ``least`` words: every pair of lines is tried."""
+    words = [len(x.split()) for x in mine]
+    best = {}
+    for step in (1, -1):
+        for i in range(len(mine))[::-step]:
+            for j in range(len(other))[::-step]:
+                if words[i] and mine[i] == other[j]:
+                    best[step, i, j] = words[i] + max(best.get((step, i + a * step, j + b * step), 0) for a in (1, 2) for b in (1, 2))
+    return {i for step, i, j in best if step == 1 and best[1, i, j] + best[-1, i, j] - words[i] >= least}
+
+
+def short_lines(rng, n, distinct):
+    lines = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 6]))) for _ in range(60)]
+    return {i: "\n".join((rng.sample if distinct else lambda x, k: rng.choices(x, k=k))(sorted(set(lines)) + [""], rng.randint(3, 25))) for i in range(n)}
+
+
+def test_line_dedup_looks_at_all_earlier_documents(spark):
+    texts = short_lines(random.Random(7), 60, True)
+    got = {r["doc_id"]: {x["line"] for x in r["removed_lines"] or []} for r in line_dedup.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i in texts:
+        assert got[i] == set().union(*(chained(texts[i].split("\n"), texts[j].split("\n"), line_dedup.BLOCK_WORDS) for j in range(i))), i
+    assert any(got[i] - brute_lines(texts)[i] for i in texts)
+
+
+def test_aligned_blocks_of_all_earlier_documents_go(spark):
+    texts = short_lines(random.Random(8), 40, False)
+    got = {r["doc_id"]: {x["line"] for x in r["removed_lines"] or []} for r in line_dedup.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i in texts:
+        assert got[i] >= set().union(*(brute_lines({j: texts[j], i: texts[i]})[i] for j in range(i)))
+
+
+def test_list_whose_lines_have_other_first_holders(spark):
+    items = [f"w{i} x{i} y" for i in range(20)]
+    rows = [(i, f"{x}\nonly of text {i} here") for i, x in enumerate(items)] + [(50, "\n".join(items)), (51, "first line of the last one\n" + "\n".join(items))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {51: "first line of the last one"}
+
+
 # 8
 def test_exact_groups(edge):
     got = exact_dedup.exact_groups(edge).collect()
