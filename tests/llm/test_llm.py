@@ -499,6 +499,32 @@ def test_near_duplicate_stage(spark, sf_dir):
     assert left >= set(range(40)) and len(left) <= 42
 
 
+def test_near_duplicate_stage_is_jaccard_at_the_threshold(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    rows, shingles = [], {}
+    for g in range(60):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([6, 9, 60, 200]))]
+        for n in range(4):
+            text = list(base)
+            for _ in range(round(len(base) * 0.05 * n * rng.uniform(0.4, 0.6))):
+                text[rng.randrange(len(text))] = f"x{rng.randint(0, 10**6)}"
+            rows.append((4 * g + n, " ".join(text + base[: n % 2])))
+    rows += [(1000, None), (1001, "")] + [(2000 + i, rows[4 * i][1]) for i in range(10)]
+    for i, t in rows:
+        w = (t or "").split()
+        shingles[i] = {tuple(w[a : a + 5]) for a in range(max(len(w) - 4, 1))} if w else set()
+    least = {i: i for i in shingles}
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    links = [(i, j) for i in shingles for j in shingles if i < j and jaccard(shingles[i], shingles[j]) >= 0.8]
+    assert sum(jaccard(shingles[i], shingles[j]) < 0.85 for i, j in links) > 10
+    for _ in range(10):
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in pipeline.near_duplicates(spark, df, sf_dir).collect()} == {i for i in least if least[i] == i}
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     import shutil
     import subprocess
