@@ -525,6 +525,13 @@ def test_near_duplicate_stage_is_jaccard_at_the_threshold(spark, sf_dir):
     assert {r["doc_id"] for r in pipeline.near_duplicates(spark, df, sf_dir).collect()} == {i for i in least if least[i] == i}
 
 
+def test_last_stage_decodes(spark, docs, text_of, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    pytest.importorskip("public_tokenizers")
+    for r in pipeline.encode(spark, docs, sf_dir).collect():
+        assert len(r["ids"]) == r["n_tokens"] and r["decoded_sha256"] == hashlib.sha256(text_of[r["doc_id"]].encode()).hexdigest()
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     import shutil
     import subprocess
