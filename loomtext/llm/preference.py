@@ -30,15 +30,16 @@ def conversations(rows: DataFrame) -> DataFrame:
 def by_first_turn(talks: DataFrame) -> DataFrame:
     """chosen_id, rejected_id, chosen, rejected: conversations that open with the same turn, as pairs.
 
-    Of each such group one is chosen, first by ending with the assistant, then by least conv_id, and each other one is
+    Of each such group one is chosen, first by ending with the assistant, then by least conv_id (null last), and each other one is
     rejected against it; a group of n gives n - 1 pairs.  A conversation that opens like no other has no rejected one.
     """
     first = F.get("turns", F.lit(0))
     talks = settled(talks.withColumn("_key", F.sha2(F.concat_ws("\x1f", first["role"], first["text"]), 256)))
-    rank = F.struct((F.element_at("turns", -1)["role"] != TRAINED_ROLE).alias("open"), F.col("conv_id").alias("id"))
+    rank = F.struct((F.element_at("turns", -1)["role"] != TRAINED_ROLE).alias("open"), F.col("conv_id").isNull().alias("none"), F.col("conv_id").alias("id"))
     groups = talks.groupBy("_key").agg(F.min(rank)["id"].alias("chosen_id"), F.count("*").alias("_n"))
-    best = settled(groups.join(talks.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen")), "chosen_id"))
-    pairs = talks.join(best, "_key").filter((F.col("_n") == 1) | (F.col("conv_id") != F.col("chosen_id")))
+    best = groups.join(talks.select("conv_id", F.col("turns").alias("chosen")), F.col("conv_id").eqNullSafe(F.col("chosen_id")))
+    best = settled(best.drop("conv_id"))
+    pairs = talks.join(best, "_key").filter((F.col("_n") == 1) | ~F.col("conv_id").eqNullSafe(F.col("chosen_id")))
     alone = F.col("_n") == 1
     return pairs.select("chosen_id", F.when(~alone, F.col("conv_id")).alias("rejected_id"), "chosen", F.when(~alone, F.col("turns")).alias("rejected"))
 

@@ -193,6 +193,13 @@ def test_preference_pairs_share_the_first_turn(spark):
     assert preference.by_first_turn(talks.filter("conv_id < 0")).count() == 0
 
 
+def test_preference_keeps_null_ids(spark):
+    rows = [(c, 0, "user", "same") for c in (None, 1, 2)] + [(c, 1, "assistant", "x") for c in (None, 1)] + [(3, 0, "user", "b"), (4, 0, "user", "c"), (4, 1, "assistant", "y")]
+    pairs = lambda x: sorted(str((r["chosen_id"], r["rejected_id"], r["rejected"] is None)) for r in preference.by_first_turn(preference.conversations(spark.createDataFrame(x, "conv_id long, turn long, role string, text string"))).collect())
+    assert pairs(rows) == sorted(["(1, None, False)", "(1, 2, False)", "(3, None, True)", "(4, None, True)"])
+    assert pairs(rows[:1] + rows[2:4]) == ["(None, 2, False)"]
+
+
 # 5
 def brute_print(t, k=3):
     w = WORD.findall(lower(t or ""))
