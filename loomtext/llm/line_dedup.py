@@ -1,23 +1,26 @@
 """Line de-duplication by pairwise alignment.
 
-Lines are hashed with their number of occurrence in the document (the first "a" and the second "a" are different
-keys).  A key that several documents hold pairs each later document with the first holder, so a line in a third of all
-documents gives one pair for each of them and never all pairs.  Where a document is paired, its lines and those
-of the partner are aligned as patience diff does it: lines that both hold once are anchors, their longest
-increasing run is taken, and the gaps between are filled in with the remaining common lines in order.  Blocks of
-aligned lines are deleted from the later document.  Only line numbers and hashes meet; texts are not shuffled for it.
-
-The first holder of a line need not be the document that shares the block around it, nor hold it in the same order.
-So the shortest runs of lines that make a block have keys too: a block that a document shares with any earlier one
-consists of such runs, and a run that any earlier document holds is deleted, whichever document held it first.
-
-Later means the larger id.  Every key that a document shares with any earlier one is looked at, however frequent: rare
-keys have few holders and frequent ones many, but each holder has one partner for the key.
+A line alone is a poor sign of overlap, as short ones are frequent, so what is hashed are runs: for each line the
+shortest run of consecutive lines, blank ones aside, that begins with it and has ``BLOCK_WORDS`` words, and the
+shortest one that ends with it.  There are at most two runs a line, and a line of so many words is its own run.  Runs that
+a single document holds are dropped at once.  Any other run pairs each later document with the run's first holder, so
+a run in a third of all documents gives one pair for each of them and never all pairs.
+
+Each pair is aligned as patience diff does it, over the lines of its shared runs: the common lines, in the order of the
+later document, are dealt on piles on which the earlier document's line numbers increase.  A pile is an alignment in the
+order of both documents; what one alignment must leave because it stands elsewhere in the other document
+is on another pile, so moved blocks are aligned as well.  Blocks of aligned lines, in step in both documents, are deleted from the later.
+
+No cap is needed and nothing is lost: a block that a document shares with any earlier one is a union of runs,
+and every run that any earlier document holds is in step with its first holder's.  So the lines deleted are just those in a run
+of lines of ``block_words`` words or more that some earlier document has as well.
+
+Later means the larger id.  The alignment sees hashes and line numbers only; texts are shuffled once, to take the lines out.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,57 +35,37 @@ from loomtext.llm.common import _starts, by_value, runs, settled, texts_of
 BLOCK_WORDS = 5
 
 
-def line_keys(text: bytes) -> list[tuple[int, int, int, bool, int]]:
-    """(line number, two halves of the 128-bit key, held once, words) of each line that has a word."""
-    lines = text.split(b"\n")
-    seen: dict[bytes, int] = {}
-    rows = []
-    for at, line in enumerate(lines):
-        if words := len(line.split()):
-            n = seen[line] = seen.get(line, -1) + 1
-            rows.append((at, line, n, words))
+def run_keys(text: bytes, block_words: int = BLOCK_WORDS) -> list[tuple[int, int, list[int] | None, int, int]]:
+    """(first line, its place among the lines with words, the run's further lines, two halves of the 128-bit key) of each run."""
+    lines, at, words = [], [], []
+    for i, line in enumerate(text.split(b"\n")):
+        if n := len(line.split()):
+            lines.append(line)
+            at.append(i)
+            words.append(n)
+    spans = set()
+    end, total = 0, 0
+    for start, n in enumerate(words):  # the shortest run from each line on
+        while end < len(words) and total < block_words:
+            total += words[end]
+            end += 1
+        if total < block_words:
+            break
+        spans.add((start, end))
+        total -= n
+    start, total = len(words), 0
+    for end in range(len(words), 0, -1):  # and back from each line
+        while start and total < block_words:
+            start -= 1
+            total += words[start]
+        if total < block_words:
+            break
+        spans.add((start, end))
+        total -= words[end - 1]
     out = []
-    for at, line, n, words in rows:
-        key = xxhash.xxh3_128_intdigest(line, seed=n)
-        out.append((at, _signed(key >> 64), _signed(key & (1 << 64) - 1), seen[line] == 0, words))
-    return out
-
-
-def run_keys(text: bytes, block_words: int = BLOCK_WORDS) -> list[tuple[list[int], int, int, int]]:
-    """(line numbers, two halves of the key, words) of the shortest runs of two or more lines with ``block_words`` words.
-
-    Shortest from their first line on or back from their last one; in step as in ``blocks``, so one line may lie between.
-    A run is numbered by its lines' occurrences and by its own, since a line may occur elsewhere before the run.
-    """
-    lines = text.split(b"\n")
-    words = [len(x.split()) for x in lines]
-    paths = set()
-    for start, n in enumerate(words):
-        for step in (1, -1):
-            open_ = [((start,), n)] if 0 < n < block_words else []
-            while open_:
-                path, total = open_.pop()
-                for at in (path[-1] + step, path[-1] + 2 * step):
-                    if 0 <= at < len(lines) and words[at]:
-                        if total + words[at] >= block_words:
-                            paths.add((*path, at)[::step])
-                        else:
-                            open_.append(((*path, at), total + words[at]))
-    if not paths:
-        return []
-    seen: dict[bytes, int] = {}
-    number = []
-    for line in lines:
-        number.append(seen.get(line, 0))
-        seen[line] = number[-1] + 1
-    times: dict[bytes, int] = {}
-    out = []
-    for path in sorted(paths):
-        whole = b"".join(xxhash.xxh3_128_digest(lines[i]) for i in path)
-        own = times[whole] = times.get(whole, -1) + 1
-        for numbers in {tuple(number[i] for i in path), (own,) * len(path)}:
-            key = xxhash.xxh3_128_intdigest(whole + b"".join(n.to_bytes(8, "little") for n in numbers))
-            out.append((list(path), _signed(key >> 64), _signed(key & (1 << 64) - 1), sum(words[i] for i in path)))
+    for start, end in sorted(spans):
+        key = xxhash.xxh3_128_intdigest(lines[start] if end - start == 1 else b"\n".join(lines[start:end]))
+        out.append((at[start], start, at[start + 1 : end] or None, _signed(key >> 64), _signed(key & (1 << 64) - 1)))
     return out
 
 
@@ -90,101 +73,107 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def increasing(values: list[int]) -> list[int]:
-    """Indexes of a longest strictly increasing subsequence; patience sorting."""
-    tops: list[int] = []
-    piles: list[int] = []
-    back: list[int] = []
-    for i, v in enumerate(values):
-        p = bisect_left(tops, v)
-        back.append(piles[p - 1] if p else -1)
-        if p == len(tops):
-            tops.append(v)
-            piles.append(i)
-        else:
-            tops[p], piles[p] = v, i
-    out = []
-    i = piles[-1] if piles else -1
-    while i >= 0:
-        out.append(i)
-        i = back[i]
-    return out[::-1]
-
+def piles(matches: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Patience sorting of (mine, other), given in order: both numbers increase along each pile.
 
-def aligned(mine: list[int], other: list[int], unique: list[bool]) -> list[int]:
-    """Indexes of the matches (mine[i], other[i]) that patience diff aligns; ``mine`` ascends.
-
-    ``unique``: the line occurs once in either document.
+    A match goes on the pile whose top is the largest below it.  Where it continues a pile in step, it goes there before
+    any match that does not, so stretches that are in step in both documents are never torn apart.
     """
-    if len(mine) == 1:
-        return [0]
-    anchors = [i for i, u in enumerate(unique) if u]
-    taken = [anchors[i] for i in increasing([other[i] for i in anchors])]
-    out: list[int] = []
-    low, at = -1, 0
-    for stop in [*taken, None]:
-        high = other[stop] if stop is not None else float("inf")
-        gap = [i for i in range(at, len(mine) if stop is None else stop) if not unique[i] and low < other[i] < high]
-        out += [gap[i] for i in increasing([other[i] for i in gap])]
-        if stop is not None:
-            out.append(stop)
-            low, at = high, stop + 1
+    tops: list[int] = []  # ascending
+    number: list[int] = []  # of the pile with that top
+    out: list[list[tuple[int, int]]] = []
+    i = 0
+    while i < len(matches):
+        j = i
+        while j < len(matches) and matches[j][0] == matches[i][0]:
+            j += 1
+        later = []
+        for mine, other in matches[i:j]:
+            low, high = bisect_left(tops, other - 1), bisect_right(tops, other - 1)
+            place = next((p for p in range(low, high) if out[number[p]][-1][0] == mine - 1), None)
+            if place is None:
+                later.append((mine, other))
+            else:
+                number[place], number[high - 1] = number[high - 1], number[place]
+                tops[high - 1] = other
+                out[number[high - 1]].append((mine, other))
+        for mine, other in reversed(later):  # the largest first, as one pile takes one match of a line
+            place = bisect_left(tops, other) - 1
+            while place >= 0 and out[number[place]][-1][0] == mine:
+                place -= 1
+            if place < 0:
+                place = bisect_left(tops, other)
+                tops.insert(place, other)
+                number.insert(place, len(out))
+                out.append([(mine, other)])
+            else:
+                # keep the tops ascending: the pile moves up to its new place
+                pile = number.pop(place)
+                tops.pop(place)
+                place = bisect_left(tops, other)
+                tops.insert(place, other)
+                number.insert(place, pile)
+                out[pile].append((mine, other))
+        i = j
     return out
 
 
-def blocks(lines: list[int], between: list[int]) -> list[list[int]]:
-    """Indexes of ``lines`` (numbers of aligned lines, ascending) cut where the other document is not in step."""
+def blocks(pile: list[tuple[int, int]]) -> list[list[int]]:
+    """The stretches of a pile that are in step in both documents, by the numbers of the later document's lines."""
     out: list[list[int]] = []
-    for i in range(len(lines)):
-        if out and lines[i] - lines[i - 1] <= 2 and 0 < between[i] - between[i - 1] <= 2:  # one blank line may lie between
-            out[-1].append(i)
+    for n, (mine, other) in enumerate(pile):
+        if n and (mine - 1, other - 1) == pile[n - 1]:
+            out[-1].append(mine)
         else:
-            out.append([i])
+            out.append([mine])
     return out
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, line, other: the lines (from 0) to delete from a document, with the earlier document that holds them."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    """doc_id, text_key, line, other: the lines (from 0) to delete from a document, with the earlier document that holds them.
+
+    A document is an id with a text; ``text_key`` is the text's 64-bit hash and tells texts of one id apart.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
     kind = rows.schema[0].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64())
         for batch in batches:
             ids, keys = [], []
-            for i, text in enumerate(texts_of(batch.column(1))):
-                found = [(*key, None) for key in line_keys(text)]
-                found += [(path[0], h, low, False, words, path[1:]) for path, h, low, words in run_keys(text, block_words)]
+            for i, text in enumerate(texts_of(batch.column(2))):
+                found = run_keys(text, block_words)
                 keys += found
                 ids += [i] * len(found)
-            columns = list(zip(*keys, strict=True)) or [[]] * 6
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "line", "h", "l", "once", "words", "rest"])
+            columns = list(zip(*keys, strict=True)) or [[]] * 5
+            at = pa.array(ids, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "text_key", "line", "place", "rest", "h", "l"])
 
-    lines = settled(rows.mapInArrow(cut, f"doc_id {kind}, line int, h bigint, l bigint, once boolean, words int, rest array<int>"))
-    first = F.min(F.struct("doc_id", "line", "once")).alias("f")
-    shared = settled(lines.groupBy("h", "l").agg(first, F.max("doc_id").alias("last")).filter("f.doc_id < last").select("h", "l", "f"))
-    matches = lines.join(shared, ["h", "l"]).filter(F.col("doc_id") > F.col("f.doc_id"))
-    matches = matches.select("doc_id", F.col("f.doc_id").alias("other"), "line", F.col("f.line").alias("at"), (F.col("once") & F.col("f.once")).alias("once"), "words", "rest").distinct()
+    lines = settled(rows.mapInArrow(cut, f"doc_id {kind}, text_key bigint, line int, place int, rest array<int>, h bigint, l bigint"))
+    first = F.min(F.struct("doc_id", "text_key", "place")).alias("f")
+    shared = settled(lines.groupBy("h", "l").agg(first, F.max("doc_id").alias("last")).filter("f.doc_id < last").select("h", "l", F.col("f.doc_id").alias("other"), F.col("f.place").alias("at")))
+    matches = lines.join(shared, ["h", "l"]).filter("doc_id > other").select("doc_id", "text_key", "other", "line", "place", "rest", "at")
+    key = ["doc_id", "text_key", "other"]
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["doc_id", "other"]):
-            bounds = np.append(_starts(table, ["doc_id", "other"]), table.num_rows).tolist()
-            line, at, once, words, rest = (table.column(c).to_pylist() for c in ("line", "at", "once", "words", "rest"))
+        for table in runs(batches, key):
+            bounds = np.append(_starts(table, key), table.num_rows).tolist()
+            line, place, rest, at = (table.column(c).to_pylist() for c in ("line", "place", "rest", "at"))
             rows, gone = [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                found = {n for i in range(a, b) if words[i] >= block_words for n in (line[i], *(rest[i] or ()))}
-                single = [i for i in range(a, b) if rest[i] is None]
-                hit = [single[i] for i in aligned([line[i] for i in single], [at[i] for i in single], [once[i] for i in single])]
-                for block in blocks([line[i] for i in hit], [at[i] for i in hit]):
-                    if sum(words[hit[i]] for i in block) >= block_words:
-                        found |= {line[hit[i]] for i in block}
+                number, matches = {}, set()
+                for i in range(a, b):
+                    for n, x in enumerate((line[i], *(rest[i] or ()))):
+                        number[place[i] + n] = x
+                        matches.add((place[i] + n, at[i] + n))
+                found = {number[x] for pile in piles(sorted(matches)) for block in blocks(pile) for x in block}
                 rows += [a] * len(found)
                 gone += sorted(found)
-            part = table.select(["doc_id", "other"]).take(pa.array(rows, pa.int64())).add_column(1, "line", pa.array(gone, pa.int32()))
+            part = table.select(key).take(pa.array(rows, pa.int64())).add_column(2, "line", pa.array(gone, pa.int32()))
             yield from part.combine_chunks().to_batches()
 
-    dealt = matches.repartition("doc_id").sortWithinPartitions("doc_id", "other", "line")
-    return dealt.mapInArrow(align, f"doc_id {kind}, line int, other {kind}")
+    dealt = matches.repartition("doc_id").sortWithinPartitions(*key, "place")
+    return dealt.mapInArrow(align, f"doc_id {kind}, text_key bigint, line int, other {kind}")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -194,14 +183,20 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     * null text: stays null.  Null id: the row is neither earlier nor later than any other and stays as it is.
     * a copy of an earlier document: its text becomes empty (or its blank lines).  Lines without a word are never deleted.
-    * rows that repeat an id are one document's: they do not delete each other's lines, and lose the same ones.
-    * empty table: no rows.  Other columns stay as they are.
+    * a text of fewer than ``block_words`` words has no block and stays.  A line that repeats within a text goes at every place.
+    * rows that repeat an id do not delete each other's lines; each loses what its own text shares with smaller ids.
+    * empty table: no rows.  Other columns stay as they are, but ``removed_lines`` is replaced.
     """
-    gone = removals(docs, id_col, text_col, block_words).groupBy("doc_id", "line").agg(F.min("other").alias("other"))
-    gone = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.array_sort(F.collect_list(F.struct("line", "other"))).alias("removed_lines"))
-    out = docs.drop("removed_lines").join(gone, F.col(id_col) == F.col("_gone_id"), "left").drop("_gone_id")
+    gone = removals(docs, id_col, text_col, block_words).groupBy("doc_id", "text_key", "line").agg(F.min("other").alias("other"))
+    gone = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).agg(F.array_sort(F.collect_list(F.struct("line", "other"))).alias("removed_lines"))
+    out = docs.drop("removed_lines").join(gone, (F.col(id_col) == F.col("_gone_id")) & (F.xxhash64(text_col) == F.col("_gone_key")), "left").drop("_gone_id", "_gone_key")
     numbers = F.transform("removed_lines", lambda x: x["line"])
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(numbers, i)), "\n")
+
+    def rebuilt(lines):
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)  # by a hash set, linear in the lines
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    kept = F.get(F.transform(F.array(F.split(text_col, "\n", -1)), rebuilt), F.lit(0))
     return out.withColumn(text_col, F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(kept))
 
 

@@ -291,85 +291,103 @@ def test_expectation_maximisation_finds_kinds_of_bad_documents():
 
 
 # 7
-def brute_lines(texts):
-    """Lines to delete, by the definition: first holders of keys, patience alignment, blocks."""
-    first, rows = {}, collections.defaultdict(list)
-    for i in sorted(texts):
-        for at, h, lo, once, words in line_dedup.line_keys(texts[i].encode()):
-            if (h, lo) in first and first[h, lo][0] < i:
-                other, there, alone = first[h, lo]
-                rows[i, other].append((at, there, once and alone, words))
-            else:
-                first.setdefault((h, lo), (i, at, once))
-    gone = collections.defaultdict(set)
-    for (i, _), m in rows.items():
-        m.sort()
-        hit = line_dedup.aligned([x[0] for x in m], [x[1] for x in m], [x[2] for x in m])
-        for block in line_dedup.blocks([m[j][0] for j in hit], [m[j][1] for j in hit]):
-            if sum(m[hit[j]][3] for j in block) >= line_dedup.BLOCK_WORDS:
-                gone[i] |= {m[hit[j]][0] for j in block}
+def words_in(line):
+    return len(WORD.findall(line))
+
+
+def shared_lines(mine, other, least=5):
+    """Lines of ``mine`` in a run of consecutive lines, blank ones aside, of ``least`` words that ``other`` has too: by definition, run by run."""
+    a, b = ([(i, x) for i, x in enumerate(t.split("\n")) if words_in(x)] for t in (mine, other))
+    gone = set()
+    starts = collections.defaultdict(list)
+    for j, (_, x) in enumerate(b):
+        starts[x].append(j)
+    for i in range(len(a)):
+        for j in starts[a[i][1]]:
+            if i and j and a[i - 1][1] == b[j - 1][1]:
+                continue  # not where the run begins
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n][1] == b[j + n][1]:
+                n += 1
+            if sum(words_in(x) for _, x in a[i : i + n]) >= least:
+                gone |= {at for at, _ in a[i : i + n]}
     return gone
 
 
+def brute_lines(texts, near=None):
+    """For each document, what it shares with any earlier one; every earlier document is looked at."""
+    return {i: set().union(*(shared_lines(texts[i], texts[j]) for j in texts if j < i)) for i in texts}
+
+
+def removed(spark_rows):
+    return {r["doc_id"]: {x["line"] for x in r["removed_lines"] or []} for r in spark_rows}
+
+
 def test_line_dedup_against_brute_force(docs, text_of):
     gone = brute_lines(text_of)
-    for r in line_dedup.deduplicated(docs).collect():
+    assert sum(map(len, gone.values())) > 50
+    rows = line_dedup.deduplicated(docs).collect()
+    assert removed(rows) == gone
+    for r in rows:
         lines = text_of[r["doc_id"]].split("\n")
-        assert {x["line"] for x in r["removed_lines"] or []} == gone[r["doc_id"]]
         assert r["text"] == "\n".join(x for i, x in enumerate(lines) if i not in gone[r["doc_id"]])
 
 
-def test_alignment_keeps_order():
-    assert line_dedup.increasing([3, 1, 2, 5, 4]) in ([1, 2, 4], [1, 2, 3])
-    assert line_dedup.aligned([0, 1, 2, 3], [5, 1, 2, 3], [True] * 4) == [1, 2, 3]
-    assert line_dedup.aligned([0, 1, 2], [0, 1, 2], [True, False, True]) == [0, 1, 2]
-    assert line_dedup.aligned([0, 1, 2], [0, 9, 2], [True, False, True]) == [0, 2]
+def short_lines(rng, n, distinct):
+    lines = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 6]))) for _ in range(60)]
+    return {i: "\n".join((rng.sample if distinct else lambda x, k: rng.choices(x, k=k))(sorted(set(lines)) + [""], rng.randint(3, 25))) for i in range(n)}
 
 
-def test_passage_goes_from_the_later_document(spark):
-    passage = "\n".join(" ".join(f"w{i}x{j}" for j in range(20)) for i in range(3))
-    rows = [(1, "own one\n" + passage, "a"), (2, "own two words\n" + passage + "\nmore of my own", "b"), (3, "clean text of its own", "c"), (4, "The end.\nown", "d"), (5, "The end.\nother", "e")]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, other string")).collect()}
-    assert got == {1: rows[0][1], 2: "own two words\nmore of my own", 3: rows[2][1], 4: rows[3][1], 5: rows[4][1]}
+@pytest.mark.parametrize(("seed", "distinct"), [(7, True), (8, False), (9, False)])
+def test_line_dedup_looks_at_all_earlier_documents(spark, seed, distinct):
+    texts = short_lines(random.Random(seed), 60, distinct)
+    got = removed(line_dedup.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
+    assert got == brute_lines(texts)
 
 
-def chained(mine, other, least):
-    """Lines of ``mine`` in chains of common lines, in step in both texts, of ``least`` words: every pair of lines is tried."""
-    words = [len(x.split()) for x in mine]
-    best = {}
-    for step in (1, -1):
-        for i in range(len(mine))[::-step]:
-            for j in range(len(other))[::-step]:
-                if words[i] and mine[i] == other[j]:
-                    best[step, i, j] = words[i] + max(best.get((step, i + a * step, j + b * step), 0) for a in (1, 2) for b in (1, 2))
-    return {i for step, i, j in best if step == 1 and best[1, i, j] + best[-1, i, j] - words[i] >= least}
+def test_copy_whose_lines_have_other_first_holders(spark):
+    lines = ["aa bb", "cc dd", "ee ff", "gg hh"]
+    rows = [(1, lines[0]), (2, lines[1]), (5, lines[2]), (6, lines[3]), (3, "\n".join(lines)), (4, "\n".join(lines))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {4: ""}
 
 
-def short_lines(rng, n, distinct):
-    lines = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 6]))) for _ in range(60)]
-    return {i: "\n".join((rng.sample if distinct else lambda x, k: rng.choices(x, k=k))(sorted(set(lines)) + [""], rng.randint(3, 25))) for i in range(n)}
+def test_piles_keep_stretches_whole():
+    rng = random.Random(4)
+    for _ in range(300):
+        matches = set()
+        for _ in range(rng.randint(1, 8)):
+            a, b = rng.randint(0, 20), rng.randint(0, 20)
+            matches |= {(a + k, b + k) for k in range(rng.randint(1, 6))}
+        got = line_dedup.piles(sorted(matches))
+        assert sorted(x for p in got for x in p) == sorted(matches)
+        assert all(x[0] < y[0] and x[1] < y[1] for p in got for x, y in zip(p, p[1:]))
+        on = {x: n for n, p in enumerate(got) for x in p}
+        assert all(on[a, b] == on.get((a + 1, b + 1), on[a, b]) for a, b in matches)
+    assert [len(p) for p in line_dedup.piles([(0, 5), (1, 1), (2, 2), (3, 3)])] == [1, 3]
 
 
-def test_line_dedup_looks_at_all_earlier_documents(spark):
-    texts = short_lines(random.Random(7), 60, True)
-    got = {r["doc_id"]: {x["line"] for x in r["removed_lines"] or []} for r in line_dedup.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    for i in texts:
-        assert got[i] == set().union(*(chained(texts[i].split("\n"), texts[j].split("\n"), line_dedup.BLOCK_WORDS) for j in range(i))), i
-    assert any(got[i] - brute_lines(texts)[i] for i in texts)
+def test_passage_goes_from_the_later_document(spark):
+    passage = "\n".join(" ".join(f"w{i}x{j}" for j in range(20)) for i in range(3))
+    rows = [(1, "own one\n" + passage, "a"), (2, "own two words\n" + passage + "\nmore of my own", "b"), (3, "clean text of its own", "c"), (4, "The end.\nown", "d"), (5, "The end.\nother", "e")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, other string")).collect()}
+    assert got == {1: rows[0][1], 2: "own two words\nmore of my own", 3: rows[2][1], 4: rows[3][1], 5: rows[4][1]}
 
 
-def test_aligned_blocks_of_all_earlier_documents_go(spark):
-    texts = short_lines(random.Random(8), 40, False)
-    got = {r["doc_id"]: {x["line"] for x in r["removed_lines"] or []} for r in line_dedup.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    for i in texts:
-        assert got[i] >= set().union(*(brute_lines({j: texts[j], i: texts[i]})[i] for j in range(i)))
+def test_moved_and_repeated_blocks_go(spark):
+    a, b, c = ("\n".join(f"{x} line {i} of this block" for i in range(3)) for x in "abc")
+    rows = [(1, f"{a}\n{b}\n{c}"), (2, f"{c}\n\nown words stand here now\n{a}\n{a}\n{b}")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "\nown words stand here now"}
 
 
-def test_list_whose_lines_have_other_first_holders(spark):
-    items = [f"w{i} x{i} y" for i in range(20)]
-    rows = [(i, f"{x}\nonly of text {i} here") for i, x in enumerate(items)] + [(50, "\n".join(items)), (51, "first line of the last one\n" + "\n".join(items))]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == dict(rows) | {51: "first line of the last one"}
+def test_line_dedup_on_edge_rows(spark):
+    line = "a line of five words"
+    rows = [(1, line, 0), (2, None, 1), (3, "", 2), (4, " \n\t", 3), (None, line, 4), (5, line, 5), (5, line, 6), (5, "another text of this very id", 7), (6, "another text of this very id\n", 8), (7, f"{line}\n" * 3000, 9)]
+    out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, line int"))
+    assert out.columns == ["doc_id", "text", "line", "removed_lines"]
+    got = {r["line"]: r["text"] for r in out.collect()}
+    assert got == {0: line, 1: None, 2: "", 3: " \n\t", 4: line, 5: "", 6: "", 7: "another text of this very id", 8: "", 9: ""}
 
 
 # 8
