@@ -1,24 +1,27 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a word bigram model over all training documents.  As an automaton it has a state for each
-context word h with an arc for each word seen after it, and a failure arc to a state that knows only how often h
-occurs.  That state's arcs reach every word of the vocabulary and the unknown word.  A text is traversed once from
-left to right: the state carries the last word, an arc adds its log-probability, and where none fits the failure
-arc is taken first.  Weights, with c() the counts in training, b the size class of c(h) and k that of c(w):
+The model is a smoothed word bigram model over all training documents, as an automaton.  State h stands for the word read
+last.  It has an arc for each word seen after h in training, with the log-probability of that word, and one failure arc, taken
+where no arc fits, to a state that knows only how often h occurs; that state's arcs reach every word of the vocabulary
+and the unknown word.  Every arc for w ends in state w.  A text is traversed once from left to right: the state is carried
+from token to token and the weights of the arcs taken are added up.  With c() the counts in training, b the size class of
+c(h) and k that of c(w):
 
-    p(w | h)   = (1 - fail(b)) * c(h w) / c(h) + fail(b) * p(w | b)      arc of h, interpolated
-    p(w | b)   = share(k | b) * c(w) / C(k)                               arc of the failure state
+    arc of h for w           log10((1 - fail(b)) * c(h w) / c(h) + fail(b) * p(w | b))
+    failure arc of h         log10(fail(b))
+    arc of state b for w     log10(p(w | b)),   p(w | b) = share(k | b) * c(w) / C(k)
 
 ``fail(b)`` is the chance of a new successor.  If successors were independent of h it would follow from the unigram
 counts alone, as would ``share``, the way in which new successors fall to the size classes; the
-number of bigrams seen once, against what independence expects, scales it.  Both sum to one over the vocabulary
-and one unknown word (whose class has the mass of the words seen once), the same events as the base.
+number of bigrams seen once, against what independence expects, scales it.  From each state the words of the vocabulary
+and one unknown word (whose class has the mass of the words seen once) sum to one, the same events as the base.
 
 Nothing of the model is gathered in one place.  Documents are packed to blocks of bounded size; a block sends the
 hashes of its distinct words and bigrams with its own training counts to parts of the key space, the parts
-add up and answer each block with the counts of what it asked for, and the block builds the piece of the automaton that its
+add up and answer each block with the counts of what it asked for, and the block builds the states and arcs that its
 texts can reach.  So requests and answers are in proportion to the corpus, and no task holds more than a block or a part.
-Words are known by 64-bit hashes; bigrams by 40 bits within a part, whose number grows with the corpus.
+Words are known by 64-bit hashes; bigrams by 40 bits within a part, whose number grows with the corpus, some 2 ** -20 of
+them being taken for another of their part.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ BLOCK_BYTES = 14 << 20
 PART_BYTES = 8 << 20
 HELD_OUT = (7, 2)
 CLASSES = 64
+#: Tokens of a document that are read one after the other; longer ones are read in several lanes.
+LANE = 256
 END = b""  # no word is empty, so the end of a text (and its beginning, as a context) has this for a key
 
 
@@ -77,14 +82,14 @@ class Block:
     def __init__(self, tokens: np.ndarray, lengths: np.ndarray, words: np.ndarray, training: np.ndarray, bits: int):
         """tokens: numbers of words, each document ended by word 0, which is END; words: their hashes."""
         self.tokens, self.lengths = tokens, lengths
-        context = np.empty_like(tokens)
-        context[1:] = tokens[:-1]
-        context[:1] = 0
-        self.context = context  # the token before a document's first is the END of another, or END for the first
-        pairs, self.pair_of = np.unique(context.astype(np.int64) << 32 | tokens, return_inverse=True)
+        before = np.empty_like(tokens)
+        before[1:] = tokens[:-1]
+        before[:1] = 0  # the token before a document's first is the END of another, or END for the first
+        self.pairs, pair_of = np.unique(before << 32 | tokens, return_inverse=True)
         taught = np.repeat(training, lengths).astype(np.float64)
         self.word_counts = np.bincount(tokens, taught, len(words)).astype(np.uint32)
-        self.pair_counts = np.bincount(self.pair_of, taught, len(pairs)).astype(np.uint32)
+        self.pair_counts = np.bincount(pair_of, taught, len(self.pairs)).astype(np.uint32)
+        pairs = self.pairs
         with np.errstate(over="ignore"):
             keys = _mix(words[pairs >> 32] * np.uint64(0x9E3779B97F4A7C15) + words[pairs & 0xFFFFFFFF])
         self.word_keys, self.pair_keys, self.bits = words, keys, bits
@@ -146,17 +151,59 @@ class Weights:
         self.share = fresh / np.maximum(chance[:, None], 1e-300)
         self.total = np.maximum(tokens, 1).astype(float)
 
-    def scores(self, block: Block, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each document of the block: known tokens, base score, score."""
-        own, before = words[block.tokens], words[block.context]
-        k, b = size_class(own), size_class(before)
-        starts = np.cumsum(block.lengths) - block.lengths
-        add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
-        base = np.log10((own + 1.0) / (self.n + self.v + 1.0))
-        failure = self.share[b, k] * np.where(own > 0, own / self.total[k], 1.0)
-        arc = pairs[block.pair_of] / np.maximum(before, 1)
-        p = (1 - self.fail[b]) * arc + self.fail[b] * failure
-        return add((own > 0).astype(np.int64)), add(base), add(np.log10(np.maximum(p, 1e-300)))
+
+class Automaton:
+    """The states and arcs that a block's texts can reach.
+
+    States 0 to n - 1 are the block's words; a word that training does not have has no arcs and fails for nothing.  ``CLASSES`` further
+    states are those to which failure arcs lead.  Their arcs, one for each word, are sums of two tables and are not laid out.
+    """
+
+    def __init__(self, weights: Weights, pairs: np.ndarray, words: np.ndarray, counts: np.ndarray):
+        """pairs: word before << 32 | word, ascending, with their training counts; words: training counts by number."""
+        size = size_class(words)
+        with np.errstate(divide="ignore"):
+            self.below = np.log10(weights.share)  # of a failure state, by the class of the word
+            self.within = np.log10(np.where(words > 0, words / weights.total[size], 1.0))  # of a word in its class
+            self.failure = np.log10(weights.fail)[size]
+        self.failure_to, self.word_class = size, size
+        seen = counts > 0
+        self.arcs = pairs[seen]  # state << 32 | word, ascending
+        h, w = self.arcs >> 32, self.arcs & 0xFFFFFFFF
+        b = size[h]
+        own = counts[seen] / np.maximum(words[h], 1)
+        lower = weights.share[b, size[w]] * np.where(words[w] > 0, words[w] / weights.total[size[w]], 1.0)
+        self.weight = np.log10(np.maximum((1 - weights.fail[b]) * own + weights.fail[b] * lower, 1e-300))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states reached from ``state`` by ``word``, and the weights on the way: an arc's, or a failure arc's and one behind it."""
+        weight = self.failure[state] + np.maximum(self.below[self.failure_to[state], self.word_class[word]] + self.within[word], -300.0)
+        if len(self.arcs):
+            key = state << 32 | word
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            weight = np.where(self.arcs[at] == key, self.weight[at], weight)
+        return word, weight
+
+    def traverse(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The score of each document, all read at once from left to right.
+
+        Long documents are read in lanes of ``LANE`` tokens; a lane begins in the state of the word before it, where the lane before ends.
+        """
+        ends = np.cumsum(lengths)
+        lanes = -(-lengths // LANE)
+        doc = np.repeat(np.arange(len(lengths)), lanes)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        at = (ends - lengths)[doc] + nth * LANE
+        left = np.minimum(LANE, ends[doc] - at)
+        order = np.argsort(-left, kind="stable")
+        doc, at, left, nth = doc[order], at[order], left[order], nth[order]
+        state = np.where(nth > 0, tokens[np.maximum(at - 1, 0)], 0)
+        score = np.zeros(len(doc))
+        for i in range(int(left[0]) if len(left) else 0):
+            n = int(np.searchsorted(-left, -i, side="left"))  # lanes with a token left
+            state[:n], weight = self.step(state[:n], tokens[at[:n] + i])
+            score[:n] += weight
+        return np.bincount(doc, score, len(lengths))
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: tuple[int, int] = HELD_OUT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -254,7 +301,12 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
                 block = opened(row)
-                known, base, score = weights.scores(block, *block.answered({x["slot"]: x["counts"] for x in row["answers"]}))
+                words, counts = block.answered({x["slot"]: x["counts"] for x in row["answers"]})
+                own = words[block.tokens]
+                starts = np.cumsum(block.lengths) - block.lengths
+                known = np.add.reduceat((own > 0).astype(np.int64), starts)
+                base = np.add.reduceat(np.log10((own + 1.0) / (weights.n + weights.v + 1.0)), starts)
+                score = Automaton(weights, block.pairs, words, counts).traverse(block.tokens, block.lengths)
                 out = [[held_out(i, *held) for i in row["ids"]], row["lengths"], known, [weights.n] * len(known), base, score]
                 kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("ids"))[at].values, *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

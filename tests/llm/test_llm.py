@@ -102,20 +102,66 @@ def test_lm_block_size_changes_nothing(docs):
     assert all(math.isclose(a[i], b[i], rel_tol=1e-9) for i in a)
 
 
-def test_lm_probabilities_sum_to_one():
-    words = np.array([0, 1, 2, 3], np.uint64)
-    tokens = np.array([1, 2, 1, 2, 3, 0, 1, 1, 0])
-    block = lm_scoring.Block(tokens, np.array([6, 3]), words, np.array([True, True]), 3)
-    count = np.bincount(tokens, minlength=4)
+def plain_weights(c, pairs):
+    """fail and share by size class, from the formulas of the module's text, one class at a time."""
+    size = lambda n: n.bit_length()
+    types, tokens = collections.Counter(map(size, c.values())), collections.Counter()
+    for n in c.values():
+        tokens[size(n)] += n
+    n = sum(c.values())
+    once = max(sum(x == 1 for x in c.values()), 0.5)
+    whole = n + once
+    mass = {k: tokens[k] / whole for k in tokens} | {0: once / whole}
+    typical = {k: tokens[k] / types[k] / n for k in tokens} | {0: 0.0}
+    context = {k: (tokens[k] / types[k] if k in tokens else 2 ** (k - 0.5)) if k else 0.0 for k in range(64)}
+    fresh = {b: {k: mass[k] * math.exp(-context[b] * typical[k]) for k in mass} for b in context}
+    chance = {b: sum(fresh[b].values()) for b in fresh}
+    expected = sum(tokens[k] * np.interp(max(context[k] - 1, 0), [context[b] for b in range(64)], [chance[b] for b in range(64)]) for k in tokens)
+    found = sum(x == 1 for x in pairs.values())
+    fail = {b: 1.0 if b == 0 else min(max(chance[b] * found / expected, 1e-4), 1 - 1e-4) for b in chance}
+    return fail, {b: {k: fresh[b][k] / chance[b] for k in mass} for b in fresh}, tokens
+
+
+def test_lm_score_is_a_plain_traversal(docs, text_of):
+    words = {i: lower(t).encode().split() + [b""] for i, t in text_of.items()}
+    taught = [w for i, w in words.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = collections.Counter(x for w in taught for x in w)
+    pairs = collections.Counter(x for w in taught for x in zip([b""] + w, w))
+    fail, share, tokens = plain_weights(c, pairs)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.scored(docs, block_bytes=1 << 17).collect()}
+    for i, w in words.items():
+        state, score = b"", 0.0
+        for x in w:
+            b, k = c[state].bit_length(), c[x].bit_length()
+            lower_p = share[b][k] * (c[x] / tokens[k] if k else 1.0)
+            if pairs[state, x]:
+                score += math.log10((1 - fail[b]) * pairs[state, x] / c[state] + fail[b] * lower_p)
+            else:  # the failure arc, then an arc of the state behind it
+                score += math.log10(fail[b]) + math.log10(lower_p)
+            state = x
+        assert math.isclose(got[i], score, rel_tol=1e-6)
+
+
+def test_lm_states_sum_to_one_and_lanes_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    lengths = np.array([6, 300, 1, 40])
+    tokens = rng.integers(1, 30, lengths.sum())
+    tokens[np.cumsum(lengths) - 1] = 0
+    training = np.array([True, True, False, True])
+    block = lm_scoring.Block(tokens, lengths, np.arange(30, dtype=np.uint64), training, 3)
+    count, pair = block.word_counts.astype(np.int64), block.pair_counts.astype(np.int64)
     size = lm_scoring.size_class(count)
-    types, total = np.bincount(size, minlength=64).astype(float), np.bincount(size, count, minlength=64)
-    w = lm_scoring.Weights(types, total, int((count == 1).sum()), int((block.pair_counts == 1).sum()))
-    pair = collections.Counter(zip(block.context.tolist(), tokens.tolist(), strict=True))
-    for h in range(4):
-        b = size[h]
-        back = [w.share[b, size[x]] * count[x] / w.total[size[x]] for x in range(4)] + [w.share[b, 0]]
-        p = [(1 - w.fail[b]) * pair[h, x] / count[h] + w.fail[b] * back[x] for x in range(4)] + [w.fail[b] * back[4]]
-        assert math.isclose(sum(p), 1, rel_tol=1e-9)
+    types, total = np.bincount(size[count > 0], minlength=64).astype(float), np.bincount(size, count, minlength=64)
+    w = lm_scoring.Weights(types, total, int((count == 1).sum()), int((pair == 1).sum()))
+    unknown = int(np.flatnonzero(np.append(count, 0) == 0)[0])
+    a = lm_scoring.Automaton(w, block.pairs, np.append(count, 0), pair)
+    vocabulary = np.append(np.flatnonzero(count), unknown)
+    for h in range(31):
+        state, weight = a.step(np.full(len(vocabulary), h), vocabulary)
+        assert (state == vocabulary).all() and math.isclose((10**weight).sum(), 1, rel_tol=1e-9)
+    whole = a.traverse(tokens, lengths)
+    monkeypatch.setattr(lm_scoring, "LANE", 7)
+    assert np.allclose(a.traverse(tokens, lengths), whole)
 
 
 # 2
@@ -245,9 +291,38 @@ def test_links_lose_no_pair(spark, entry_rows):
 
 
 def test_components_of_a_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200), (None, 201), (202, None)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert components.components(edges.filter("a > 1000")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_graphs_and_stars(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(90)] + [(500, i) for i in range(300, 420)]
+    rng.shuffle(edges)
+    up = {x: x for e in edges for x in e}
+    for _ in up:
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: up[x] for x in linked}
+
+
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Frame:
+        class sparkSession:
+            sparkContext = Context()
+            conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        simhash.settled(Frame())
 
 
 # 6
@@ -497,15 +572,43 @@ def test_pipeline_stages_on_edge_rows(spark, edge, sf_dir, tmp_path):
         stage(spark, edge.filter("doc_id > 1000"), sf_dir).write.parquet(str(tmp_path / f"{name}-empty"))
 
 
-def test_wide_index_finds_pairs_at_the_threshold():
-    sets, rng = simhash.position_sets(64, 78), np.random.default_rng(3)
-    one = rng.integers(0, 256, (4000, 64), np.uint8)
-    flips = np.zeros((4000, 512), np.uint8)
-    for row in flips:
-        row[rng.choice(512, 78, replace=False)] = 1
-    other = one ^ np.packbits(flips, axis=1)
-    met = (simhash._entries(one, sets) == simhash._entries(other, sets)).any(0)
-    assert met.mean() > 0.96
+def test_near_duplicate_stage_judges_rows(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    t, u = " ".join(f"t{i}" for i in range(80)), " ".join(f"u{i}" for i in range(80))
+    rows = [(1, t, 0), (2, t, 1), (2, u, 2), (2, u, 2), (None, t, 3), (None, "own words of a row without id", 4), (5, None, 5), (6, " ", 6)]
+    got = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, node int"), sf_dir)
+    assert sorted(r["node"] for r in got.collect()) == [0, 2, 4, 5]
+
+
+def test_frequent_shingles_change_no_result(spark):
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join(passage + [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([2, 6, 9, 30, 80]))])) for i in range(150)]
+    shingles = {i: {tuple(t.split()[a : a + 5]) for a in range(len(t.split()) - 4)} for i, t in rows}
+    least = {i: i for i in shingles}
+    links = [(i, j) for i in shingles for j in shingles if i < j and 5 * len(shingles[i] & shingles[j]) >= 4 * len(shingles[i] | shingles[j])]
+    assert len(links) > 100
+    for _ in least:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()} == least
+
+
+def test_near_duplicates_on_the_documents(spark, sf_dir):
+    """Recall against exact Jaccard similarity of all pairs that share a shingle, at the stage's threshold."""
+    d = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").filter(F.length("text") > 0)
+    sets, holders = {}, collections.defaultdict(list)
+    for r in d.collect():
+        w = lower(r["text"]).encode().split()
+        sets[r["doc_id"]] = {hash(tuple(w[a : a + 5])) for a in range(max(len(w) - 4, 1))} if w else set()
+    for i in sorted(sets):
+        for h in sets[i]:
+            holders[h].append(i)
+    common = collections.Counter((a, b) for v in holders.values() if 1 < len(v) <= 400 for n, a in enumerate(v) for b in v[n + 1 :])
+    links = [(a, b) for (a, b) in common if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    group = {r["doc_id"]: r["component_id"] for r in simhash.similar(d).collect()}
+    assert len(links) > 10 and all(group[a] == group[b] for a, b in links)
 
 
 def test_near_duplicate_stage(spark, sf_dir):
