@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 from collections.abc import Iterator
@@ -25,11 +27,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settled(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the cluster's shared checkpoint folder.
 
-    A later failure reads the saved rows, so lost executors cost no recomputation of the lineage.
+    A later failure reads the saved rows, so lost executors cost no recomputation of the lineage.  The folder is that of the context
+    or else of the setting ``spark.checkpoint.dir``.  Without either, a session of one process (``local[...]``) gets a folder that goes when
+    it ends; on a cluster this raises, as a folder of one machine would not do.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtext-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="loomtext-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
