@@ -275,72 +275,218 @@ def grouped(docs: DataFrame, k: int = 3, most: int = 3, lanes: int = 1, distinct
     return rows.join(named, "fingerprint").select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
+#: Frequent shingles that are known as such: they stand last in a document's order.  A bound on memory, no result depends on it.
+HOT = 1 << 16
+
+
 def _prefix(n: int) -> int:
     """How many of ``n`` shingles in a common order must hold one of another set's at a Jaccard similarity of 0.8."""
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[bytes]]]:
-    for batch in batches:
-        sets = [np.unique(shingle_hashes(text or b"", k)) for text in texts_of(batch.column(batch.num_columns - 1))]
-        yield batch, sets, [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+def _rarest(h: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first ``_prefix`` of a set's shingles (sorted by hash), frequent ones last; the order is the same for all sets."""
+    n = _prefix(len(h))
+    if not len(hot):
+        return h[:n]
+    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+    count = np.where(hot[at] == h, counts[at], 0)
+    return h[np.lexsort((h, count))[:n]] if count[:n].any() else h[:n]
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, list]]:
-    """Nodes, fingerprints and roots of each entry that has two nodes or more."""
-    for table in runs(batches, ["entry"]):
-        bounds = np.append(_starts(table, ["entry"]), table.num_rows).tolist()
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if b - a > 1:
-                part = table.slice(a, b - a)
-                prints = np.frombuffer(b"".join(part.column("fingerprint").to_pylist()), np.uint8).reshape(b - a, -1)
-                yield part.column("node").to_pylist(), prints, part.column("root").to_pylist() if "root" in part.column_names else []
+#: Bits of the parity sketch of a set.
+PARITY = 512
 
 
-def similar(docs: DataFrame, k: int = 5, lanes: int = 4, tight: int = 30, loose: int = 88, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id: documents linked where the Jaccard similarity of their sets of shingles is 0.8 or more.
+def parity(h: np.ndarray) -> bytes:
+    """Bit i says whether an odd number of the hashes fall to i: two sets differ in as many elements at least as their sketches in bits."""
+    return np.packbits((np.bincount((h >> np.uint64(20)).astype(np.int64) & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).tobytes()
 
-    An entry is a shingle hash among the least fifth of a document's: two sets at 0.8 always share one.  Pairs of
-    an entry beyond ``loose`` differing bits are left (at 0.8, with 256 bits, 39 differ, standard deviation 6), all
-    others are decided by their sets.  Trees of the pairs within ``tight`` bits are verified first, so that a large
-    group is joined by links in proportion to its size; after that, each pair that they have not joined.
 
-    Null texts, texts without words and few words as in ``grouped``; equal sets are one node.
+class Candidates:
+    """Nodes of one or more entries; which pairs of them may have a Jaccard similarity of 0.8.
+
+    Three tests that no such pair fails: sizes within 0.8 of each other; at most a ninth of both sizes together apart, by the parity
+    sketches; and at most ``loose`` differing bits of the fingerprints, a count that is far off at 0.8 for sets of ``LARGE`` elements
+    or more and that smaller sets are not put to.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    LARGE = 64
+
+    def __init__(self, table: pa.Table, loose: int):
+        column = lambda name, size: np.frombuffer(b"".join(table.column(name).to_pylist()), np.uint64).reshape(-1, size)
+        self.prints, self.parity, self.n, self.loose = column("fingerprint", 1)[:, 0], column("parity", PARITY // 64), table.column("n").to_numpy(), loose
+
+    def __call__(self, i: np.ndarray | int, others: np.ndarray) -> np.ndarray:
+        """Of ``others`` (numbers of rows) those that may be near ``i``: one row, or one for each of ``others``."""
+        a, b = self.n[i], self.n[others]
+        ok = (5 * b >= 4 * a) & (4 * b <= 5 * a)
+        ok &= 9 * np.bitwise_count(self.parity[others] ^ self.parity[i]).sum(1, dtype=np.int64) <= a + b
+        return ok & ((np.minimum(a, b) < self.LARGE) | (np.bitwise_count(self.prints[others] ^ self.prints[i]) <= self.loose))
+
+    def forest(self, rows: np.ndarray) -> list[tuple[int, int]]:
+        """Links that join exactly the components of the pairs that may be near."""
+        out, rest = [], rows
+        while len(rest) > 1:
+            queue, rest = [int(rest[0])], rest[1:]
+            while queue and len(rest):
+                i = queue.pop()
+                hit = self(i, rest)
+                if hit.any():
+                    found = rest[hit].tolist()
+                    out += [(i, j) for j in found]
+                    queue += found
+                    rest = rest[~hit]
+        return out
+
+
+def _entries_of(batches: Iterator[pa.RecordBatch], loose: int) -> Iterator[tuple[pa.Table, Candidates, np.ndarray, list[tuple[int, int]]]]:
+    """Whole entries: their rows, which pairs may be near, the first rows of entries of two nodes, and (from, to) of larger ones.
+
+    A set of nodes that a task has met in another entry is left out, as it would say the same again.
+    """
+    met: set[bytes] = set()
+    for table in runs(batches, ["entry"]):
+        bounds = np.append(_starts(table, ["entry"]), table.num_rows)
+        nodes = table.column("node").to_pylist()
+        twos, large = [], []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b - a > 1:
+                key = b"".join(nodes[a:b]) if b - a == 2 else xxhash.xxh3_128_digest(b"".join(nodes[a:b]))
+                if key not in met:
+                    if len(met) > 1_000_000:
+                        met.clear()
+                    met.add(key)
+                    if b - a == 2:
+                        twos.append(a)
+                    else:
+                        large.append((a, b))
+        if twos or large:
+            yield table, Candidates(table, loose), np.array(twos, np.int64), large
+
+
+def _pairs(nodes: list[bytes], found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = ([f(nodes[i], nodes[j]) for i, j in found] for f in (min, max))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def similar(docs: DataFrame, k: int = 5, loose: int = 31, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key, component_id, kept: rows linked where the Jaccard similarity of their sets of shingles is 0.8 or more.
+
+    Postings are pairs (shingle, set) for the rarest fifth of each set's shingles: two sets at 0.8 always share one.  The
+    order that says which are rarest is one for all sets, and any such order loses nothing; this one puts the frequent
+    shingles last, so that a passage which many documents share does not bring them together.  Only postings whose shingle another
+    set has go on, with a 64-bit fingerprint and a parity sketch by which ``Candidates`` tells pairs that may be near from
+    others.  A forest of those is decided first, pair by pair, by the sets themselves; after that, each pair that may be near and
+    that the forest's links have not joined.  So a large group takes links in proportion to its size.  Equal sets are one node
+    from the start.
+
+    ``text_key`` is the text's 64-bit hash; a row is told by its id and its text.  ``component_id`` is the least id of the group and
+    ``kept`` marks the rows of that id (and least text_key, if the id has several texts in the group).
+
+    * null texts and texts without words: the empty set, all alike.  Fewer than k words: the whole sequence is the one shingle.
+    * rows that repeat an id: each by its own text.  A null id comes after all others.  Empty table: no rows.
+    * other columns are ignored, whatever their names.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema[0].dataType.simpleString()
+
+    def sets_of(column: pa.Array) -> list[np.ndarray]:
+        return [np.unique(shingle_hashes(text or b"", k)) for text in texts_of(column)]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets, nodes in _sets(batches, k):
-            prints = [fold_bits(h, lanes) for h in sets]
-            least = [h[: _prefix(len(h))].view(np.int64) for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(prints, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "node", "fingerprint", "entries"])
+        names = ["doc_id", "text_key", "node", "fingerprint", "parity", "n", "times"]
+        seen: dict[int, int] = {}
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets, nodes in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "hashes"])
+        def tally(sets: list[np.ndarray]) -> None:
+            values, counts = np.unique(np.concatenate(sets), return_counts=True)
+            often = counts >= 4
+            for v, c in zip(values[often].view(np.int64).tolist(), counts[often].tolist(), strict=True):
+                seen[v] = seen.get(v, 0) + c
+
+        for batch in batches:
+            sets = sets_of(batch.column(2))
+            held = total = 0
+            for i, h in enumerate(sets):
+                total += len(h)
+                if total > 4_000_000 or i == len(sets) - 1:
+                    tally(sets[held : i + 1])
+                    held, total = i + 1, 0
+            nodes = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+            prints, sketches, sizes = [fold_bits(h) for h in sets], [parity(h) for h in sets], [len(h) for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(len(sets), pa.int64())], names=names)
+            id_type = batch.column(0).type
+        # the most frequent shingles of this part of the corpus, as rows without a node
+        top = sorted(seen.items(), key=lambda x: -x[1])[:HOT]
+        if top:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(top), id_type), pa.array([v for v, _ in top], pa.int64()), *[pa.nulls(len(top), pa.binary())] * 3, pa.nulls(len(top), pa.int64()), pa.array([c for _, c in top], pa.int64())], names=names)
+
+    read_ = settled(rows.mapInArrow(read, f"doc_id {kind}, text_key bigint, node binary, fingerprint binary, parity binary, n bigint, times bigint"))
+    # at most HOT rows
+    top = read_.filter("node is null").groupBy("text_key").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "text_key").limit(HOT).collect()
+    hot = np.array([r["text_key"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    hot, times = hot[order], np.array([r["times"] for r in top], np.int64)[order]
+    rows_ = read_.filter("node is not null").drop("times")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
+    short = F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("long")
+    classes = settled(rows_.groupBy("node").agg(first, F.min("fingerprint").alias("fingerprint"), F.min("parity").alias("parity"), F.min("n").alias("n")).withColumn("short", short))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task posts a set once, however many copies it reads
+        for batch in batches:
+            entries, nodes = [], []
+            for h in sets_of(batch.column(0)):
+                node = int.from_bytes(xxhash.xxh3_128_digest(h.tobytes())[:8], "big") >> 4
+                if node not in seen:
+                    seen.add(node)
+                    entries.append(_rarest(h, hot, times))
+                    nodes.append(np.full(len(entries[-1]), node, np.int64))
+            if entries:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(entries).view(np.int64)), pa.array(np.concatenate(nodes))], names=["entry", "short"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[bytes] = set()
-        for nodes, prints, _ in _members(batches):
-            if len(nodes) > ENTRY:
-                found.update(nodes)
-            else:
-                found.update(nodes[i] for link in trees(prints, loose) for i in link)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["node"])
+        """The postings whose entry has another node, from sorted ones; one row is carried from batch to batch."""
+        last, sent = np.zeros((0, 2), np.int64), False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.concatenate([last, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)])
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]).any(1)
+            x = x[new]
+            same = x[1:, 0] == x[:-1, 0]
+            shared = np.append(False, same) | np.append(same, False)
+            out = shared.copy()
+            if len(last):
+                out[0] &= not sent
+            sent = bool(shared[-1]) or sent and len(x) == 1
+            last = x[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(x[out, 0]), pa.array(x[out, 1])], names=["entry", "short"])
 
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, prints, _ in _members(batches):
-            yield _pairs([(nodes[i], nodes[j]) for i, j in trees(prints, tight)])
+        for table, near_by, twos, large in _entries_of(batches, loose):
+            found = [(i, i + 1) for i in twos[near_by(twos, twos + 1)].tolist()] if len(twos) else []
+            for a, b in large:
+                found += near_by.forest(np.arange(a, b))
+            yield _pairs(table.column("node").to_pylist(), found)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, prints, roots in _members(batches):
-            number = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
-            if number.max():
-                for i in range(len(nodes) - 1):
-                    other = i + 1 + np.flatnonzero(number[i + 1 :] != number[i])
-                    hit = other[near(prints[i], prints[other], loose)] if len(other) else other
-                    if len(hit):
-                        yield _pairs([(nodes[i], nodes[j]) for j in hit.tolist()])
+        for table, near_by, twos, large in _entries_of(batches, loose):
+            roots = table.column("root").to_pylist()
+            found = [(i, i + 1) for i in (twos[near_by(twos, twos + 1)].tolist() if len(twos) else []) if roots[i] != roots[i + 1]]
+            for a, b in large:
+                number = np.unique(np.array([r.hex() for r in roots[a:b]]), return_inverse=True)[1]
+                for i in range(a, b - 1) if number.max() else ():
+                    other = i + 1 + np.flatnonzero(number[i + 1 - a :] != number[i - a])
+                    if len(other):
+                        found += [(i, j) for j in other[near_by(i, other)].tolist()]
+            yield _pairs(table.column("node").to_pylist(), found)
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = sets_of(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "hashes"])
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,32 +495,59 @@ def similar(docs: DataFrame, k: int = 5, lanes: int = 4, tight: int = 30, loose:
             keep = [5 * n >= 4 * (len(x) + len(y) - n) for n, x, y in zip(common, a, b, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    rows_ = settled(rows.mapInArrow(read, f"doc_id {rows.schema[0].dataType.simpleString()}, node binary, fingerprint binary, entries array<bigint>"))
-    classes = rows_.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("fingerprint", "entries")).alias("x"))
-    classes = settled(classes.select("node", "least", "x.*"))
-    exploded = lambda df, *more: df.select(F.explode("entries").alias("entry"), "node", "fingerprint", *more).repartition("entry").sortWithinPartitions("entry")
-    # from here on, only the nodes that an entry brought near another
-    near_by = settled(exploded(classes).mapInArrow(met, "node binary").distinct())
-    held = settled(classes.drop("least").join(near_by, "node"))
-    sets = rows.select("text").mapInArrow(shingles, "node binary, hashes binary").join(near_by, "node").groupBy("node").agg(F.min("hashes").alias("hashes"))
-    sets = settled(sets)
+    posted = rows.select("text").mapInArrow(post, "entry bigint, short bigint").repartition("entry").sortWithinPartitions("entry", "short")
+    shared = settled(posted.mapInArrow(met, "entry bigint, short bigint"))
+    dealt = lambda nodes, *more: shared.join(nodes, "short").select("entry", "node", "fingerprint", "parity", "n", *more).repartition("entry").sortWithinPartitions("entry", "node")
+    found = settled(dealt(classes).mapInArrow(grown, "a binary, b binary").distinct())
+
+    # the sets of the nodes that an entry brings near another; a text stands for its node
+    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    near_by = classes.join(ends, "node", "left_semi")
+    wanted = settled(near_by.select("node", F.col("least.text_key").alias("text_key")))
+    bits = max(16, min(26, (64 * wanted.count()).bit_length()))
+    marks = np.zeros(1 << bits, bool)
+    # at most 2 ** 26 bits, so that the scan lets go texts that are not wanted without hashing or shuffling them
+    slot = F.col("text_key").bitwiseAND(F.lit((1 << bits) - 1))
+    for r in wanted.groupBy(F.floor(slot / 32768).alias("page")).agg(F.bitmap_construct_agg(slot % 32768).alias("bits")).collect():
+        marks[r["page"] * 32768 : (r["page"] + 1) * 32768] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")[: len(marks) - r["page"] * 32768]
+    packed = np.packbits(marks)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy() & ((1 << bits) - 1)
+            yield batch.filter(pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))).select(["text"])
+
+    sets = rows.select("text_key", "text").mapInArrow(asked, "text string").mapInArrow(shingles, "node binary, hashes binary")
+    sets = settled(sets.groupBy("node").agg(F.min("hashes").alias("hashes")).join(wanted.select("node"), "node", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("one")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("two")), "b")
         return settled(pairs.select("a", "b", "one", "two").mapInArrow(agree, "a binary, b binary"))
 
-    first = verified(exploded(held).mapInArrow(grown, "a binary, b binary"))
-    rooted = held.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    second = verified(exploded(rooted, "root").mapInArrow(across, "a binary, b binary"))
-    roots = components(first.unionByName(second))
-    joined = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = settled(joined.join(named, "root").select("node", "component_id"))
-    return rows_.join(named, "node").select("doc_id", "component_id")
+    one = verified(found)
+    rooted = classes.join(wanted.select("node"), "node", "left_semi").join(components(one), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    two = verified(dealt(rooted, "root").mapInArrow(across, "a binary, b binary"))
+    joined = classes.join(components(one.unionByName(two)), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = joined.groupBy("root").agg(F.min("least").alias("best"))
+    named = settled(joined.join(named, "root").select("node", "best"))
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
+    return rows_.join(named, "node").select("doc_id", "text_key", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
 
 
-def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.binary()), pa.array([max(x) for x in found], pa.binary())], names=["a", "b"])
+def without_copies(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of ``similar``: that of the least id, and of rows that repeat its id and text one.
+
+    Rows are judged by their own texts, so a row whose id a copy has too stays.  Null and empty texts are one group.
+    """
+    gone = similar(docs, k, id_col=id_col, text_col=text_col)
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    verdict = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
+    verdict = settled(verdict.filter("not _kept or _n > 1"))
+    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (key == F.col("_gone_key"))
+    rows = docs.join(verdict, same, "left").filter("_kept is null or _kept")
+    once = rows.filter("_n is null").select(docs.columns)
+    again = rows.filter("_n is not null").dropDuplicates(["_gone_id", "_gone_key"]).select(docs.columns)
+    return once.unionByName(again)
 
 
 by_value(__name__)
