@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """Adaptive execution on, times in UTC; without ``shuffle_partitions`` the cluster's setting holds and adaptive execution merges small ones."""
-    b = SparkSession.builder.appName("loomtext").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true").config("spark.sql.session.timeZone", "UTC")
+    b = SparkSession.builder.appName("loomtext").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true").config("spark.sql.session.timeZone", "UTC").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         b = b.master(master)
     if shuffle_partitions:

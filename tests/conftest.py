@@ -1,5 +1,7 @@
 import os
+import shutil
 import sys
+import tempfile
 
 import pytest
 
@@ -14,10 +16,12 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from loomtext.session import session
 
-    s = session("local[8]", 8, spark__ui__enabled="false", spark__driver__memory="6g")
+    folder = tempfile.mkdtemp(prefix="loomtext-")
+    s = session("local[8]", 8, spark__ui__enabled="false", spark__driver__memory="6g", spark__checkpoint__dir=folder)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+    shutil.rmtree(folder, ignore_errors=True)
 
 
 @pytest.fixture(scope="session")
