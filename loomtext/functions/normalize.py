@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.functions.text import SPACE, count_of, rstrip, strip
+from loomtext.functions.text import FAST_SPACE, SPACE, bound, count_of, rstrip, strip
 
 #: The first line of what ends an article (lower case, trimmed).
 TAIL = r"^(?:notes et .*rences|voir aussi|bibliographie|liens externes|external links|références$|references$)"
@@ -30,11 +30,13 @@ MEDIA_LINK = r"(?iu)\[\[(?:Catégorie|Category|Fichier|File):[^\]]*\]\]"
 TEMPLATE_ROUNDS, TABLE_ROUNDS = 20, 10
 
 
+#: The same, from the line end before it.  White space in front may reach over blank lines, as what is cut is trimmed at its end.
+TAIL_CUT = rf"(?Uiud)(?:^|\n)[{FAST_SPACE}]*(?:notes et .*rences|voir aussi|bibliographie|liens externes|external links|(?:références|references)(?=[{FAST_SPACE}]*(?:\n|\z)))"
+
+
 def wiki_tail_cut(text: Column) -> Column:
     """Cut before the first line that opens a tail section; trimmed at the end only if cut."""
-    lines = F.split(text, "\n")
-    at = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(F.lower(strip(x)).rlike(TAIL), i)), lambda i: i.isNotNull()))
-    return F.when(at.isNull(), text).otherwise(rstrip(F.array_join(F.slice(lines, F.lit(1), at), "\n")))
+    return bound(text, lambda t: F.when(t.rlike(TAIL_CUT), rstrip(F.regexp_replace(t, TAIL_CUT + "(?s:.*)", ""))).otherwise(t))
 
 
 def line_ends(text: Column) -> Column:
@@ -43,9 +45,12 @@ def line_ends(text: Column) -> Column:
 
 def newline_repair(text: Column) -> Column:
     """Line ends to \\n; written-out \\n and \\t decoded where they outnumber real line ends and occur twice or more."""
-    t = line_ends(F.coalesce(text, F.lit("")))
-    broken = (count_of(t, "\\n") >= 2) & (count_of(t, "\n") < count_of(t, "\\n"))
-    return F.when(broken, F.replace(F.replace(t, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit(" "))).otherwise(t)
+
+    def repaired(t: Column) -> Column:
+        broken = (count_of(t, "\\n") >= 2) & (count_of(t, "\n") < count_of(t, "\\n"))
+        return F.when(broken, F.replace(F.replace(t, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit(" "))).otherwise(t)
+
+    return bound(line_ends(F.coalesce(text, F.lit(""))), repaired)
 
 
 def loaded(text: Column) -> Column:
@@ -57,17 +62,21 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+def _again(text: Column, pattern: str, opened: str, rounds: int) -> Column:
+    """``pattern`` taken out so many times; texts without ``opened`` are not searched."""
+    once = lambda t: F.when(t.contains(opened), F.regexp_replace(t, pattern, "")).otherwise(t)
+    for _ in range(rounds):
+        text = bound(text, once)
+    return text
+
+
 def without_templates(text: Column, rounds: int = TEMPLATE_ROUNDS) -> Column:
     """Templates go, innermost first; what is nested deeper than ``rounds`` falls to the rules for orphans."""
-    for _ in range(rounds):
-        text = F.regexp_replace(text, TEMPLATE, "")
-    return F.regexp_replace(F.regexp_replace(text, OPEN_ORPHAN, ""), CLOSE_ORPHAN, "")
+    return F.regexp_replace(F.regexp_replace(_again(text, TEMPLATE, "{{", rounds), OPEN_ORPHAN, ""), CLOSE_ORPHAN, "")
 
 
 def without_tables(text: Column, rounds: int = TABLE_ROUNDS) -> Column:
-    for _ in range(rounds):
-        text = F.regexp_replace(text, TABLE, "")
-    return text
+    return _again(text, TABLE, "{|", rounds)
 
 
 def unwrapped_links(text: Column) -> Column:
@@ -106,22 +115,26 @@ def clean(text: Column, unicode: bool = True) -> Column:
     return strip(wiki_tail_cut(tidy_spaces(without_media_links(t))))
 
 
+#: The patterns of the shorter cleaning, in order, and what takes their place.
+WIKITEXT = (
+    (r"\{\{[^}]*\}\}", ""),
+    (r"\{\|[^}]*\|\}", ""),
+    (r"(?iu)\[\[(?:Catégorie|Category|Fichier|File|Image):[^\]]*\]\]", ""),
+    (r"\[\[([^\]|]*)\|([^\]]*)\]\]", "$2"),
+    (r"\[\[([^\]]*)\]\]", "$1"),
+    (r"'''?([^']*?)'''?", "$1"),
+    (rf"==+[{SPACE}]*([^=]+?)[{SPACE}]*==+", "$1"),
+    (r"<[^>]+>", ""),
+    (r"&[a-z]+;", " "),
+    (r"\{\{[^}]*$", ""),
+    (r"^[^{]*\}\}", ""),
+    (r"\n{3,}", "\n\n"),
+    (r" +", " "),
+)
+
+
 def clean_wikitext(text: Column) -> Column:
     """The shorter cleaning of dump pages: one round for templates, media links before other links, quotes off."""
-    for pattern, to in (
-        (r"\{\{[^}]*\}\}", ""),
-        (r"\{\|[^}]*\|\}", ""),
-        (r"(?iu)\[\[(?:Catégorie|Category|Fichier|File|Image):[^\]]*\]\]", ""),
-        (r"\[\[([^\]|]*)\|([^\]]*)\]\]", "$2"),
-        (r"\[\[([^\]]*)\]\]", "$1"),
-        (r"'''?([^']*?)'''?", "$1"),
-        (rf"==+[{SPACE}]*([^=]+?)[{SPACE}]*==+", "$1"),
-        (r"<[^>]+>", ""),
-        (r"&[a-z]+;", " "),
-        (r"\{\{[^}]*$", ""),
-        (r"^[^{]*\}\}", ""),
-        (r"\n{3,}", "\n\n"),
-        (r" +", " "),
-    ):
+    for pattern, to in WIKITEXT:
         text = F.regexp_replace(text, pattern, to)
     return strip(text)

@@ -18,22 +18,28 @@ def _line(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("\n"))
 
 
+def _spoken(turns: Column, role) -> Column:
+    """Turns that say something, trimmed, as marked lines under the role that ``role`` makes of theirs; a null role leaves the turn out."""
+    said = F.transform(turns, lambda t: F.struct(role(F.lower(F.coalesce(t["role"], F.lit("")))).alias("role"), strip(F.coalesce(t["text"], F.lit(""))).alias("text")))
+    return F.array_join(F.transform(F.filter(said, lambda t: t["role"].isNotNull() & (t["text"] != "")), lambda t: _line(t["role"], t["text"])), "")
+
+
 def render(turns: Column) -> Column:
-    """User and assistant turns as marked lines; empty turns and other roles are left out."""
-    spoken = F.filter(turns, lambda t: t["role"].isin("user", "assistant") & (F.coalesce(t["text"], F.lit("")) != ""))
-    return F.array_join(F.transform(spoken, lambda t: _line(t["role"], t["text"])), "")
+    """User and assistant turns (roles in any case) as marked lines, trimmed; blank turns and other roles are left out."""
+    return _spoken(turns, lambda r: F.when(r.isin("user", "assistant"), r))
 
 
 def render_two_sided(turns: Column) -> Column:
-    """The policy of shared chats: human or user is the user, every other role the assistant."""
-    spoken = F.filter(turns, lambda t: F.coalesce(t["text"], F.lit("")) != "")
-    return F.array_join(F.transform(spoken, lambda t: _line(F.when(t["role"].isin("human", "user"), "user").otherwise("assistant"), t["text"])), "")
+    """The policy of shared chats: ``human``, so written, is the user, every other role the assistant."""
+    spoken = F.transform(turns, lambda t: F.struct(F.when(F.coalesce(t["role"] == "human", F.lit(False)), F.lit("user")).otherwise(F.lit("assistant")).alias("role"), t["text"].alias("text")))
+    return _spoken(spoken, lambda r: r)
 
 
 def instruction(instruction: Column, given: Column, output: Column) -> Column:
-    """An instruction with its input, if any, and the answer, as a user and an assistant turn."""
-    asked = F.when(F.coalesce(given, F.lit("")) != "", F.concat(instruction, F.lit("\n"), given)).otherwise(instruction)
-    return F.concat(_line(F.lit("user"), asked), _line(F.lit("assistant"), output))
+    """An instruction with its input, if any, and the answer, as a user and an assistant turn, trimmed; null without instruction or answer."""
+    a, b, c = (strip(F.coalesce(x, F.lit(""))) for x in (instruction, given, output))
+    asked = F.when(b != "", F.concat(a, F.lit("\n"), b)).otherwise(a)
+    return F.when((a != "") & (c != ""), F.concat(_line(F.lit("user"), asked), _line(F.lit("assistant"), c)))
 
 
 def first_answer(answers: Column) -> Column:

@@ -49,13 +49,21 @@ def first_by_key(df: DataFrame, key: str, position: str) -> DataFrame:
 def contained(candidates: DataFrame, known: DataFrame, candidate: str, fact: str, threshold: float = 0.5) -> DataFrame:
     """Candidates with ``is_known``: some known text holds at least ``threshold`` of the candidate's distinct words.
 
-    A candidate of fewer than three distinct words is never known.  Pairs meet over shared words only.
+    A candidate of fewer than three distinct words is never known.  Of a candidate's n words a text that holds enough lacks fewer than
+    ``n - ceil(threshold * n) + 1``, so it holds one of that many rarest: candidates meet texts over those alone, never over
+    words that all texts have, and each pair found is verified by its words.
     """
     w = lambda c: F.array_distinct(words(F.lower(c)))
-    c = candidates.withColumn("_cid", F.monotonically_increasing_id()).withColumn("_w", w(F.col(candidate)))
-    k = known.select(F.explode(w(F.col(fact))).alias("_word"), F.xxhash64(fact).alias("_fid")).distinct()
-    pairs = c.filter(F.size("_w") >= 3).select(candidate, F.explode("_w").alias("_word"), F.size("_w").alias("_n")).distinct()
-    hits = pairs.join(k, "_word").groupBy(candidate, "_n", "_fid").agg(F.count("*").alias("_m")).filter(F.col("_m") / F.col("_n") >= threshold).select(candidate).distinct()
+    k = known.select(w(F.col(fact)).alias("_k")).filter(F.size("_k") > 0).distinct()
+    c = candidates.select(candidate).distinct().withColumn("_w", w(F.col(candidate))).filter(F.size("_w") >= 3)
+    held = k.select("_k", F.explode("_k").alias("_word"))
+    often = held.groupBy("_word").agg(F.count("*").alias("_often"))
+    ranked = c.select(candidate, "_w", F.explode("_w").alias("_word")).join(often, "_word")  # words that no text has say nothing
+    order = ranked.groupBy(candidate, "_w").agg(F.array_sort(F.collect_list(F.struct("_often", "_word"))).alias("_o"))
+    n, missing = F.size("_w"), F.size("_w") - F.size("_o")
+    rarest = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1 - missing
+    tried = order.filter(rarest > 0).select(candidate, "_w", F.explode(F.slice("_o", F.lit(1), rarest)).alias("_p")).select(candidate, "_w", F.col("_p._word").alias("_word"))
+    hits = tried.join(held, "_word").filter(F.size(F.array_intersect("_w", "_k")) >= F.size("_w") * F.lit(threshold)).select(candidate).distinct()
     return candidates.join(hits.withColumn("is_known", F.lit(True)), candidate, "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
 
 

@@ -5,27 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import ngrams, words
+from loomtext.functions.text import bound, ngrams, words
 
 
-def trigrams(docs: DataFrame, text: str = "text", position: str = "doc_id") -> DataFrame:
-    """One row per document and distinct word trigram (lower case): n, how often. Counted within the document, before any shuffle of rows."""
-    return docs.select(position, F.explode(ngrams(words(F.lower(text)))).alias("trigram")).groupBy(position, "trigram").agg(F.count("*").alias("n"))
+def _has_loop(grams: Column, more_than: int) -> Column:
+    """Whether a window occurs more than so many times: then two equal ones stand so far apart when they are sorted."""
 
+    def found(s: Column) -> Column:
+        last = F.size(s) - more_than
+        return (last >= 1) & F.exists(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), lambda i: F.coalesce(F.get(s, i) == F.get(s, i + more_than), F.lit(False)))
 
-def diversity(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row: unique and total trigrams, their ratio, documents with a trigram more than three times."""
-    each = trigrams(docs, text)
-    total = each.groupBy("trigram").agg(F.sum("n").alias("n")).agg(F.count("*").alias("unique_trigrams"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_trigrams"))
-    loops = loop_docs(docs, text).agg(F.count("*").alias("loop_docs"))
-    # two tables of one row each
-    out = total.join(loops)
+    return bound(F.array_sort(grams), found)
+
+
+def diversity(docs: DataFrame, text: str = "text", more_than: int = 3) -> DataFrame:
+    """One row: unique and total word trigrams (lower case), their ratio, documents with a trigram more than three times.
+
+    Totals and loops are had within each document.  Only distinct trigrams meet, by 128 bits of hashes, combined before the exchange.
+    """
+    grams = docs.select(ngrams(words(F.lower(text))).alias("g"))
+    total = grams.agg(F.coalesce(F.sum(F.size("g")), F.lit(0)).alias("total_trigrams"), F.count(F.when(_has_loop(F.col("g"), more_than), 1)).alias("loop_docs"))
+    hashes = F.transform(F.array_distinct("g"), lambda t: F.struct(F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(1)).alias("b")))
+    unique = grams.select(F.explode(hashes).alias("h")).groupBy("h.a", "h.b").agg(F.lit(1).alias("one")).agg(F.count("*").alias("unique_trigrams"))
+    out = unique.join(total)  # two tables of one row each
     return out.select((F.coalesce(F.try_divide("unique_trigrams", "total_trigrams"), F.lit(0.0))).alias("diversity"), "unique_trigrams", "total_trigrams", "loop_docs")
 
 
 def loop_docs(docs: DataFrame, text: str = "text", more_than: int = 3, position: str = "doc_id") -> DataFrame:
-    """Documents in which a trigram occurs more than three times."""
-    return trigrams(docs, text, position).filter(F.col("n") > more_than).select(position).distinct()
+    """Documents in which a trigram occurs more than three times; nothing is shuffled."""
+    return docs.filter(_has_loop(ngrams(words(F.lower(text))), more_than)).select(position)
 
 
 def perplexity(rows: DataFrame, loss: str = "loss", n: str = "n_tokens") -> DataFrame:

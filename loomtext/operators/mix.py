@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import strip
+from loomtext.operators.dedup import first_wins, prefix_key
+from loomtext.operators.gates import good as good_text
 
-#: Range partitions' worth of rows per block of a running sum.
-BLOCKS = 256
+#: Rows of a block of a running sum, and the fewest blocks.
+BLOCK_ROWS, LEAST_BLOCKS = 1 << 18, 64
 
 
 def uniform(*key: Column) -> Column:
@@ -33,14 +35,18 @@ def arrivals(docs: DataFrame, weights: dict[str, float], source: str = "source",
 def running_sum(df: DataFrame, value: str, to: str, order: list[str], within: list[str] | None = None, exclusive: bool = False) -> DataFrame:
     """``df`` with the running sum of ``value`` along ``order``, in two levels.
 
-    Rows are cut into blocks by quantiles of the first order column, which must be numeric; sums of blocks are summed up, one
-    row per block, and rows only within their block.  No task holds a whole partition of ``within``.
+    Rows are cut into blocks by quantiles of the first order column, which must be numeric, some ``BLOCK_ROWS`` rows each, however
+    large the table; sums of blocks are summed up, one row per block, and rows only within their block.  No task holds a whole
+    partition of ``within``.
     """
     within = within or []
     first = F.col(order[0]).cast("double")
-    # BLOCKS numbers, whatever the size of the table
-    cuts = df.agg(F.percentile_approx(first, [i / BLOCKS for i in range(1, BLOCKS)], 10_000).alias("q")).first()["q"] or []
-    blocked = df.withColumn("_block", F.size(F.filter(F.lit([float(x) for x in sorted(set(cuts))]).cast("array<double>"), lambda x: x < first)))
+    n = df.count()
+    blocks = max(LEAST_BLOCKS, min(1 << 16, -(-n // BLOCK_ROWS)))
+    cuts = df.agg(F.percentile_approx(first, [i / blocks for i in range(1, blocks)], 4 * max(blocks, 2500)).alias("q")).first()["q"] or []
+    table = F.lit([float(x) for x in sorted(set(cuts))]).cast("array<double>")
+    # the cuts are ascending, so the place of the first that is not below is found by halving them
+    blocked = df.withColumn("_block", _place(table, first, len(set(cuts))))
     ahead = Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocked.groupBy(*within, "_block").agg(F.sum(value).alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
     starts = starts.select(F.col("_block").alias("_b"), "_start", *[F.col(c).alias(f"_k_{c}") for c in within])
@@ -50,6 +56,12 @@ def running_sum(df: DataFrame, value: str, to: str, order: list[str], within: li
     return out.withColumn(to, F.col("_start") + F.col("_inside")).drop("_start", "_inside", "_block", "_b", *[f"_k_{c}" for c in within])
 
 
+def _place(table: Column, value: Column, n: int) -> Column:
+    """How many of the ``n`` ascending numbers of ``table`` are below ``value``, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))]) if n else F.array().cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.coalesce(F.get(table, at + step - 1) < value, F.lit(False)), step).otherwise(F.lit(0)))
+
+
 def _all_same(within: list[str]) -> Column:
     out = F.lit(True)
     for c in within:
@@ -67,6 +79,22 @@ def within_budget(df: DataFrame, size: Column, budget: int | None, order: list[s
     return df.drop("_size", "_one", "_before")
 
 
+def mixed_stream(docs: DataFrame, weights: dict[str, float], quality: bool = True, dedup: bool = True, min_chars: int = 50, max_chars: int | None = None, max_docs: int | None = None, seed: int = 42, source: str = "source", position: str = "doc_id", text: str = "text") -> DataFrame:
+    """position, source, arrival of the documents that a weighted mix of sources yields.
+
+    Sources interleave by weight; what is too short goes, then with ``quality`` what the quality rules reject, then with ``dedup`` what begins
+    like a document that arrived before; the rest stays within the budgets.  Rejected documents cost a place in the
+    interleave but no budget.  A null text goes.
+    """
+    good = good_text(F.col(text)) if quality else F.lit(True)
+    # the gates read the texts once; what follows is narrow
+    d = docs.select(position, source, F.length(text).alias("_n"), good.alias("_good"), prefix_key(F.col(text)).alias("_key_"))
+    kept = arrivals(d, weights, source, position, seed).filter((F.col("_n") >= min_chars) & F.col("_good"))
+    if dedup:
+        kept = first_wins(kept, F.col("_key_"), "arrival").filter("is_first").drop("is_first")
+    return within_budget(kept, F.col("_n"), max_chars, ["arrival"], max_docs).select(position, source, "arrival")
+
+
 def quota_sizes(max_docs: int, shares: dict[str, float]) -> dict[str, int]:
     return {k: max(1, int(max_docs * v)) for k, v in shares.items()}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import SPACE, strip
+from loomtext.functions.text import SPACE, bound, strip
 
 BULLET = r"^(?:[-*]|[0-9]+[).])"
 CATEGORY = r"(?i)\[CAT:[{0}]*([^\]]+)\]".format(SPACE)
@@ -47,22 +47,59 @@ def sentences(text: Column, n: int = 5) -> Column:
     return F.slice(F.split(text, rf"(?<=[.!?])[{SPACE}]+"), 1, n)
 
 
+#: What JSON values count as nothing, as text.
+_NOTHING = ("", "false", "0", "0.0", "[]", "{}")
+_REPLY = "error string, response string, thinking string, message struct<content:string,thinking:string>, text string, output string, completion string, done boolean"
+
+
+def _reply(line: Column) -> Column:
+    """The fields of a JSON object; null for anything else."""
+    return F.when(line.rlike(rf"^[{SPACE}]*\{{"), F.from_json(line, _REPLY))
+
+
+def _said(value: Column) -> Column:
+    return F.when(value.isNotNull() & ~value.isin(*_NOTHING), value)
+
+
 def streamed(chunks: DataFrame, key: str = "id", position: str = "pos", line: str = "line") -> DataFrame:
-    """key, text: the ``response`` or ``message.content`` of JSON lines up to the first that says done; bad lines are skipped."""
-    parsed = chunks.withColumn("_j", F.from_json(line, "response string, message struct<content:string>, done boolean"))
-    done = F.max(F.coalesce(F.col("_j.done"), F.lit(False)).cast("int")).over(Window.partitionBy(key).orderBy(position).rowsBetween(Window.unboundedPreceding, -1))
-    kept = parsed.withColumn("_done", F.coalesce(done, F.lit(0))).filter("_done = 0")
-    piece = F.coalesce(F.nullif(F.col("_j.response"), F.lit("")), F.col("_j.message.content"), F.lit(""))
-    return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, piece.alias("p")))), lambda x: x["p"]), "").alias("text"))
+    """key, text: what the JSON lines of a streamed reply say, up to the first that is done, trimmed.
+
+    Each line adds its ``response`` and its ``message.content``, and ``thinking`` as long as nothing was added before.  Lines that are no
+    object or report an error are skipped, also if they are done.
+    """
+    j = lambda c: F.col(f"_j.{c}")
+    kept = chunks.withColumn("_j", _reply(F.col(line))).filter(F.col("_j").isNotNull() & _said(j("error")).isNull())
+    before = Window.partitionBy(key).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    content = F.nullif(j("message.content"), F.lit(""))
+    adds = j("response").isNotNull() | j("thinking").isNotNull() | content.isNotNull()
+    kept = kept.withColumn("_done", F.max(F.coalesce(j("done"), F.lit(False))).over(before)).withColumn("_begun", F.max(adds).over(before))
+    thought = F.when(~F.coalesce("_begun", F.lit(False)) & j("response").isNull(), j("thinking"))
+    piece = F.concat_ws("", j("response"), thought, content)
+    kept = kept.filter(~F.coalesce("_done", F.lit(False))).select(key, F.struct(position, piece.alias("p")).alias("_p"))
+    text = strip(F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["p"]), ""))
+    return chunks.select(key).distinct().join(kept.groupBy(key).agg(text.alias("text")), key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+
+
+def reply_text(reply: Column, cut: int = 2000) -> Column:
+    """The text of a JSON reply: the first of response, thinking, message.content, message.thinking, text, output and completion that says something.
+
+    Trimmed; thinking is cut at ``cut`` characters, the outer one with dots.  Empty for an error or what is no object.
+    """
 
+    def body(j: Column) -> Column:
+        thought, inner = strip(j["thinking"]), strip(j["message"]["thinking"])
+        said = [F.when(_said(j["response"]).isNotNull(), strip(j["response"]))]
+        said += [F.when(_said(j["thinking"]).isNotNull(), F.when(F.length(thought) > cut, F.concat(F.substring(thought, 1, cut), F.lit("..."))).otherwise(thought))]
+        said += [F.when(_said(j["message"]["content"]).isNotNull(), strip(j["message"]["content"])), F.when(_said(j["message"]["thinking"]).isNotNull(), F.substring(inner, 1, cut))]
+        said += [F.when(_said(j[name]).isNotNull(), strip(j[name])) for name in ("text", "output", "completion")]
+        return F.when(_said(j["error"]).isNull(), F.coalesce(*said))
 
-def first_text(*fields: Column, thinking: Column | None = None, cut: int = 2000) -> Column:
-    """The first field that is not blank; ``thinking``, cut, as the last resort."""
-    tried = [F.nullif(strip(f), F.lit("")) for f in fields]
-    return F.coalesce(*tried, *([F.substring(strip(thinking), 1, cut)] if thinking is not None else []), F.lit(""))
+    return F.coalesce(bound(_reply(reply), body), F.lit(""))
 
 
-def resume_point(names: DataFrame, name: str = "name") -> DataFrame:
-    """The checkpoint of the highest step in its name."""
-    step = F.regexp_extract(name, r"step[_-]?([0-9]+)", 1)
-    return names.withColumn("step", F.nullif(step, F.lit("")).cast("long")).filter("step is not null").orderBy(F.desc("step"), name).limit(1)
+def resume_point(names: DataFrame, name: str = "name", first: tuple[str, ...] = ("distill_latest.pt", "distill_final.pt")) -> DataFrame:
+    """name, step of the checkpoint to go on from: one of ``first``, in that order, else the highest step of ``distill_s<step>.pt``; none: no row."""
+    rank = F.coalesce(*[F.when(F.col(name) == x, F.lit(i)) for i, x in enumerate(first)], F.lit(len(first)))
+    step = F.nullif(F.regexp_extract(name, r"^distill_s([0-9]+)\.pt$", 1), F.lit("")).cast("long")
+    found = names.withColumn("step", step).withColumn("_rank", rank).filter((F.col("_rank") < len(first)) | F.col("step").isNotNull())
+    return found.orderBy("_rank", F.desc("step"), name).limit(1).drop("_rank")

@@ -12,6 +12,9 @@ from loomtext.functions.text import words
 #: Words that route a message to a tool, in order.
 SEARCH = ("cherche", "search", "trouve", "c'est quoi", "qu'est-ce", "who is", "what is", "actualité")
 DATE = ("date", "heure", "time", "jour")
+#: What makes a sentence a denial, and the words of the memory's text.
+NEGATIONS = (" pas ", " non ", " jamais ", " aucun ", " false ", " not ")
+PREFERENCES, FACTS, NOTHING = "Préférences: ", "Faits connus:", "(mémoire vide)"
 
 
 def score(fact: Column, query: str) -> Column:
@@ -26,25 +29,30 @@ def search(facts: DataFrame, query: str, k: int = 5, fact: str = "fact", positio
     return facts.withColumn("score", score(F.col(fact), query)).filter("score > 0").orderBy(F.desc("score"), position).limit(k)
 
 
-def context(facts: DataFrame, preferences: DataFrame, query: str | None, n: int = 5, fact: str = "fact", position: str = "pos") -> DataFrame:
-    """One row: preferences as JSON, and the facts found, or without a query the last, one to a line."""
+def context(facts: DataFrame, preferences: DataFrame, query: str | None, n: int = 10, fact: str = "fact", position: str = "pos") -> DataFrame:
+    """One row with ``context``, what a prompt is told: preferences as JSON, then the facts found, or without a query the last, one to a line.
+
+    What there is none of is left out; if both are missing the text says so.  Preferences are rows (key, value), told by key.
+    """
     chosen = search(facts, query, n, fact, position) if query else facts.orderBy(F.desc(position)).limit(n)
-    best = [F.struct(-F.col("score"), position, fact)] if query else [F.struct(position, fact)]
-    lines = chosen.agg(F.array_join(F.transform(F.array_sort(F.collect_list(best[0])), lambda x: F.concat(F.lit("- "), x[fact])), "\n").alias("facts"))
-    prefs = preferences.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))).alias("preferences"))
-    return prefs.join(lines)  # two tables of one row each
+    best = F.struct(-F.col("score"), position, fact) if query else F.struct(position, fact)
+    lines = chosen.agg(F.array_join(F.transform(F.array_sort(F.collect_list(best)), lambda x: F.concat(F.lit("- "), x[fact])), "\n").alias("_facts"))
+    quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    pairs = F.array_sort(F.collect_list(F.struct("key", F.concat(quoted("key"), F.lit(": "), quoted("value")).alias("said"))))
+    prefs = preferences.agg(F.array_join(F.transform(pairs, lambda x: x["said"]), ", ").alias("_prefs"))
+    part = lambda c, head, tail="": F.when(F.col(c) != "", F.concat(F.lit(head), F.col(c), F.lit(tail)))
+    text = F.concat_ws("\n", part("_prefs", PREFERENCES + "{", "}"), part("_facts", FACTS + "\n"))
+    return prefs.join(lines).select(F.when(text == "", F.lit(NOTHING)).otherwise(text).alias("context"))  # two tables of one row each
 
 
-def contradicted(facts: DataFrame, candidates: DataFrame, negations: tuple[str, ...] = ("not", "ne", "pas", "jamais", "never", "faux", "false"), last: int = 50, prefix: int = 40, fact: str = "fact", position: str = "pos") -> DataFrame:
-    """Candidates with ``is_contradicted``: they or one of the last 50 facts have a negation and one contains the other's first 40 characters.
+def contradicted(facts: DataFrame, candidates: DataFrame, negations: tuple[str, ...] = NEGATIONS, last: int = 50, prefix: int = 40, fact: str = "fact", position: str = "pos") -> DataFrame:
+    """Candidates with ``is_contradicted``: they hold a negation, and they or one of the last 50 facts contain the other's first 40 characters.
 
-    The facts compared are 50 rows at most, so they are broadcast.
+    The negation is looked for in lower case, the characters as they are.  The facts compared are 50 rows at most, so they are broadcast.
     """
-    recent = facts.orderBy(F.desc(position)).limit(last).select(F.lower(fact).alias("_f"))
-    has = lambda c: F.arrays_overlap(words(c), F.array(*[F.lit(n) for n in negations]))
-    c = candidates.withColumn("_c", F.lower(fact))
-    meets = (has(F.col("_c")) != has(F.col("_f"))) & (F.col("_f").contains(F.substring("_c", 1, prefix)) | F.col("_c").contains(F.substring("_f", 1, prefix)))
-    hit = c.join(F.broadcast(recent), meets, "left_semi").select(fact).distinct().withColumn("is_contradicted", F.lit(True))
+    recent = facts.orderBy(F.desc(position)).limit(last).select(F.col(fact).alias("_f"))
+    meets = _any(F.lower(fact), negations) & (F.col(fact).contains(F.substring("_f", 1, prefix)) | F.col("_f").contains(F.substring(fact, 1, prefix)))
+    hit = candidates.join(F.broadcast(recent), meets, "left_semi").select(fact).distinct().withColumn("is_contradicted", F.lit(True))
     return candidates.join(hit, fact, "left").withColumn("is_contradicted", F.coalesce("is_contradicted", F.lit(False)))
 
 

@@ -1,12 +1,13 @@
 """Byte-pair tokenizer training and encoding, and packing of token streams.
 
-Counting words is distributed; merging is sequential by nature and runs on the driver over the table of distinct words, which
-training bounds by ``max_words``.  Encoding folds each distinct word of a batch once.
+Counting words is distributed; merging is sequential by nature and runs on the driver over the table of distinct words, all of
+them, two bytes an id.  Encoding folds each distinct word of a batch once.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,15 +33,15 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(pretokens(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, max_words: int = 2_000_000) -> list[tuple[int, int]]:
+def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE) -> list[tuple[int, int]]:
     """Merges in order, learned from word counts.
 
-    The pair of greatest count is merged, ties going to the least pair.  Only the ``max_words`` most frequent words reach the
-    driver, which bounds its memory; with fewer distinct words all of them count.
+    The pair of greatest count is merged, ties going to the least pair.  Every word counts, however rare.  The words reach the driver one
+    partition at a time and stay there as arrays, so its memory grows with the number of distinct words, not with the corpus.
     """
     base = 256 + len(SPECIAL_TOKENS)
-    rows = counts.orderBy(F.desc("n"), "word").limit(max_words).toLocalIterator()
-    words = [(list(r["word"].encode()), r["n"]) for r in rows]
+    kind = "H" if vocab_size <= 1 << 16 else "I"
+    words = [(array(kind, list(r["word"].encode())), r["n"]) for r in counts.toLocalIterator()]
     pairs: dict[tuple[int, int], int] = {}
     where: dict[tuple[int, int], set[int]] = {}
     for w, (ids, n) in enumerate(words):
@@ -64,7 +65,7 @@ def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, max_words: int = 2_00
                 pairs[p] -= n
                 changed.add(p)
             out = merged(ids, best, new)
-            words[w] = (out, n)
+            words[w] = (array(kind, out), n)
             for p in zip(out, out[1:], strict=False):
                 pairs[p] = pairs.get(p, 0) + n
                 where.setdefault(p, set()).add(w)

@@ -7,25 +7,27 @@ document by SQL that both engines read (``*_SQL``), or is a small table of cases
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
-from loomtext.config import SKIPPED_TITLES, Mix
+from loomtext.config import SKIPPED_TITLES
 from loomtext.functions import html, normalize, text
 from loomtext.functions.normalize import CLOSE_ORPHAN, HEADING, LINK, OPEN_ORPHAN, TABLE, TAIL, TEMPLATE, URL
 from loomtext.functions.text import SPACE, WORD
 from loomtext.operators import chat, dedup, gates, metrics, mix, parse, recall, tokens, vocab
-from loomtext.sources import readers, writers
+from loomtext.sources import readers, shapes, writers
 
 QUERIES, ORACLE = {}, {}
-SOURCES = {f"src{i}": [5.0, 2.0, 1.0, 0.5][i % 4] for i in range(16)}
+SOURCES = {f"src{i}": [5.0, 2.0, 1.0, 0.5][i % 4] for i in range(20)}
 
-WIKI_SQL = """SELECT doc_id, concat('{{infobox|a={{b}}|c}}', chr(10), '== Titre ==', chr(10), substr(text, 1, 400), ' [[Page|lien]] [[Autre]] &nbsp;&eacute;&#233; <b>gras</b> https://ex.org/a?b  x',
+WIKI_SQL = """SELECT doc_id, concat('{{infobox|a={{b}}|c}}', chr(10), '== Titre ==', chr(10), text, ' [[Page|lien]] [[Autre]] &nbsp;&eacute;&#233; <b>gras</b> https://ex.org/a?b  x',
 chr(10), chr(10), chr(10), chr(10), '{| t', chr(10), '|a |}', '   ', chr(10), '  fin [[Catégorie:Z]] {{ouvert', chr(10), 'reste }} apres', chr(10), 'Voir aussi', chr(10), 'x') AS text FROM documents"""
 BROKEN_SQL = """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(replace(text, chr(10), concat(chr(92), 'n')), concat(chr(92), 't')) WHEN doc_id % 3 = 1 THEN replace(text, chr(10), concat(chr(13), chr(10)))
 ELSE concat(text, chr(10), 'Notes et références', chr(10), 'x') END AS text FROM documents"""
 LINES_SQL = """SELECT * FROM (VALUES (1, '{"text":"a","source":"x"}'), (2, '{bad'), (3, '[1]'), (4, '"s"'), (5, '{"text":null}'), (6, '{"source":"y","n":1}')) t(id, line)"""
-FACTS_SQL = "SELECT doc_id AS pos, substr(text, 1, 120) AS fact FROM documents"
+FACTS_SQL = "SELECT doc_id AS pos, text AS fact FROM documents"
 
 
 def query(sql=None):
@@ -46,7 +48,17 @@ def table(spark, sf_dir, name):
 
 def made(spark, sf_dir, sql):
     """The rows of an input that is made by SQL over the tables."""
-    return spark.sql(re.sub(r"FROM (documents|conversations|events)\b", rf"FROM parquet.`{sf_dir}/\1.parquet`", sql))
+    return spark.sql(re.sub(r"FROM (documents|conversations|events|benchmark)\b", rf"FROM parquet.`{sf_dir}/\1.parquet`", sql))
+
+
+def scratch(spark, name):
+    """A path for a sink's query, in the cluster's shared folder, or in a temporary one of a session of one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="loomtext-")
+    return f"{folder}/sinks/{name}-{uuid.uuid4().hex}"
 
 
 # DuckDB spellings
@@ -112,15 +124,15 @@ def s1_jsonl(spark, sf_dir):
     return readers.parsed_lines(spark.sql(LINES_SQL), "text string, source string").withColumnRenamed("_bad", "bad")
 
 
-@query(f"WITH r AS (SELECT doc_id, {_repaired('text')} AS text FROM ({BROKEN_SQL})), c AS (SELECT doc_id, {_tail('text')} AS text FROM r) SELECT doc_id, length(text) AS n_chars FROM c WHERE length(text) >= 100")
+@query(f"WITH r AS (SELECT doc_id, {_repaired('text')} AS text FROM ({BROKEN_SQL})), c AS (SELECT doc_id, {_tail('text')} AS text FROM r) SELECT length(text) AS n_chars FROM c WHERE length(text) >= 100")
 def s2_corpus(spark, sf_dir):
-    t = made(spark, sf_dir, BROKEN_SQL).withColumn("text", normalize.loaded(F.col("text")))
-    return t.filter(F.length("text") >= 100).select("doc_id", F.length("text").alias("n_chars"))
+    at = scratch(spark, "s2")
+    writers.json_lines(made(spark, sf_dir, BROKEN_SQL).select("text"), at)
+    return readers.corpus(spark, at).select(F.length("text").alias("n_chars"))
 
 
 DUMP_SQL = f"SELECT doc_id, concat(CASE WHEN doc_id % 5 = 0 THEN 'Talk:' WHEN doc_id % 7 = 0 THEN 'Catégorie:' ELSE '' END, doc_id) AS title, concat(CASE WHEN doc_id % 11 = 0 THEN '#redirect ' ELSE '' END, text) AS text FROM ({WIKI_SQL}) w"
-_WIKITEXT = ((r"\{\{[^}]*\}\}", ""), (r"\{\|[^}]*\|\}", ""), (r"(?i)\[\[(?:Catégorie|Category|Fichier|File|Image):[^\]]*\]\]", ""), (r"\[\[([^\]|]*)\|([^\]]*)\]\]", r"\2"), (r"\[\[([^\]]*)\]\]", r"\1"),
-             (r"'''?([^']*?)'''?", r"\1"), (rf"==+[{SPACE}]*([^=]+?)[{SPACE}]*==+", r"\1"), (r"<[^>]+>", ""), (r"&[a-z]+;", " "), (r"\{\{[^}]*$", ""), (r"^[^{]*\}\}", ""), (r"\n{3,}", "' || chr(10) || chr(10) || '"), (r" +", " "))
+_WIKITEXT = [(p.replace("(?iu)", "(?i)"), to.replace("$", chr(92)).replace(chr(10), "' || chr(10) || '")) for p, to in normalize.WIKITEXT]
 
 
 def _wikitext(x):
@@ -160,18 +172,107 @@ def s10_conversations(spark, sf_dir):
     return readers.conversations_json(c.select("conv_id", line.alias("line"))).select("conv_id", F.size("messages").cast("long").alias("n_messages"))
 
 
+@query("SELECT event_id, value FROM events")
+def s11_log_lines(spark, sf_dir):
+    at = scratch(spark, "s11")
+    lines = table(spark, sf_dir, "events").select(F.explode(F.array(F.to_json(F.struct("event_id", "value")), F.lit("{bad"), F.lit("[1]"))).alias("value"))
+    lines.write.text(at)
+    return readers.log_lines(spark.read.text(at).withColumnRenamed("value", "line"), "event_id bigint, value double")
+
+
+@query(f"SELECT doc_id, t AS text FROM (SELECT doc_id, lang, {_strip('text')} AS t FROM documents) WHERE coalesce(lower(lang), '') IN ('', 'fr', 'en') AND length(t) > 30")
+def s8_messages(spark, sf_dir):
+    return shapes.messages_in_languages(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "text")
+
+
+def _listed(spark, sf_dir, role, text):
+    turns = chat.turns(table(spark, sf_dir, "conversations"))
+    return turns.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias(role), t["text"].alias(text))).alias("x"))
+
+
+_SAID = "'<|' || {role} || '|>' || chr(10) || {text} || chr(10)"
+
+
+def _chat_sql(role, where, more_than):
+    line = _SAID.format(role=role, text=_strip("text"))
+    return f"SELECT * FROM (SELECT conv_id, string_agg({line}, '' ORDER BY turn, role, text) AS text FROM conversations WHERE {_strip('text')} <> '' AND {where} GROUP BY conv_id) WHERE length(text) > {more_than}"
+
+
+@query(_chat_sql("lower(role)", "lower(role) IN ('user', 'assistant')", 0))
+def s8_chats(spark, sf_dir):
+    return shapes.chats(_listed(spark, sf_dir, "role", "content"), "x").select("conv_id", "text")
+
+
+@query(_chat_sql("CASE WHEN role = 'human' THEN 'user' ELSE 'assistant' END", "true", 100))
+def s8_shared_chats(spark, sf_dir):
+    return shapes.shared_chats(_listed(spark, sf_dir, "from", "value"), "x").select("conv_id", "text")
+
+
+_ASKED_SQL = "SELECT doc_id, '<|user|>' || chr(10) || {asked} || chr(10) || '<|assistant|>' || chr(10) || {said} || chr(10) AS text FROM documents WHERE {strip} <> ''"
+
+
+@query(_ASKED_SQL.format(asked="source || chr(10) || lang", said=_strip("text"), strip=_strip("text")))
+def s8_instructions(spark, sf_dir):
+    return shapes.instructions(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("instruction"), F.col("lang").alias("context"), F.col("text").alias("response"))).select("doc_id", "text")
+
+
+@query(_ASKED_SQL.format(asked="source", said=_strip("text"), strip=_strip("text")))
+def s8_questions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("question"), F.struct(F.array("text", F.lit("other")).alias("text")).alias("answers"))
+    return shapes.questions(d).select("doc_id", "text")
+
+
+@query(_ASKED_SQL.format(asked="source", said="'```' || chr(10) || " + _strip("text") + " || chr(10) || '```'", strip=_strip("text")))
+def s8_code(spark, sf_dir):
+    return shapes.code(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("instruction"), F.col("text").alias("output"))).select("doc_id", "text")
+
+
 @query("SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 100) AS BIGINT) AS shard_id FROM documents")
 def k3_shards(spark, sf_dir):
     return mix.shard_ids(table(spark, sf_dir, "documents").select("doc_id"), 100)
 
 
-GROWING_SQL = """SELECT * FROM (VALUES (1, '[{"role":"user","content":"a"}]'), (2, '[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]'), (3, '[{"role":"user","content":"c"}]')) t(id, line)"""
+@query("SELECT doc_id, length(text) AS n_chars FROM documents")
+def k1_json_lines(spark, sf_dir):
+    at = scratch(spark, "k1")
+    writers.json_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), at)
+    return readers.jsonl(spark, at, "doc_id bigint, text string").select("doc_id", F.length("text").alias("n_chars"))
+
+
+@query("SELECT doc_id, length(text) >= 200 AS is_new FROM documents")
+def k2_replaced(spark, sf_dir):
+    at = scratch(spark, "k2")
+    writers.json_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), at)
+    writers.replaced(spark, spark.read.json(at).filter(F.length("text") >= 200), at)
+    new = spark.read.json(at).select("doc_id", F.lit(True).alias("_new"))
+    return spark.read.json(at + ".bak").join(new, "doc_id", "left").select("doc_id", F.coalesce("_new", F.lit(False)).alias("is_new"))
+
+
+@query("SELECT their_id, our_id FROM (SELECT range AS their_id, range // 2 AS our_id FROM range(64) UNION ALL SELECT range, range // 3 FROM range(64))")
+def k7_cached_map(spark, sf_dir):
+    at = scratch(spark, "k7")
+    writers.cached_map(spark, lambda: _edges(spark), at, 32, 64)
+
+    def never():
+        raise AssertionError("the map is there already")
+
+    return writers.cached_map(spark, never, at, 32, 64).select(F.col("their_id").cast("long").alias("their_id"), F.col("our_id").cast("long").alias("our_id"))
+
 
+@query("SELECT event_id, CAST(2 AS BIGINT) AS n FROM events")
+def k8_appended(spark, sf_dir):
+    at = scratch(spark, "k8")
+    for _ in range(2):
+        writers.appended(table(spark, sf_dir, "events").select("event_id", "value"), at)
+    return spark.read.json(at).groupBy("event_id").agg(F.count("*").alias("n"))
 
-@query(f"SELECT max(json_array_length(line)) AS n FROM ({GROWING_SQL}) GROUP BY json_extract_string(line, '$[0].content')")
+
+@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id")
 def k9_longest_conversations(spark, sf_dir):
-    rows = spark.sql(GROWING_SQL).withColumn("messages", F.from_json("line", "array<struct<role:string,content:string>>"))
-    return writers.longest_versions(rows).select(F.size("messages").cast("long").alias("n"))
+    # each conversation as it was saved after every turn, told apart by a first turn of its own and an opening that all share
+    c = chat.turns(table(spark, sf_dir, "conversations")).select("conv_id", F.concat(F.array(F.struct(F.lit("user").alias("role"), F.lit("Bonjour").alias("content")), F.struct(F.lit("user").alias("role"), F.col("conv_id").cast("string").alias("content"))), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))).alias("messages"))
+    saved = c.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("messages")), lambda i: F.slice("messages", F.lit(1), i))).alias("messages"))
+    return writers.longest_versions(saved).select(F.get("messages", F.lit(1))["content"].cast("long").alias("conv_id"), (F.size("messages") - 2).cast("long").alias("n"))
 
 
 @query("SELECT event_id, event, sink FROM (SELECT event_id, event, CASE event WHEN 'error' THEN 3 WHEN 'milestone' THEN 2 ELSE 1 END AS i FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'milestone' ELSE 'info' END AS event FROM events)), "
@@ -192,7 +293,7 @@ def _normalised(name, column, sql, source=WIKI_SQL):
 
 _normalised("n1_newline_repair", normalize.newline_repair, f"SELECT doc_id, {_repaired('text')} AS text FROM ({BROKEN_SQL})", BROKEN_SQL)
 _normalised("n2_wiki_tail", normalize.wiki_tail_cut, f"SELECT doc_id, {_tail('text')} AS text FROM ({WIKI_SQL})")
-_normalised("n3_nfkc", normalize.nfkc, None, "SELECT doc_id, concat(text, chr(64257), chr(65298), chr(160), 'e', chr(769)) AS text FROM documents")
+_normalised("n3_nfkc", normalize.nfkc, None, "SELECT doc_id, concat(text, '\ufb01\uff12\u00a0e\u0301') AS text FROM documents")
 _normalised("n4_templates", normalize.without_templates, f"SELECT doc_id, {_templates('text')} AS text FROM ({WIKI_SQL})")
 _normalised("n5_tables", normalize.without_tables, f"SELECT doc_id, {_nested('text', TABLE, 10)} AS text FROM ({WIKI_SQL})")
 _normalised("n6_links", normalize.unwrapped_links, f"SELECT doc_id, {_sub('text', LINK, chr(92) + '1')} AS text FROM ({WIKI_SQL})")
@@ -295,13 +396,11 @@ def f11_arithmetic(spark, sf_dir):
     return spark.sql(SUMS_SQL).select("id", gates.arithmetic_only(F.col("e")).alias("ok"))
 
 
-CLAIMS_SQL = "SELECT * FROM (VALUES (1, 'la terre est ronde et bleue vue de la lune'), (2, 'le fer est un metal'), (3, 'le soleil est une planete')) t(pos, fact)"
-NEW_CLAIMS_SQL = "SELECT * FROM (VALUES ('le fer est un metal qui ne rouille pas'), ('la terre est ronde et bleue vue de la lune'), ('autre chose')) t(fact)"
-
-
-@query("SELECT * FROM (VALUES ('le fer est un metal qui ne rouille pas', true), ('la terre est ronde et bleue vue de la lune', false), ('autre chose', false)) t(fact, is_contradicted)")
+@query("""WITH r AS (SELECT text AS f FROM benchmark ORDER BY item_id DESC LIMIT 50), n AS (SELECT * FROM (VALUES (' pas '), (' non '), (' jamais '), (' aucun '), (' false '), (' not ')) t(x))
+SELECT doc_id, EXISTS (SELECT 1 FROM n WHERE contains(lower(text), x)) AND EXISTS (SELECT 1 FROM r WHERE contains(text, substr(f, 1, 40)) OR contains(f, substr(text, 1, 40))) AS is_contradicted FROM documents""")
 def f12_contradicted(spark, sf_dir):
-    return recall.contradicted(spark.sql(CLAIMS_SQL), spark.sql(NEW_CLAIMS_SQL))
+    facts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("fact"))
+    return recall.contradicted(facts, table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("fact"))).select("doc_id", "is_contradicted")
 
 
 _NEXT = f"SELECT doc_id, x, lead(x, 1) OVER w AS y, lead(x, 2) OVER w AS z FROM (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM (SELECT doc_id, {_words('lower(text)')} AS w FROM documents)) WINDOW w AS (PARTITION BY doc_id ORDER BY i)"
@@ -343,18 +442,18 @@ def d4_fact_dedup(spark, sf_dir):
     return dedup.first_by_key(made(spark, sf_dir, FACTS_SQL), "fact", "pos")
 
 
-@query(f"""WITH c AS (SELECT DISTINCT fact, list_distinct({_words('lower(fact)')}) AS w FROM ({FACTS_SQL}) WHERE pos % 10 = 0), k AS (SELECT DISTINCT list_distinct({_words('lower(fact)')}) AS w FROM ({FACTS_SQL}) WHERE pos % 10 <> 0)
-SELECT f.fact, len(c.w) >= 3 AND EXISTS (SELECT 1 FROM k WHERE len(list_intersect(c.w, k.w)) / len(c.w) >= 0.5) AS is_known FROM (SELECT fact FROM ({FACTS_SQL}) WHERE pos % 10 = 0) f JOIN c USING (fact)""")
+@query(f"""WITH k AS (SELECT DISTINCT list_distinct({_words('lower(text)')}) AS w FROM documents), c AS (SELECT item_id, list_distinct({_words('lower(text)')}) AS w FROM benchmark)
+SELECT item_id, len(c.w) >= 3 AND EXISTS (SELECT 1 FROM k WHERE len(list_intersect(c.w, k.w)) >= 0.5 * len(c.w)) AS is_known FROM c""")
 def d5_known_facts(spark, sf_dir):
-    facts = made(spark, sf_dir, FACTS_SQL)
-    return dedup.contained(facts.filter("pos % 10 = 0").select("fact"), facts.filter("pos % 10 <> 0"), "fact", "fact")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("fact"))
+    return dedup.contained(items, table(spark, sf_dir, "documents"), "fact", "text").select("item_id", "is_known")
 
 
 @query(f"""WITH t AS (SELECT pos, trim(fact) AS topic FROM ({FACTS_SQL}) WHERE length(trim(fact)) >= 5), k AS (SELECT pos, topic, substr(lower(topic), 1, 80) AS key FROM t),
-f AS (SELECT min(pos) AS pos, arg_min(topic, pos) AS topic FROM k WHERE key NOT IN (SELECT lower(fact) FROM ({FACTS_SQL}) WHERE pos < 5) GROUP BY key) SELECT pos, topic FROM f ORDER BY pos LIMIT 80""")
+f AS (SELECT min(pos) AS pos, arg_min(topic, pos) AS topic FROM k WHERE key NOT IN (SELECT lower(substr(text, 1, 80)) FROM benchmark) GROUP BY key) SELECT pos, topic FROM f ORDER BY pos LIMIT 80""")
 def d7_enqueue(spark, sf_dir):
-    facts = made(spark, sf_dir, FACTS_SQL)
-    return dedup.enqueued(facts.select("pos", F.col("fact").alias("topic")), facts.filter("pos < 5").select("fact"))
+    seen = table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 80))
+    return dedup.enqueued(made(spark, sf_dir, FACTS_SQL).select("pos", F.col("fact").alias("topic")), seen)
 
 
 # --- mixing
@@ -367,14 +466,31 @@ def m1_arrivals(spark, sf_dir):
     return mix.arrivals(table(spark, sf_dir, "documents"), SOURCES).select("doc_id", "source", F.round("arrival", 6).alias("arrival"))
 
 
-@query(f"""WITH a AS ({_ARRIVAL}), q AS (SELECT *, {_GATE} AS gate FROM a WHERE length(text) >= 50), d AS (SELECT *, row_number() OVER (PARTITION BY md5(substr(text, 1, 500)) ORDER BY arrival) AS n FROM q WHERE gate = 'kept'),
-b AS (SELECT *, coalesce(sum(length(text)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d WHERE n = 1) SELECT doc_id, source FROM b WHERE before < 400000""")
+def _mixed_sql(quality=True, dedup=True, chars=400_000):
+    kept = f"{_GATE} = 'kept'" if quality else "true"
+    first = "row_number() OVER (PARTITION BY md5(substr(text, 1, 500)) ORDER BY arrival)" if dedup else "1"
+    return f"""WITH a AS ({_ARRIVAL}), d AS (SELECT *, {first} AS n FROM a WHERE length(text) >= 50 AND {kept}),
+b AS (SELECT *, coalesce(sum(length(text)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d WHERE n = 1) SELECT doc_id, source FROM b WHERE before < {chars}"""
+
+
+@query(_mixed_sql())
 def m1_mixed_stream(spark, sf_dir):
-    # the gates read the texts once; what follows is narrow, and lost parts of it are computed anew
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n"), gates.good(F.col("text")).alias("good"), dedup.prefix_key(F.col("text")).alias("key")).persist()
-    kept = mix.arrivals(d, SOURCES).filter((F.col("n") >= Mix().min_chars) & F.col("good"))
-    first = dedup.first_wins(kept, F.col("key"), "arrival").filter("is_first").select("doc_id", "source", "arrival", "n")
-    return mix.within_budget(first, F.col("n"), 400_000, ["arrival"]).select("doc_id", "source")
+    return mix.mixed_stream(table(spark, sf_dir, "documents"), SOURCES, max_chars=400_000).drop("arrival")
+
+
+@query(_mixed_sql(quality=False))
+def m4_without_quality(spark, sf_dir):
+    return mix.mixed_stream(table(spark, sf_dir, "documents"), SOURCES, quality=False, max_chars=400_000).drop("arrival")
+
+
+@query(_mixed_sql(dedup=False))
+def m4_without_dedup(spark, sf_dir):
+    return mix.mixed_stream(table(spark, sf_dir, "documents"), SOURCES, dedup=False, max_chars=400_000).drop("arrival")
+
+
+@query(f"SELECT doc_id, substr(t, 1, 8000) AS text FROM (SELECT doc_id, {_strip('text')} AS t FROM documents) WHERE length(t) > 200 ORDER BY doc_id LIMIT 50000")
+def m5_web(spark, sf_dir):
+    return shapes.web(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents) WHERE b < 200000")
@@ -410,24 +526,22 @@ def m8_split(spark, sf_dir):
 
 
 # --- chat
-_LINE = "'<|' || {role} || '|>' || chr(10) || text || chr(10)"
-
-
 def _rendered(role, where):
-    return f"SELECT c.conv_id, coalesce(t, '') AS text FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, string_agg({_LINE.format(role=role)}, '' ORDER BY turn) AS t FROM conversations WHERE text <> '' AND {where} GROUP BY conv_id) USING (conv_id)"
+    line = _SAID.format(role=role, text=_strip("text"))
+    return f"SELECT c.conv_id, coalesce(t, '') AS text FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, string_agg({line}, '' ORDER BY turn, role, text) AS t FROM conversations WHERE {_strip('text')} <> '' AND {where} GROUP BY conv_id) USING (conv_id)"
 
 
-@query(_rendered("role", "role IN ('user', 'assistant')"))
+@query(_rendered("lower(role)", "lower(role) IN ('user', 'assistant')"))
 def c1_render(spark, sf_dir):
     return chat.turns(table(spark, sf_dir, "conversations")).select("conv_id", chat.render(F.col("turns")).alias("text"))
 
 
-@query("SELECT * FROM (" + _rendered("CASE WHEN role IN ('human', 'user') THEN 'user' ELSE 'assistant' END", "true") + ") WHERE length(text) > 100")
+@query("SELECT * FROM (" + _rendered("CASE WHEN role = 'human' THEN 'user' ELSE 'assistant' END", "true") + ") WHERE length(text) > 100")
 def c2_shared_chats(spark, sf_dir):
     return chat.turns(table(spark, sf_dir, "conversations")).select("conv_id", chat.render_two_sided(F.col("turns")).alias("text")).filter(F.length("text") > 100)
 
 
-@query(f"SELECT id, '<|user|>' || chr(10) || CASE WHEN coalesce(given, '') <> '' THEN instruction || chr(10) || given ELSE instruction END || chr(10) || '<|assistant|>' || chr(10) || output || chr(10) AS text FROM ({PAIRS_SQL})")
+@query("SELECT * FROM (VALUES (1, '<|user|>' || chr(10) || 'Trie' || chr(10) || 'b a' || chr(10) || '<|assistant|>' || chr(10) || 'a b' || chr(10)), (2, '<|user|>' || chr(10) || 'Dis' || chr(10) || '<|assistant|>' || chr(10) || 'oui' || chr(10)), (3, NULL), (4, NULL)) t(id, text)")
 def c3_instructions(spark, sf_dir):
     return spark.sql(PAIRS_SQL).select("id", chat.instruction(F.col("instruction"), F.col("given"), F.col("output")).alias("text"))
 
@@ -504,8 +618,14 @@ def t2_word_counts(spark, sf_dir):
     return tokens.word_counts(table(spark, sf_dir, "documents"))
 
 
-def _merges(spark, sf_dir, vocab_size=600):
-    return tokens.train(tokens.word_counts(table(spark, sf_dir, "documents")), vocab_size)
+_TRAINED = {}
+
+
+def _merges(spark, sf_dir):
+    """The merges of all documents' words, trained once for each table."""
+    if sf_dir not in _TRAINED:
+        _TRAINED[sf_dir] = tokens.train(tokens.word_counts(table(spark, sf_dir, "documents")))
+    return _TRAINED[sf_dir]
 
 
 @query()
@@ -556,6 +676,26 @@ def p3_stats(spark, sf_dir):
     return tokens.stats(_lengths(spark, sf_dir))
 
 
+@query(f"SELECT count(*) AS n_docs, CAST(sum(len(ids)) AS BIGINT) AS n_tokens, 32000 AS vocab_size FROM ({_LENGTHS})")
+def k4_tokens(spark, sf_dir):
+    return writers.tokens(_lengths(spark, sf_dir), scratch(spark, "k4"), 32_000)
+
+
+@query(ORACLE["p2_overlapping_windows"])
+def k5_sequences(spark, sf_dir):
+    at = scratch(spark, "k5")
+    writers.sequences(_lengths(spark, sf_dir), at, 128)
+    return spark.read.schema("seq_id bigint, ids array<int>").json(at).select("seq_id", F.array_join("ids", " ").alias("ids"))
+
+
+@query()
+def k6_tokenizer(spark, sf_dir):
+    at = scratch(spark, "k6")
+    writers.tokenizer(spark, at, _merges(spark, sf_dir))
+    saved = spark.read.schema("merges array<array<int>>").json(at)
+    return saved.select(F.posexplode("merges").alias("rank", "pair")).select("rank", F.get("pair", F.lit(0)).alias("left_id"), F.get("pair", F.lit(1)).alias("right_id"))
+
+
 # --- metrics
 @query(f"WITH c AS (SELECT trigram, count(*) AS n FROM ({_TRI}) GROUP BY trigram) SELECT count(*) / sum(n) AS diversity, count(*) AS unique_trigrams, CAST(sum(n) AS BIGINT) AS total_trigrams, (SELECT count(*) FROM ({ORACLE['f13_loop_docs']})) AS loop_docs FROM c")
 def a3_diversity(spark, sf_dir):
@@ -596,6 +736,12 @@ def a7_epoch_means(spark, sf_dir):
     return metrics.epoch_means(log).select("epoch", "step", F.round("mean_loss", 6).alias("mean_loss"))
 
 
+@query()
+def a8_inventory(spark, sf_dir):
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/*.parquet").select("path", "length")
+    return metrics.file_inventory(files).select("n_files", "n_bytes")
+
+
 @query("SELECT count(*) AS n_facts, count(DISTINCT fact) AS n_distinct FROM (" + FACTS_SQL + ")")
 def a9_memory_stats(spark, sf_dir):
     return made(spark, sf_dir, FACTS_SQL).agg(F.count("*").alias("n_facts"), F.countDistinct("fact").alias("n_distinct"))
@@ -629,7 +775,7 @@ def r1_search_facts(spark, sf_dir):
     return recall.search(made(spark, sf_dir, FACTS_SQL), _ASKED)
 
 
-@query(f"SELECT string_agg('- ' || fact, chr(10) ORDER BY score DESC, pos) AS facts, '{{\"langue\":\"fr\",\"ton\":\"bref\"}}' AS preferences FROM (SELECT *, {_SCORE} AS score FROM ({FACTS_SQL}) WHERE {_SCORE} > 0 ORDER BY score DESC, pos LIMIT 5)")
+@query(f"SELECT 'Préférences: {{{{\"langue\": \"fr\", \"ton\": \"bref\"}}}}' || chr(10) || 'Faits connus:' || chr(10) || string_agg('- ' || fact, chr(10) ORDER BY score DESC, pos) AS context FROM (SELECT *, {_SCORE} AS score FROM ({FACTS_SQL}) WHERE {_SCORE} > 0 ORDER BY score DESC, pos LIMIT 10)".replace("{{", "{").replace("}}", "}"))
 def r2_context(spark, sf_dir):
     prefs = spark.sql("SELECT * FROM (VALUES ('langue', 'fr'), ('ton', 'bref')) t(key, value)")
     return recall.context(made(spark, sf_dir, FACTS_SQL), prefs, _ASKED)
@@ -645,9 +791,9 @@ def r4_route(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", recall.route(F.col("text")).alias("tool"))
 
 
-@query("SELECT 'step_900.pt' AS name, CAST(900 AS BIGINT) AS step")
+@query("SELECT 'distill_s900.pt' AS name, CAST(900 AS BIGINT) AS step")
 def r5_resume_point(spark, sf_dir):
-    return parse.resume_point(spark.sql("SELECT * FROM (VALUES ('step_100.pt'), ('step_900.pt'), ('last.pt'), ('step_90.pt')) t(name)"))
+    return parse.resume_point(spark.sql("SELECT * FROM (VALUES ('distill_s100.pt'), ('distill_s900.pt'), ('last.pt'), ('distill_s90.pt'), ('distill_s9x.pt'), ('step_9999.pt')) t(name)"))
 
 
 REPLIES_SQL = "SELECT id, replace(raw, '/', chr(10)) AS raw FROM (VALUES (1, 'FAITS:/- la lune tourne autour de la terre [CAT:science]/- court/2) deuxieme fait assez long ici/SUJETS:/* la formation des lunes/bavardage'), (2, 'une reponse sans section mais avec une ligne assez longue pour etre un fait/courte'), (3, 'rien')) t(id, raw)"
@@ -673,20 +819,22 @@ def r8_sentences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", parse.sentences(F.col("text")).alias("sentences"))
 
 
-STREAM_SQL = """SELECT * FROM (VALUES (1, 1, '{"response":"Bon"}'), (1, 2, 'bad'), (1, 3, '{"response":"jour","done":true}'), (1, 4, '{"response":"!"}'), (2, 1, '{"message":{"content":"a"}}'), (2, 2, '{"message":{"content":"b"}}')) t(id, pos, line)"""
+STREAM_SQL = """SELECT * FROM (VALUES (1, 1, '{"response":" Bon"}'), (1, 2, 'bad'), (1, 3, '{"response":"jour ","done":true}'), (1, 4, '{"response":"!"}'), (2, 1, '{"response":"a","message":{"content":"b"}}'), (2, 2, '[1]'), (2, 3, '{"error":"x","response":"y","done":true}'), (2, 4, '{"message":{"content":"c"}}'),
+(3, 1, '{"thinking":"je pense"}'), (3, 2, '{"thinking":"encore"}'), (3, 3, '{"response":" donc"}'), (4, 1, '{"response":"","thinking":"rien"}'), (5, 1, 'rien')) t(id, pos, line)"""
 
 
-@query("SELECT * FROM (VALUES (1, 'Bonjour'), (2, 'ab')) t(id, text)")
+@query("SELECT * FROM (VALUES (1, 'Bonjour'), (2, 'abc'), (3, 'je pense donc'), (4, ''), (5, '')) t(id, text)")
 def r9_streamed_reply(spark, sf_dir):
     return parse.streamed(spark.sql(STREAM_SQL))
 
 
-FIELDS_SQL = "SELECT * FROM (VALUES (1, ' a ', 'b', 'c'), (2, ' ', 'b', 'c'), (3, NULL, '', ' pensee '), (4, NULL, NULL, NULL)) t(id, response, content, thinking)"
+REPLY_SQL = """SELECT * FROM (VALUES (1, '{"response":" a ","thinking":"b"}'), (2, '{"response":"","thinking":" b ","message":{"content":"c"}}'), (3, '{"message":{"content":" c ","thinking":"d"}}'), (4, '{"message":{"content":"","thinking":" d "}}'), (5, '{"text":"","output":" e "}'),
+(6, '{"completion":"f"}'), (7, '{"error":"g","response":"a"}'), (8, '[1]'), (9, NULL), (10, concat('{"thinking":"', repeat('x', 2001), '"}')), (11, concat('{"message":{"thinking":"', repeat('x', 2001), '"}}'))) t(id, reply)"""
 
 
-@query(f"SELECT id, coalesce(nullif(trim(response), ''), nullif(trim(content), ''), substr(trim(thinking), 1, 2000), '') AS text FROM ({FIELDS_SQL})")
-def r10_first_text(spark, sf_dir):
-    return spark.sql(FIELDS_SQL).select("id", parse.first_text(F.col("response"), F.col("content"), thinking=F.col("thinking")).alias("text"))
+@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c'), (4, 'd'), (5, 'e'), (6, 'f'), (7, ''), (8, ''), (9, ''), (10, repeat('x', 2000) || '...'), (11, repeat('x', 2000))) t(id, text)")
+def r10_reply_text(spark, sf_dir):
+    return spark.sql(REPLY_SQL).select("id", parse.reply_text(F.col("reply")).alias("text"))
 
 
 @query("SELECT doc_id, CASE WHEN length(t) <= 200 THEN t ELSE substr(t, 1, 120) || ' [...] ' || right(t, 80) END AS text FROM (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13), ' '), chr(10), ' | ') AS t FROM documents)")
@@ -740,14 +888,19 @@ def v4_projected(spark, sf_dir):
 
 
 def _spans(spark, sf_dir):
-    """Words of every document, and pieces of three characters: two tokenisations of one text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 100).alias("t"))
-    piece = lambda side, n: d.select("doc_id", F.lit(side).alias("side"), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / n).cast("int")), lambda i: F.struct((i * n).alias("start"), F.least((i + 1) * n, F.length("t")).alias("end")))).alias("idx", "s")).select("doc_id", "side", "idx", (F.col("idx") % 10).alias("id"), "s.start", "s.end")
-    return piece("ours", 3).unionByName(piece("theirs", 5))
+    """Pieces of three and of five characters of every document: two tokenisations of one text, with ids by what a piece spells."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t")).filter(F.length("t") > 0)
+
+    def pieces(side, n):
+        spans = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / n).cast("int")), lambda i: F.struct((i * n).alias("start"), F.least((i + 1) * n, F.length("t")).alias("end"), F.substring("t", i * n + 1, F.lit(n)).alias("piece")))
+        cut = d.select("doc_id", F.lit(side).alias("side"), F.posexplode(spans).alias("idx", "s"))
+        return cut.select("doc_id", "side", "idx", F.conv(F.substring(F.md5(F.col("s.piece").cast("binary")), 1, 6), 16, 10).cast("int").alias("id"), "s.start", "s.end")
+
+    return pieces("ours", 3).unionByName(pieces("theirs", 5))
 
 
-_SIDE = "SELECT doc_id, CAST(i AS INTEGER) AS idx, CAST(i % 10 AS INTEGER) AS id, i * {0} AS s, least((i + 1) * {0}, n) AS e FROM (SELECT doc_id, n, unnest(range(0, CAST(floor((n - 1) / {0}) AS BIGINT) + 1)) AS i FROM (SELECT doc_id, length(substr(text, 1, 100)) AS n FROM documents))"
-_ALIGNED = f"SELECT a.doc_id, a.idx AS our_idx, a.id AS our_id, b.idx AS their_idx, b.id AS their_id FROM ({_SIDE.format(3)}) a JOIN ({_SIDE.format(5)}) b ON a.doc_id = b.doc_id AND b.e > a.s AND b.s < a.e"
+_SIDE = "SELECT doc_id, CAST(i AS INTEGER) AS idx, CAST(('0x' || substr(md5(substr(text, CAST(i * {0} + 1 AS BIGINT), {0})), 1, 6)) AS INTEGER) AS id, length(text) AS n FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / {0}) AS BIGINT))) AS i FROM documents)"
+_ALIGNED = f"SELECT a.doc_id, a.idx AS our_idx, a.id AS our_id, b.idx AS their_idx, b.id AS their_id FROM (SELECT *, unnest(range(idx * 3 // 5, (least(idx * 3 + 3, n) - 1) // 5 + 1)) AS j FROM ({_SIDE.format(3)})) a JOIN ({_SIDE.format(5)}) b ON a.doc_id = b.doc_id AND b.idx = a.j"
 
 
 @query(_ALIGNED)
@@ -766,6 +919,14 @@ def v7_top_k(spark, sf_dir):
     return vocab.top_k(vocab.softmax(_logits(spark, sf_dir)), 10).withColumn("p", F.round("p", 9))
 
 
+@query(ORACLE["v7_top_k"].replace(", CAST(r AS INTEGER) AS rank", ""))
+def s13_top_logits(spark, sf_dir):
+    at = scratch(spark, "s13")
+    top = vocab.top_k(vocab.softmax(_logits(spark, sf_dir)), 10)
+    top.groupBy("pos").agg(F.collect_list(F.struct("id", "p")).alias("top")).write.parquet(at)
+    return readers.top_logits(spark, at).withColumn("p", F.round("p", 9))
+
+
 @query(f"""WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY p DESC, id) AS r FROM ({_P})) WHERE r <= 10), o AS (SELECT pos, greatest(1 - sum(p), 0) / 54 AS other FROM t GROUP BY pos),
 f AS (SELECT o.pos, g.range AS id, coalesce(t.p, other) AS p FROM o CROSS JOIN range(64) g LEFT JOIN t ON t.pos = o.pos AND t.id = g.range) SELECT pos, CAST(id AS INTEGER) AS id, round(p / sum(p) OVER (PARTITION BY pos), 9) AS p FROM f""")
 def v8_rebuilt(spark, sf_dir):
