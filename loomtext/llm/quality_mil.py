@@ -5,10 +5,9 @@ of its bytes and some shape counts; a linear layer and tanh give its representat
 passages, ``a = softmax(w . (tanh(V h) * sigmoid(U h)))``, and a logistic layer scores the sum of ``a h``.  Only
 documents carry labels; the attention learns which passages decide.
 
-Training takes at most ``SAMPLE`` labelled documents (those of least hash of the id), of which at most
-``PASSAGES`` evenly spaced passages each are used; both bounds are parameters and hold for training only.  The
-executors encode, the driver trains on the encoded sample, and the weights, a few kilobytes, go out with the function
-that scores every document.  Labels, lang, source and doc_id are no inputs of a score.
+Training takes at most ``SAMPLE`` labelled documents (those of least hash of the id), with all of their passages; the bound is
+a parameter and holds for training only.  The executors encode, the driver trains on the encoded sample in batches of whole
+documents, and the weights, a few kilobytes, go out with the function that scores every document.  Labels, lang, source and doc_id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -20,14 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import by_value, texts_of
+from loomtext.llm.common import by_value, settled, texts_of
 
 PASSAGE = 64
 SAMPLE = 6000
-PASSAGES = 24
 FOLDS = 5
 THRESHOLD = 0.3
 HIDDEN, GATE, ROUNDS = 24, 12, 400
+#: Passages that a step of training holds at once, unless a single document has more.
+BATCH = 40_000
+#: Training ends when so many rounds bring the loss down by less than half a percent.
+STILL = 40
 
 _CLASS = np.zeros(256, np.int64)  # bytes above ASCII share two columns: those that lead a character and those that continue it
 _CLASS[:128] = np.arange(128)
@@ -80,9 +82,9 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, bag: n
 
 
 def train(bags: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS, seed: int = 7, decay: float = 1e-4) -> dict[str, np.ndarray]:
-    """Weights by full-batch Adam on the weighted log loss; the same rows give the same weights.
+    """Weights by Adam on the weighted log loss, the gradient summed over all rows; the same rows give the same weights.
 
-    One class only, or no rows: weights whose score is the share of label 1 (one half without rows) for any text.
+    One class only: weights whose score is near that class's label for any text; no rows: one half.
     """
     rng = np.random.default_rng(seed)
     w = {"E": rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "w": rng.normal(0, GATE**-0.5, GATE), "c": np.zeros(HIDDEN), "b": np.zeros(1)}
@@ -91,27 +93,39 @@ def train(bags: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS, seed
     if not len(y) or y.min() == y.max():
         w["b"][:] = 0 if not len(y) else (8 if y[0] else -8)
         return w | {"mean": mean, "scale": scale}
-    x = np.concatenate(bags).astype(float)
-    mean, scale = x.mean(0), np.maximum(x.std(0), 0.02)
+    # each document counts alike here too, whatever its length
+    mean = np.mean([b.mean(0) for b in bags], 0)
+    scale = np.maximum(np.sqrt(np.mean([((b - mean) ** 2).mean(0) for b in bags], 0)), 0.02)
     mean[-1], scale[-1] = 0, 1
-    x = (x - mean) / scale
     sizes = np.array([len(b) for b in bags])
-    starts, bag = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH)) + 1
+    parts, losses = [], []
+    for rows in np.split(np.arange(len(bags)), cuts):
+        x = ((np.concatenate([bags[i] for i in rows]) - mean) / scale).astype(float)
+        parts.append((x, np.cumsum(sizes[rows]) - sizes[rows], np.repeat(np.arange(len(rows)), sizes[rows]), rows))
     # both classes count alike at the threshold of 0.3 if the rarer one is weighted up in part
     weight = np.where(y == 1, 1.0, min(8.0, max(1.0, y.mean() / max(1 - y.mean(), 1e-9)) ** 0.5))
     weight /= weight.sum()
     m, v = {k: 0 for k in w}, {k: 0 for k in w}
     for step in range(1, rounds + 1):
-        f = _forward(w, x, starts, bag)
-        d = (f["p"] - y) * weight
-        dz = d[:, None] * w["c"]
-        h, a, t, g = f["h"], f["a"], f["t"], f["g"]
-        da = (dz[bag] * h).sum(1)
-        de = a * (da - np.add.reduceat(a * da, starts)[bag])
-        dt, dg = de[:, None] * w["w"] * g * (1 - t * t), de[:, None] * w["w"] * t * g * (1 - g)
-        dh = a[:, None] * dz[bag] + dt @ w["V"].T + dg @ w["U"].T
-        grad = {"E": x.T @ (dh * (1 - h * h)), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": f["z"].T @ d, "b": np.array([d.sum()])}
-        for k, q in grad.items():
+        total = {k: np.zeros_like(x) for k, x in w.items()}
+        loss = 0.0
+        for x, starts, bag, rows in parts:
+            f = _forward(w, x, starts, bag)
+            d = (f["p"] - y[rows]) * weight[rows]
+            loss -= float((weight[rows] * np.log(np.where(y[rows] == 1, f["p"], 1 - f["p"]) + 1e-12)).sum())
+            dz = d[:, None] * w["c"]
+            h, a, t, g = f["h"], f["a"], f["t"], f["g"]
+            da = (dz[bag] * h).sum(1)
+            de = a * (da - np.add.reduceat(a * da, starts)[bag])
+            dt, dg = de[:, None] * w["w"] * g * (1 - t * t), de[:, None] * w["w"] * t * g * (1 - g)
+            dh = a[:, None] * dz[bag] + dt @ w["V"].T + dg @ w["U"].T
+            grad = {"E": x.T @ (dh * (1 - h * h)), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": f["z"].T @ d, "b": np.array([d.sum()])}
+            total = {k: total[k] + q for k, q in grad.items()}
+        losses.append(loss)
+        if step > 2 * STILL and min(losses[-STILL:]) > 0.995 * min(losses[:-STILL]):
+            break
+        for k, q in total.items():
             q = q + (decay * w[k] if k != "b" else 0)
             m[k], v[k] = 0.9 * m[k] + 0.1 * q, 0.999 * v[k] + 0.001 * q * q
             w[k] = w[k] - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -126,14 +140,14 @@ def score(w: dict[str, np.ndarray], bags: list[np.ndarray]) -> np.ndarray:
     return _forward(w, np.clip(x, -20, 20), np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes))["p"]
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = FOLDS, sample: int = SAMPLE, passages: int = PASSAGES) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = FOLDS, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``.
 
     Learns only from labelled rows whose CRC-32 of the id as text, modulo ``folds``, is not 0.
 
     * null or empty text: one passage of zeros, scored like any other.  A null id: as the empty text, held out.
     * a null label, or one with two values for an id: the row does not train.
-    * no label to learn from: see ``train``.  Repeated rows are scored each; in training an id counts once.
+    * no label to learn from: see ``train``.  Repeated rows are scored each; in training an id counts once, with the text of least hash.
     * empty table: no rows.  Other columns are ignored, whatever their names.
     """
     fold = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")), F.lit(0)) % folds
@@ -145,18 +159,16 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in texts_of(batch.column(1)):
-                x = encode(text or b"")
-                if len(x) > passages:
-                    x = x[np.linspace(0, len(x) - 1, passages).astype(int)]
-                out.append(x.astype("<f4").tobytes())
+            out = [encode(text or b"").astype("<f4").tobytes() for text in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["doc_id", "bag", "label"])
 
     chosen = rows.join(F.broadcast(taught), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_label")
-    found = {r["doc_id"]: r for r in chosen.mapInArrow(encoded, f"doc_id {rows.schema[0].dataType.simpleString()}, bag binary, label int").toLocalIterator()}
-    bags = [np.frombuffer(found[i]["bag"], "<f4").reshape(-1, FEATURES) for i in sorted(found)]
-    weights = train(bags, np.array([found[i]["label"] for i in sorted(found)]))
+    encoded_rows = chosen.mapInArrow(encoded, f"doc_id {rows.schema[0].dataType.simpleString()}, bag binary, label int")
+    # at most ``sample`` ids, read by all cores at once and saved; they then come one partition at a time
+    least = F.min(F.struct(F.xxhash64("bag").alias("h"), "bag", "label")).alias("x")
+    found = settled(encoded_rows.groupBy("doc_id").agg(least).select("doc_id", "x.bag", "x.label"))
+    rows_of = sorted(((r["doc_id"], r["bag"], r["label"]) for r in found.toLocalIterator()), key=lambda r: r[0])
+    weights = train([np.frombuffer(bag, "<f4").reshape(-1, FEATURES) for _, bag, _ in rows_of], np.array([label for _, _, label in rows_of]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
