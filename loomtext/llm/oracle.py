@@ -17,7 +17,7 @@ OP9 = f"""
 WITH t AS (SELECT doc_id, strlen(coalesce(text, '')) AS bytes, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS hash FROM documents),
 s AS (SELECT depth, hash >> ({sharding.BITS} - depth) AS prefix, sum(bytes) AS shard_bytes, count(*) AS shard_docs
       FROM t, (SELECT CAST(range AS INTEGER) AS depth FROM range({sharding.BITS + 1})) GROUP BY 1, 2),
-leaf AS (SELECT t.doc_id, min(depth) AS depth FROM t, s WHERE s.prefix = t.hash >> ({sharding.BITS} - depth) AND (shard_bytes <= {sharding.LIMIT} OR depth = {sharding.BITS}) GROUP BY 1)
+leaf AS (SELECT t.doc_id, min(depth) AS depth FROM t, s WHERE s.prefix = t.hash >> ({sharding.BITS} - depth) AND (shard_bytes <= {sharding.LIMIT} OR shard_docs = 1 OR depth = {sharding.BITS}) GROUP BY 1)
 SELECT doc_id, bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(prefix), 64, '0'), depth) END AS shard,
        CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_docs, shard_bytes <= {sharding.LIMIT} AS fits
 FROM t JOIN leaf USING (doc_id) JOIN s USING (depth) WHERE s.prefix = hash >> ({sharding.BITS} - depth)

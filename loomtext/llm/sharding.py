@@ -29,8 +29,8 @@ def key_hash(key: Column) -> Column:
 def directory(rows: DataFrame, limit: int) -> DataFrame:
     """Leaves for rows (hash, bytes): depth, prefix, shard_bytes, shard_docs.
 
-    A leaf is the shortest prefix whose bytes fit the limit.  Rows of one hash cannot be parted; a prefix of
-    all 60 bits is a leaf at any size.
+    A leaf is the shortest prefix whose bytes fit the limit, or that a single row has.  Rows of one hash cannot be parted; a
+    prefix of all 60 bits is a leaf at any size.
     """
     leaves, depth, rest = None, 0, rows.select("hash", "bytes")
     while True:
@@ -38,7 +38,7 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
         fine = rest.groupBy(F.shiftright("hash", BITS - to).alias("p")).agg(F.sum("bytes").alias("b"), F.count("*").alias("n"))
         levels = F.sequence(F.lit(depth if depth == 0 else depth + 1), F.lit(to))
         sums = fine.withColumn("depth", F.explode(levels)).groupBy("depth", F.expr(f"shiftright(p, {to} - depth)").alias("prefix")).agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
-        fits = (F.col("shard_bytes") <= limit) | (F.col("depth") == BITS)
+        fits = (F.col("shard_bytes") <= limit) | (F.col("depth") == BITS) | (F.col("shard_docs") == 1)
         sums = settled(sums.withColumn("fits", fits))
         above = sums.filter("not fits").select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("up"))
         found = sums.filter("fits").withColumn("up", F.shiftright("prefix", 1))
@@ -57,29 +57,17 @@ def shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
     """One row per row of ``docs``: doc_id, bytes, shard (its prefix, as bits), shard_bytes, shard_docs, fits.
 
     * null text: 0 bytes.  A null id is hashed as the empty text.
-    * a text above the limit: alone with its hash prefix, ``fits`` false.
+    * a text above the limit: alone in its shard, ``fits`` false.
     * rows that repeat an id share a hash and stay together; ``fits`` is false if they exceed the limit.
     * empty table: no rows.  Other columns are ignored, whatever their names.
     """
     rows = settled(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"), key_hash(F.col(id_col)).alias("hash")))
     leaves = settled(directory(rows, limit))
-    deepest = min(BITS, leaves.agg(F.max("depth")).first()[0] or 0)
-    # an entry of the directory for each prefix of a chunk's length; a leaf above it fills several
-    steps = sorted({min(-(-d // CHUNK) * CHUNK, BITS) for d in range(deepest + 1)})
-    entries = None
-    for to in steps:
-        low = max(0, to - CHUNK) + (1 if to else 0)
-        part = leaves.filter(F.col("depth").between(low, to)) if to else leaves.filter("depth = 0")
-        part = part.withColumn("entry", F.explode(F.expr(f"sequence(shiftleft(prefix, {to} - depth), shiftleft(prefix + 1, {to} - depth) - 1)"))).withColumn("at", F.lit(to))
-        entries = part if entries is None else entries.unionByName(part)
+    # the depths at which leaves stand: at most BITS + 1 numbers
+    depths = sorted(r["depth"] for r in leaves.select("depth").distinct().collect())
     bits = F.when(F.col("depth") > 0, F.expr("right(lpad(bin(prefix), 64, '0'), depth)")).otherwise(F.lit(""))
-    entries = entries.select("at", "entry", bits.alias("shard"), "shard_bytes", "shard_docs", (F.col("shard_bytes") <= limit).alias("fits"))
-    # each document meets the entry of the one chunk length at which its leaf stands
-    out = None
-    rest = rows
-    for i, to in enumerate(steps):
-        here = rest.join(entries.filter(F.col("at") == to), F.shiftright("hash", BITS - to) == F.col("entry"), "inner" if i == len(steps) - 1 else "left")
-        done = here.filter("entry is not null").select("doc_id", "bytes", "shard", "shard_bytes", "shard_docs", "fits")
-        out = done if out is None else out.unionByName(done)
-        rest = here.filter("entry is null").select("doc_id", "bytes", "hash")
-    return out
+    named = leaves.select("depth", "prefix", bits.alias("shard"), "shard_bytes", "shard_docs", (F.col("shard_bytes") <= limit).alias("fits"))
+    # each row has one leaf: of its prefixes, at the depths there are, just one is a leaf's
+    tried = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("hash", BITS - d).alias("prefix")) for d in depths])) if depths else F.lit(None)
+    keyed = rows.withColumn("_p", tried).select("doc_id", "bytes", F.col("_p.depth").alias("depth"), F.col("_p.prefix").alias("prefix")) if depths else rows.select("doc_id", "bytes", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"))
+    return keyed.join(named, ["depth", "prefix"]).select("doc_id", "bytes", "shard", "shard_bytes", "shard_docs", "fits")
