@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.config import ASST, BOS, EOS, PAD, USER
 from loomtext.functions.text import strip
+from loomtext.session import saved
 
 
 def turns(rows: DataFrame, conv: str = "conv_id") -> DataFrame:
@@ -66,7 +67,7 @@ def tree_pairs(messages: DataFrame, more_than: int = 100, cut: int = 2000) -> Da
         step = step.join(open_, F.col("parent_id") == F.col("message_id")).filter("at > arrival")
         first = step.groupBy("message_id").agg(F.min(F.struct("at", "kid", "role", "text", "full")).alias("k")).select("k.*")
         first = first.select(F.col("kid").alias("message_id"), F.col("at").alias("arrival"), "role", F.concat("full", _line(F.when(F.col("role") == "assistant", "assistant").otherwise("user"), F.col("text"))).alias("full"))
-        first = first.persist()
+        first = saved(first)
         closed = first.filter("role = 'assistant'").select("message_id", "full")
         done = closed if done is None else done.unionByName(closed)
         open_ = first.filter("role = 'prompter'").drop("role")

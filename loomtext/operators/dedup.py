@@ -49,21 +49,23 @@ def first_by_key(df: DataFrame, key: str, position: str) -> DataFrame:
 def contained(candidates: DataFrame, known: DataFrame, candidate: str, fact: str, threshold: float = 0.5) -> DataFrame:
     """Candidates with ``is_known``: some known text holds at least ``threshold`` of the candidate's distinct words.
 
-    A candidate of fewer than three distinct words is never known.  Of a candidate's n words a text that holds enough lacks fewer than
-    ``n - ceil(threshold * n) + 1``, so it holds one of that many rarest: candidates meet texts over those alone, never over
-    words that all texts have, and each pair found is verified by its words.
+    A candidate of fewer than three distinct words is never known.  Of its n words such a text holds t = ceil(threshold * n).  Leave out
+    the t - l most frequent of the n: it still holds l of the others.  So texts are tallied over the rarer words alone, with l half of
+    t, never over words that all texts have, and those that reach l are verified by their words.
     """
     w = lambda c: F.array_distinct(words(F.lower(c)))
-    k = known.select(w(F.col(fact)).alias("_k")).filter(F.size("_k") > 0).distinct()
-    c = candidates.select(candidate).distinct().withColumn("_w", w(F.col(candidate))).filter(F.size("_w") >= 3)
-    held = k.select("_k", F.explode("_k").alias("_word"))
+    k = known.select(w(F.col(fact)).alias("_k")).filter(F.size("_k") > 0).withColumn("_id", F.struct(F.xxhash64("_k").alias("a"), F.xxhash64("_k", F.lit(1)).alias("b")))
+    held = k.select("_id", F.explode("_k").alias("_word")).distinct()
     often = held.groupBy("_word").agg(F.count("*").alias("_often"))
-    ranked = c.select(candidate, "_w", F.explode("_w").alias("_word")).join(often, "_word")  # words that no text has say nothing
-    order = ranked.groupBy(candidate, "_w").agg(F.array_sort(F.collect_list(F.struct("_often", "_word"))).alias("_o"))
-    n, missing = F.size("_w"), F.size("_w") - F.size("_o")
-    rarest = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1 - missing
-    tried = order.filter(rarest > 0).select(candidate, "_w", F.explode(F.slice("_o", F.lit(1), rarest)).alias("_p")).select(candidate, "_w", F.col("_p._word").alias("_word"))
-    hits = tried.join(held, "_word").filter(F.size(F.array_intersect("_w", "_k")) >= F.size("_w") * F.lit(threshold)).select(candidate).distinct()
+    c = candidates.select(candidate).distinct().withColumn("_w", w(F.col(candidate))).filter(F.size("_w") >= 3)
+    ranked = c.select(candidate, F.size("_w").alias("_n"), F.explode("_w").alias("_word")).join(often, "_word")  # words that no text has say nothing
+    order = ranked.groupBy(candidate, "_n").agg(F.array_sort(F.collect_list(F.struct("_often", "_word"))).alias("_o"))
+    order = order.withColumn("_t", F.ceil(F.col("_n") * F.lit(threshold) - 1e-9).cast("int")).withColumn("_l", F.greatest(F.ceil(F.col("_t") / 2).cast("int"), F.lit(1)))
+    rarer = F.size("_o") - F.greatest(F.col("_t") - F.col("_l"), F.lit(0))
+    tried = order.filter(rarer > 0).select(candidate, "_l", F.explode(F.slice("_o", F.lit(1), rarer)).alias("_p")).select(candidate, "_l", F.col("_p._word").alias("_word"))
+    pairs = tried.join(held, "_word").groupBy(candidate, "_l", "_id").agg(F.count("*").alias("_m")).filter("_m >= _l").select(candidate, "_id")
+    texts = k.groupBy("_id").agg(F.min("_k").alias("_k"))
+    hits = pairs.join(texts, "_id").join(c, candidate).filter(F.size(F.array_intersect("_w", "_k")) >= F.size("_w") * F.lit(threshold)).select(candidate).distinct()
     return candidates.join(hits.withColumn("is_known", F.lit(True)), candidate, "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
 
 

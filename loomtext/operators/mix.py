@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomtext.functions.text import strip
 from loomtext.operators.dedup import first_wins, prefix_key
 from loomtext.operators.gates import good as good_text
+from loomtext.session import saved
 
 #: Rows of a block of a running sum, and the fewest blocks.
 BLOCK_ROWS, LEAST_BLOCKS = 1 << 18, 64
@@ -87,8 +88,8 @@ def mixed_stream(docs: DataFrame, weights: dict[str, float], quality: bool = Tru
     interleave but no budget.  A null text goes.
     """
     good = good_text(F.col(text)) if quality else F.lit(True)
-    # the gates read the texts once; what follows is narrow
-    d = docs.select(position, source, F.length(text).alias("_n"), good.alias("_good"), prefix_key(F.col(text)).alias("_key_"))
+    # the gates read the texts once; what follows is narrow, and several passes read it
+    d = saved(docs.select(position, source, F.length(text).alias("_n"), good.alias("_good"), prefix_key(F.col(text)).alias("_key_")))
     kept = arrivals(d, weights, source, position, seed).filter((F.col("_n") >= min_chars) & F.col("_good"))
     if dedup:
         kept = first_wins(kept, F.col("_key_"), "arrival").filter("is_first").drop("is_first")

@@ -7,7 +7,6 @@ document by SQL that both engines read (``*_SQL``), or is a small table of cases
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from loomtext.functions import html, normalize, text
 from loomtext.functions.normalize import CLOSE_ORPHAN, HEADING, LINK, OPEN_ORPHAN, TABLE, TAIL, TEMPLATE, URL
 from loomtext.functions.text import SPACE, WORD
 from loomtext.operators import chat, dedup, gates, metrics, mix, parse, recall, tokens, vocab
+from loomtext.session import shared_folder
 from loomtext.sources import readers, shapes, writers
 
 QUERIES, ORACLE = {}, {}
@@ -52,13 +52,8 @@ def made(spark, sf_dir, sql):
 
 
 def scratch(spark, name):
-    """A path for a sink's query, in the cluster's shared folder, or in a temporary one of a session of one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="loomtext-")
-    return f"{folder}/sinks/{name}-{uuid.uuid4().hex}"
+    """A path for a sink's query, in the cluster's shared folder."""
+    return f"{shared_folder(spark)}/sinks/{name}-{uuid.uuid4().hex}"
 
 
 # DuckDB spellings
