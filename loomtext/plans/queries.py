@@ -898,15 +898,19 @@ _SIDE = "SELECT doc_id, CAST(i AS INTEGER) AS idx, CAST(('0x' || substr(md5(subs
 _ALIGNED = f"SELECT a.doc_id, a.idx AS our_idx, a.id AS our_id, b.idx AS their_idx, b.id AS their_id FROM (SELECT *, unnest(range(idx * 3 // 5, (least(idx * 3 + 3, n) - 1) // 5 + 1)) AS j FROM ({_SIDE.format(3)})) a JOIN ({_SIDE.format(5)}) b ON a.doc_id = b.doc_id AND b.idx = a.j"
 
 
-@query(_ALIGNED)
+# whole texts make millions of matches, so these two return digests of them by document
+@query(f"SELECT doc_id, count(*) AS n_matches, CAST(sum(CAST(our_idx AS BIGINT) * their_idx) AS BIGINT) AS sum_places, CAST(sum(CAST(our_id AS BIGINT) - their_id) AS BIGINT) AS sum_ids FROM ({_ALIGNED}) GROUP BY doc_id")
 def v5_aligned(spark, sf_dir):
-    return vocab.aligned(_spans(spark, sf_dir))
+    long = lambda c: F.col(c).cast("long")
+    return vocab.aligned(_spans(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.sum(long("our_idx") * long("their_idx")).alias("sum_places"), F.sum(long("our_id") - long("their_id")).alias("sum_ids"))
 
 
-@query(f"WITH al AS ({_ALIGNED}), w AS (SELECT *, 1 / count(*) OVER (PARTITION BY doc_id, our_idx) AS w FROM al) SELECT w.doc_id, our_idx, b.idx AS their_pos, round(sum(w), 9) AS weight FROM w JOIN ({_SIDE.format(5)}) b ON w.doc_id = b.doc_id AND w.their_id = b.id GROUP BY 1, 2, 3")
+@query(f"WITH al AS ({_ALIGNED}), w AS (SELECT *, 1 / count(*) OVER (PARTITION BY doc_id, our_idx) AS w FROM al), m AS (SELECT w.doc_id, our_idx, b.idx AS their_pos, sum(w) AS weight FROM w JOIN ({_SIDE.format(5)}) b ON w.doc_id = b.doc_id AND w.their_id = b.id GROUP BY 1, 2, 3) "
+       "SELECT doc_id, count(*) AS n_places, round(sum(weight), 3) AS weight, CAST(sum(CAST(our_idx AS BIGINT) * their_pos) AS BIGINT) AS sum_places FROM m GROUP BY doc_id")
 def v6_position_map(spark, sf_dir):
     s = _spans(spark, sf_dir)
-    return vocab.position_map(vocab.aligned(s), s.filter("side = 'theirs'")).withColumn("weight", F.round("weight", 9))
+    m = vocab.position_map(vocab.aligned(s), s.filter("side = 'theirs'"))
+    return m.groupBy("doc_id").agg(F.count("*").alias("n_places"), F.round(F.sum("weight"), 3).alias("weight"), F.sum(F.col("our_idx").cast("long") * F.col("their_pos")).alias("sum_places"))
 
 
 @query(f"SELECT pos, CAST(id AS INTEGER) AS id, round(p, 9) AS p, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY p DESC, id) AS r FROM ({_P})) WHERE r <= 10")
