@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import by_value
+from loomtext.llm.common import by_value, lean
 
 #: Distinct words whose ids a worker keeps; it forgets them all when there are more.
 MEMO = 400_000
@@ -140,7 +140,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
             columns += [pa.array(out_ids, pa.list_(pa.int32()))] * ids + [pa.array(h, pa.string()) for h in hashes if digests]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, T.StructType(fields))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), T.StructType(fields))
 
 
 def folded(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word", buckets: int = 1 << 16) -> DataFrame:

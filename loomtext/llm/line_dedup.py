@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import _starts, by_value, runs, settled, texts_of
+from loomtext.llm.common import _starts, by_value, lean, runs, settled, texts_of
 
 #: Words that a block must have to be deleted: shorter ones repeat by chance.
 BLOCK_WORDS = 5
@@ -149,7 +149,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
             at = pa.array(ids, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "text_key", "line", "place", "rest", "h", "l"])
 
-    lines = settled(rows.mapInArrow(cut, f"doc_id {kind}, text_key bigint, line int, place int, rest array<int>, h bigint, l bigint"))
+    lines = settled(rows.mapInArrow(lean(cut), f"doc_id {kind}, text_key bigint, line int, place int, rest array<int>, h bigint, l bigint"))
     first = F.min(F.struct("doc_id", "text_key", "place")).alias("f")
     shared = settled(lines.groupBy("h", "l").agg(first, F.max("doc_id").alias("last")).filter("f.doc_id < last").select("h", "l", F.col("f.doc_id").alias("other"), F.col("f.place").alias("at")))
     matches = lines.join(shared, ["h", "l"]).filter("doc_id > other").select("doc_id", "text_key", "other", "line", "place", "rest", "at")
@@ -173,7 +173,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
             yield from part.combine_chunks().to_batches()
 
     dealt = matches.repartition("doc_id").sortWithinPartitions(*key, "place")
-    return dealt.mapInArrow(align, f"doc_id {kind}, text_key bigint, line int, other {kind}")
+    return dealt.mapInArrow(lean(align), f"doc_id {kind}, text_key bigint, line int, other {kind}")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:

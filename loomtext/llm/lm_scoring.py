@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import _starts, by_value, runs, settled, texts_of
+from loomtext.llm.common import _starts, by_value, lean, runs, settled, texts_of
 
 #: Bytes of text of a block, and bytes of corpus for each part of the key space.
 BLOCK_BYTES = 14 << 20
@@ -250,7 +250,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
         if ids:
             yield block()
 
-    blocks = settled(rows.mapInArrow(pack, f"block bigint, ids array<{kind}>, lengths array<int>, tokens binary, words binary"))
+    blocks = settled(rows.mapInArrow(lean(pack), f"block bigint, ids array<{kind}>, lengths array<int>, tokens binary, words binary"))
 
     def opened(row: dict) -> Block:
         training = np.array([not held_out(i, *held) for i in row["ids"]], bool)
@@ -285,8 +285,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
                     out.append((None, slot, None, c, len(these) if words else 0, int(these.sum()) if words else 0, int((these == 1).sum())))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    asked = blocks.select("block", "ids", "lengths", "tokens", "words").mapInArrow(ask, "block bigint, slot int, keys binary, counts binary")
-    answers = settled(asked.repartition("slot").sortWithinPartitions("slot").mapInArrow(answer, "block bigint, slot int, counts binary, class int, types bigint, tokens bigint, once bigint"))
+    asked = blocks.select("block", "ids", "lengths", "tokens", "words").mapInArrow(lean(ask), "block bigint, slot int, keys binary, counts binary")
+    answers = settled(asked.repartition("slot").sortWithinPartitions("slot").mapInArrow(lean(answer), "block bigint, slot int, counts binary, class int, types bigint, tokens bigint, once bigint"))
 
     # at most 64 size classes
     types, tokens, once = np.zeros(CLASSES), np.zeros(CLASSES), [0, 0]
@@ -312,7 +312,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("ids"))[at].values, *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     got = answers.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("slot", "counts")).alias("answers"))
-    return blocks.join(got, "block").mapInArrow(traverse, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return blocks.join(got, "block").mapInArrow(lean(traverse), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 by_value(__name__)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import by_value, settled, texts_of
+from loomtext.llm.common import by_value, lean, settled, texts_of
 
 PASSAGE = 64
 SAMPLE = 6000
@@ -163,7 +163,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["doc_id", "bag", "label"])
 
     chosen = rows.join(F.broadcast(taught), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_label")
-    encoded_rows = chosen.mapInArrow(encoded, f"doc_id {rows.schema[0].dataType.simpleString()}, bag binary, label int")
+    encoded_rows = chosen.mapInArrow(lean(encoded), f"doc_id {rows.schema[0].dataType.simpleString()}, bag binary, label int")
     # at most ``sample`` ids, read by all cores at once and saved; they then come one partition at a time
     least = F.min(F.struct(F.xxhash64("bag").alias("h"), "bag", "label")).alias("x")
     found = settled(encoded_rows.groupBy("doc_id").agg(least).select("doc_id", "x.bag", "x.label"))
@@ -177,7 +177,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 scores.append(score(weights, [encode(t or b"") for t in texts_of(batch.column(1).slice(at, 256))]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["doc_id", "score"])
 
-    out = rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, score double")
+    out = rows.mapInArrow(lean(run), f"doc_id {rows.schema[0].dataType.simpleString()}, score double")
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import by_value, settled, texts_of
+from loomtext.llm.common import by_value, lean, settled, texts_of
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_marks", "n_pipes")
 #: Characters counted as symbols (fixed values).
@@ -79,7 +79,7 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             found = np.array([counted(t or b"") for t in texts_of(batch.column(at))], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, i]) for i in range(len(COUNTS)))], names=[*batch.schema.names, *COUNTS])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
+    return rows.mapInArrow(lean(run), T.StructType([*rows.schema, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
 
 
 def _vote(good: Column, bad: Column) -> Column:

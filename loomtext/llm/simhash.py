@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import _starts, by_value, runs, settled, texts_of
+from loomtext.llm.common import _starts, by_value, lean, runs, settled, texts_of
 from loomtext.llm.components import components
 
 #: Classes that are compared in one place; larger entries are compared chunk by chunk.
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1, distinct: bool = F
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=["doc_id", "fingerprint"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, fingerprint binary")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema[0].dataType.simpleString()}, fingerprint binary")
 
 
 def position_sets(size: int, most: int) -> list[tuple[int, ...]]:
@@ -225,8 +225,8 @@ def links(prints: DataFrame, size: int, most: int, entry_rows: int = ENTRY) -> D
                 if found:
                     yield _rows([members[i] for i, _ in found], [members[j] for _, j in found], [None] * len(found), [None] * len(found))
 
-    rows = prints.select("fingerprint").mapInArrow(spread, "entry bigint, fingerprint binary")
-    rows = settled(rows.repartition("entry").sortWithinPartitions("entry").mapInArrow(compare, _LINKS))
+    rows = prints.select("fingerprint").mapInArrow(lean(spread), "entry bigint, fingerprint binary")
+    rows = settled(rows.repartition("entry").sortWithinPartitions("entry").mapInArrow(lean(compare), _LINKS))
     found = rows.filter("b is not null").select("a", "b")
     large = rows.filter("b is null").select("a", "entry", "chunk")
     last = large.groupBy("entry").agg(F.max("chunk").alias("last"))
@@ -235,7 +235,7 @@ def links(prints: DataFrame, size: int, most: int, entry_rows: int = ENTRY) -> D
     each = large.join(last, "entry").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
     each = each.select("entry", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "a")
     dealt = each.repartition("entry", "low", "high").sortWithinPartitions("entry", "low", "high")
-    return found.unionByName(dealt.mapInArrow(pairs, _LINKS).select("a", "b"))
+    return found.unionByName(dealt.mapInArrow(lean(pairs), _LINKS).select("a", "b"))
 
 
 class _Whole:
@@ -421,7 +421,7 @@ def similar(docs: DataFrame, k: int = 5, loose: int = 31, id_col: str = "doc_id"
         if top:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(top), id_type), pa.array([v for v, _ in top], pa.int64()), *[pa.nulls(len(top), pa.binary())] * 3, pa.nulls(len(top), pa.int64()), pa.array([c for _, c in top], pa.int64())], names=names)
 
-    read_ = settled(rows.mapInArrow(read, f"doc_id {kind}, text_key bigint, node binary, fingerprint binary, parity binary, n bigint, times bigint"))
+    read_ = settled(rows.mapInArrow(lean(read), f"doc_id {kind}, text_key bigint, node binary, fingerprint binary, parity binary, n bigint, times bigint"))
     # at most HOT rows
     top = read_.filter("node is null").groupBy("text_key").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "text_key").limit(HOT).collect()
     hot = np.array([r["text_key"] for r in top], np.int64).view(np.uint64)
@@ -495,10 +495,10 @@ def similar(docs: DataFrame, k: int = 5, loose: int = 31, id_col: str = "doc_id"
             keep = [5 * n >= 4 * (len(x) + len(y) - n) for n, x, y in zip(common, a, b, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    posted = rows.select("text").mapInArrow(post, "entry bigint, short bigint").repartition("entry").sortWithinPartitions("entry", "short")
-    shared = settled(posted.mapInArrow(met, "entry bigint, short bigint"))
+    posted = rows.select("text").mapInArrow(lean(post), "entry bigint, short bigint").repartition("entry").sortWithinPartitions("entry", "short")
+    shared = settled(posted.mapInArrow(lean(met), "entry bigint, short bigint"))
     dealt = lambda nodes, *more: shared.join(nodes, "short").select("entry", "node", "fingerprint", "parity", "n", *more).repartition("entry").sortWithinPartitions("entry", "node")
-    found = settled(dealt(classes).mapInArrow(grown, "a binary, b binary").distinct())
+    found = settled(dealt(classes).mapInArrow(lean(grown), "a binary, b binary").distinct())
 
     # the sets of the nodes that an entry brings near another; a text stands for its node
     ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
@@ -517,16 +517,16 @@ def similar(docs: DataFrame, k: int = 5, loose: int = 31, id_col: str = "doc_id"
             at = batch.column(0).to_numpy() & ((1 << bits) - 1)
             yield batch.filter(pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))).select(["text"])
 
-    sets = rows.select("text_key", "text").mapInArrow(asked, "text string").mapInArrow(shingles, "node binary, hashes binary")
+    sets = rows.select("text_key", "text").mapInArrow(lean(asked), "text string").mapInArrow(lean(shingles), "node binary, hashes binary")
     sets = settled(sets.groupBy("node").agg(F.min("hashes").alias("hashes")).join(wanted.select("node"), "node", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("one")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("two")), "b")
-        return settled(pairs.select("a", "b", "one", "two").mapInArrow(agree, "a binary, b binary"))
+        return settled(pairs.select("a", "b", "one", "two").mapInArrow(lean(agree), "a binary, b binary"))
 
     one = verified(found)
     rooted = classes.join(wanted.select("node"), "node", "left_semi").join(components(one), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    two = verified(dealt(rooted, "root").mapInArrow(across, "a binary, b binary"))
+    two = verified(dealt(rooted, "root").mapInArrow(lean(across), "a binary, b binary"))
     joined = classes.join(components(one.unionByName(two)), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = joined.groupBy("root").agg(F.min("least").alias("best"))
     named = settled(joined.join(named, "root").select("node", "best"))
