@@ -294,34 +294,69 @@ def _rarest(h: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return h[np.lexsort((h, count))[:n]] if count[:n].any() else h[:n]
 
 
-#: Bits of the parity sketch of a set.
-PARITY = 512
+#: Bits of a parity sketch, and the size up to which a set has all its elements in one.
+PARITY, WHOLE = 512, 400
+
+
+def level(n: np.ndarray) -> np.ndarray:
+    """0 below ``WHOLE`` elements, then one more at each doubling."""
+    return np.maximum(0, np.frexp(np.asarray(n, np.float64) / WHOLE)[1])
+
+
+def _sketch(h: np.ndarray, level: int) -> np.ndarray:
+    """Bit i says whether an odd number of the hashes of a level fall to i; level l has those that end in l zero bits.
+
+    Two sets differ in as many elements of a level at least as their sketches in bits.
+    """
+    if level:
+        h = h[h & np.uint64((1 << level) - 1) == 0]
+    return np.packbits((np.bincount((h >> np.uint64(20)).astype(np.int64) & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8))
 
 
 def parity(h: np.ndarray) -> bytes:
-    """Bit i says whether an odd number of the hashes fall to i: two sets differ in as many elements at least as their sketches in bits."""
-    return np.packbits((np.bincount((h >> np.uint64(20)).astype(np.int64) & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+    """Two sketches of a set of hashes: at its ``level`` and at the one below, that of even number first.
+
+    Sets whose sizes are within 0.8 of each other are of one level or of neighbouring ones, so both have the lower of the two.
+    """
+    own = int(level(len(h)))
+    two = [_sketch(h, own), _sketch(h, own - 1) if own else np.zeros(PARITY // 8, np.uint8)]
+    return np.concatenate(two[:: 1 if own % 2 == 0 else -1]).tobytes()
+
+
+def most_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits the sketches of sets of a and b elements may differ in if their Jaccard similarity is 0.8 or more.
+
+    At most a ninth of both sizes together are in one set only.  Level 0 has them all, so that the bound is exact; of a higher
+    level, 7 standard deviations and 7 above its share of them.
+    """
+    low = np.minimum(level(a), level(b))
+    share = (a + b) / 9 / (1 << low)
+    return np.where(low == 0, share, share + 7 * np.sqrt(share) + 7)
 
 
 class Candidates:
     """Nodes of one or more entries; which pairs of them may have a Jaccard similarity of 0.8.
 
-    Three tests that no such pair fails: sizes within 0.8 of each other; at most a ninth of both sizes together apart, by the parity
-    sketches; and at most ``loose`` differing bits of the fingerprints, a count that is far off at 0.8 for sets of ``LARGE`` elements
-    or more and that smaller sets are not put to.
+    Three tests that no such pair fails: sizes within 0.8 of each other; parity sketches of the lower level at most ``most_apart``; and
+    at most ``loose`` differing bits of the fingerprints, a count that is far off at 0.8 for sets of ``LARGE`` elements or more and that
+    smaller sets are not put to.
     """
 
     LARGE = 64
 
     def __init__(self, table: pa.Table, loose: int):
         column = lambda name, size: np.frombuffer(b"".join(table.column(name).to_pylist()), np.uint64).reshape(-1, size)
-        self.prints, self.parity, self.n, self.loose = column("fingerprint", 1)[:, 0], column("parity", PARITY // 64), table.column("n").to_numpy(), loose
+        self.prints, self.n, self.loose = column("fingerprint", 1)[:, 0], table.column("n").to_numpy(), loose
+        self.parity = column("parity", PARITY // 32).reshape(-1, 2, PARITY // 64)
+        self.level = level(self.n)
 
     def __call__(self, i: np.ndarray | int, others: np.ndarray) -> np.ndarray:
         """Of ``others`` (numbers of rows) those that may be near ``i``: one row, or one for each of ``others``."""
         a, b = self.n[i], self.n[others]
         ok = (5 * b >= 4 * a) & (4 * b <= 5 * a)
-        ok &= 9 * np.bitwise_count(self.parity[others] ^ self.parity[i]).sum(1, dtype=np.int64) <= a + b
+        which = np.minimum(self.level[i], self.level[others]) % 2
+        apart = np.bitwise_count(self.parity[others, which] ^ self.parity[i, which]).sum(1, dtype=np.int64)
+        ok &= apart <= most_apart(a, b)
         return ok & ((np.minimum(a, b) < self.LARGE) | (np.bitwise_count(self.prints[others] ^ self.prints[i]) <= self.loose))
 
     def forest(self, rows: np.ndarray) -> list[tuple[int, int]]:
