@@ -18,21 +18,21 @@ FILTER_BITS = 23
 _PAGE = 32768  # bits in one row of bitmap_construct_agg
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(key, F.lit(1 << FILTER_BITS))
+def _slot(key: Column, size: int = FILTER_BITS) -> Column:
+    return F.pmod(key, F.lit(1 << size))
 
 
-def _bitmap(keys: DataFrame, key: str, page: str, bits: str) -> DataFrame:
-    """The slots of the column ``key`` as at most 256 rows of 4 KiB."""
-    slot = _slot(F.col(key))
+def _bitmap(keys: DataFrame, key: str, page: str, bits: str, size: int = FILTER_BITS) -> DataFrame:
+    """The slots of the column ``key`` as rows of 4 KiB, 2 ** ``size`` bits at most."""
+    slot = _slot(F.col(key), size)
     return keys.groupBy(F.floor(slot / _PAGE).alias(page)).agg(F.bitmap_construct_agg(slot % _PAGE).alias(bits))
 
 
-def _marked(df: DataFrame, key: str, bitmap: DataFrame, page: str, bits: str, flag: str) -> DataFrame:
+def _marked(df: DataFrame, key: str, bitmap: DataFrame, page: str, bits: str, flag: str, size: int = FILTER_BITS) -> DataFrame:
     """``df`` with the boolean ``flag``: whether the slot of ``key`` is set. The bitmap has a fixed size, so it is broadcast."""
-    slot = _slot(F.col(key))
+    slot = _slot(F.col(key), size)
     at = (slot % _PAGE).cast("int")
-    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast(pmod({key}, {1 << FILTER_BITS}) % {_PAGE} div 8 as int) + 1, 1)")), 16, 10).cast("bigint")
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast(pmod({key}, {1 << size}) % {_PAGE} div 8 as int) + 1, 1)")), 16, 10).cast("bigint")
     return (
         df.withColumn(page, F.floor(slot / _PAGE))
         .join(F.broadcast(bitmap), page, "left")

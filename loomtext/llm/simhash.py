@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from loomtext.llm.common import _starts, by_value, lean, runs, settled, texts_of
 from loomtext.llm.components import components
+from loomtext.llm.exact_dedup import _bitmap, _marked
 
 #: Classes that are compared in one place; larger entries are compared chunk by chunk.
 ENTRY = 20_000
@@ -578,11 +579,14 @@ def without_copies(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     verdict = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
     verdict = settled(verdict.filter("not _kept or _n > 1"))
-    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (key == F.col("_gone_key"))
-    rows = docs.join(verdict, same, "left").filter("_kept is null or _kept")
-    once = rows.filter("_n is null").select(docs.columns)
-    again = rows.filter("_n is not null").dropDuplicates(["_gone_id", "_gone_key"]).select(docs.columns)
-    return once.unionByName(again)
+    # at most 2 ** 26 bits, by which rows without a verdict are let through unshuffled; a row that it takes for one of them meets none
+    size = max(16, min(26, (64 * verdict.count()).bit_length()))
+    rows = _marked(docs.withColumn("_copy_key", key), "_copy_key", _bitmap(verdict, "_gone_key", "_copy_page", "_copy_bits", size), "_copy_page", "_copy_bits", "_copy", size)
+    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_copy_key") == F.col("_gone_key"))
+    found = rows.filter("_copy").join(verdict, same, "left").filter("_kept is null or _kept")
+    alone, once = rows.filter("not _copy").select(docs.columns), found.filter("_n is null or _n = 1").select(docs.columns)
+    again = found.filter("_n > 1").dropDuplicates(["_gone_id", "_gone_key"]).select(docs.columns)
+    return alone.unionByName(once).unionByName(again)
 
 
 by_value(__name__)
