@@ -5,8 +5,8 @@ neighbours, the pair whose joined bytes have the lowest rank is merged, until no
 travels as a literal with the function.  Ids stand for byte strings, and decoding concatenates those.
 
 The fold runs in Arrow batches and not in Spark's higher-order functions: those evaluate a fold without
-generated code, too slow for the millions of distinct words of a corpus (the README has figures).  Words are
-remembered up to ``MEMO`` per worker, a bound on memory that changes no result.
+generated code, too slow for the millions of distinct words of a corpus (the README has figures).  A worker remembers
+the ids of up to ``MEMO`` words that it has met last, a bound on memory that changes no result.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -25,8 +26,10 @@ from pyspark.sql import types as T
 
 from loomtext.llm.common import by_value, lean
 
-#: Distinct words whose ids a worker keeps; it forgets them all when there are more.
-MEMO = 400_000
+#: Distinct words whose ids a worker keeps, in two halves: when the newer one is full, the older one goes.
+MEMO = 160_000
+#: Rows that go out together; their ids are held until then.
+ROWS = 512
 #: Words of more bytes are merged with a heap, as a scan of all pairs takes time in the square of the length.
 SCAN_BYTES = 64
 #: Unicode's White_Space, which the pattern's \s means (Python's has U+001C to U+001F besides).
@@ -118,26 +121,30 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
 
         split = regex.compile(spelled).findall
         pieces = {i: p for p, i in ranks.items()}
-        memo: dict[str, list[int]] = {}
-        for batch in batches:
+        newer: dict[str, list[int]] = {}
+        older: dict[str, list[int]] = {}
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             counts, out_ids, hashes = [], [], ([], [])
             for text in batch.column(1).to_pylist():
                 row: list[int] = []
                 for word in split(text or ""):
-                    got = memo.get(word)
+                    got = newer.get(word)
                     if got is None:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        got = memo[word] = merge(word.encode(), ranks)
+                        if len(newer) >= MEMO // 2:
+                            newer, older = {}, newer
+                        got = newer[word] = older.get(word) or merge(word.encode(), ranks)
                     row += got
                 counts.append(len(row))
                 if ids:
-                    out_ids.append(row)
+                    out_ids.append(pa.array(row, pa.int32()))
                 if digests:
                     hashes[0].append(hashlib.sha256(" ".join(map(str, row)).encode()).hexdigest())
                     hashes[1].append(hashlib.sha256(b"".join(map(pieces.__getitem__, row))).hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64())]
-            columns += [pa.array(out_ids, pa.list_(pa.int32()))] * ids + [pa.array(h, pa.string()) for h in hashes if digests]
+            if ids:
+                ends = pa.array([0, *itertools.accumulate(counts)], pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(out_ids)))
+            columns += [pa.array(h, pa.string()) for h in hashes if digests]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), T.StructType(fields))

@@ -519,11 +519,6 @@ def similar(docs: DataFrame, k: int = 5, loose: int = 31, id_col: str = "doc_id"
                         found += [(i, j) for j in other[near_by(i, other)].tolist()]
             yield _pairs(table.column("node").to_pylist(), found)
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = sets_of(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "hashes"])
-
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("one", "two"))
@@ -551,9 +546,10 @@ def similar(docs: DataFrame, k: int = 5, loose: int = 31, id_col: str = "doc_id"
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(0).to_numpy() & ((1 << bits) - 1)
-            yield batch.filter(pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))).select(["text"])
+            sets = sets_of(batch.column(1).filter(pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))))
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "hashes"])
 
-    sets = rows.select("text_key", "text").mapInArrow(lean(asked), "text string").mapInArrow(lean(shingles), "node binary, hashes binary")
+    sets = rows.select("text_key", "text").mapInArrow(lean(asked), "node binary, hashes binary")
     sets = settled(sets.groupBy("node").agg(F.min("hashes").alias("hashes")).join(wanted.select("node"), "node", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
