@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -595,6 +596,24 @@ def test_frequent_shingles_change_no_result(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()} == least
 
 
+def test_sketches_lose_no_near_pair_and_tell_far_ones():
+    rng = np.random.default_rng(7)
+    fresh = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    for n in (0, 1, 9, 63, 320, 399, 400, 401, 500, 799, 800, 1000, 5000, 40_000):
+        for _ in range(20):
+            x = fresh(n)
+            others = [np.concatenate([x[n // 9 :], fresh(n // 9)]), x[: -(-4 * n // 5)], np.concatenate([x, fresh(n // 4)]), np.concatenate([x[: n // 20], fresh(n - n // 20)])]
+            for y in others:
+                sets = [np.unique(x), np.unique(y)]
+                table = pa.table({"fingerprint": [simhash.fold_bits(h) for h in sets], "parity": [simhash.parity(h) for h in sets], "n": [len(h) for h in sets]})
+                may = bool(simhash.Candidates(table, 64)(0, np.array([1]))[0])
+                common, either = len(np.intersect1d(*sets)), len(np.union1d(*sets))
+                if 5 * common >= 4 * either:
+                    assert may
+                elif n > 60 and 2 * common < either:
+                    assert not may
+
+
 def test_near_duplicates_on_the_documents(spark, sf_dir):
     """Recall against exact Jaccard similarity of all pairs that share a shingle, at the stage's threshold."""
     d = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").filter(F.length("text") > 0)
