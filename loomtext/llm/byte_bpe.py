@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from loomtext.llm.common import by_value, lean
 
 #: Distinct words whose ids a worker keeps, in two halves: when the newer one is full, the older one goes.
-MEMO = 160_000
+MEMO = 400_000
 #: Rows that go out together; their ids are held until then.
 ROWS = 512
 #: Words of more bytes are merged with a heap, as a scan of all pairs takes time in the square of the length.
