@@ -25,11 +25,12 @@ PASSAGE = 64
 SAMPLE = 6000
 FOLDS = 5
 THRESHOLD = 0.3
-HIDDEN, GATE, ROUNDS = 24, 12, 400
-#: Passages that a step of training holds at once, unless a single document has more.
+HIDDEN, GATE = 24, 12
+#: Steps of training, whatever the size of the sample, and the documents that each looks at.
+STEPS, DOCS = 800, 256
+#: Passages that a step holds at most, unless a single document has more.
 BATCH = 40_000
-#: Training ends when so many rounds bring the loss down by less than half a percent.
-STILL = 40
+RATE = 0.01
 
 _CLASS = np.zeros(256, np.int64)  # bytes above ASCII share two columns: those that lead a character and those that continue it
 _CLASS[:128] = np.arange(128)
@@ -81,14 +82,23 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, bag: n
     return {"h": h, "t": t, "g": g, "a": a, "z": z, "p": 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["b"], -60, 60)))}
 
 
-def train(bags: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS, seed: int = 7, decay: float = 1e-4) -> dict[str, np.ndarray]:
-    """Weights by Adam on the weighted log loss, the gradient summed over all rows; the same rows give the same weights.
+def _batches(sizes: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Whole documents by number, pass after pass over all of them, each pass in an order of its own."""
+    while True:
+        order = rng.permutation(len(sizes))
+        part = np.arange(len(order)) // DOCS + np.cumsum(sizes[order]) // BATCH
+        yield from np.split(order, np.flatnonzero(np.diff(part)) + 1)
+
+
+def train(bags: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: int = 7, decay: float = 1e-4) -> dict[str, np.ndarray]:
+    """Weights by Adam on the weighted log loss, over batches of documents, at a rate that falls to zero; the same rows give the same weights.
 
     One class only: weights whose score is near that class's label for any text; no rows: one half.
     """
     rng = np.random.default_rng(seed)
     w = {"E": rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "w": rng.normal(0, GATE**-0.5, GATE), "c": np.zeros(HIDDEN), "b": np.zeros(1)}
-    y = labels.astype(float)
+    w = {k: x.astype(np.float32) for k, x in w.items()}
+    y = labels.astype(np.float32)
     mean, scale = np.zeros(FEATURES), np.ones(FEATURES)
     if not len(y) or y.min() == y.max():
         w["b"][:] = 0 if not len(y) else (8 if y[0] else -8)
@@ -98,37 +108,26 @@ def train(bags: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS, seed
     scale = np.maximum(np.sqrt(np.mean([((b - mean) ** 2).mean(0) for b in bags], 0)), 0.02)
     mean[-1], scale[-1] = 0, 1
     sizes = np.array([len(b) for b in bags])
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH)) + 1
-    parts, losses = [], []
-    for rows in np.split(np.arange(len(bags)), cuts):
-        x = ((np.concatenate([bags[i] for i in rows]) - mean) / scale).astype(float)
-        parts.append((x, np.cumsum(sizes[rows]) - sizes[rows], np.repeat(np.arange(len(rows)), sizes[rows]), rows))
     # both classes count alike at the threshold of 0.3 if the rarer one is weighted up in part
     weight = np.where(y == 1, 1.0, min(8.0, max(1.0, y.mean() / max(1 - y.mean(), 1e-9)) ** 0.5))
-    weight /= weight.sum()
+    weight = (weight / weight.mean()).astype(np.float32)
     m, v = {k: 0 for k in w}, {k: 0 for k in w}
-    for step in range(1, rounds + 1):
-        total = {k: np.zeros_like(x) for k, x in w.items()}
-        loss = 0.0
-        for x, starts, bag, rows in parts:
-            f = _forward(w, x, starts, bag)
-            d = (f["p"] - y[rows]) * weight[rows]
-            loss -= float((weight[rows] * np.log(np.where(y[rows] == 1, f["p"], 1 - f["p"]) + 1e-12)).sum())
-            dz = d[:, None] * w["c"]
-            h, a, t, g = f["h"], f["a"], f["t"], f["g"]
-            da = (dz[bag] * h).sum(1)
-            de = a * (da - np.add.reduceat(a * da, starts)[bag])
-            dt, dg = de[:, None] * w["w"] * g * (1 - t * t), de[:, None] * w["w"] * t * g * (1 - g)
-            dh = a[:, None] * dz[bag] + dt @ w["V"].T + dg @ w["U"].T
-            grad = {"E": x.T @ (dh * (1 - h * h)), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": f["z"].T @ d, "b": np.array([d.sum()])}
-            total = {k: total[k] + q for k, q in grad.items()}
-        losses.append(loss)
-        if step > 2 * STILL and min(losses[-STILL:]) > 0.995 * min(losses[:-STILL]):
-            break
-        for k, q in total.items():
+    for step, rows in zip(range(steps), _batches(sizes, rng), strict=False):
+        x = ((np.concatenate([bags[i] for i in rows]) - mean) / scale).astype(np.float32)
+        starts, bag = np.cumsum(sizes[rows]) - sizes[rows], np.repeat(np.arange(len(rows)), sizes[rows])
+        f = _forward(w, x, starts, bag)
+        d = (f["p"] - y[rows]) * weight[rows] / len(rows)
+        dz = d[:, None] * w["c"]
+        h, a, t, g = f["h"], f["a"], f["t"], f["g"]
+        da = (dz[bag] * h).sum(1)
+        de = a * (da - np.add.reduceat(a * da, starts)[bag])
+        dt, dg = de[:, None] * w["w"] * g * (1 - t * t), de[:, None] * w["w"] * t * g * (1 - g)
+        dh = a[:, None] * dz[bag] + dt @ w["V"].T + dg @ w["U"].T
+        grad = {"E": x.T @ (dh * (1 - h * h)), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": f["z"].T @ d, "b": np.array([d.sum()])}
+        for k, q in grad.items():
             q = q + (decay * w[k] if k != "b" else 0)
             m[k], v[k] = 0.9 * m[k] + 0.1 * q, 0.999 * v[k] + 0.001 * q * q
-            w[k] = w[k] - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+            w[k] = (w[k] - RATE * (1 - step / steps) * (m[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(v[k] / (1 - 0.999 ** (step + 1))) + 1e-8)).astype(np.float32)
     return w | {"mean": mean, "scale": scale}
 
 
@@ -137,7 +136,7 @@ def score(w: dict[str, np.ndarray], bags: list[np.ndarray]) -> np.ndarray:
         return np.zeros(0)
     sizes = np.array([len(b) for b in bags])
     x = (np.concatenate(bags) - w["mean"]) / w["scale"]
-    return _forward(w, np.clip(x, -20, 20), np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes))["p"]
+    return _forward(w, np.clip(x, -20, 20), np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes))["p"].astype(float)
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = FOLDS, sample: int = SAMPLE) -> DataFrame:

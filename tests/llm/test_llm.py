@@ -184,7 +184,7 @@ def test_mil_encodes_the_whole_text():
 def test_mil_gradient():
     rng = np.random.default_rng(0)
     bags, y = [rng.random((n, quality_mil.FEATURES)) for n in (1, 3, 2)], np.array([1, 0, 1])
-    a, b = quality_mil.train(bags, y, rounds=0), quality_mil.train(bags, y, rounds=200)
+    a, b = quality_mil.train(bags, y, steps=0), quality_mil.train(bags, y, steps=200)
     loss = lambda w: -np.mean(np.log(np.where(y == 1, quality_mil.score(w, bags), 1 - quality_mil.score(w, bags))))
     assert loss(b) < 0.5 * loss(a)
 
