@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtext.llm import byte_bpe, exact_dedup, line_dedup, lm_scoring, mixing, preference, quality_mil, quality_rules, sharding, simhash
+from loomtext.llm import byte_bpe, divergence, exact_dedup, fill_middle, line_dedup, lm_scoring, mixing, preference, quality_mil, quality_rules, sharding, simhash, warc
 from loomtext.llm.common import documents
 
 
@@ -58,5 +58,19 @@ def op10_mixing(spark, sf_dir):
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op11_divergence(spark, sf_dir):
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_warc(spark, sf_dir):
+    return warc.archived(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_fill_middle(spark, sf_dir):
+    rows = fill_middle.transformed(documents(spark, sf_dir))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256")
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
