@@ -1,22 +1,20 @@
 """Byte-pair tokenizer training and encoding, and packing of token streams.
 
-Counting words is distributed; merging is sequential by nature and runs on the driver over the table of distinct words, all of
-them, two bytes an id.  Encoding folds each distinct word of a batch once.
+Merges are learned by ``loomtext.operators.training``.  Encoding folds each distinct word of a batch once.
 """
 
 from __future__ import annotations
 
-import heapq
-from array import array
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.config import BOS, EOS, SPECIAL_TOKENS, VOCAB_SIZE
+from loomtext.config import BOS, EOS
 from loomtext.functions.text import FAST_SPACE, SPACE
 from loomtext.operators.mix import running_sum
+from loomtext.operators.training import BASE, folded
 
 #: How texts are split into words before merging. Letters are ASCII and U+00C0 to U+00FF; what no branch takes, such as
 #: an underscore or other alphabets, is dropped.
@@ -33,72 +31,8 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(pretokens(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE) -> list[tuple[int, int]]:
-    """Merges in order, learned from word counts.
-
-    The pair of greatest count is merged, ties going to the least pair.  Every word counts, however rare.  The words reach the driver one
-    partition at a time and stay there as arrays, so its memory grows with the number of distinct words, not with the corpus.
-    """
-    base = 256 + len(SPECIAL_TOKENS)
-    kind = "H" if vocab_size <= 1 << 16 else "I"
-    words = [(array(kind, list(r["word"].encode())), r["n"]) for r in counts.toLocalIterator()]
-    pairs: dict[tuple[int, int], int] = {}
-    where: dict[tuple[int, int], set[int]] = {}
-    for w, (ids, n) in enumerate(words):
-        for p in zip(ids, ids[1:], strict=False):
-            pairs[p] = pairs.get(p, 0) + n
-            where.setdefault(p, set()).add(w)
-    # a changed count is pushed anew; entries whose count has changed since are skipped when they surface
-    heap = [(-n, p) for p, n in pairs.items()]
-    heapq.heapify(heap)
-    merges: list[tuple[int, int]] = []
-    while len(merges) < vocab_size - base and heap:
-        n, best = heapq.heappop(heap)
-        if pairs.get(best) != -n:
-            continue
-        new = base + len(merges)
-        merges.append(best)
-        changed: set[tuple[int, int]] = set()
-        for w in where.pop(best, ()):
-            ids, n = words[w]
-            for p in zip(ids, ids[1:], strict=False):
-                pairs[p] -= n
-                changed.add(p)
-            out = merged(ids, best, new)
-            words[w] = (array(kind, out), n)
-            for p in zip(out, out[1:], strict=False):
-                pairs[p] = pairs.get(p, 0) + n
-                where.setdefault(p, set()).add(w)
-                changed.add(p)
-        pairs.pop(best, None)
-        for p in changed:
-            if pairs.get(p):
-                heapq.heappush(heap, (-pairs[p], p))
-            else:
-                pairs.pop(p, None)
-    return merges
-
-
-def merged(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
-    out, i = [], 0
-    while i < len(ids):
-        if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-            out.append(new)
-            i += 2
-        else:
-            out.append(ids[i])
-            i += 1
-    return out
-
-
-def encode_word(word: str, rank: dict[tuple[int, int], int], base: int = 256 + len(SPECIAL_TOKENS)) -> list[int]:
-    ids = list(word.encode())
-    while len(ids) > 1:
-        low = min(zip(ids, ids[1:], strict=False), key=lambda p: rank.get(p, len(rank)))
-        if low not in rank:
-            break
-        ids = merged(ids, low, base + rank[low])
-    return ids
+def encode_word(word: str, rank: dict[tuple[int, int], int]) -> list[int]:
+    return folded(list(word.encode()), rank, BASE)
 
 
 def encoder(merges: list[tuple[int, int]], ends: bool = False):
@@ -124,11 +58,43 @@ def encoder(merges: list[tuple[int, int]], ends: bool = False):
     return encode
 
 
+def rank_encoder(ranks: dict[bytes, int]):
+    """An Arrow function from an array of words to ids of a vocabulary of pieces: neighbours are joined while their joint piece has a rank, the least first."""
+
+    def fold(word: str) -> list[int]:
+        raw = word.encode()
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        while len(parts) > 1:
+            low = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], len(ranks)))
+            if parts[low] + parts[low + 1] not in ranks:
+                break
+            parts[low : low + 2] = [parts[low] + parts[low + 1]]
+        return [ranks[p] for p in parts]
+
+    @F.pandas_udf("array<int>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo: dict[str, list[int]] = {}
+        for column in batches:
+            out = []
+            for words in column:
+                ids: list[int] = []
+                for w in words if words is not None else ():
+                    if w not in memo:
+                        if len(memo) > 500_000:
+                            memo.clear()
+                        memo[w] = fold(w)
+                    ids += memo[w]
+                out.append(ids)
+            yield pd.Series(out)
+
+    return encode
+
+
 def vocabulary(merges: list[tuple[int, int]]) -> dict[int, bytes]:
     """Bytes of each id; special tokens have none."""
     vocab = {i: bytes([i]) for i in range(256)}
     for i, (a, b) in enumerate(merges):
-        vocab[256 + len(SPECIAL_TOKENS) + i] = vocab[a] + vocab[b]
+        vocab[BASE + i] = vocab[a] + vocab[b]
     return vocab
 
 

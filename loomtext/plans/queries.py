@@ -6,6 +6,7 @@ document by SQL that both engines read (``*_SQL``), or is a small table of cases
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 
@@ -15,8 +16,8 @@ from loomtext.config import SKIPPED_TITLES
 from loomtext.functions import html, normalize, text
 from loomtext.functions.normalize import CLOSE_ORPHAN, HEADING, LINK, OPEN_ORPHAN, TABLE, TAIL, TEMPLATE, URL
 from loomtext.functions.text import SPACE, WORD
-from loomtext.operators import chat, dedup, gates, metrics, mix, parse, recall, tokens, vocab
-from loomtext.session import shared_folder
+from loomtext.operators import chat, dedup, gates, metrics, mix, parse, recall, tokens, training, vocab
+from loomtext.session import saved, shared_folder
 from loomtext.sources import readers, shapes, writers
 
 QUERIES, ORACLE = {}, {}
@@ -48,7 +49,7 @@ def table(spark, sf_dir, name):
 
 def made(spark, sf_dir, sql):
     """The rows of an input that is made by SQL over the tables."""
-    return spark.sql(re.sub(r"FROM (documents|conversations|events|benchmark)\b", rf"FROM parquet.`{sf_dir}/\1.parquet`", sql))
+    return spark.sql(re.sub(r"FROM (documents|conversations|events|benchmark|lineitem)\b", rf"FROM parquet.`{sf_dir}/\1.parquet`", sql))
 
 
 def scratch(spark, name):
@@ -243,15 +244,15 @@ def k2_replaced(spark, sf_dir):
     return spark.read.json(at + ".bak").join(new, "doc_id", "left").select("doc_id", F.coalesce("_new", F.lit(False)).alias("is_new"))
 
 
-@query("SELECT their_id, our_id FROM (SELECT range AS their_id, range // 2 AS our_id FROM range(64) UNION ALL SELECT range, range // 3 FROM range(64))")
+@query("SELECT l_partkey AS their_id, l_suppkey AS our_id FROM lineitem")
 def k7_cached_map(spark, sf_dir):
     at = scratch(spark, "k7")
-    writers.cached_map(spark, lambda: _edges(spark), at, 32, 64)
+    writers.cached_map(spark, lambda: made(spark, sf_dir, _EDGES), at, 32, 64)
 
     def never():
         raise AssertionError("the map is there already")
 
-    return writers.cached_map(spark, never, at, 32, 64).select(F.col("their_id").cast("long").alias("their_id"), F.col("our_id").cast("long").alias("our_id"))
+    return writers.cached_map(spark, never, at, 32, 64)
 
 
 @query("SELECT event_id, CAST(2 AS BIGINT) AS n FROM events")
@@ -617,10 +618,13 @@ _TRAINED = {}
 
 
 def _merges(spark, sf_dir):
-    """The merges of all documents' words, trained once for each table."""
-    if sf_dir not in _TRAINED:
-        _TRAINED[sf_dir] = tokens.train(tokens.word_counts(table(spark, sf_dir, "documents")))
-    return _TRAINED[sf_dir]
+    """The merges of all documents' words, trained once for the same word counts."""
+    counts = saved(tokens.word_counts(table(spark, sf_dir, "documents")))
+    h = F.xxhash64("word", "n")
+    key = tuple(counts.agg(F.count("*"), F.bit_xor(h), F.sum(h % 1_000_003)).first())
+    if key not in _TRAINED:
+        _TRAINED[key] = training.train(counts)
+    return _TRAINED[key]
 
 
 @query()
@@ -837,100 +841,103 @@ def r11_peek(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.peek(F.col("text")).alias("text"))
 
 
-# --- token distributions, over the embeddings as logits
-LOGITS_SQL = "SELECT vec_id AS pos, id, CAST(v AS DOUBLE) * 10 AS logit FROM (SELECT vec_id, {0} FROM embeddings) e"
-_LOGITS = LOGITS_SQL.format("unnest(embedding) AS v, unnest(range(len(embedding))) AS id")
-EDGES_SQL = "SELECT id AS their_id, our_id FROM (SELECT id, id // 2 AS our_id FROM r UNION ALL SELECT id, id // 3 FROM r) e"
+# --- two tokenisations of the documents: our trained one, and one by a public vocabulary
+THEIRS = os.environ.get("LOOMTEXT_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: Fixed value: how that vocabulary's texts are split into words.
+THEIR_SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_EDGES = "SELECT l_partkey AS their_id, l_suppkey AS our_id FROM lineitem"
 
 
-def _logits(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.posexplode("embedding").alias("id", "v")).select("pos", "id", (F.col("v").cast("double") * 10).alias("logit"))
+def _two_vocabularies(spark, sf_dir):
+    """Our pieces by id, the table of theirs, and functions from a text column to ids of both."""
+    merges, theirs = _merges(spark, sf_dir), readers.ranked_pieces(spark, THEIRS)
+    ranks = {bytes(r["piece"]): r["id"] for r in theirs.collect()}  # a vocabulary
+    ours, encode, rank = tokens.vocabulary(merges), tokens.encoder(merges), tokens.rank_encoder(ranks)
+    return ours, theirs, ranks, lambda t: encode(tokens.pretokens(t)), lambda t: rank(F.regexp_extract_all(t, F.lit(THEIR_SPLIT), F.lit(0)))
 
 
-def _edges(spark):
-    r = spark.range(64).select(F.col("id").cast("int").alias("id"))
-    half = r.select(F.col("id").alias("their_id"), F.floor(F.col("id") / 2).cast("int").alias("our_id"))
-    return half.unionByName(r.select(F.col("id").alias("their_id"), F.floor(F.col("id") / 3).cast("int").alias("our_id")))
+@query()
+def v1_vocab_edges(spark, sf_dir):
+    ours, theirs, _, to_ours, to_theirs = _two_vocabularies(spark, sf_dir)
+    return vocab.vocab_map(spark.createDataFrame(list(ours.items()), "id int, piece binary"), theirs, to_ours, to_theirs)
 
 
-_W = "SELECT their_id, our_id, sum(w) AS weight FROM (SELECT id AS their_id, our_id, 0.5::DOUBLE AS w FROM (SELECT range AS id, range // 2 AS our_id FROM range(64) UNION ALL SELECT range, range // 3 FROM range(64))) GROUP BY 1, 2"
-_P = f"SELECT pos, id, exp(logit - max(logit) OVER (PARTITION BY pos)) / sum(exp(logit - m)) OVER (PARTITION BY pos) AS p FROM (SELECT *, max(logit) OVER (PARTITION BY pos) AS m FROM ({_LOGITS}))"
+@query(f"SELECT their_id, our_id, count(*) / sum(count(*)) OVER (PARTITION BY their_id) AS weight FROM ({_EDGES}) GROUP BY 1, 2")
+def v2_edge_weights(spark, sf_dir):
+    return vocab.edge_weights(made(spark, sf_dir, _EDGES))
 
 
-@query("SELECT their_id, our_id FROM (VALUES (10, 1), (11, 1), (12, 2), (13, 7)) t(their_id, our_id)")
-def v1_vocab_edges(spark, sf_dir):
-    ours = spark.sql("SELECT * FROM (VALUES (1, array(10, 11)), (2, array(12)), (3, CAST(array() AS array<int>))) t(our_id, their_ids)")
-    theirs = spark.sql("SELECT * FROM (VALUES (10, 'a', array(9)), (13, 'b', array(7)), (14, '<s>', array(7)), (60000, 'c', array(7))) t(their_id, piece, our_ids)")
-    return vocab.vocab_edges(ours, theirs)
+def _aligned(spark, sf_dir):
+    ours, _, ranks, to_ours, to_theirs = _two_vocabularies(spark, sf_dir)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", to_ours(F.col("text")).alias("our_ids"), to_theirs(F.col("text")).alias("their_ids"))
+    size = [0] * (max(ranks.values()) + 1)
+    for piece, i in ranks.items():
+        size[i] = len(piece)
+    return vocab.aligned(rows, vocab.text_lengths(ours, range(256, training.BASE)), size)
 
 
-@query(f"SELECT CAST(their_id AS INTEGER) AS their_id, CAST(our_id AS INTEGER) AS our_id, weight FROM ({_W})")
-def v2_edge_weights(spark, sf_dir):
-    return vocab.edge_weights(_edges(spark))
+@query()
+def v5_aligned(spark, sf_dir):
+    return _aligned(spark, sf_dir)
 
 
-_PROJECTED = f"SELECT pos, our_id, q / (sum(q) OVER (PARTITION BY pos) + 1e-10) AS p FROM (SELECT pos, our_id, sum(p * weight) AS q FROM ({_P}) JOIN ({_W}) ON id = their_id GROUP BY 1, 2)"
+@query()
+def v6_position_map(spark, sf_dir):
+    return vocab.position_map(_aligned(spark, sf_dir))
 
 
-@query(f"SELECT pos, CAST(our_id AS INTEGER) AS our_id, round(ln(p + 1e-10), 6) AS logit FROM ({_PROJECTED})")
-def v3_projected_logits(spark, sf_dir):
-    return vocab.projected_logits(_logits(spark, sf_dir), vocab.edge_weights(_edges(spark))).withColumn("logit", F.round("logit", 6))
+# --- token distributions, over the embeddings as logits
+LOGITS_SQL = "SELECT vec_id AS pos, id, CAST(v AS DOUBLE) * 10 AS logit FROM (SELECT vec_id, {0} FROM embeddings) e"
+_LOGITS = LOGITS_SQL.format("unnest(embedding) AS v, unnest(range(len(embedding))) AS id")
 
 
-@query(f"SELECT pos, CAST(our_id AS INTEGER) AS our_id, round(p, 9) AS p FROM ({_PROJECTED})")
-def v4_projected(spark, sf_dir):
-    return vocab.projected(vocab.softmax(_logits(spark, sf_dir)), vocab.edge_weights(_edges(spark))).withColumn("p", F.round("p", 9))
+def _positions(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.transform("embedding", lambda v: v.cast("double") * 10).alias("logits"))
 
 
-def _spans(spark, sf_dir):
-    """Pieces of three and of five characters of every document: two tokenisations of one text, with ids by what a piece spells."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t")).filter(F.length("t") > 0)
+def _few_edges(spark):
+    """Each of 64 ids has an edge to its half and its third."""
+    r = spark.range(64).select(F.col("id").cast("int").alias("their_id"))
+    return r.select("their_id", F.explode(F.array(*(F.floor(F.col("their_id") / n).cast("int") for n in (2, 3)))).alias("our_id"))
 
-    def pieces(side, n):
-        spans = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / n).cast("int")), lambda i: F.struct((i * n).alias("start"), F.least((i + 1) * n, F.length("t")).alias("end"), F.substring("t", i * n + 1, F.lit(n)).alias("piece")))
-        cut = d.select("doc_id", F.lit(side).alias("side"), F.posexplode(spans).alias("idx", "s"))
-        return cut.select("doc_id", "side", "idx", F.conv(F.substring(F.md5(F.col("s.piece").cast("binary")), 1, 6), 16, 10).cast("int").alias("id"), "s.start", "s.end")
 
-    return pieces("ours", 3).unionByName(pieces("theirs", 5))
+_W = "SELECT their_id, our_id, sum(w) AS weight FROM (SELECT id AS their_id, our_id, 0.5::DOUBLE AS w FROM (SELECT range AS id, range // 2 AS our_id FROM range(64) UNION ALL SELECT range, range // 3 FROM range(64))) GROUP BY 1, 2"
+_P = f"SELECT pos, id, exp(logit - max(logit) OVER (PARTITION BY pos)) / sum(exp(logit - m)) OVER (PARTITION BY pos) AS p FROM (SELECT *, max(logit) OVER (PARTITION BY pos) AS m FROM ({_LOGITS}))"
+_PROJECTED = f"SELECT pos, our_id, q / (sum(q) OVER (PARTITION BY pos) + 1e-10) AS p FROM (SELECT pos, our_id, sum(p * weight) AS q FROM ({_P}) JOIN ({_W}) ON id = their_id GROUP BY 1, 2)"
 
 
-_SIDE = "SELECT doc_id, CAST(i AS INTEGER) AS idx, CAST(('0x' || substr(md5(substr(text, CAST(i * {0} + 1 AS BIGINT), {0})), 1, 6)) AS INTEGER) AS id, length(text) AS n FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / {0}) AS BIGINT))) AS i FROM documents)"
-_ALIGNED = f"SELECT a.doc_id, a.idx AS our_idx, a.id AS our_id, b.idx AS their_idx, b.id AS their_id FROM (SELECT *, unnest(range(idx * 3 // 5, (least(idx * 3 + 3, n) - 1) // 5 + 1)) AS j FROM ({_SIDE.format(3)})) a JOIN ({_SIDE.format(5)}) b ON a.doc_id = b.doc_id AND b.idx = a.j"
+@query(f"SELECT pos, CAST(our_id AS INTEGER) AS our_id, round(ln(p + 1e-10), 6) AS logit FROM ({_PROJECTED})")
+def v3_projected_logits(spark, sf_dir):
+    out = vocab.projected_logits(_positions(spark, sf_dir), vocab.edge_weights(_few_edges(spark)))
+    return out.select("pos", F.inline("logits")).select("pos", F.col("id").alias("our_id"), F.round("logit", 6).alias("logit"))
 
 
-# whole texts make millions of matches, so these two return digests of them by document
-@query(f"SELECT doc_id, count(*) AS n_matches, CAST(sum(CAST(our_idx AS BIGINT) * their_idx) AS BIGINT) AS sum_places, CAST(sum(CAST(our_id AS BIGINT) - their_id) AS BIGINT) AS sum_ids FROM ({_ALIGNED}) GROUP BY doc_id")
-def v5_aligned(spark, sf_dir):
-    long = lambda c: F.col(c).cast("long")
-    return vocab.aligned(_spans(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.sum(long("our_idx") * long("their_idx")).alias("sum_places"), F.sum(long("our_id") - long("their_id")).alias("sum_ids"))
+@query(f"SELECT pos, CAST(our_id AS INTEGER) AS our_id, round(p, 9) AS p FROM ({_PROJECTED})")
+def v4_projected(spark, sf_dir):
+    p = _positions(spark, sf_dir).select("pos", vocab.softmax(F.col("logits")).alias("p"))
+    return vocab.projected(p, vocab.edge_weights(_few_edges(spark))).select("pos", F.inline("p")).select("pos", F.col("id").alias("our_id"), F.round("p", 9).alias("p"))
 
 
-@query(f"WITH al AS ({_ALIGNED}), w AS (SELECT *, 1 / count(*) OVER (PARTITION BY doc_id, our_idx) AS w FROM al), m AS (SELECT w.doc_id, our_idx, b.idx AS their_pos, sum(w) AS weight FROM w JOIN ({_SIDE.format(5)}) b ON w.doc_id = b.doc_id AND w.their_id = b.id GROUP BY 1, 2, 3) "
-       "SELECT doc_id, count(*) AS n_places, round(sum(weight), 3) AS weight, CAST(sum(CAST(our_idx AS BIGINT) * their_pos) AS BIGINT) AS sum_places FROM m GROUP BY doc_id")
-def v6_position_map(spark, sf_dir):
-    s = _spans(spark, sf_dir)
-    m = vocab.position_map(vocab.aligned(s), s.filter("side = 'theirs'"))
-    return m.groupBy("doc_id").agg(F.count("*").alias("n_places"), F.round(F.sum("weight"), 3).alias("weight"), F.sum(F.col("our_idx").cast("long") * F.col("their_pos")).alias("sum_places"))
+def _tops(spark, sf_dir, k=10):
+    return _positions(spark, sf_dir).select("pos", vocab.top_k(vocab.softmax(F.col("logits")), k).alias("top"))
 
 
 @query(f"SELECT pos, CAST(id AS INTEGER) AS id, round(p, 9) AS p, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY p DESC, id) AS r FROM ({_P})) WHERE r <= 10")
 def v7_top_k(spark, sf_dir):
-    return vocab.top_k(vocab.softmax(_logits(spark, sf_dir)), 10).withColumn("p", F.round("p", 9))
+    return _tops(spark, sf_dir).select("pos", F.posexplode("top").alias("n", "x")).select("pos", "x.id", F.round("x.p", 9).alias("p"), (F.col("n") + 1).alias("rank"))
 
 
 @query(ORACLE["v7_top_k"].replace(", CAST(r AS INTEGER) AS rank", ""))
 def s13_top_logits(spark, sf_dir):
     at = scratch(spark, "s13")
-    top = vocab.top_k(vocab.softmax(_logits(spark, sf_dir)), 10)
-    top.groupBy("pos").agg(F.collect_list(F.struct("id", "p")).alias("top")).write.parquet(at)
+    _tops(spark, sf_dir).write.parquet(at)
     return readers.top_logits(spark, at).withColumn("p", F.round("p", 9))
 
 
 @query(f"""WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY p DESC, id) AS r FROM ({_P})) WHERE r <= 10), o AS (SELECT pos, greatest(1 - sum(p), 0) / 54 AS other FROM t GROUP BY pos),
 f AS (SELECT o.pos, g.range AS id, coalesce(t.p, other) AS p FROM o CROSS JOIN range(64) g LEFT JOIN t ON t.pos = o.pos AND t.id = g.range) SELECT pos, CAST(id AS INTEGER) AS id, round(p / sum(p) OVER (PARTITION BY pos), 9) AS p FROM f""")
 def v8_rebuilt(spark, sf_dir):
-    top = vocab.top_k(vocab.softmax(_logits(spark, sf_dir)), 10)
-    return vocab.rebuilt(top, spark.range(64).select(F.col("id").cast("int").alias("id")), 64).withColumn("p", F.round("p", 9))
+    return _tops(spark, sf_dir).select("pos", F.posexplode(vocab.rebuilt(F.col("top"), 64)).alias("id", "p")).withColumn("p", F.round("p", 9))
 
 
 _SOFT = "SELECT pos, id, exp({0} - max({0}) OVER w) / sum(exp({0} - m)) OVER w AS p FROM (SELECT *, max({0}) OVER (PARTITION BY pos) AS m FROM ({1})) WINDOW w AS (PARTITION BY pos)"
@@ -939,13 +946,12 @@ _SOFT = "SELECT pos, id, exp({0} - max({0}) OVER w) / sum(exp({0} - m)) OVER w A
 @query(f"""WITH s AS ({_SOFT.format('x', f'SELECT pos, id, logit / 2 AS x FROM ({_LOGITS})')}), t AS ({_SOFT.format('x', f'SELECT pos, id, -logit / 2 AS x FROM ({_LOGITS})')}), kl AS (SELECT pos, sum(t.p * (ln(t.p) - ln(s.p))) AS kl FROM s JOIN t USING (pos, id) GROUP BY pos),
 ce AS (SELECT pos, -ln(p) AS ce FROM ({_P}) WHERE id = pos % 64) SELECT pos, round(0.7 * 4 * kl + 0.3 * ce, 6) AS loss FROM kl JOIN ce USING (pos)""")
 def v9_distillation_loss(spark, sf_dir):
-    s = _logits(spark, sf_dir)
-    targets = s.select("pos", (F.col("pos") % 64).cast("int").alias("target")).distinct()
-    return vocab.distillation_loss(s, s.withColumn("logit", -F.col("logit")), targets).withColumn("loss", F.round("loss", 6))
+    teacher, target = F.transform("logits", lambda x: -x), (F.col("pos") % 64).cast("int")
+    return _positions(spark, sf_dir).select("pos", F.round(vocab.distillation_loss(F.col("logits"), teacher, target), 6).alias("loss"))
 
 
 @query(f"""WITH x AS (SELECT pos, id, CASE WHEN id % 5 = 0 THEN CASE WHEN logit > 0 THEN logit / 1.15 ELSE logit * 1.15 END ELSE logit END / 0.7 AS x FROM ({_LOGITS})), k AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY pos ORDER BY x DESC) AS r FROM x) WHERE r <= 50),
 p AS ({_SOFT.format('x', 'SELECT pos, id, x FROM k')}), n AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY pos ORDER BY p DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p) SELECT pos, CAST(id AS INTEGER) AS id, round(p / sum(p) OVER (PARTITION BY pos), 6) AS p FROM n WHERE b < 0.9""")
 def v10_sampling_filter(spark, sf_dir):
-    s = _logits(spark, sf_dir)
-    return vocab.sampling_filter(s, s.filter("id % 5 = 0")).withColumn("p", F.round("p", 6))
+    seen = F.sequence(F.lit(0), F.lit(60), F.lit(5))
+    return _positions(spark, sf_dir).select("pos", F.inline(vocab.sampling_filter(F.col("logits"), seen))).withColumn("p", F.round("p", 6))

@@ -128,3 +128,8 @@ def top_logits(spark: SparkSession, path: str) -> DataFrame:
     """pos, id, p of stored teacher batches: parquet rows (pos, array of (id, p))."""
     return spark.read.parquet(path).select("pos", F.inline("top"))
 
+
+def ranked_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """id, piece of a vocabulary file whose lines are a piece in base64 and its rank."""
+    parts = F.split("value", " ")
+    return spark.read.text(path).filter("value <> ''").select(parts[1].cast("int").alias("id"), F.unbase64(parts[0]).alias("piece"))

@@ -1,5 +1,6 @@
 """Cases that the tables do not hold, and operators that SQL cannot express, against plain Python."""
 
+import math
 import json
 import random
 import re
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions import html, normalize, text
-from loomtext.operators import chat, dedup, gates, metrics, mix, parse, recall, tokens
+from loomtext.operators import chat, dedup, gates, metrics, mix, parse, recall, tokens, training, vocab
 from loomtext.sources import readers, shapes, writers
 from loomtext.streaming import ingest
 
@@ -218,7 +219,7 @@ def naive_train(counts, n):
             break
         best = min(pairs, key=lambda p: (-pairs[p], p))
         merges.append(best)
-        words = [(tokens.merged(ids, best, new), c) for ids, c in words]
+        words = [(training.merged(ids, best, new), c) for ids, c in words]
     return merges
 
 
@@ -227,13 +228,63 @@ def test_training_and_round_trip(spark):
     words = [("".join(random.choice("abé") for _ in range(random.randint(1, 7))), random.randint(1, 9)) for _ in range(60)]
     words = list({w: c for w, c in words}.items()) + [("aaaa", 5)]
     words = list(dict(words).items())
-    merges = tokens.train(spark.createDataFrame(words, "word string, n long"), 264 + 40)
+    merges = training.train(spark.createDataFrame(words, "word string, n long"), 264 + 40)
     assert merges == naive_train(words, 40)
     df = spark.createDataFrame([("aaa bé ab, 12",)], "t string")
     ids = df.select(tokens.encoder(merges)(tokens.pretokens(F.col("t"))).alias("ids"))
     assert ids.select(tokens.decoder(merges)(F.col("ids"))).first()[0] == "aaa bé ab, 12"
 
 
+@pytest.mark.parametrize("seed,width,most", [(1, 1, 100_000), (2, 4, 100_000), (3, 8, 6), (4, 5, 1), (5, 40, 60), (6, 400, 100_000)])
+def test_rounds_of_merges_equal_the_sequential_rule(spark, seed, width, most):
+    """Many ties, runs of one letter, rising floors; every pair down to the last is merged."""
+    rng = random.Random(seed)
+    words = {"".join(rng.choice("aab" if seed % 2 else "abcé") for _ in range(rng.randint(1, 9))): rng.choice([1, 1, 2, 3, 9]) for _ in range(40)} | {"aaaaaaa": 4, "": 3}
+    expected, log = naive_train(words.items(), 10_000), []
+    df = spark.createDataFrame([*words.items(), (None, 7)], "word string, n long").coalesce(1)
+    n = 5 if width < 6 else 40
+    assert training.train(df, vocab_size=264 + n, width=width, most=most, log=log) == expected[:n]
+    assert sum(log) == n and (width < 100 or len(log) == 1)
+
+
+def test_training_on_documents_takes_few_rounds(spark, sf_dir):
+    counts = tokens.word_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40))
+    log, one = [], []
+    wide = training.train(counts, 264 + 900, log=one)
+    assert training.train(counts, 264 + 900, width=200, most=5000, log=log) == wide and len(wide) == 900
+    assert len(one) <= 2 < len(log) <= 12
+
+
+@pytest.mark.parametrize("limits", [{}, {"block_edges": 3}, {"block_edges": 3, "broadcast_edges": 4}])
+def test_projection_in_blocks(spark, limits):
+    rng = random.Random(1)
+    edges = [(rng.randrange(8), rng.randrange(6)) for _ in range(20)] + [(2, 1)] * 3 + [(9, 0)]  # no position has id 9
+    p = {i: [rng.random() for _ in range(8)] for i in range(5)}
+    weights = vocab.edge_weights(spark.createDataFrame(edges, "their_id int, our_id int"))
+    got = {r["pos"]: {x["id"]: x["p"] for x in r["p"]} for r in vocab.projected(spark.createDataFrame(list(p.items()), "pos int, p array<double>"), weights, **limits).collect()}
+    for pos, row in p.items():
+        q = {}
+        for t, o in edges:
+            q[o] = q.get(o, 0) + (row[t] if t < 8 else 0) / sum(e[0] == t for e in edges)
+        assert got[pos] == pytest.approx({o: v / (sum(q.values()) + 1e-10) for o, v in q.items()})
+
+
+def test_array_algebra_has_no_exchange(spark):
+    rows = spark.createDataFrame([(1, [0.0] * 6), (2, [1.0, 3.0, 3.0, 0.0, -1.0, 3.0])], "pos int, x array<double>")
+    x = F.col("x")
+    out = rows.select("pos", vocab.top_k(vocab.softmax(x), 2).alias("top"), vocab.rebuilt(vocab.top_k(vocab.softmax(x), 2), 6).alias("full"), vocab.rebuilt(vocab.top_k(vocab.softmax(x), 9), 6).alias("all"),
+                      vocab.sampling_filter(x, F.array(F.lit(1), F.lit(77), F.lit(1)), k=2).alias("s"), vocab.sampling_filter(x, F.array().cast("array<int>"), k=50, nucleus=2.0).alias("every"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    a, b = out.orderBy("pos").collect()
+    assert [t["id"] for t in a["top"]] == [0, 1] and [t["id"] for t in b["top"]] == [1, 2]
+    assert a["full"] == pytest.approx([1 / 6] * 6) and sum(b["full"]) == pytest.approx(1) and b["full"][0] == b["full"][3] == pytest.approx((1 - 2 * b["top"][0]["p"]) / 4)
+    assert b["all"] == pytest.approx([v / sum(map(math.exp, [1, 3, 3, 0, -1, 3])) for v in map(math.exp, [1, 3, 3, 0, -1, 3])])
+    assert [t["id"] for t in a["s"]] == [0, 1, 2, 3, 4, 5]  # all zeros: what equals the second best stays
+    assert [t["id"] for t in b["s"]] == [2, 5] and [t["p"] for t in b["s"]] == pytest.approx([0.5, 0.5])  # id 1 was seen
+    assert [t["id"] for t in b["every"]] == [1, 2, 5, 0, 3, 4]
+
+
 @pytest.mark.parametrize("n", [3, 4, 8, 9, 40])
 @pytest.mark.parametrize("overlap", [False, True])
 def test_packing(spark, n, overlap):

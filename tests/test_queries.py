@@ -1,5 +1,7 @@
 """Every query runs; where it has SQL, DuckDB gives the same rows, else plain Python does."""
 
+import base64
+import functools
 import json
 import os
 import re
@@ -10,7 +12,7 @@ from urllib.parse import urljoin, urlparse
 import pytest
 from compare import assert_same
 
-from loomtext.plans.queries import ORACLE, QUERIES
+from loomtext.plans.queries import ORACLE, QUERIES, THEIR_SPLIT, THEIRS
 
 
 class Page(HTMLParser):
@@ -78,12 +80,14 @@ def check_r8_sentences(got, duck, sf_dir):
     assert {r["doc_id"]: r["sentences"] for r in got} == expected
 
 
+PATTERN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[a-zA-ZÀ-ÿ]+| ?[0-9]+| ?[^\s\w]+|\s+")
+
+
 def check_merges(got, duck, sf_dir):
-    """The first merges against the definition: count all pairs anew each time."""
+    """The first merges against the definition: count all pairs anew each time. The rest are compared with plain training in test_operators."""
     words = {}
-    pattern = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[a-zA-ZÀ-ÿ]+| ?[0-9]+| ?[^\s\w]+|\s+")
     for (t,) in rows(duck, "SELECT text FROM documents"):
-        for w in pattern.findall(t):
+        for w in PATTERN.findall(t):
             words[w] = words.get(w, 0) + 1
     split = [(list(w.encode()), n) for w, n in words.items()]
     merges = [(r[1], r[2]) for r in sorted(map(tuple, got))]
@@ -102,12 +106,126 @@ def check_merges(got, duck, sf_dir):
                 i += 1
 
 
+@functools.cache
+def trained(sf_dir):
+    from pyspark.sql import SparkSession
+
+    found = QUERIES["t3_merges"](SparkSession.getActiveSession(), sf_dir).collect()
+    return {(r[1], r[2]): 264 + r[0] for r in found}
+
+
+def merged_word(word, made):
+    """One merge at a time: the pair that was learned first, at its leftmost place."""
+    ids = list(word.encode())
+    while True:
+        known = [(made[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in made]
+        if not known:
+            return ids
+        new, i = min(known)
+        ids[i : i + 2] = [new]
+
+
+def plain_ids(text, made, memo={}):  # noqa: B006
+    out = []
+    for w in PATTERN.findall(text):
+        if w not in memo:
+            memo[w] = merged_word(w, made)
+        out += memo[w]
+    return out
+
+
 def check_t4_encode(got, duck, sf_dir):
-    """Ids spell their text, begin and end with their marks, and no two neighbours are left that could be merged."""
-    texts = dict(rows(duck, "SELECT doc_id, text FROM documents"))
+    made = trained(sf_dir)
+    expected = {i: [258, *plain_ids(t, made), 259] for i, t in rows(duck, "SELECT doc_id, text FROM documents")}
+    assert {r["doc_id"]: r["ids"] for r in got} == expected
+
+
+@functools.cache
+def their_tokenizer():
+    import tiktoken
+
+    with open(THEIRS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("theirs", pat_str=THEIR_SPLIT.removeprefix("(?U)"), mergeable_ranks=ranks, special_tokens={}), ranks
+
+
+def our_pieces(made):
+    pieces = {i: bytes([i]) for i in range(256)}
+    for (a, b), i in made.items():
+        pieces[i] = pieces[a] + pieces[b]
+    return pieces
+
+
+def check_v1_vocab_edges(got, duck, sf_dir):
+    made, (theirs, ranks) = trained(sf_dir), their_tokenizer()
+    forward = set()
+    for i, piece in our_pieces(made).items():
+        try:
+            forward |= {(t, i) for t in theirs.encode_ordinary(piece.decode())}
+        except UnicodeDecodeError:
+            continue
+    reached, edges = {t for t, _ in forward}, sorted(forward)
+    for piece, t in ranks.items():
+        text = piece.decode("utf-8", "replace")
+        if t < 50_000 and t not in reached and not text.startswith("<"):
+            edges += [(t, i) for i in plain_ids(text, made)]
+    assert sorted((r["their_id"], r["our_id"]) for r in got) == sorted(edges)
+
+
+def plain_alignment(text, made, pieces, theirs):
+    """(our ids, their ids, the places of theirs that each of ours overlaps), every token against every other."""
+    ours, ids = plain_ids(text, made), theirs.encode_ordinary(text)
+    spans, pos = [], 0
+    for i in ours:
+        try:
+            n = 1 if i < 256 else len(pieces[i].decode())
+        except UnicodeDecodeError:
+            n = len(pieces[i])
+        spans.append((pos, pos + n))
+        pos += n
+    starts, at = [], 0
+    for c in text:
+        starts.append(at)
+        at += len(c.encode())
+    char_of = [c for c, ch in enumerate(text) for _ in ch.encode()]
+    their_spans, at = [], 0
+    for i in ids:
+        n = len(theirs.decode_single_token_bytes(i))
+        their_spans.append((char_of[at], char_of[at + n - 1] + 1))
+        at += n
+    return ours, ids, [[k for k, (s, e) in enumerate(their_spans) if e > a and s < b] for a, b in spans]
+
+
+def some_alignments(duck, sf_dir):
+    made, (theirs, _) = trained(sf_dir), their_tokenizer()
+    pieces = our_pieces(made)
+    for i, t in rows(duck, "SELECT doc_id, text FROM documents WHERE length(text) < 2500"):
+        yield i, *plain_alignment(t, made, pieces, theirs)
+
+
+def check_v5_aligned(got, duck, sf_dir):
+    got = {r["doc_id"]: r for r in got}
+    assert len(got) == rows(duck, "SELECT count(*) FROM documents")[0][0]
+    for i, ours, ids, places in some_alignments(duck, sf_dir):
+        r = got[i]
+        assert (r["our_ids"], r["their_ids"]) == (ours, ids)
+        assert [list(range(a, b)) for a, b in zip(r["low"], r["high"])] == places
+
+
+def check_v6_position_map(got, duck, sf_dir):
+    found = {}
     for r in got:
-        assert r["ids"][0] == 258 and r["ids"][-1] == 259 and max(r["ids"]) < 32_000
-        assert len(r["ids"]) - 2 <= len(texts[r["doc_id"]].encode())
+        found.setdefault(r["doc_id"], {})[r["our_idx"]] = (r["their_pos"], [round(w, 9) for w in r["weight"]])
+    for i, _, ids, places in some_alignments(duck, sf_dir):
+        expected = {}
+        for n, hit in enumerate(places):
+            cells = {}
+            for k in hit:
+                for pos in [p for p, x in enumerate(ids) if x == ids[k]]:
+                    cells[pos] = cells.get(pos, 0) + 1 / len(hit)
+            if cells:
+                expected[n] = (sorted(cells), [round(cells[c], 9) for c in sorted(cells)])
+        assert found.get(i, {}) == expected
 
 
 def check_a8_inventory(got, duck, sf_dir):
@@ -118,6 +236,7 @@ def check_a8_inventory(got, duck, sf_dir):
 CHECKS = {
     "n3_nfkc": check_n3_nfkc, "h1_page_text": check_h1_page_text, "h2_resolved_links": check_h2_resolved_links, "s6_web_pages": check_s6_web_pages, "s7_crawl": check_s7_crawl,
     "r8_sentences": check_r8_sentences, "t3_merges": check_merges, "k6_tokenizer": check_merges, "t4_encode": check_t4_encode, "a8_inventory": check_a8_inventory,
+    "v1_vocab_edges": check_v1_vocab_edges, "v5_aligned": check_v5_aligned, "v6_position_map": check_v6_position_map,
 }
 
 
