@@ -1,26 +1,26 @@
 """Line de-duplication by pairwise alignment.
 
-A line alone is a poor sign of overlap, as short ones are frequent, so what is hashed are runs: for each line the
+A line alone is a poor sign of overlap, as short ones are frequent, so what is hashed are runs, which are rare: for each line the
 shortest run of consecutive lines, blank ones aside, that begins with it and has ``BLOCK_WORDS`` words, and the
 shortest one that ends with it.  There are at most two runs a line, and a line of so many words is its own run.  Runs that
-a single document holds are dropped at once.  Any other run pairs each later document with the run's first holder, so
-a run in a third of all documents gives one pair for each of them and never all pairs.
+a single document holds are dropped at once.  Any other run names its first holder as a partner of each later document, so
+a run in a third of all documents gives one pair for each of them and never all pairs, and no cap is needed.
 
-Each pair is aligned as patience diff does it, over the lines of its shared runs: the common lines, in the order of the
-later document, are dealt on piles on which the earlier document's line numbers increase.  A pile is an alignment in the
-order of both documents; what one alignment must leave because it stands elsewhere in the other document
-is on another pile, so moved blocks are aligned as well.  Blocks of aligned lines, in step in both documents, are deleted from the later.
+Each pair is aligned as a whole, over all runs that both have, by patience diff: what both begin and end with is aligned, then the runs that
+each has once are anchors, of which the longest sequence that is in order in both is kept, and the stretches between anchors are aligned in the same way.  A
+stretch without anchors has repeated runs only; there the n-th place of a run in one document answers the n-th in the other.  The lines of aligned
+runs, which are blocks of ``block_words`` words or more, are deleted from the later document.
 
-No cap is needed and nothing is lost: a block that a document shares with any earlier one is a union of runs,
-and every run that any earlier document holds is in step with its first holder's.  So the lines deleted are just those in a run
-of lines of ``block_words`` words or more that some earlier document has as well.
+So what both have but in another order stays, but for the longest part that is in order: of two blocks that changed places one stays, and a
+run that the later document has more often than the earlier is deleted as often as that has it.  A line goes if any of the document's partners aligns it.
 
 Later means the larger id.  The alignment sees hashes and line numbers only; texts are shuffled once, to take the lines out.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,59 +73,56 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def piles(matches: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Patience sorting of (mine, other), given in order: both numbers increase along each pile.
-
-    A match goes on the pile whose top is the largest below it.  Where it continues a pile in step, it goes there before
-    any match that does not, so stretches that are in step in both documents are never torn apart.
-    """
-    tops: list[int] = []  # ascending
-    number: list[int] = []  # of the pile with that top
-    out: list[list[tuple[int, int]]] = []
-    i = 0
-    while i < len(matches):
-        j = i
-        while j < len(matches) and matches[j][0] == matches[i][0]:
-            j += 1
-        later = []
-        for mine, other in matches[i:j]:
-            low, high = bisect_left(tops, other - 1), bisect_right(tops, other - 1)
-            place = next((p for p in range(low, high) if out[number[p]][-1][0] == mine - 1), None)
-            if place is None:
-                later.append((mine, other))
-            else:
-                number[place], number[high - 1] = number[high - 1], number[place]
-                tops[high - 1] = other
-                out[number[high - 1]].append((mine, other))
-        for mine, other in reversed(later):  # the largest first, as one pile takes one match of a line
-            place = bisect_left(tops, other) - 1
-            while place >= 0 and out[number[place]][-1][0] == mine:
-                place -= 1
-            if place < 0:
-                place = bisect_left(tops, other)
-                tops.insert(place, other)
-                number.insert(place, len(out))
-                out.append([(mine, other)])
-            else:
-                # keep the tops ascending: the pile moves up to its new place
-                pile = number.pop(place)
-                tops.pop(place)
-                place = bisect_left(tops, other)
-                tops.insert(place, other)
-                number.insert(place, pile)
-                out[pile].append((mine, other))
-        i = j
-    return out
-
-
-def blocks(pile: list[tuple[int, int]]) -> list[list[int]]:
-    """The stretches of a pile that are in step in both documents, by the numbers of the later document's lines."""
-    out: list[list[int]] = []
-    for n, (mine, other) in enumerate(pile):
-        if n and (mine - 1, other - 1) == pile[n - 1]:
-            out[-1].append(mine)
+def increasing(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest sequence of (mine, other), given by ascending mine, in which other ascends too; of several the one that ends least, and so on back."""
+    tops: list[int] = []  # the least end of a sequence of each length
+    where: list[int] = []
+    before: list[int] = []
+    for n, (_, other) in enumerate(anchors):
+        place = bisect_left(tops, other)
+        before.append(where[place - 1] if place else -1)
+        tops[place : place + 1] = [other]
+        where[place : place + 1] = [n]
+    out, n = [], where[-1] if where else -1
+    while n >= 0:
+        out.append(anchors[n])
+        n = before[n]
+    return out[::-1]
+
+
+def aligned(mine: list, other: list) -> list[tuple[int, int]]:
+    """Places (in mine, in other) that a patience diff of two sequences aligns, unordered."""
+    out: list[tuple[int, int]] = []
+    stretches = [(0, len(mine), 0, len(other))]
+    while stretches:
+        a, a_end, b, b_end = stretches.pop()
+        while a < a_end and b < b_end and mine[a] == other[b]:
+            out.append((a, b))
+            a, b = a + 1, b + 1
+        while a < a_end and b < b_end and mine[a_end - 1] == other[b_end - 1]:
+            a_end, b_end = a_end - 1, b_end - 1
+            out.append((a_end, b_end))
+        if a == a_end or b == b_end:
+            continue
+        places: dict = {}
+        for j in range(b, b_end):
+            places.setdefault(other[j], []).append(j)
+        times = Counter(mine[a:a_end])
+        anchors = [(i, places[mine[i]][0]) for i in range(a, a_end) if times[mine[i]] == 1 and len(places.get(mine[i], ())) == 1]
+        if anchors:
+            kept = increasing(anchors)
+            out += kept
+            for i, j in [*kept, (a_end, b_end)]:
+                stretches.append((a, i, b, j))
+                a, b = i + 1, j + 1
         else:
-            out.append([mine])
+            nth: Counter = Counter()
+            for i in range(a, a_end):
+                n = nth[mine[i]]
+                nth[mine[i]] += 1
+                if n < len(places.get(mine[i], ())):
+                    anchors.append((i, places[mine[i]][n]))
+            out += increasing(anchors)
     return out
 
 
@@ -150,29 +147,32 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "text_key", "line", "place", "rest", "h", "l"])
 
     lines = settled(rows.mapInArrow(lean(cut), f"doc_id {kind}, text_key bigint, line int, place int, rest array<int>, h bigint, l bigint"))
-    first = F.min(F.struct("doc_id", "text_key", "place")).alias("f")
-    shared = settled(lines.groupBy("h", "l").agg(first, F.max("doc_id").alias("last")).filter("f.doc_id < last").select("h", "l", F.col("f.doc_id").alias("other"), F.col("f.place").alias("at")))
-    matches = lines.join(shared, ["h", "l"]).filter("doc_id > other").select("doc_id", "text_key", "other", "line", "place", "rest", "at")
-    key = ["doc_id", "text_key", "other"]
+    first = F.min(F.struct("doc_id", "text_key")).alias("f")
+    shared = settled(lines.groupBy("h", "l").agg(first, F.max("doc_id").alias("last")).filter("f.doc_id < last").select("h", "l", F.col("f.doc_id").alias("other"), F.col("f.text_key").alias("other_key")))
+    held = settled(lines.join(shared, ["h", "l"]))
+    pairs = held.filter("doc_id > other").select("doc_id", "text_key", "other", "other_key").distinct()
+    span = F.coalesce(F.size("rest"), F.lit(0)).alias("span")
+    mine = pairs.join(held.select("doc_id", "text_key", "line", "place", "rest", span, "h", "l"), ["doc_id", "text_key"])
+    # saved, so that a first holder of very many documents' runs comes by an exchange of its own and can be split
+    theirs = settled(held.groupBy(F.col("doc_id").alias("other"), F.col("text_key").alias("other_key"), "h", "l").agg(F.collect_list("place").alias("at")))
+    matches = mine.join(theirs, ["other", "other_key", "h", "l"]).select("doc_id", "text_key", "other", "other_key", "place", "span", "line", "rest", "h", "l", "at")
+    key = ["doc_id", "text_key", "other", "other_key"]
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, key):
             bounds = np.append(_starts(table, key), table.num_rows).tolist()
-            line, place, rest, at = (table.column(c).to_pylist() for c in ("line", "place", "rest", "at"))
+            span, line, rest, h, low, at = (table.column(c).to_pylist() for c in ("span", "line", "rest", "h", "l", "at"))
             rows, gone = [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                number, matches = {}, set()
-                for i in range(a, b):
-                    for n, x in enumerate((line[i], *(rest[i] or ()))):
-                        number[place[i] + n] = x
-                        matches.add((place[i] + n, at[i] + n))
-                found = {number[x] for pile in piles(sorted(matches)) for block in blocks(pile) for x in block}
+                mine = [(h[i], low[i]) for i in range(a, b)]  # by place and span, as sorted
+                other = sorted({(place, span[i], h[i], low[i]) for i in range(a, b) for place in at[i]})
+                found = {x for i, _ in aligned(mine, [x[2:] for x in other]) for x in (line[a + i], *(rest[a + i] or ()))}
                 rows += [a] * len(found)
                 gone += sorted(found)
-            part = table.select(key).take(pa.array(rows, pa.int64())).add_column(2, "line", pa.array(gone, pa.int32()))
+            part = table.select(key[:3]).take(pa.array(rows, pa.int64())).add_column(2, "line", pa.array(gone, pa.int32()))
             yield from part.combine_chunks().to_batches()
 
-    dealt = matches.repartition("doc_id").sortWithinPartitions(*key, "place")
+    dealt = matches.repartition(*key).sortWithinPartitions(*key, "place", "span")
     return dealt.mapInArrow(lean(align), f"doc_id {kind}, text_key bigint, line int, other {kind}")
 
 
@@ -183,21 +183,25 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     * null text: stays null.  Null id: the row is neither earlier nor later than any other and stays as it is.
     * a copy of an earlier document: its text becomes empty (or its blank lines).  Lines without a word are never deleted.
-    * a text of fewer than ``block_words`` words has no block and stays.  A line that repeats within a text goes at every place.
+    * a text of fewer than ``block_words`` words has no block and stays.  A block that stands elsewhere than the alignment has it stays.
     * rows that repeat an id do not delete each other's lines; each loses what its own text shares with smaller ids.
-    * empty table: no rows.  Other columns stay as they are, but ``removed_lines`` is replaced.
+    * empty table: no rows.  Other columns stay as they are, whatever their names, but ``removed_lines`` is replaced.
     """
+    own = [c for c in docs.columns if c != "removed_lines"]
     gone = removals(docs, id_col, text_col, block_words).groupBy("doc_id", "text_key", "line").agg(F.min("other").alias("other"))
-    gone = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).agg(F.array_sort(F.collect_list(F.struct("line", "other"))).alias("removed_lines"))
-    out = docs.drop("removed_lines").join(gone, (F.col(id_col) == F.col("_gone_id")) & (F.xxhash64(text_col) == F.col("_gone_key")), "left").drop("_gone_id", "_gone_key")
+    gone = gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("line", "other"))).alias("removed_lines"))
+    # the table's own columns stand aside, as names may clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.join(gone, ["doc_id", "text_key"], "left")
     numbers = F.transform("removed_lines", lambda x: x["line"])
 
     def rebuilt(lines):
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)  # by a hash set, linear in the lines
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
-    kept = F.get(F.transform(F.array(F.split(text_col, "\n", -1)), rebuilt), F.lit(0))
-    return out.withColumn(text_col, F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(kept))
+    kept = F.get(F.transform(F.array(F.split("text", "\n", -1)), rebuilt), F.lit(0))
+    text = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(kept)
+    return rows.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in own], "removed_lines")
 
 
 by_value(__name__)

@@ -91,12 +91,15 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
     Rows that repeat an id are dealt the copies of that id evenly, the first by text getting one more where it must be.
     """
-    copies = sampled(docs, id_col, **options).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_rows"))
-    copies = settled(copies.filter("_mix_copies > 0"))
-    same = F.col(id_col).eqNullSafe(F.col("_mix_id"))
-    once = docs.join(copies.filter("_mix_rows = 1"), same)
-    again = docs.join(copies.filter("_mix_rows > 1"), same)
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy(*[c for c, kind in docs.dtypes if not kind.startswith("map")]))
-    share = F.floor(F.col("_mix_copies") / F.col("_mix_rows")) + (place <= F.col("_mix_copies") % F.col("_mix_rows")).cast("long")
-    out = once.unionByName(again.withColumn("_mix_copies", share).filter("_mix_copies > 0"))
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).drop("_mix_id", "_mix_copies", "_mix_rows", "_mix_copy")
+    own = docs.columns
+    copies = sampled(docs, id_col, **options).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    copies = settled(copies.filter("copies > 0").select(F.col("doc_id").alias("of"), "copies", "rows"))
+    # the table's own columns stand aside, as names may clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(id_col).alias("doc_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("of"))
+    once = rows.join(copies.filter("rows = 1"), same)
+    again = rows.join(copies.filter("rows > 1"), same)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col("row").getField(c) for c, kind in docs.dtypes if not kind.startswith("map")]))
+    share = F.floor(F.col("copies") / F.col("rows")) + (place <= F.col("copies") % F.col("rows")).cast("long")
+    out = once.unionByName(again.withColumn("copies", share).filter("copies > 0"))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col("row").getField(c).alias(c) for c in own])

@@ -32,9 +32,10 @@ def by_first_turn(talks: DataFrame) -> DataFrame:
 
     Of each such group one is chosen, first by ending with the assistant, then by least conv_id (null last), and each other one is
     rejected against it; a group of n gives n - 1 pairs.  A conversation that opens like no other has no rejected one.
+    Other columns are ignored, whatever their names.
     """
     first = F.get("turns", F.lit(0))
-    talks = settled(talks.withColumn("_key", F.sha2(F.concat_ws("\x1f", first["role"], first["text"]), 256)))
+    talks = settled(talks.select("conv_id", "turns").withColumn("_key", F.sha2(F.concat_ws("\x1f", first["role"], first["text"]), 256)))
     rank = F.struct((F.element_at("turns", -1)["role"] != TRAINED_ROLE).alias("open"), F.col("conv_id").isNull().alias("none"), F.col("conv_id").alias("id"))
     groups = talks.groupBy("_key").agg(F.min(rank)["id"].alias("chosen_id"), F.count("*").alias("_n"))
     best = groups.join(talks.select("conv_id", F.col("turns").alias("chosen")), F.col("conv_id").eqNullSafe(F.col("chosen_id")))

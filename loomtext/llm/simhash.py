@@ -571,18 +571,20 @@ def without_copies(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col
 
     Rows are judged by their own texts, so a row whose id a copy has too stays.  Null and empty texts are one group.
     """
-    gone = similar(docs, k, id_col=id_col, text_col=text_col)
+    own = docs.columns
+    verdict = similar(docs, k, id_col=id_col, text_col=text_col).groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    verdict = settled(verdict.filter("not kept or n > 1"))
+    # the table's own columns stand aside, as names may clash
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    verdict = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
-    verdict = settled(verdict.filter("not _kept or _n > 1"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(id_col).alias("doc_id"), key.alias("text_key"))
     # at most 2 ** 26 bits, by which rows without a verdict are let through unshuffled; a row that it takes for one of them meets none
     size = max(16, min(26, (64 * verdict.count()).bit_length()))
-    rows = _marked(docs.withColumn("_copy_key", key), "_copy_key", _bitmap(verdict, "_gone_key", "_copy_page", "_copy_bits", size), "_copy_page", "_copy_bits", "_copy", size)
-    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_copy_key") == F.col("_gone_key"))
-    found = rows.filter("_copy").join(verdict, same, "left").filter("_kept is null or _kept")
-    alone, once = rows.filter("not _copy").select(docs.columns), found.filter("_n is null or _n = 1").select(docs.columns)
-    again = found.filter("_n > 1").dropDuplicates(["_gone_id", "_gone_key"]).select(docs.columns)
-    return alone.unionByName(once).unionByName(again)
+    rows = _marked(rows, "text_key", _bitmap(verdict, "of_key", "page", "bits", size), "page", "bits", "copy", size)
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key"))
+    found = rows.filter("copy").join(verdict, same, "left").filter("kept is null or kept")
+    alone, once = rows.filter("not copy"), found.filter("n is null or n = 1")
+    again = found.filter("n > 1").dropDuplicates(["of", "of_key"])
+    return alone.select("row").unionByName(once.select("row")).unionByName(again.select("row")).select(*[F.col("row").getField(c).alias(c) for c in own])
 
 
 by_value(__name__)

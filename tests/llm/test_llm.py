@@ -72,6 +72,29 @@ OPERATORS = {
 }
 
 
+INTERNAL = ["row", "of", "of_key", "copies", "rows", "copy", "kept", "n", "page", "bits", "text_key", "_mix_id", "_mix_copies", "_gone_id", "_kept", "_copy_key", "removed", "line", "other", "node", "votes", "value", "key", "h", "l", "at", "chosen", "a.b"]
+STAGES = {"mixed": mixing.mixed, "lines": lambda d: line_dedup.deduplicated(d).drop("removed_lines"), "copies": simhash.without_copies, "rules": quality_rules.passed}
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_columns_of_any_name_stay(name, spark):
+    """A table with a column of every name that the operators use themselves gives the same documents as one without."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["le", "chat", "dort", "ici", "maintenant", "demain", f"mot{i}"]) for _ in range(70)) for i in range(30)]
+    rows = [(i, texts[i % 24], "s", "en") for i in range(30)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    full = plain.withColumns({c: F.lit(c) for c in INTERNAL})
+    got = STAGES[name](full)
+    assert got.columns == full.columns
+    assert sorted(map(tuple, got.select(*plain.columns).collect())) == sorted(map(tuple, STAGES[name](plain).collect()))
+    assert all(r[c] == c for r in got.select(*[F.col(f"`{c}`") for c in INTERNAL]).collect() for c in INTERNAL)
+
+
+def test_talks_with_columns_of_any_name(spark):
+    talks = spark.createDataFrame([(1, [("user", "a"), ("assistant", "b")]), (2, [("user", "a"), ("assistant", "c")])], "conv_id long, turns array<struct<role: string, text: string>>")
+    assert preference.by_first_turn(talks.withColumns({c: F.lit(0) for c in ("chosen", "rejected", "chosen_id", "_n", "_key", "open")})).count() == 1
+
+
 @pytest.mark.parametrize("name", list(OPERATORS))
 def test_edge_rows_all_come_back(name, edge):
     got = OPERATORS[name](edge)
@@ -371,30 +394,76 @@ def words_in(line):
     return len(WORD.findall(line))
 
 
-def shared_lines(mine, other, least=5):
-    """Lines of ``mine`` in a run of consecutive lines, blank ones aside, of ``least`` words that ``other`` has too: by definition, run by run."""
-    a, b = ([(i, x) for i, x in enumerate(t.split("\n")) if words_in(x)] for t in (mine, other))
-    gone = set()
-    starts = collections.defaultdict(list)
-    for j, (_, x) in enumerate(b):
-        starts[x].append(j)
-    for i in range(len(a)):
-        for j in starts[a[i][1]]:
-            if i and j and a[i - 1][1] == b[j - 1][1]:
-                continue  # not where the run begins
-            n = 0
-            while i + n < len(a) and j + n < len(b) and a[i + n][1] == b[j + n][1]:
-                n += 1
-            if sum(words_in(x) for _, x in a[i : i + n]) >= least:
-                gone |= {at for at, _ in a[i : i + n]}
+def run_places(text, least=5):
+    """(first place, lines after it, lines) of the shortest runs of ``least`` words that begin or end at each line with a word; and the lines' numbers."""
+    lines = [(n, x) for n, x in enumerate(text.split("\n")) if words_in(x)]
+    found = set()
+    for i in range(len(lines)):
+        for j in range(i, len(lines)):
+            if sum(words_in(x) for _, x in lines[i : j + 1]) >= least:
+                found.add((i, j - i))
+                break
+    for j in range(len(lines)):
+        for i in range(j, -1, -1):
+            if sum(words_in(x) for _, x in lines[i : j + 1]) >= least:
+                found.add((i, j - i))
+                break
+    return [(i, n, tuple(x for _, x in lines[i : i + n + 1])) for i, n in sorted(found)], [n for n, _ in lines]
+
+
+def plain_chain(anchors):
+    """The longest chain by comparing all pairs; of several the one that ends least, and so on back."""
+    best = []
+    for i, (_, y) in enumerate(anchors):
+        best.append(1 + max((best[j] for j in range(i) if anchors[j][1] < y), default=0))
+    out, end, limit = [], max(best, default=0), None
+    while end:
+        y, i = min((anchors[i][1], i) for i in range(len(anchors)) if best[i] == end and (limit is None or i < limit))
+        out, limit, end = [anchors[i], *out], i, end - 1
+    return out
+
+
+def plain_patience(a, b, at=(0, 0)):
+    """Aligned places of two sequences: ends, then anchors that are unique in both, then what lies between them."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [at, *plain_patience(a[1:], b[1:], (at[0] + 1, at[1] + 1))]
+    if a[-1] == b[-1]:
+        return [*plain_patience(a[:-1], b[:-1], at), (at[0] + len(a) - 1, at[1] + len(b) - 1)]
+    anchors = [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == 1 and b.count(x) == 1]
+    if not anchors:
+        nth = [(i, [j for j, y in enumerate(b) if y == x]) for i, x in enumerate(a)]
+        numbered = [(i, js[a[:i].count(a[i])]) for i, js in nth if a[:i].count(a[i]) < len(js)]
+        return [(at[0] + i, at[1] + j) for i, j in plain_chain(numbered)]
+    out, last = [], (0, 0)
+    for i, j in [*plain_chain(anchors), (len(a), len(b))]:
+        out += plain_patience(a[last[0] : i], b[last[1] : j], (at[0] + last[0], at[1] + last[1]))
+        if i < len(a):
+            out.append((at[0] + i, at[1] + j))
+        last = (i + 1, j + 1)
+    return out
+
+
+def brute_lines(texts):
+    """For each document, the lines of what a patience diff aligns with any document that was the first to have one of its runs."""
+    runs, first = {i: run_places(t) for i, t in texts.items()}, {}
+    for i in sorted(texts):
+        for r in runs[i][0]:
+            first.setdefault(r[2], i)
+    gone = {}
+    for i in texts:
+        mine, numbers = runs[i]
+        gone[i] = set()
+        for other in {first[r[2]] for r in mine} - {i}:
+            theirs = runs[other][0]
+            common = {r[2] for r in mine} & {r[2] for r in theirs}
+            a, b = [r for r in mine if r[2] in common], [r for r in theirs if r[2] in common]
+            for x, _ in plain_patience([r[2] for r in a], [r[2] for r in b]):
+                gone[i] |= set(numbers[a[x][0] : a[x][0] + a[x][1] + 1])
     return gone
 
 
-def brute_lines(texts, near=None):
-    """For each document, what it shares with any earlier one; every earlier document is looked at."""
-    return {i: set().union(*(shared_lines(texts[i], texts[j]) for j in texts if j < i)) for i in texts}
-
-
 def removed(spark_rows):
     return {r["doc_id"]: {x["line"] for x in r["removed_lines"] or []} for r in spark_rows}
 
@@ -428,19 +497,23 @@ def test_copy_whose_lines_have_other_first_holders(spark):
     assert got == dict(rows) | {4: ""}
 
 
-def test_piles_keep_stretches_whole():
+def test_alignment_equals_a_plain_patience_diff():
     rng = random.Random(4)
-    for _ in range(300):
-        matches = set()
-        for _ in range(rng.randint(1, 8)):
-            a, b = rng.randint(0, 20), rng.randint(0, 20)
-            matches |= {(a + k, b + k) for k in range(rng.randint(1, 6))}
-        got = line_dedup.piles(sorted(matches))
-        assert sorted(x for p in got for x in p) == sorted(matches)
-        assert all(x[0] < y[0] and x[1] < y[1] for p in got for x, y in zip(p, p[1:]))
-        on = {x: n for n, p in enumerate(got) for x in p}
-        assert all(on[a, b] == on.get((a + 1, b + 1), on[a, b]) for a, b in matches)
-    assert [len(p) for p in line_dedup.piles([(0, 5), (1, 1), (2, 2), (3, 3)])] == [1, 3]
+    left = 0
+    for n in range(400):
+        a, b = ([rng.choice("abcdefghijklmnop"[: 3 + n % 13]) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        got = line_dedup.aligned(a, b)
+        assert sorted(got) == sorted(plain_patience(a, b))
+        assert all(a[i] == b[j] for i, j in got) and all(x[1] < y[1] for x, y in zip(sorted(got), sorted(got)[1:]))
+        left += len(set(a) & set(b)) - len({a[i] for i, _ in got})
+    assert left > 100  # much that both have is out of order
+
+
+def test_lines_out_of_order_stay(spark):
+    one, two, three, four = ("alpha beta gamma delta eins", "un deux trois quatre cinq", "here are five more words", "last line of the lot")
+    rows = [(1, "\n".join([one, two, three, four])), (2, "\n".join([two, three, one, four])), (3, "\n".join([one, one, four])), (4, "new words stand here now\n" + two)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: one, 3: one, 4: "new words stand here now"}
 
 
 def test_passage_goes_from_the_later_document(spark):
@@ -463,7 +536,7 @@ def test_line_dedup_on_edge_rows(spark):
     out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, line int"))
     assert out.columns == ["doc_id", "text", "line", "removed_lines"]
     got = {r["line"]: r["text"] for r in out.collect()}
-    assert got == {0: line, 1: None, 2: "", 3: " \n\t", 4: line, 5: "", 6: "", 7: "another text of this very id", 8: "", 9: ""}
+    assert got == {0: line, 1: None, 2: "", 3: " \n\t", 4: line, 5: "", 6: "", 7: "another text of this very id", 8: "", 9: f"{line}\n" * 2999}  # once, as often as the earlier one has it
 
 
 # 8
