@@ -191,7 +191,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = removals(docs, id_col, text_col, block_words).groupBy("doc_id", "text_key", "line").agg(F.min("other").alias("other"))
     gone = gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("line", "other"))).alias("removed_lines"))
     # the table's own columns stand aside, as names may clash
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own if c != text_col]).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     rows = rows.join(gone, ["doc_id", "text_key"], "left")
     numbers = F.transform("removed_lines", lambda x: x["line"])
 
