@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.text import FAST_SPACE, alpha_share, words
 from loomtext.operators.gates import first_failure
+from loomtext.session import saved
 
 
 def content_key(text: Column) -> Column:
@@ -19,15 +20,16 @@ def prefix_key(text: Column, n: int = 500) -> Column:
     return F.md5(F.substring(text, 1, n).cast("binary"))
 
 
-def first_wins(df: DataFrame, key: Column, position: str, flag: str = "is_first") -> DataFrame:
-    """``df`` with ``flag``: whether the row has the least ``position`` of its key.
+def first_wins(df: DataFrame, key: Column, position: str | list[str], flag: str = "is_first") -> DataFrame:
+    """``df`` with ``flag``: whether the row has the least ``position`` of its key; several columns break ties in turn.
 
     The least position of each key is aggregated before the shuffle and joined back, so a key that a third of all rows
-    share neither sorts in one task nor, with adaptive execution, joins in one.  Positions must be distinct.
+    share neither sorts in one task nor, with adaptive execution, joins in one.  Rows that tie in all columns are all first.
     """
+    at = F.struct(*([position] if isinstance(position, str) else position))
     keyed = df.withColumn("_key", key)
-    first = keyed.groupBy("_key").agg(F.min(position).alias("_first"))
-    return keyed.join(first, keyed["_key"].eqNullSafe(first["_key"])).withColumn(flag, F.col(position) == F.col("_first")).drop("_key", "_first")
+    first = keyed.groupBy("_key").agg(F.min(at).alias("_first"))
+    return keyed.join(first, keyed["_key"].eqNullSafe(first["_key"])).withColumn(flag, at.eqNullSafe(F.col("_first"))).drop("_key", "_first")
 
 
 def corpus_gates(docs: DataFrame, text: str = "text", position: str = "doc_id", min_chars: int = 200, min_alpha: float = 0.4) -> DataFrame:
@@ -69,6 +71,47 @@ def contained(candidates: DataFrame, known: DataFrame, candidate: str, fact: str
     return candidates.join(hits.withColumn("is_known", F.lit(True)), candidate, "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
 
 
+def covers(facts: DataFrame, fact: str, position: str, threshold: float = 0.55) -> DataFrame:
+    """by, of: an earlier fact (by position) that holds at least ``threshold`` of the distinct words of a later one of three words and more.
+
+    A fact of n words is covered only by one that has t = ceil(threshold * n) of them, so by one that has any of its n - t + 1 rarest.  Those alone look up
+    the postings, those who have too few words are left out there, and the pairs that meet are verified by their words.
+    """
+    w = facts.select(F.col(position).alias("id"), F.array_distinct(words(F.lower(F.col(fact)))).alias("w")).withColumn("n", F.size("w"))
+    w = saved(w.filter("n > 0"))
+    held = w.select("id", "n", F.explode("w").alias("word"))
+    often = held.groupBy("word").agg(F.count("*").alias("often"))
+    order = held.filter("n >= 3").join(often, "word").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("o"))
+    order = order.withColumn("t", F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int"))
+    tried = order.select(F.col("id").alias("of"), "t", F.explode(F.slice("o", F.lit(1), F.col("n") - F.col("t") + 1)).alias("x")).select("of", "t", F.col("x.word").alias("word"))
+    met = tried.join(held.select(F.col("id").alias("by"), F.col("n").alias("m"), "word"), "word").filter("by < of and m >= t").select("by", "of").distinct()
+    pairs = met.join(w.select(F.col("id").alias("by"), F.col("w").alias("b")), "by").join(w.select(F.col("id").alias("of"), F.col("w").alias("a"), "n"), "of")
+    return pairs.filter(F.size(F.array_intersect("a", "b")) >= F.col("n") * F.lit(threshold) - 1e-9).select("by", "of")
+
+
+def learned(facts: DataFrame, fact: str, position: str, threshold: float = 0.55, log: list[int] | None = None) -> DataFrame:
+    """``facts`` with ``is_learned``: what a memory keeps that takes facts one by one in order of ``position`` and refuses those that it has or nearly has.
+
+    A fact is refused if an equal one came before, or if one that was *kept* before covers it; a refused fact covers nothing.  So acceptance
+    depends on acceptance, and the answer is the first independent set in order of position.  It is found in rounds: facts that no open one covers are kept, what
+    they cover is refused, and both leave; a round takes all facts at once, and there are as many as the longest chain of dependences, which ``log``
+    gets with the links that were open.  Positions must be distinct.  Null facts are learned nothing from and not kept.
+    """
+    first = facts.filter(F.col(fact).isNotNull()).groupBy(fact).agg(F.min(position).alias("_at"))
+    unique = saved(first.select(fact, F.col("_at").alias(position)))
+    links = saved(covers(unique, fact, position, threshold))
+    refused = links.select("of").limit(0)
+    while n := links.count():
+        if log is not None:
+            log.append(n)
+        kept = links.select("by").distinct().join(links.select(F.col("of").alias("by")).distinct(), "by", "left_anti")
+        gone = saved(links.join(kept, "by", "left_semi").select("of").distinct())
+        refused = saved(refused.unionByName(gone))
+        links = saved(links.join(gone, "of", "left_anti").join(gone.select(F.col("of").alias("by")), "by", "left_anti").join(kept, "by", "left_anti"))
+    out = unique.select(F.col(position).alias("_at")).join(refused.select(F.col("of").alias("_at")), "_at", "left_anti").withColumn("is_learned", F.lit(True))
+    return facts.join(out, F.col(position) == F.col("_at"), "left").drop("_at").withColumn("is_learned", F.coalesce("is_learned", F.lit(False)))
+
+
 def enqueued(topics: DataFrame, seen: DataFrame, topic: str = "topic", position: str = "pos", cap: int = 80, key_chars: int = 80, min_chars: int = 5) -> DataFrame:
     """Topics that enter a queue of ``cap``: long enough, not seen (in lower case, whole), first of their key."""
     t = topics.withColumn(topic, F.trim(topic)).filter(F.length(topic) >= min_chars).withColumn("_key", F.substring(F.lower(topic), 1, key_chars))

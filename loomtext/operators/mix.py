@@ -29,7 +29,7 @@ def arrivals(docs: DataFrame, weights: dict[str, float], source: str = "source",
     """``docs`` of the weighted sources with ``arrival``; a source without weight, or weight 0, never arrives."""
     table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.lit(None).cast("map<string,double>")
     df = docs.withColumn("_weight", F.try_element_at(table, F.col(source))).filter("_weight > 0")
-    df = df.withColumn("_gap", -F.log(uniform(F.lit(seed), F.col(position))) / F.col("_weight"))
+    df = df.withColumn("_gap", -F.log(uniform(F.lit(seed), F.col(source), F.col(position))) / F.col("_weight"))
     return running_sum(df, "_gap", "arrival", [position], [source]).drop("_weight", "_gap")
 
 
@@ -48,9 +48,11 @@ def running_sum(df: DataFrame, value: str, to: str, order: list[str], within: li
     table = F.lit([float(x) for x in sorted(set(cuts))]).cast("array<double>")
     # the cuts are ascending, so the place of the first that is not below is found by halving them
     blocked = df.withColumn("_block", _place(table, first, len(set(cuts))))
-    ahead = Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocked.groupBy(*within, "_block").agg(F.sum(value).alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
-    starts = starts.select(F.col("_block").alias("_b"), "_start", *[F.col(c).alias(f"_k_{c}") for c in within])
+    names = [f"_k_{c}" for c in within]
+    ahead = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # named anew before they are grouped, so that the join meets no column of its other side
+    parts = blocked.select(F.col("_block").alias("_b"), F.col(value).alias("_v"), *[F.col(c).alias(f"_k_{c}") for c in within])
+    starts = parts.groupBy(*names, "_b").agg(F.sum("_v").alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
     inside = Window.partitionBy(*within, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     summed = blocked.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     out = summed.join(starts, (F.col("_block") == F.col("_b")) & _all_same(within))
@@ -92,8 +94,8 @@ def mixed_stream(docs: DataFrame, weights: dict[str, float], quality: bool = Tru
     d = saved(docs.select(position, source, F.length(text).alias("_n"), good.alias("_good"), prefix_key(F.col(text)).alias("_key_")))
     kept = arrivals(d, weights, source, position, seed).filter((F.col("_n") >= min_chars) & F.col("_good"))
     if dedup:
-        kept = first_wins(kept, F.col("_key_"), "arrival").filter("is_first").drop("is_first")
-    return within_budget(kept, F.col("_n"), max_chars, ["arrival"], max_docs).select(position, source, "arrival")
+        kept = first_wins(kept, F.col("_key_"), ["arrival", source, position]).filter("is_first").drop("is_first")
+    return within_budget(kept, F.col("_n"), max_chars, ["arrival", source, position], max_docs).select(position, source, "arrival")
 
 
 def quota_sizes(max_docs: int, shares: dict[str, float]) -> dict[str, int]:

@@ -445,6 +445,12 @@ def d5_known_facts(spark, sf_dir):
     return dedup.contained(items, table(spark, sf_dir, "documents"), "fact", "text").select("item_id", "is_known")
 
 
+@query()
+def d5_learned_facts(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.col("text").alias("fact"))
+    return dedup.learned(said, "fact", "pos").select("pos", "is_learned")
+
+
 @query(f"""WITH t AS (SELECT pos, trim(fact) AS topic FROM ({FACTS_SQL}) WHERE length(trim(fact)) >= 5), k AS (SELECT pos, topic, substr(lower(topic), 1, 80) AS key FROM t),
 f AS (SELECT min(pos) AS pos, arg_min(topic, pos) AS topic FROM k WHERE key NOT IN (SELECT lower(substr(text, 1, 80)) FROM benchmark) GROUP BY key) SELECT pos, topic FROM f ORDER BY pos LIMIT 80""")
 def d7_enqueue(spark, sf_dir):
@@ -454,7 +460,7 @@ def d7_enqueue(spark, sf_dir):
 
 # --- mixing
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SOURCES.items()) + " END"
-_ARRIVAL = f"SELECT *, sum(-ln((('0x' || substr(md5('42|' || doc_id), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / w) OVER (PARTITION BY source ORDER BY doc_id) AS arrival FROM (SELECT *, CAST({_WEIGHT} AS DOUBLE) AS w FROM documents) WHERE w > 0"
+_ARRIVAL = f"SELECT *, sum(-ln((('0x' || substr(md5('42|' || source || '|' || doc_id), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / w) OVER (PARTITION BY source ORDER BY doc_id) AS arrival FROM (SELECT *, CAST({_WEIGHT} AS DOUBLE) AS w FROM documents) WHERE w > 0"
 
 
 @query(f"SELECT doc_id, source, round(arrival, 6) AS arrival FROM ({_ARRIVAL})")
@@ -464,9 +470,9 @@ def m1_arrivals(spark, sf_dir):
 
 def _mixed_sql(quality=True, dedup=True, chars=400_000):
     kept = f"{_GATE} = 'kept'" if quality else "true"
-    first = "row_number() OVER (PARTITION BY md5(substr(text, 1, 500)) ORDER BY arrival)" if dedup else "1"
+    first = "row_number() OVER (PARTITION BY md5(substr(text, 1, 500)) ORDER BY arrival, source, doc_id)" if dedup else "1"
     return f"""WITH a AS ({_ARRIVAL}), d AS (SELECT *, {first} AS n FROM a WHERE length(text) >= 50 AND {kept}),
-b AS (SELECT *, coalesce(sum(length(text)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d WHERE n = 1) SELECT doc_id, source FROM b WHERE before < {chars}"""
+b AS (SELECT *, coalesce(sum(length(text)) OVER (ORDER BY arrival, source, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d WHERE n = 1) SELECT doc_id, source FROM b WHERE before < {chars}"""
 
 
 @query(_mixed_sql())

@@ -74,7 +74,9 @@ def web(rows: DataFrame, position: str = "doc_id", most: int = WEB_DOCS, more_th
 
 
 def registered(sources: dict[str, DataFrame]) -> DataFrame:
-    """source, doc_id, text of all sources, numbered along each: the input of ``mix.mixed_stream``."""
-    each = [df.select(F.lit(name).alias("source"), F.monotonically_increasing_id().alias("doc_id"), "text") for name, df in sources.items()]
-    return reduce(DataFrame.unionByName, each)
+    """source, doc_id, text of all sources: the input of ``mix.mixed_stream``.
 
+    A text's number is its hash, so it does not depend on how files are laid out; rows of one source that are equal have one number.
+    """
+    each = [df.select(F.lit(name).alias("source"), F.xxhash64("text").alias("doc_id"), "text") for name, df in sources.items()]
+    return reduce(DataFrame.unionByName, each)

@@ -126,6 +126,39 @@ def test_known_texts_against_all_pairs(spark):
     assert got == {c: len(set(c.split())) >= 3 and any(near(c, k) for k in known) for c in cand}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_memory_takes_facts_as_one_by_one(spark, seed):
+    """Short facts over few words, so that kept, refused and again kept ones follow each other in long chains."""
+    from test_queries import plain_memory
+
+    rng, log = random.Random(seed), []
+    facts = [(i, " ".join(rng.choice("abcdefghijk"[: 7 + seed]) for _ in range(rng.randint(0, 9)))) for i in range(120)]
+    got = dedup.learned(spark.createDataFrame(facts, "pos long, fact string"), "fact", "pos", log=log)
+    assert {r["pos"] for r in got.collect() if r["is_learned"]} == plain_memory(facts)
+    assert 1 < len(log) < 12
+
+
+def test_registered_sources_mix_at_random(spark, sf_dir, tmp_path):
+    """Two sources of the same texts: each prefix once, shares by weight, and no dependence on how files are laid out."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) > 600").select("text")
+    distinct = texts.select(F.substring("text", 1, 500)).distinct().count()
+    outs = []
+    for n in (1, 5):
+        texts.repartition(n).write.parquet(f"{tmp_path}/{n}")
+        both = shapes.registered({"a": spark.read.parquet(f"{tmp_path}/{n}"), "b": spark.read.parquet(f"{tmp_path}/{n}")})
+        rows = mix.mixed_stream(both, {"a": 1.0, "b": 1.0}, quality=False).collect()
+        assert len(rows) == distinct
+        outs.append(sorted((r["source"], r["doc_id"]) for r in rows))
+    assert outs[0] == outs[1]
+    assert 0.3 < sum(s == "a" for s, _ in outs[0]) / distinct < 0.7
+
+
+def test_running_sum_over_a_union_of_single_partitions(spark):
+    one = lambda name: spark.range(0, 50, 1, 1).select(F.lit(name).alias("source"), F.col("id").alias("doc_id"), F.lit(1.5).alias("v"))
+    got = mix.arrivals(one("a").unionByName(one("b")), {"a": 1.0, "b": 2.0})
+    assert got.groupBy("source").agg(F.count("*"), F.max("arrival")).count() == 2
+
+
 def test_resume_takes_the_general_checkpoints_first(spark):
     at = lambda *names: parse.resume_point(spark.createDataFrame([(n,) for n in names], "name string")).first()
     assert at("distill_s9.pt", "distill_s10.pt", "distill_s11.txt")["name"] == "distill_s10.pt"

@@ -228,6 +228,21 @@ def check_v6_position_map(got, duck, sf_dir):
         assert found.get(i, {}) == expected
 
 
+def plain_memory(facts, threshold=0.55):
+    """The memory's own loop: every fact against all that were kept before."""
+    kept = []
+    for pos, fact in sorted(facts):
+        mine = set(fact.lower().split())
+        if not (len(mine) >= 3 and any(set(k.lower().split()) and len(mine & set(k.lower().split())) / len(mine) >= threshold for _, k in kept)) and fact not in [k for _, k in kept]:
+            kept.append((pos, fact))
+    return {pos for pos, _ in kept}
+
+
+def check_d5_learned_facts(got, duck, sf_dir):
+    facts = rows(duck, "SELECT conv_id * 1000 + turn, text FROM conversations")
+    assert {r["pos"] for r in got if r["is_learned"]} == plain_memory(facts) and len(got) == len(facts)
+
+
 def check_a8_inventory(got, duck, sf_dir):
     sizes = [os.path.getsize(f"{sf_dir}/{f}") for f in os.listdir(sf_dir) if f.endswith(".parquet")]
     assert [tuple(r) for r in got] == [(len(sizes), sum(sizes))]
@@ -236,7 +251,7 @@ def check_a8_inventory(got, duck, sf_dir):
 CHECKS = {
     "n3_nfkc": check_n3_nfkc, "h1_page_text": check_h1_page_text, "h2_resolved_links": check_h2_resolved_links, "s6_web_pages": check_s6_web_pages, "s7_crawl": check_s7_crawl,
     "r8_sentences": check_r8_sentences, "t3_merges": check_merges, "k6_tokenizer": check_merges, "t4_encode": check_t4_encode, "a8_inventory": check_a8_inventory,
-    "v1_vocab_edges": check_v1_vocab_edges, "v5_aligned": check_v5_aligned, "v6_position_map": check_v6_position_map,
+    "d5_learned_facts": check_d5_learned_facts, "v1_vocab_edges": check_v1_vocab_edges, "v5_aligned": check_v5_aligned, "v6_position_map": check_v6_position_map,
 }
 
 
