@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-
-@dataclass(frozen=True)
-class Clean:
-    min_chars: int = 200
-    min_alpha: float = 0.4
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
 class Quality:
-    """The rules of the mixing quality filter."""
+    """The bounds of the mixing quality filter."""
 
     min_chars: int = 100
     min_words: int = 20
@@ -23,22 +17,12 @@ class Quality:
     max_short_lines: int = 10
 
 
-@dataclass(frozen=True)
-class Mix:
-    weights: dict[str, float] = field(default_factory=lambda: {"conversations": 0.30, "books": 0.25, "wikipedia": 0.15, "instructions": 0.15, "code": 0.10, "web": 0.05})
-    min_chars: int = 50
-    dedup_prefix: int = 500
-    chars_per_token: int = 4
-    shard_lines: int = 5000
-    seed: int = 42
-
-
 #: The special tokens of the trained tokenizer, at ids 256 to 263.
 SPECIAL_TOKENS = ("<PAD>", "<UNK>", "<BOS>", "<EOS>", "<SEP>", "<USER>", "<ASST>", "<SYS>")
 PAD, UNK, BOS, EOS, SEP, USER, ASST, SYS = range(256, 264)
 VOCAB_SIZE = 32_000
 #: How much an event of a log matters.
-IMPORTANCE = {"info": 1, "learning": 1, "progress": 1, "milestone": 2, "checkpoint": 2, "warning": 2, "session_end": 2, "error": 3, "critical": 3}
+IMPORTANCE = {"info": 1, "learning": 1, "progress": 1, "milestone": 2, "checkpoint": 2, "warning": 2, "error": 3, "critical": 3, "session_end": 2}
 #: Title prefixes of dump pages that are no articles.
 SKIPPED_TITLES = (
     "Discussion:", "Utilisateur:", "Wikipédia:", "Fichier:", "MediaWiki:", "Modèle:", "Aide:", "Catégorie:", "Portail:", "Projet:", "Référence:",

@@ -38,8 +38,10 @@ def corpus_gates(docs: DataFrame, text: str = "text", position: str = "doc_id",
     A long enough text takes its key before its letters are counted, so a first copy of too few letters shadows later ones.
     """
     short = F.length(text) < min_chars
-    tried = first_wins(docs.filter(~short), content_key(F.col(text)), position)
-    tried = tried.withColumn("gate", first_failure({"dup": F.col("is_first"), "bad": alpha_share(F.col(text)) >= min_alpha})).drop("is_first")
+    # all that is asked of the text is asked before the key's shuffle, so the text goes through it only where the caller selects it
+    long = docs.filter(~short).withColumn("_fine", alpha_share(F.col(text)) >= min_alpha)
+    tried = first_wins(long, content_key(F.col(text)), position)
+    tried = tried.withColumn("gate", first_failure({"dup": F.col("is_first"), "bad": F.col("_fine")})).drop("is_first", "_fine")
     return docs.filter(F.coalesce(short, F.lit(True))).withColumn("gate", F.lit("short")).unionByName(tried)
 
 

@@ -43,10 +43,21 @@ def counts_by_source(stream: DataFrame, event_time: str, window: str = "10 minut
     return stream.withWatermark(event_time, lateness).groupBy(F.window(event_time, window), "source").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
 
 
-def notify(stream: DataFrame, path: str, checkpoint: str, least: int = 2) -> StreamingQuery:
-    """Append notable events to a log, batch by batch."""
+def delivered(batch: DataFrame, batch_id: int, path: str, sinks: dict[str, int], event: str = "event") -> None:
+    """The batch's events into ``path/sink=.../batch_id=...``, for each sink those that reach its least importance.
 
-    def write(batch: DataFrame, _: int) -> None:
-        notable(batch, least).write.mode("append").json(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    A batch that comes again after a failure leaves no second row in any sink: the writer's ``_SUCCESS`` in the batch's folder is the record that it has
+    been delivered there, and a folder without it is replaced whole.
+    """
+    jvm, conf = batch.sparkSession._jvm, batch.sparkSession._jsc.hadoopConfiguration()
+    for name, least in sinks.items():
+        at = f"{path}/sink={name}/batch_id={batch_id}"
+        record = jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+        if not record.getFileSystem(conf).exists(record):
+            notable(batch, least, event).write.mode("overwrite").json(at)
+
+
+def notify(stream: DataFrame, path: str, checkpoint: str, sinks: dict[str, int] | None = None) -> StreamingQuery:
+    """Notable events to each sink, exactly once: batches keep their ids over restarts from ``checkpoint``."""
+    to = sinks or {"log": 2}
+    return stream.writeStream.foreachBatch(lambda batch, n: delivered(batch, n, path, to)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -377,3 +377,23 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     ingest.to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     batch = dedup.corpus_gates(docs.withColumn("text", normalize.clean(F.col("text")))).filter("gate = 'kept'")
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
+
+
+def test_notifications_come_once_though_batches_come_twice(spark, tmp_path):
+    rows = [(i, ["info", "milestone", "error", "session_end"][i % 4]) for i in range(40)]
+    df = spark.createDataFrame(rows, "event_id long, event string")
+    df.write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).json(str(tmp_path / "in"))
+    at, sinks = str(tmp_path / "out"), {"console": 1, "file": 2, "http": 3}
+    ingest.notify(stream, at, str(tmp_path / "ck"), sinks).awaitTermination()
+    ingest.delivered(df, 0, at, sinks)  # the batch comes again after all sinks had it
+    failed = tmp_path / "out" / "sink=http" / "batch_id=0"
+    (failed / "_SUCCESS").unlink()  # and as if the last sink had failed half way
+    (failed / "part-half.json").write_text('{"event_id": 2, "event": "error"}\n')
+    ingest.delivered(df, 0, at, sinks)
+    got = Counter((r["sink"], r["event_id"]) for r in spark.read.json(at).collect())
+    least = {"info": 1, "milestone": 2, "error": 3, "session_end": 2}
+    assert got == Counter((s, i) for i, e in rows for s, n in sinks.items() if least[e] >= n)
+    df.limit(3).write.mode("append").json(str(tmp_path / "in"))
+    ingest.notify(stream, at, str(tmp_path / "ck"), sinks).awaitTermination()
+    assert spark.read.json(at).filter("sink = 'console'").count() == 43
