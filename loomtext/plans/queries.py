@@ -19,6 +19,7 @@ from loomtext.functions.text import SPACE, WORD
 from loomtext.operators import chat, dedup, gates, metrics, mix, parse, recall, tokens, training, vocab
 from loomtext.session import saved, shared_folder
 from loomtext.sources import readers, shapes, writers
+from loomtext.streaming import loop
 
 QUERIES, ORACLE = {}, {}
 SOURCES = {f"src{i}": [5.0, 2.0, 1.0, 0.5][i % 4] for i in range(20)}
@@ -458,6 +459,20 @@ def d7_enqueue(spark, sf_dir):
     return dedup.enqueued(made(spark, sf_dir, FACTS_SQL).select("pos", F.col("fact").alias("topic")), seen)
 
 
+@query()
+def d7_learning_loop(spark, sf_dir):
+    """Documents as pages read by their sources, a minute apart; they arrive in three parts, and each part restarts the loop from its checkpoint."""
+    at, docs = scratch(spark, "d7"), table(spark, sf_dir, "documents").filter("doc_id is not null")
+    pages = docs.select(F.col("source").alias("learner"), F.col("doc_id").alias("pos"), F.timestamp_seconds(F.lit(86_400) + F.col("doc_id") * 60).alias("at"), loop.sentences(F.col("text")).alias("topics"))
+    low, high = pages.agg(F.min("pos"), F.max("pos")).first()
+    parts = pages.withColumn("part", F.floor((F.col("pos") - F.lit(low)) * 3 / (F.lit(high) - F.lit(low) + 1)))
+    for i in range(3):
+        parts.filter(F.col("part") == i).drop("part").write.parquet(f"{at}/in/part={i}")
+        steps = loop.learning(spark.readStream.schema(loop.PAGE).parquet(f"{at}/in/*"))
+        loop.started(spark, steps, f"{at}/out", f"{at}/checkpoint", partitions=8).awaitTermination()
+    return spark.read.schema(loop.STEP).parquet(f"{at}/out")
+
+
 # --- mixing
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SOURCES.items()) + " END"
 _ARRIVAL = f"SELECT *, sum(-ln((('0x' || substr(md5('42|' || source || '|' || doc_id), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / w) OVER (PARTITION BY source ORDER BY doc_id) AS arrival FROM (SELECT *, CAST({_WEIGHT} AS DOUBLE) AS w FROM documents) WHERE w > 0"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import html, normalize, text
 from loomtext.operators import chat, dedup, gates, metrics, mix, parse, recall, tokens, training, vocab
 from loomtext.sources import readers, shapes, writers
-from loomtext.streaming import ingest
+from loomtext.streaming import ingest, loop
 
 
 def one(spark, column, value, kind="string"):
@@ -397,3 +397,26 @@ def test_notifications_come_once_though_batches_come_twice(spark, tmp_path):
     df.limit(3).write.mode("append").json(str(tmp_path / "in"))
     ingest.notify(stream, at, str(tmp_path / "ck"), sinks).awaitTermination()
     assert spark.read.json(at).filter("sink = 'console'").count() == 43
+
+
+@pytest.mark.parametrize("parts", [[10], [2, 5, 6], [1, 2, 3, 4, 5, 6, 7, 8, 9]])
+def test_loop_does_not_depend_on_batches(spark, tmp_path, parts):
+    from test_queries import loop_rows, plain_loop
+
+    long = "x" * 85  # its key is in no later session, as explored topics are known whole
+    pages = [
+        (600, 1, "a", ["First topic", " first TOPIC ", "tiny", "second topic", long]), (600, 2, "a", ["second topic", "third topic"]), (660, 3, "b", ["First topic"]),
+        (700, 4, "a", []), (720, 5, "a", [long, "first topic"]), (900, 6, "b", [""]), (901, 7, "a", ["first topic", "second topic", "third topic", long]), (1000, 8, "a", ["a b c d", "e f g h"]),
+        (1000, 9, "a", ["i j k l", "m n o p"]), (5000, 10, None, ["other topic"]),
+    ]
+    low = 0
+    for n, high in enumerate([*parts, 10]):
+        rows = [(learner, pos, at, topics) for at, pos, learner, topics in pages if low < pos <= high]
+        t = spark.createDataFrame(rows, "learner string, pos bigint, at bigint, topics array<string>").withColumn("at", F.timestamp_seconds("at"))
+        t.coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+        steps = loop.learning(spark.readStream.schema(loop.PAGE).parquet(f"{tmp_path}/in/*"), hours=300 / 3600, cap=4)
+        loop.started(spark, steps, f"{tmp_path}/out", f"{tmp_path}/checkpoint", 2).awaitTermination()
+        low = high
+    got = loop_rows(spark.read.schema(loop.STEP).parquet(f"{tmp_path}/out").collect())
+    assert got == plain_loop(pages, 300, cap=4)
+    assert {r[4] for r in got if r[0] == "page"} >= {"First topic", "second topic", long, None}

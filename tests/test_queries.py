@@ -243,6 +243,49 @@ def check_d5_learned_facts(got, duck, sf_dir):
     assert {r["pos"] for r in got if r["is_learned"]} == plain_memory(facts) and len(got) == len(facts)
 
 
+def plain_loop(pages, length, cap=80, chars=80, least=5, lateness=60, watermark=None):
+    """The loop, one page after the other over all learners: (kind, learner, pos, time, topic, entered, waiting, pages, topics)."""
+    out, state, known = [], {}, {}
+
+    def end(learner):
+        s = state.pop(learner)
+        out.append(("session", learner, None, s["until"], None, s["entered"], len(s["queue"]), s["pages"], s["topics"]))
+
+    for at, pos, learner, topics in sorted(pages, key=lambda p: p[:2]):
+        if learner in state and at >= state[learner]["until"]:
+            end(learner)
+        s = state.setdefault(learner, {"until": at + length, "queue": [], "met": set(), "entered": 0, "pages": 0, "topics": 0})
+        mine = known.setdefault(learner, set())
+        topic = s["queue"].pop(0) if s["queue"] else None
+        if topic is not None:
+            mine.add(topic.lower())
+            s["topics"] += 1
+        entered = 0
+        for t in topics:
+            t = t.strip()
+            key = t.lower()[:chars]
+            if len(t) >= least and key not in s["met"] | mine and len(s["queue"]) < cap:
+                s["queue"].append(t)
+                s["met"].add(key)
+                entered += 1
+        s["entered"] += entered
+        s["pages"] += 1
+        out.append(("page", learner, pos, at, topic, entered, len(s["queue"]), s["pages"], s["topics"]))
+    last = max((p[0] for p in pages), default=0) - lateness
+    for learner in [k for k, s in state.items() if s["until"] <= last]:
+        end(learner)
+    return sorted(out, key=repr)
+
+
+def loop_rows(got):
+    return sorted(((r["kind"], r["learner"], r["pos"], round(r["at"].timestamp()), r["topic"], r["entered"], r["waiting"], r["pages"], r["topics"]) for r in got), key=repr)
+
+
+def check_d7_learning_loop(got, duck, sf_dir):
+    pages = [(86_400 + i * 60, i, s, re.split(r"[.!?\n]", t)) for i, s, t in rows(duck, "SELECT doc_id, source, text FROM documents")]
+    assert loop_rows(got) == plain_loop(pages, 3600)
+
+
 def check_a8_inventory(got, duck, sf_dir):
     sizes = [os.path.getsize(f"{sf_dir}/{f}") for f in os.listdir(sf_dir) if f.endswith(".parquet")]
     assert [tuple(r) for r in got] == [(len(sizes), sum(sizes))]
@@ -251,7 +294,7 @@ def check_a8_inventory(got, duck, sf_dir):
 CHECKS = {
     "n3_nfkc": check_n3_nfkc, "h1_page_text": check_h1_page_text, "h2_resolved_links": check_h2_resolved_links, "s6_web_pages": check_s6_web_pages, "s7_crawl": check_s7_crawl,
     "r8_sentences": check_r8_sentences, "t3_merges": check_merges, "k6_tokenizer": check_merges, "t4_encode": check_t4_encode, "a8_inventory": check_a8_inventory,
-    "d5_learned_facts": check_d5_learned_facts, "v1_vocab_edges": check_v1_vocab_edges, "v5_aligned": check_v5_aligned, "v6_position_map": check_v6_position_map,
+    "d5_learned_facts": check_d5_learned_facts, "d7_learning_loop": check_d7_learning_loop, "v1_vocab_edges": check_v1_vocab_edges, "v5_aligned": check_v5_aligned, "v6_position_map": check_v6_position_map,
 }
 
 
