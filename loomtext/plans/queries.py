@@ -19,6 +19,7 @@ from loomtext.functions.text import SPACE, WORD
 from loomtext.operators import chat, dedup, gates, metrics, mix, parse, recall, tokens, training, vocab
 from loomtext.session import saved, shared_folder
 from loomtext.sources import readers, shapes, writers
+from loomtext.sources.flat import FlatTokens
 from loomtext.streaming import loop
 
 QUERIES, ORACLE = {}, {}
@@ -701,6 +702,15 @@ def k4_tokens(spark, sf_dir):
     return writers.tokens(_lengths(spark, sf_dir), scratch(spark, "k4"), 32_000)
 
 
+@query(ORACLE["p1_windows"])
+def s12_flat_tokens(spark, sf_dir):
+    """Written as flat files in the order of documents and read back by ranges of bytes."""
+    spark.dataSource.register(FlatTokens)
+    at, ids = scratch(spark, "s12"), _lengths(spark, sf_dir)
+    ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("ids").write.format("flat_tokens").mode("append").save(at)
+    return spark.read.format("flat_tokens").option("length", 129).load(at).select("seq_id", F.array_join("ids", " ").alias("ids"))
+
+
 @query(ORACLE["p2_overlapping_windows"])
 def k5_sequences(spark, sf_dir):
     at = scratch(spark, "k5")
@@ -976,3 +986,19 @@ p AS ({_SOFT.format('x', 'SELECT pos, id, x FROM k')}), n AS (SELECT *, coalesce
 def v10_sampling_filter(spark, sf_dir):
     seen = F.sequence(F.lit(0), F.lit(60), F.lit(5))
     return _positions(spark, sf_dir).select("pos", F.inline(vocab.sampling_filter(F.col("logits"), seen))).withColumn("p", F.round("p", 6))
+
+
+@query()
+def s12_resumed_tokens(spark, sf_dir):
+    """Documents encoded by the public vocabulary; a stream of their sequences that stops after 100 and after 250, and is taken up again where it stood."""
+    spark.dataSource.register(FlatTokens)
+    at, docs = scratch(spark, "s12"), table(spark, sf_dir, "documents")
+    rank = tokens.rank_encoder({bytes(r["piece"]): r["id"] for r in readers.ranked_pieces(spark, THEIRS).collect()})  # a vocabulary
+    ids = docs.select("doc_id", rank(F.regexp_extract_all("text", F.lit(THEIR_SPLIT), F.lit(0))).alias("ids"))
+    ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("ids").write.format("flat_tokens").mode("append").save(f"{at}/ids")
+    for run, until in enumerate((100, 250, None)):
+        stream = spark.readStream.format("flat_tokens").option("length", 65)
+        stream = stream.option("until", until) if until else stream
+        rows = stream.load(f"{at}/ids").withColumn("run", F.lit(run))
+        rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("seq_id bigint, ids array<int>, run int").parquet(f"{at}/out")

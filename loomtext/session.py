@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,3 +44,8 @@ def saved(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def carried(module: str) -> None:
+    """Workers get the classes of ``module`` with the job, so they need not have the library."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

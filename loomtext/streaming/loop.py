@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from loomtext.session import carried
+
 PAGE = "learner string, pos bigint, at timestamp, topics array<string>"
 STEP = "kind string, learner string, pos bigint, at timestamp, topic string, entered bigint, waiting bigint, pages bigint, topics bigint"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -130,3 +132,6 @@ def started(spark: SparkSession, steps: DataFrame, path: str, checkpoint: str, p
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+carried(__name__)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import html, normalize, text
 from loomtext.operators import chat, dedup, gates, metrics, mix, parse, recall, tokens, training, vocab
-from loomtext.sources import readers, shapes, writers
+from loomtext.sources import flat, readers, shapes, writers
 from loomtext.streaming import ingest, loop
 
 
@@ -420,3 +420,49 @@ def test_loop_does_not_depend_on_batches(spark, tmp_path, parts):
     got = loop_rows(spark.read.schema(loop.STEP).parquet(f"{tmp_path}/out").collect())
     assert got == plain_loop(pages, 300, cap=4)
     assert {r[4] for r in got if r[0] == "page"} >= {"First topic", "second topic", long, None}
+
+
+@pytest.mark.parametrize("length,split", [(1, 3), (7, 1), (7, 4), (16, 1000), (5000, 2)])
+def test_flat_tokens_come_back(spark, tmp_path, length, split):
+    spark.dataSource.register(flat.FlatTokens)
+    at = str(tmp_path / "ids")
+    docs = [[65535, 0, 256], [], None, list(range(2000)), [9], [8, 7]]
+    for part, mode in ((docs[:4], "append"), (docs[4:], "append")):
+        t = spark.createDataFrame(list(enumerate(part)), "n int, ids array<int>").repartitionByRange(3, "n").sortWithinPartitions("n")
+        t.select("ids").write.format("flat_tokens").mode(mode).save(at)
+    (tmp_path / "ids/parts/000000-of-a-lost-attempt.bin").write_bytes(b"xxxx")
+    whole = [i for d in docs for i in d or []]
+    read = lambda **o: [tuple(r) for r in spark.read.format("flat_tokens").options(length=length, split=split, **o).load(at).orderBy("seq_id").collect()]
+    expected = [(n, whole[n * length : n * length + length]) for n in range(len(whole) // length)]
+    assert read() == expected and read(begin=2, until=5) == expected[2:5]
+    spark.createDataFrame([([1, 2],)], "ids array<int>").write.format("flat_tokens").mode("overwrite").save(at)
+    assert [i for _, ids in read() for i in ids] == ([1, 2] if length == 1 else [])
+
+
+@pytest.mark.parametrize("bad", [[-1], [65536], [1, None]])
+def test_flat_tokens_refuse_what_16_bits_do_not_hold(spark, tmp_path, bad):
+    spark.dataSource.register(flat.FlatTokens)
+    good = spark.createDataFrame([([1, 2],)], "ids array<int>")
+    good.write.format("flat_tokens").mode("append").save(str(tmp_path))
+    with pytest.raises(Exception, match="65535|null"):
+        spark.createDataFrame([(bad,)], "ids array<int>").write.format("flat_tokens").mode("append").save(str(tmp_path))
+    assert spark.read.format("flat_tokens").option("length", 2).load(str(tmp_path)).collect()[0]["ids"] == [1, 2]
+
+
+def test_flat_file_above_two_gigabytes_is_no_single_cell(tmp_path):
+    big = tmp_path / "train.bin"
+    with open(big, "wb") as f:  # sparse: all zeros but the last sequence
+        f.truncate((3 << 30) - 8)
+        f.seek(0, 2)
+        f.write(bytes([1, 0, 2, 0, 3, 0, 4, 0]))
+    reader = flat.Batch({"path": str(big), "length": "4"})
+    parts = reader.partitions()
+    assert sum(p.high - p.low for p in parts) == (3 << 30) // 8 and max(n for p in parts for _, _, n in p.pieces) <= flat.TASK
+    last = list(reader.read(parts[-1]))
+    assert last[-1].to_pylist()[-1] == {"seq_id": (3 << 30) // 8 - 1, "ids": [1, 2, 3, 4]} and max(b.nbytes for b in last) < 8 << 20
+    assert [p.low for p in flat.Batch({"path": str(tmp_path), "length": "4", "until": "3"}).partitions()] == [0]
+
+
+def test_flat_tokens_of_an_empty_folder(spark, tmp_path):
+    spark.dataSource.register(flat.FlatTokens)
+    assert spark.read.format("flat_tokens").load(str(tmp_path)).collect() == []

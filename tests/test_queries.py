@@ -156,6 +156,13 @@ def our_pieces(made):
     return pieces
 
 
+def check_s12_resumed_tokens(got, duck, sf_dir):
+    theirs, _ = their_tokenizer()
+    flat = [i for (t,) in rows(duck, "SELECT text FROM documents ORDER BY doc_id") for i in theirs.encode_ordinary(t)]
+    expected = [(n, flat[n * 65 : n * 65 + 65], 0 if n < 100 else 1 if n < 250 else 2) for n in range(len(flat) // 65)]
+    assert sorted((r["seq_id"], r["ids"], r["run"]) for r in got) == expected
+
+
 def check_v1_vocab_edges(got, duck, sf_dir):
     made, (theirs, ranks) = trained(sf_dir), their_tokenizer()
     forward = set()
@@ -294,7 +301,7 @@ def check_a8_inventory(got, duck, sf_dir):
 CHECKS = {
     "n3_nfkc": check_n3_nfkc, "h1_page_text": check_h1_page_text, "h2_resolved_links": check_h2_resolved_links, "s6_web_pages": check_s6_web_pages, "s7_crawl": check_s7_crawl,
     "r8_sentences": check_r8_sentences, "t3_merges": check_merges, "k6_tokenizer": check_merges, "t4_encode": check_t4_encode, "a8_inventory": check_a8_inventory,
-    "d5_learned_facts": check_d5_learned_facts, "d7_learning_loop": check_d7_learning_loop, "v1_vocab_edges": check_v1_vocab_edges, "v5_aligned": check_v5_aligned, "v6_position_map": check_v6_position_map,
+    "d5_learned_facts": check_d5_learned_facts, "d7_learning_loop": check_d7_learning_loop, "s12_resumed_tokens": check_s12_resumed_tokens, "v1_vocab_edges": check_v1_vocab_edges, "v5_aligned": check_v5_aligned, "v6_position_map": check_v6_position_map,
 }
 
 
