@@ -16,7 +16,7 @@ from loomtext.config import SKIPPED_TITLES
 from loomtext.functions import html, normalize, text
 from loomtext.functions.normalize import CLOSE_ORPHAN, HEADING, LINK, OPEN_ORPHAN, TABLE, TAIL, TEMPLATE, URL
 from loomtext.functions.text import SPACE, WORD
-from loomtext.operators import chat, dedup, gates, metrics, mix, parse, recall, tokens, training, vocab
+from loomtext.operators import chat, dedup, gates, metrics, mix, parse, recall, seen, tokens, training, vocab
 from loomtext.session import saved, shared_folder
 from loomtext.sources import readers, shapes, writers
 from loomtext.sources.flat import FlatTokens
@@ -420,6 +420,29 @@ def d1_corpus_gates(spark, sf_dir):
     return dedup.corpus_gates(table(spark, sf_dir, "documents")).select("doc_id", "gate")
 
 
+def _runs(df, position):
+    """The lower and the upper half of a table by its position."""
+    low, high = df.agg(F.min(position), F.max(position)).first()
+    half = F.col(position) < F.lit(None if low is None else (low + high) // 2)
+    return df.filter(half), df.filter(~half)
+
+
+@query(ORACLE["d1_corpus_gates"])
+def d1_gates_by_runs(spark, sf_dir):
+    """Two runs over halves of the documents, the second against an index of what the first has seen."""
+    index = seen.SeenIndex(spark, scratch(spark, "d1"))
+    first, second = (seen.gated(half, index, f"run{i}").select("doc_id", "gate") for i, half in enumerate(_runs(table(spark, sf_dir, "documents"), "doc_id")))
+    return first.unionByName(second)
+
+
+@query("SELECT page_id, url, row_number() OVER (PARTITION BY url ORDER BY page_id) = 1 AS is_first FROM pages")
+def s6_new_addresses(spark, sf_dir):
+    """Addresses that neither this crawl nor the one before it has fetched."""
+    index = seen.SeenIndex(spark, scratch(spark, "s6"))
+    first, second = (seen.first_seen(half, index, f"crawl{i}", F.col("url").cast("binary"), "page_id").select("page_id", "url", "is_first") for i, half in enumerate(_runs(table(spark, sf_dir, "pages"), "page_id")))
+    return first.unionByName(second)
+
+
 @query(f"SELECT gate, count(*) AS n_docs FROM ({ORACLE['d1_corpus_gates']}) GROUP BY gate")
 def a1_audit(spark, sf_dir):
     return gates.audit(d1_corpus_gates(spark, sf_dir))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions import html, normalize, text
-from loomtext.operators import chat, dedup, gates, metrics, mix, parse, recall, tokens, training, vocab
+from loomtext.operators import chat, dedup, gates, metrics, mix, parse, recall, seen, tokens, training, vocab
 from loomtext.sources import flat, readers, shapes, writers
 from loomtext.streaming import ingest, loop
 
@@ -466,3 +466,67 @@ def test_flat_file_above_two_gigabytes_is_no_single_cell(tmp_path):
 def test_flat_tokens_of_an_empty_folder(spark, tmp_path):
     spark.dataSource.register(flat.FlatTokens)
     assert spark.read.format("flat_tokens").load(str(tmp_path)).collect() == []
+
+
+def plain_runs(runs):
+    """(run, n, is_first) of keys that come one after the other."""
+    met, out = set(), set()
+    for r, keys in enumerate(runs):
+        for n, k in enumerate(keys):
+            out.add((r, n, k is None or k not in met))
+            met.add(k)
+    return out
+
+
+@pytest.mark.parametrize("buckets,pieces", [(1, 1), (16, 2)])
+def test_seen_index_over_runs(spark, tmp_path, buckets, pieces):
+    random.seed(5)
+    runs = [[random.choice(["", None, *map(str, range(r * 40, r * 40 + 120))]) for _ in range(100)] for r in range(3)]
+    path = str(tmp_path / "index")
+
+    def taken(r):
+        t = spark.createDataFrame(list(enumerate(runs[r])), "n int, k string")
+        return {(r, x["n"], x["is_first"]) for x in seen.first_seen(t, seen.SeenIndex(spark, path, buckets, pieces), f"run{r}", F.col("k").cast("binary"), "n").collect()}
+
+    first, second = taken(0), taken(1)
+    # a run that failed before its record was written leaves keys that nobody reads
+    spark.createDataFrame([(b"150", 0), (b"no run has this", 0)], "key binary, bucket int").write.partitionBy("bucket").parquet(f"{path}/keys/run=run2")
+    third = taken(2)
+    assert first | second | third == plain_runs(runs)
+    assert taken(1) == second and taken(0) == first  # repeated runs give what they gave
+    assert seen.SeenIndex(spark, path).runs() == ["run0", "run1", "run2"] and seen.SeenIndex(spark, path).buckets == buckets
+
+
+def test_seen_index_opens_no_bucket_but_those_touched(spark, tmp_path):
+    index = seen.SeenIndex(spark, str(tmp_path / "index"), 64, 1)
+    keys = spark.range(2000).select(F.md5(F.col("id").cast("string")).cast("binary").alias("key"))
+    index.publish(keys, "a")
+    assert index.known(keys.limit(0)).count() == 0 and index.asked == []
+    some = spark.createDataFrame([(7,), (8,), (90_000,)], "id bigint").select(F.md5(F.col("id").cast("string")).cast("binary").alias("key"))
+    found = index.known(some)
+    assert found.count() == 2 and len(index.asked) <= 2
+    wanted = {r["bucket"] for r in index._probed(some, "key").limit(2).collect()}
+    assert set(index.asked) == wanted
+    assert "PartitionFilters: [bucket" in found._jdf.queryExecution().toString()
+    many = spark.range(5000, 25_000).select(F.md5(F.col("id").cast("string")).cast("binary").alias("key"))
+    index.publish(many, "b")
+    index.publish(some, "b")  # the name is taken: nothing changes
+    assert index.known(some).count() == 2 and index.known(many).count() == 20_000
+    with pytest.raises(ValueError):
+        index.publish(some, "../b")
+
+
+def test_cleaning_in_place_keeps_each_content_once_over_all_files(spark, tmp_path):
+    body = lambda x: (x + " ") * 150
+    folders = [[body("one"), body("two"), "short", body("one")], [body("TWO"), body("three"), body("1 2")], [body("three"), body("four"), body("1 2")]]
+    paths = []
+    for i, texts in enumerate(folders):
+        paths.append(f"{tmp_path}/f{i}")
+        (tmp_path / f"f{i}").mkdir()
+        (tmp_path / f"f{i}" / "a.json").write_text("".join(json.dumps({"text": t, "source": f"s{i}"}) + "\n" for t in texts) + "{bad\n")
+    index = seen.SeenIndex(spark, f"{tmp_path}/index", 8, 1)
+    got = lambda p: sorted(r["text"].split()[0] for r in spark.read.schema("text string").json(p).filter("text is not null").collect())
+    seen.cleaned_in_place(spark, paths[:2], index)
+    assert [got(p) for p in paths] == [["one", "two"], ["three"], ["1", "four", "three"]]
+    seen.cleaned_in_place(spark, paths, index)  # made again, with the folder that was left out
+    assert [got(p) for p in paths] == [["one", "two"], ["three"], ["four"]] and got(paths[2] + ".bak") == ["1", "four", "three"]
