@@ -51,28 +51,49 @@ def fenced(code: Column) -> Column:
     return F.concat(F.lit("```\n"), code, F.lit("\n```"))
 
 
-def tree_pairs(messages: DataFrame, more_than: int = 100, cut: int = 2000) -> DataFrame:
+def tree_threads(messages: DataFrame, log: list[int] | None = None) -> DataFrame:
+    """root, depth, message_id of the messages of each thread that is taken over: depth 0 is the root.
+
+    From (arrival, message_id, parent_id, role); ids and arrivals must be distinct.  A message can be taken over if it is a root or the prompter's; by the first
+    child that arrives after it, whoever asks.  That choice looks at arrivals alone, so the taken links are paths, and a path is a thread if its top is a root.  Tops are found by
+    pointer doubling over narrow rows: each round a message jumps to where its jump leads, so a path of depth d takes about log2(d) rounds; ``log`` gets the
+    open jumps of each.
+    """
+    m = saved(messages.select("arrival", "message_id", "parent_id", "role"))
+    roots = m.filter("parent_id is null").select(F.col("message_id").alias("root"))
+    open_ = m.filter("parent_id is null or role = 'prompter'").select(F.col("message_id").alias("parent_id"), F.col("arrival").alias("since"))
+    kids = m.filter("parent_id is not null and role in ('assistant', 'prompter')").join(open_, "parent_id").filter("arrival > since")
+    links = kids.groupBy("parent_id").agg(F.min(F.struct("arrival", "message_id")).alias("k")).select(F.col("k.message_id").alias("node"), F.col("parent_id").alias("jump"), F.lit(1).alias("hops"))
+    links = saved(links)
+    inner = links.select(F.col("node").alias("jump"), F.lit(False).alias("top"))
+    paths = saved(links.join(inner, "jump", "left").select("node", "jump", "hops", F.coalesce("top", F.lit(True)).alias("top")))
+    while n := paths.filter("not top").count():
+        if log is not None:
+            log.append(n)
+        to = paths.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("hops").alias("more"), "top")
+        moved = paths.filter("not top").drop("top").join(to, "jump").select("node", F.col("next").alias("jump"), (F.col("hops") + F.col("more")).alias("hops"), "top")
+        paths = saved(paths.filter("top").unionByName(moved))
+    taken = paths.join(roots, F.col("jump") == F.col("root"), "left_semi").select(F.col("jump").alias("root"), F.col("hops").alias("depth"), F.col("node").alias("message_id"))
+    return roots.select("root", F.lit(0).alias("depth"), F.col("root").alias("message_id")).unionByName(taken)
+
+
+def tree_pairs(messages: DataFrame, more_than: int = 100, cut: int = 2000, log: list[int] | None = None) -> DataFrame:
     """Threads of a message tree: (message_id, full), by the message that closes each.
 
     From (arrival, message_id, parent_id, role, lang, text).  A root opens; the first child by arrival takes the thread over: if it is
     the assistant's, it closes and emits it, if the prompter's, it carries it on.  A child that comes before
-    its parent's thread is open, or after it was taken, is left.  Threads are followed by iterating over depth.
+    its parent's thread is open, or after it was taken, is left.  Of a thread only as many messages meet as ``cut`` characters can hold.
     """
-    m = messages.withColumn("text", strip(F.coalesce("text", F.lit("")))).filter((F.length("text") >= 20) & F.coalesce(F.lower("lang"), F.lit("")).isin("", "fr", "en"))
-    kids = m.filter("parent_id is not null and role in ('assistant', 'prompter')")
-    open_ = m.filter("parent_id is null").select("message_id", "arrival", _line(F.lit("user"), F.col("text")).alias("full"))
-    done = None
-    while True:
-        step = kids.select(F.col("parent_id"), F.col("message_id").alias("kid"), "role", "text", F.col("arrival").alias("at"))
-        step = step.join(open_, F.col("parent_id") == F.col("message_id")).filter("at > arrival")
-        first = step.groupBy("message_id").agg(F.min(F.struct("at", "kid", "role", "text", "full")).alias("k")).select("k.*")
-        first = first.select(F.col("kid").alias("message_id"), F.col("at").alias("arrival"), "role", F.concat("full", _line(F.when(F.col("role") == "assistant", "assistant").otherwise("user"), F.col("text"))).alias("full"))
-        first = saved(first)
-        closed = first.filter("role = 'assistant'").select("message_id", "full")
-        done = closed if done is None else done.unionByName(closed)
-        open_ = first.filter("role = 'prompter'").drop("role")
-        if open_.isEmpty():
-            return done.filter(F.length("full") > more_than).withColumn("full", F.substring("full", 1, cut))
+    least = 20
+    m = messages.withColumn("text", strip(F.coalesce("text", F.lit("")))).filter((F.length("text") >= least) & F.coalesce(F.lower("lang"), F.lit("")).isin("", "fr", "en"))
+    m = saved(m)
+    threads = saved(tree_threads(m, log))
+    closed = threads.join(m.filter("role = 'assistant' and parent_id is not null").select("message_id"), "message_id").select("root", F.col("message_id").alias("closing"))
+    heads = threads.filter(F.col("depth") <= max(cut, more_than + 1) // least).join(closed, "root")
+    line = _line(F.when((F.col("depth") > 0) & (F.col("role") == "assistant"), "assistant").otherwise("user"), F.col("text"))
+    parts = heads.join(m.select("message_id", "role", "text"), "message_id").select("closing", F.struct("depth", line.alias("line")).alias("part"))
+    whole = parts.groupBy(F.col("closing").alias("message_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["line"]), "").alias("full"))
+    return whole.filter(F.length("full") > more_than).withColumn("full", F.substring("full", 1, cut))
 
 
 def training_ids(messages: Column) -> Column:

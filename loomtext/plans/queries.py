@@ -598,13 +598,21 @@ def c5_fenced_code(spark, sf_dir):
     return spark.sql(PAIRS_SQL).select("id", chat.fenced(F.col("output")).alias("text"))
 
 
-TREE_SQL = """SELECT arrival, message_id, parent_id, role, lang, concat(text, repeat(' mot', 30)) AS text FROM (VALUES (1, 'r', NULL, 'prompter', 'fr', 'racine'), (2, 'p', 'r', 'prompter', 'fr', 'suite'), (3, 'a', 'p', 'assistant', NULL, 'reponse'), (4, 'b', 'p', 'assistant', 'fr', 'autre'),
-(5, 'c', 'a', 'assistant', 'fr', 'petit-fils'), (6, 'q', NULL, 'prompter', 'de', 'fremd'), (7, 's', NULL, 'prompter', 'EN', 'root'), (8, 't', 's', 'assistant', 'en', 'answer'), (9, 'u', 'r', 'assistant', 'fr', 'tard')) t(arrival, message_id, parent_id, role, lang, text)"""
+_OPENINGS = """WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS texts, list(turn ORDER BY turn) AS turns FROM conversations GROUP BY conv_id), p AS (SELECT conv_id, texts, turns, unnest(range(1, len(texts) + 1)) AS i FROM c)
+SELECT md5(array_to_string(texts[:i], chr(1))) AS message_id, CASE WHEN max(i) > 1 THEN md5(array_to_string(first(texts[:i - 1]), chr(1))) END AS parent_id, min(conv_id * 1000 + turns[i]) AS arrival, CASE WHEN bool_or(i = len(texts)) THEN 'assistant' ELSE 'prompter' END AS role, trim(first(texts[i]), ' ' || chr(10) || chr(9) || chr(13)) AS text FROM p GROUP BY 1"""
 
 
-@query("SELECT message_id, '<|user|>' || chr(10) || CASE message_id WHEN 'a' THEN 'racine' || repeat(' mot', 30) || chr(10) || '<|user|>' || chr(10) || 'suite' ELSE 'root' END || repeat(' mot', 30) || chr(10) || '<|assistant|>' || chr(10) || CASE message_id WHEN 'a' THEN 'reponse' ELSE 'answer' END || repeat(' mot', 30) || chr(10) AS \"full\" FROM (VALUES ('a'), ('t')) v(message_id)")
+@query(f"""WITH RECURSIVE m AS (SELECT * FROM ({_OPENINGS}) WHERE length(text) >= 20), k AS (SELECT k.*, row_number() OVER (PARTITION BY k.parent_id ORDER BY k.arrival) AS n FROM m k JOIN m p ON p.message_id = k.parent_id WHERE k.arrival > p.arrival),
+t AS (SELECT message_id, 'open' AS role, concat('<|user|>', chr(10), text, chr(10)) AS "full" FROM m WHERE parent_id IS NULL UNION ALL SELECT k.message_id, CASE WHEN k.role = 'prompter' THEN 'open' ELSE k.role END, concat(t."full", CASE WHEN k.role = 'assistant' THEN '<|assistant|>' ELSE '<|user|>' END, chr(10), k.text, chr(10))
+FROM t JOIN k ON k.parent_id = t.message_id AND k.n = 1 WHERE t.role = 'open') SELECT message_id, substr("full", 1, 2000) AS "full" FROM t WHERE role = 'assistant' AND length("full") > 100""")
 def c6_message_tree(spark, sf_dir):
-    return chat.tree_pairs(spark.sql(TREE_SQL))
+    """Conversations as a tree: equal openings are one message, the last turn of a conversation closes it."""
+    c = chat.turns(table(spark, sf_dir, "conversations")).withColumn("texts", F.transform("turns", lambda t: t["text"]))
+    opening = lambda n: F.md5(F.array_join(F.slice("texts", F.lit(1), n), "\x01").cast("binary"))
+    p = c.select("conv_id", "texts", F.posexplode("turns").alias("at", "t"))
+    p = p.select(opening(F.col("at") + 1).alias("message_id"), F.when(F.col("at") > 0, opening(F.col("at"))).alias("parent_id"), (F.col("conv_id") * 1000 + F.col("t.turn")).alias("arrival"), (F.col("at") + 1 == F.size("texts")).alias("last"), F.col("t.text").alias("text"))
+    m = p.groupBy("message_id").agg(F.min("parent_id").alias("parent_id"), F.min("arrival").alias("arrival"), F.when(F.bool_or("last"), "assistant").otherwise("prompter").alias("role"), F.min("text").alias("text"))
+    return chat.tree_pairs(m.withColumn("lang", F.lit(None).cast("string")))
 
 
 _ROLE_IDS = "list_concat([CASE WHEN role = 'user' THEN 261 ELSE 262 END], list_transform(string_split(text, ' '), lambda x: CAST(length(x) AS INTEGER)))"

@@ -530,3 +530,46 @@ def test_cleaning_in_place_keeps_each_content_once_over_all_files(spark, tmp_pat
     assert [got(p) for p in paths] == [["one", "two"], ["three"], ["1", "four", "three"]]
     seen.cleaned_in_place(spark, paths, index)  # made again, with the folder that was left out
     assert [got(p) for p in paths] == [["one", "two"], ["three"], ["four"]] and got(paths[2] + ".bak") == ["1", "four", "three"]
+
+
+def plain_buffer(messages, more_than=100, cut=2000):
+    """Threads as a buffer gives them that sees the messages one by one: {closing id: text}."""
+    buffer, out = {}, {}
+    for _, i, parent, role, lang, said in sorted(messages, key=lambda m: m[0]):
+        said = (said or "").strip()
+        if (lang or "").lower() not in ("", "fr", "en") or len(said) < 20:
+            continue
+        if parent is None:
+            buffer[i] = f"<|user|>\n{said}\n"
+        elif parent in buffer and role in ("assistant", "prompter"):
+            whole = buffer.pop(parent) + f"<|{'assistant' if role == 'assistant' else 'user'}|>\n{said}\n"
+            if role == "prompter":
+                buffer[i] = whole
+            elif len(whole) > more_than:
+                out[i] = whole[:cut]
+    return out
+
+
+TREE = "arrival int, message_id string, parent_id string, role string, lang string, text string"
+
+
+@pytest.mark.parametrize("seed,forks", [(1, 2), (2, 5), (3, 40)])
+def test_threads_equal_the_buffer(spark, seed, forks):
+    rnd = random.Random(seed)
+    arrivals = rnd.sample(range(2000), 150)
+    messages = []
+    for n in range(150):
+        parent = None if n < 3 or rnd.random() < 0.05 else f"m{rnd.randrange(max(0, n - forks), n)}"
+        at = n * 10 if rnd.random() < 0.9 else arrivals[n] * 10 + 1  # some come before their parents
+        messages.append((at, f"m{n}", parent, rnd.choice(["prompter"] * 6 + ["assistant", "other"]), rnd.choice([None, "fr", "EN", "fr", "fr", "de"]) if n % 9 == 0 else "fr", rnd.choice(["a", None]) if n % 23 == 22 else f" text {n} " + "word " * rnd.randrange(4, 60)))
+    got = {r["message_id"]: r["full"] for r in chat.tree_pairs(spark.createDataFrame(messages, TREE)).collect()}
+    assert got == plain_buffer(messages)
+
+
+def test_deep_threads_take_few_rounds(spark):
+    depth = 300
+    messages = [(n, f"m{n}", f"m{n - 1}" if n else None, "assistant" if n == depth else "prompter", "fr", "word " * 5) for n in range(depth + 1)]
+    log = []
+    got = {r["message_id"]: r["full"] for r in chat.tree_pairs(spark.createDataFrame(messages, TREE), log=log).collect()}
+    assert got == plain_buffer(messages) and len(got[f"m{depth}"]) == 2000 and len(log) == math.ceil(math.log2(depth))
+    assert chat.tree_pairs(spark.createDataFrame([], TREE)).collect() == []
