@@ -163,6 +163,14 @@ def s7_crawl(spark, sf_dir):
     return readers.crawl(found, start or "http://none/", 50)
 
 
+@query()
+def s7_crawl_hosts(spark, sf_dir):
+    """All hosts at once, each from its least address."""
+    p = table(spark, sf_dir, "pages").filter("url is not null")
+    found = p.select(F.col("url").alias("from_url"), F.posexplode(html.resolved(F.col("url"), html.hrefs(F.col("html")))).alias("pos", "href"))
+    return readers.crawl_hosts(found, p.select("url"), 50)
+
+
 @query("SELECT conv_id, count(*) AS n_messages FROM conversations GROUP BY conv_id HAVING count(*) >= 2")
 def s10_conversations(spark, sf_dir):
     c = chat.turns(table(spark, sf_dir, "conversations"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomtext.config import SKIPPED_TITLES
 from loomtext.functions import html as pages
 from loomtext.functions import normalize
 from loomtext.operators.gates import no_redirect, title_gate
+from loomtext.operators.mix import running_sum
+from loomtext.session import saved
 
 DOCUMENT = "text string, source string, title string, url string"
 
@@ -71,28 +72,35 @@ def web_pages(fetched: DataFrame, min_chars: int = 200, cut: int = 5000, exact:
     return t.select("url", F.substring("text", 1, cut).alias("text"), F.least(F.length("text"), F.lit(cut)).alias("chars"), pages.netloc(F.col("url")).alias("domain"))
 
 
-def crawl(links: DataFrame, start: str, max_pages: int, per_page: int = 20, max_depth: int = 50) -> DataFrame:
-    """url, depth, rank: pages reached breadth-first within one host over (from_url, pos, href), absolute addresses.
+def crawl(links: DataFrame, start: str, max_pages: int, per_page: int = 20) -> DataFrame:
+    """url, depth, rank: pages reached breadth-first from ``start`` within its host, as ``crawl_hosts`` finds them."""
+    return crawl_hosts(links, links.sparkSession.createDataFrame([(start,)], "url string"), max_pages, per_page).drop("host")
 
-    Within a level pages stand in the order of their parents and of the links on them.  The visited set and the frontier hold
-    ``max_pages`` rows at most, so they are broadcast.
+
+def crawl_hosts(links: DataFrame, starts: DataFrame, max_pages: int = 500, per_page: int = 20, log: list[int] | None = None) -> DataFrame:
+    """host, url, depth, rank: the first ``max_pages`` pages of each host, breadth-first from its start (the least url of ``starts``).
+
+    Over (from_url, pos, href), absolute addresses, the first ``per_page`` of a page.  All hosts go on by one level at a time; within a level pages stand in the order of their parents
+    and of the links on them, so a level's ranks are running sums in two levels.  Visited pages and the frontier are saved tables: nothing is held by the driver,
+    and a host ends where it has no new page, however deep.  ``log`` gets the size of each level.
     """
-    spark = links.sparkSession
-    host = F.regexp_extract(F.lit(start), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
-    usable = links.filter((F.col("pos") < per_page) & (pages.netloc(F.col("href")) == host))
-    schema = T.StructType([T.StructField("url", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("rank", T.LongType())])
-    visited = [(start, 0, 0)]
-    level = list(visited)
-    for depth in range(1, max_depth + 1):
-        if not level or len(visited) >= max_pages:
-            break
-        front = spark.createDataFrame(level, schema)
-        known = spark.createDataFrame([(u,) for u, _, _ in visited], "href string")
-        new = usable.join(F.broadcast(front), usable["from_url"] == front["url"]).join(F.broadcast(known), "href", "left_anti")
-        rows = new.groupBy("href").agg(F.min(F.struct("rank", "pos")).alias("at")).orderBy("at").limit(max_pages - len(visited)).collect()
-        level = [(r["href"], depth, len(visited) + i) for i, r in enumerate(rows)]
-        visited += level
-    return spark.createDataFrame(visited, schema)
+    host = pages.netloc
+    usable = saved(links.filter((F.col("pos") < per_page) & (host(F.col("href")) == host(F.col("from_url")))).select("from_url", "pos", "href").distinct())
+    level = saved(starts.filter("url is not null").groupBy(host(F.col("url")).alias("host")).agg(F.min("url").alias("url")).select("host", "url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank")))
+    visited, depth = level, 0
+    while n := level.count():
+        if log is not None:
+            log.append(n)
+        depth += 1
+        found = usable.join(level.select(F.col("url").alias("from_url"), "host", "rank"), "from_url").groupBy("host", "href").agg(F.min(F.struct("rank", "pos")).alias("at"))
+        new = saved(found.join(visited.select(F.col("url").alias("href")), "href", "left_anti").select("host", "href", F.col("at.rank").alias("parent"), F.col("at.pos").alias("pos"), F.lit(1).alias("one")))
+        ahead = level.groupBy("host").agg((F.max("rank") + 1).alias("base"))
+        ranked = running_sum(new, "one", "n", ["parent", "pos", "href"], ["host"], exclusive=True).join(ahead, "host")
+        level = saved(ranked.select("host", F.col("href").alias("url"), F.lit(depth).alias("depth"), (F.col("base") + F.col("n")).cast("long").alias("rank")).filter(F.col("rank") < max_pages))
+        visited = visited.unionByName(level)
+        if depth % 8 == 0:  # so that a deep host's plan stays short
+            visited = saved(visited)
+    return visited
 
 
 def any_of(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:

@@ -573,3 +573,24 @@ def test_deep_threads_take_few_rounds(spark):
     got = {r["message_id"]: r["full"] for r in chat.tree_pairs(spark.createDataFrame(messages, TREE), log=log).collect()}
     assert got == plain_buffer(messages) and len(got[f"m{depth}"]) == 2000 and len(log) == math.ceil(math.log2(depth))
     assert chat.tree_pairs(spark.createDataFrame([], TREE)).collect() == []
+
+
+def test_crawl_of_many_hosts_and_a_long_chain(spark):
+    from test_queries import plain_crawl
+
+    rnd, rows, starts = random.Random(4), [], []
+    for h in range(6):
+        page = lambda n: f"http://h{h}/{n}"  # noqa: E731, B023
+        starts.append((page(0),))
+        rows += [(page(n), pos, page(rnd.randrange(40))) for n in range(40) for pos in range(rnd.randrange(4))]
+        rows += [(page(n), 9, f"http://h{(h + 1) % 6}/{n}") for n in range(5)]  # other hosts are not entered
+    rows += [(f"http://chain/{n}", 0, f"http://chain/{n + 1}") for n in range(12)]
+    starts.append(("http://chain/0",))
+    links = {}
+    for u, _, to in sorted(rows, key=lambda r: r[:2]):
+        if to.split("/")[2] == u.split("/")[2]:
+            links.setdefault(u, []).append(to)
+    log = []
+    got = readers.crawl_hosts(spark.createDataFrame(rows, "from_url string, pos int, href string"), spark.createDataFrame(starts, "url string"), 25, log=log).collect()
+    assert sorted((r["url"], r["rank"]) for r in got) == sorted((u, n) for (s,) in starts for n, u in enumerate(plain_crawl(links, s, 25)))
+    assert max(r["depth"] for r in got if r["host"] == "chain") == 12 and sum(log) == len(got)

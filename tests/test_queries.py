@@ -65,14 +65,31 @@ def check_s6_web_pages(got, duck, sf_dir):
     assert {r["url"]: (r["text"], r["chars"], r["domain"]) for r in got} == expected
 
 
-def check_s7_crawl(got, duck, sf_dir):
-    links = {u: [urljoin(u, t) for t in Page(h).targets if urlparse(urljoin(u, t)).netloc == urlparse(u).netloc][:20] for u, h in rows(duck, "SELECT url, html FROM pages WHERE url IS NOT NULL ORDER BY page_id DESC")}
-    queue = seen = [min(links)]
-    while queue and len(seen) < 50:
+def plain_crawl(links, start, most):
+    queue = seen = [start]
+    while queue and len(seen) < most:
         new = [x for u in queue for x in links.get(u, ())]
         queue = [x for n, x in enumerate(new) if x not in seen and x not in new[:n]]
         seen = seen + queue
-    assert [r["url"] for r in sorted(got, key=lambda r: r["rank"])] == seen[:50]
+    return seen[:most]
+
+
+def links_within_hosts(duck):
+    return {u: [urljoin(u, t) for t in Page(h).targets if urlparse(urljoin(u, t)).netloc == urlparse(u).netloc][:20] for u, h in rows(duck, "SELECT url, html FROM pages WHERE url IS NOT NULL ORDER BY page_id DESC")}
+
+
+def check_s7_crawl(got, duck, sf_dir):
+    links = links_within_hosts(duck)
+    assert [r["url"] for r in sorted(got, key=lambda r: r["rank"])] == plain_crawl(links, min(links), 50)
+
+
+def check_s7_crawl_hosts(got, duck, sf_dir):
+    links = links_within_hosts(duck)
+    starts = {}
+    for u in sorted(links, reverse=True):
+        starts[urlparse(u).netloc] = u
+    expected = {(h, u, n) for h, start in starts.items() for n, u in enumerate(plain_crawl(links, start, 50))}
+    assert {(r["host"], r["url"], r["rank"]) for r in got} == expected and len(got) == len(expected)
 
 
 def check_r8_sentences(got, duck, sf_dir):
@@ -299,7 +316,7 @@ def check_a8_inventory(got, duck, sf_dir):
 
 
 CHECKS = {
-    "n3_nfkc": check_n3_nfkc, "h1_page_text": check_h1_page_text, "h2_resolved_links": check_h2_resolved_links, "s6_web_pages": check_s6_web_pages, "s7_crawl": check_s7_crawl,
+    "n3_nfkc": check_n3_nfkc, "h1_page_text": check_h1_page_text, "h2_resolved_links": check_h2_resolved_links, "s6_web_pages": check_s6_web_pages, "s7_crawl": check_s7_crawl, "s7_crawl_hosts": check_s7_crawl_hosts,
     "r8_sentences": check_r8_sentences, "t3_merges": check_merges, "k6_tokenizer": check_merges, "t4_encode": check_t4_encode, "a8_inventory": check_a8_inventory,
     "d5_learned_facts": check_d5_learned_facts, "d7_learning_loop": check_d7_learning_loop, "s12_resumed_tokens": check_s12_resumed_tokens, "v1_vocab_edges": check_v1_vocab_edges, "v5_aligned": check_v5_aligned, "v6_position_map": check_v6_position_map,
 }
