@@ -20,7 +20,7 @@ PIECE = 32_768
 
 
 class SeenIndex:
-    """Binary keys under ``path``: ``keys/run=r/bucket=b``, ``filters/run=r/bucket=b`` and a record ``runs/r`` for each run that is published.
+    """Binary keys under ``path``: ``keys/run=r/bucket=b``, ``filters/run=r`` and a record ``runs/r`` for each run that is published.
 
     A run is published by one rename of its record, after its keys and filters are written, so readers see all of it or nothing; what a failed run left behind is in no
     record and is never read.  Publishing a run's name a second time changes nothing, so a run that is repeated after its record was written asks only
@@ -61,7 +61,7 @@ class SeenIndex:
         return keys.withColumn("bucket", F.pmod(F.xxhash64(F.lit(7), key), F.lit(self.buckets)).cast("int")).withColumn("_probes", F.array(place(1), place(2)))
 
     def _read(self, what: str, runs: list[str]) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.path}/{what}").schema("key binary, run string, bucket int" if what == "keys" else "piece bigint, bits binary, run string, bucket int").parquet(*[f"{self.path}/{what}/run={r}" for r in runs])
+        return self.spark.read.option("basePath", f"{self.path}/{what}").schema("key binary, run string, bucket int" if what == "keys" else "bucket int, piece bigint, bits binary, run string").parquet(*[f"{self.path}/{what}/run={r}" for r in runs])
 
     def known(self, keys: DataFrame, key: str = "key", before: str | None = None) -> DataFrame:
         """The distinct ones of ``keys`` that a published run holds.
@@ -98,7 +98,7 @@ class SeenIndex:
         # the filters are of what was written, whatever a second computation of ``keys`` would give
         written = self._probed(self._read("keys", [run]).select("key"), "key").select("bucket", F.explode("_probes").alias("place"))
         bits = written.groupBy("bucket", F.floor(F.col("place") / PIECE).alias("piece")).agg(F.bitmap_construct_agg(F.col("place") % PIECE).alias("bits"))
-        bits.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/filters/run={run}")
+        bits.write.mode("overwrite").parquet(f"{self.path}/filters/run={run}")
         staged, fs = self._at(f"{self.path}/_{uuid.uuid4().hex}")
         out = fs.create(staged, True)
         out.write(bytearray((json.dumps({"order": len(records), "run": run, "buckets": self.buckets, "pieces": self.pieces}) + "\n").encode()))
