@@ -29,6 +29,13 @@ def search(facts: DataFrame, query: str, k: int = 5, fact: str = "fact", positio
     return facts.withColumn("score", score(F.col(fact), query)).filter("score > 0").orderBy(F.desc("score"), position).limit(k)
 
 
+def told(preferences: DataFrame) -> DataFrame:
+    """One row with ``_prefs``: the preferences (key, value) as the inside of a JSON object, by key; empty if there are none."""
+    quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    pairs = F.array_sort(F.collect_list(F.struct("key", F.concat(quoted("key"), F.lit(": "), quoted("value")).alias("said"))))
+    return preferences.agg(F.array_join(F.transform(pairs, lambda x: x["said"]), ", ").alias("_prefs"))
+
+
 def context(facts: DataFrame, preferences: DataFrame, query: str | None, n: int = 10, fact: str = "fact", position: str = "pos") -> DataFrame:
     """One row with ``context``, what a prompt is told: preferences as JSON, then the facts found, or without a query the last, one to a line.
 
@@ -37,12 +44,9 @@ def context(facts: DataFrame, preferences: DataFrame, query: str | None, n: int
     chosen = search(facts, query, n, fact, position) if query else facts.orderBy(F.desc(position)).limit(n)
     best = F.struct(-F.col("score"), position, fact) if query else F.struct(position, fact)
     lines = chosen.agg(F.array_join(F.transform(F.array_sort(F.collect_list(best)), lambda x: F.concat(F.lit("- "), x[fact])), "\n").alias("_facts"))
-    quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
-    pairs = F.array_sort(F.collect_list(F.struct("key", F.concat(quoted("key"), F.lit(": "), quoted("value")).alias("said"))))
-    prefs = preferences.agg(F.array_join(F.transform(pairs, lambda x: x["said"]), ", ").alias("_prefs"))
     part = lambda c, head, tail="": F.when(F.col(c) != "", F.concat(F.lit(head), F.col(c), F.lit(tail)))
     text = F.concat_ws("\n", part("_prefs", PREFERENCES + "{", "}"), part("_facts", FACTS + "\n"))
-    return prefs.join(lines).select(F.when(text == "", F.lit(NOTHING)).otherwise(text).alias("context"))  # two tables of one row each
+    return told(preferences).join(lines).select(F.when(text == "", F.lit(NOTHING)).otherwise(text).alias("context"))  # two tables of one row each
 
 
 def contradicted(facts: DataFrame, candidates: DataFrame, negations: tuple[str, ...] = NEGATIONS, last: int = 50, prefix: int = 40, fact: str = "fact", position: str = "pos") -> DataFrame:

@@ -16,7 +16,8 @@ from loomtext.config import SKIPPED_TITLES
 from loomtext.functions import html, normalize, text
 from loomtext.functions.normalize import CLOSE_ORPHAN, HEADING, LINK, OPEN_ORPHAN, TABLE, TAIL, TEMPLATE, URL
 from loomtext.functions.text import SPACE, WORD
-from loomtext.operators import chat, dedup, gates, metrics, mix, parse, recall, seen, tokens, training, vocab
+from loomtext.operators import chat, dedup, gates, lookup, metrics, mix, parse, recall, seen, tokens, training, vocab
+from loomtext.operators.recall import FACTS, PREFERENCES
 from loomtext.session import saved, shared_folder
 from loomtext.sources import readers, shapes, writers
 from loomtext.sources.flat import FlatTokens
@@ -850,6 +851,41 @@ def r2_context(spark, sf_dir):
     return recall.context(made(spark, sf_dir, FACTS_SQL), prefs, _ASKED)
 
 
+TURNS_SQL = "SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations WHERE role = 'user'"
+FRAGMENTS_SQL = "SELECT item_id AS query_id, substring(text, 3, 4 + CAST(item_id % 12 AS INT)) AS query FROM benchmark"
+
+
+def _best_sql(queries, facts, k):
+    """Every query against every fact."""
+    share = "len(list_intersect(q.have, f.w)) / len(q.have)"
+    return f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank, pos, fact, score FROM (SELECT query_id, pos, fact, CASE WHEN contains(low, asked) THEN 1.0 ELSE {share} END AS score
+FROM (SELECT query_id, lower(query) AS asked, list_distinct({_words('lower(query)')}) AS have FROM ({queries})) q, (SELECT pos, fact, lower(fact) AS low, {_words('lower(fact)')} AS w FROM ({facts})) f
+WHERE len(have) > 0) WHERE score > 0 QUALIFY rank <= {k}"""
+
+
+@query(f"SELECT query_id, rank, pos, CAST(score AS DOUBLE) AS score FROM ({_best_sql(TURNS_SQL, FACTS_SQL, 5)})")
+def r1_search_turns(spark, sf_dir):
+    """Every turn of a user against all documents."""
+    return lookup.search_all(made(spark, sf_dir, FACTS_SQL), made(spark, sf_dir, TURNS_SQL))
+
+
+@query(f"SELECT query_id, rank, pos, CAST(score AS DOUBLE) AS score FROM ({_best_sql(FRAGMENTS_SQL, FACTS_SQL, 5)})")
+def r1_search_fragments(spark, sf_dir):
+    """Pieces of texts that begin and end inside words."""
+    return lookup.search_all(made(spark, sf_dir, FACTS_SQL), made(spark, sf_dir, FRAGMENTS_SQL))
+
+
+BENCH_SQL = "SELECT item_id AS pos, text AS fact FROM benchmark"
+
+
+@query(f"""SELECT query_id, '{PREFERENCES}{{"langue": "fr", "ton": "bref"}}' || coalesce(chr(10) || '{FACTS}' || chr(10) || string_agg('- ' || fact, chr(10) ORDER BY rank), '') AS context
+FROM ({TURNS_SQL}) LEFT JOIN ({_best_sql(TURNS_SQL, BENCH_SQL, 10)}) USING (query_id) GROUP BY query_id""")
+def r2_contexts(spark, sf_dir):
+    """What the prompt of each turn is told of the benchmark's texts."""
+    prefs = spark.sql("SELECT * FROM (VALUES ('langue', 'fr'), ('ton', 'bref')) t(key, value)")
+    return lookup.contexts(made(spark, sf_dir, BENCH_SQL), made(spark, sf_dir, TURNS_SQL), prefs)
+
+
 @query("SELECT * FROM (VALUES (1, 'alpha', 3), (2, 'beta', 4), (3, 'gamma ray', 0), (4, 'delta', 1), (5, 'eps', 2)) t(pos, topic, new_pos)")
 def r3_prioritised(spark, sf_dir):
     return recall.prioritised(spark.sql("SELECT * FROM (VALUES (1, 'alpha'), (2, 'beta'), (3, 'gamma ray'), (4, 'delta'), (5, 'eps')) t(pos, topic)"), "Gamma")

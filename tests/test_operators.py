@@ -594,3 +594,43 @@ def test_crawl_of_many_hosts_and_a_long_chain(spark):
     got = readers.crawl_hosts(spark.createDataFrame(rows, "from_url string, pos int, href string"), spark.createDataFrame(starts, "url string"), 25, log=log).collect()
     assert sorted((r["url"], r["rank"]) for r in got) == sorted((u, n) for (s,) in starts for n, u in enumerate(plain_crawl(links, s, 25)))
     assert max(r["depth"] for r in got if r["host"] == "chain") == 12 and sum(log) == len(got)
+
+
+def best_of(facts, query, k):
+    """The search of one query, over all facts."""
+    q, out = query.lower(), []
+    for pos, fact in sorted((p, f) for p, f in facts if f is not None):
+        text, have = fact.lower(), set(q.split())
+        score = 1.0 if q in text else len(have & set(text.split())) / len(have)
+        if score > 0:
+            out.append((-score, pos))
+    return [(n, pos, round(-s, 9)) for n, (s, pos) in enumerate(sorted(out)[:k], 1)]
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_search_of_many_queries_is_that_of_each(spark, k):
+    from loomtext.operators.lookup import search_all
+
+    rng = random.Random(k)
+    some = lambda n: " ".join(rng.choices(["de", "la", "lune", "terre", "mer", "Nuit", "étoile", "vent", "demain", "eau", "bois", "an"], [40, 30, 1, 1, 2, 2, 1, 3, 2, 3, 2, 9], k=n))
+    facts = [(i * 7 - 100, some(rng.randrange(1, 9))) for i in range(300)] + [(9000, None), (9001, ""), (9002, "  "), (9003, "étoile " * 500), (9004, "zéro")]
+    asked = [some(rng.randrange(1, 7)) for _ in range(60)] + ["main", "e", "a lu", "une de", "ois", "de la mer", "absent", "absent mot zéro", "oile v", " de", "n d", "lune absent"]
+    asked += [f[1:-1] for _, f in facts[:20] if len(f) > 3]
+    queries = list(enumerate(asked)) + [(900, None), (901, ""), (902, "  ")]
+    f = spark.createDataFrame(facts, "pos int, fact string").withColumn("_pos", F.lit(1)).withColumn("_words", F.lit("x"))
+    log = {}
+    got = search_all(f, spark.createDataFrame(queries, "query_id int, query string").withColumn("_q", F.lit(0)), k, log=log).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append((r["rank"], r["pos"], round(r["score"], 9)))
+    assert found == {i: b for i, q in enumerate(asked) if (b := best_of(facts, q, k))}
+    assert log["pairs"] < len(asked) * len(facts)
+
+
+def test_search_of_many_queries_without_rows(spark):
+    from loomtext.operators.lookup import contexts, search_all
+
+    facts, queries = spark.createDataFrame([(1, "a b")], "pos int, fact string"), spark.createDataFrame([(1, "a"), (2, "c"), (3, None)], "query_id int, query string")
+    assert search_all(facts.limit(0), queries).count() == search_all(facts, queries.limit(0)).count() == 0
+    none = spark.createDataFrame([], "key string, value string")
+    assert {tuple(r) for r in contexts(facts, queries, none).collect()} == {(1, "Faits connus:\n- a b"), (2, "(mémoire vide)")}
