@@ -111,6 +111,31 @@ def head_of_sources(docs: DataFrame, quotas: dict[str, int], source: str = "sour
     return out
 
 
+def in_proportion(sources: dict[str, DataFrame], shares: dict[str, float], max_docs: int, cut: int = 2000, seed: int = 42, position: str = "doc_id", text: str = "text") -> DataFrame:
+    """source, position, place, text: of each source its share of ``max_docs``, at least one, the first by ``position``, cut at 2000 characters, all shuffled.
+
+    The shuffle is an order by a hash of seed, source and position, so it is the same on every run and layout; ``place`` counts from 1 and ends at ``max_docs``.
+    A quota is a place in its source, so texts are selected by it and not sorted: positions must be distinct and not null.
+    """
+    quotas, out = quota_sizes(max_docs, shares), None
+    for name, n in quotas.items():
+        if name in sources:
+            part = first_rows(sources[name].select(position, F.substring(text, 1, cut).alias(text)), n, position).select(F.lit(name).alias("source"), position, text)
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no source has a share")
+    # the cap bounds what is sorted; a hash that is even over its range makes blocks of equal size
+    out = out.withColumn("_at", uniform(F.lit(seed), F.col("source"), F.col(position)))
+    out = running_sum(out.withColumn("_one", F.lit(1).cast("long")), "_one", "place", ["_at", "source", position])
+    return out.filter(F.col("place") <= max_docs).select("source", position, "place", text)
+
+
+def first_rows(df: DataFrame, n: int, position: str = "doc_id") -> DataFrame:
+    """The first ``n`` rows by a position that is distinct: its n-th value is found first, over that column alone, and rows are filtered by it."""
+    last = df.select(position).filter(F.col(position).isNotNull()).orderBy(position).limit(n).agg(F.max(position)).first()[0]
+    return df.filter(F.col(position) <= last) if last is not None else df.limit(0)
+
+
 def filled_quota(candidates: DataFrame, quota: int, priority: dict[str, int], source: str = "source", position: str = "doc_id") -> DataFrame:
     """``quota`` rows, sources of lower rank only where those before fall short."""
     rank = F.create_map(*[F.lit(x) for kv in priority.items() for x in kv])

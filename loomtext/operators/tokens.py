@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomtext.config import BOS, EOS
 from loomtext.functions.text import FAST_SPACE, SPACE
-from loomtext.operators.mix import running_sum
+from loomtext.operators.mix import first_rows, running_sum
 from loomtext.operators.training import BASE, folded
 
 #: How texts are split into words before merging. Letters are ASCII and U+00C0 to U+00FF; what no branch takes, such as
@@ -133,5 +133,16 @@ def packed(docs: DataFrame, length: int, overlap: bool = False, ids: str = "ids"
     return whole.filter(F.size("ids") == n)
 
 
+def prepared(docs: DataFrame, encode, length: int, min_chars: int = 50, max_docs: int | None = None, text: str = "text", position: str = "doc_id") -> DataFrame:
+    """seq_id, ids: training sequences of the first ``max_docs`` texts of at least 50 characters, encoded without marks and packed so that neighbours share a token.
+
+    ``encode`` is a function from words to ids, such as an ``encoder``.  Short texts do not count for the cap; a cap of 0 or less lets none in.
+    """
+    kept = docs.filter(F.length(text) >= min_chars).select(position, text)
+    if max_docs is not None:
+        kept = first_rows(kept, max(max_docs, 0), position)
+    return packed(kept.select(position, encode(pretokens(F.col(text))).alias("ids")), length, overlap=True, position=position)
+
+
 def stats(docs: DataFrame, ids: str = "ids") -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size(ids)), F.lit(0)).alias("n_tokens"))

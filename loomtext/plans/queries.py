@@ -130,6 +130,17 @@ def s2_corpus(spark, sf_dir):
     return readers.corpus(spark, at).select(F.length("text").alias("n_chars"))
 
 
+@query(f"SELECT chars, count(*) AS n_docs FROM (SELECT length(text) AS chars FROM (SELECT doc_id, {_repaired('text')} AS t FROM documents) d, LATERAL (SELECT {_tail('t')} AS text) WHERE length(text) >= 100 UNION ALL SELECT length(text) + 1 FROM benchmark WHERE length(text) >= 99) GROUP BY chars")
+def s2_corpus_of_both(spark, sf_dir):
+    """JSON lines, and text files of one text each, under a cap that the lines do not fill."""
+    at, texts = scratch(spark, "s2"), scratch(spark, "s2-texts")
+    docs = table(spark, sf_dir, "documents")
+    writers.json_lines(docs.select("text"), at)
+    table(spark, sf_dir, "benchmark").select("text").write.option("maxRecordsPerFile", 1).text(texts)
+    both = readers.corpus(spark, at, texts, max_docs=docs.count() + 1)
+    return both.groupBy(F.length("text").alias("chars")).agg(F.count("*").alias("n_docs"))
+
+
 DUMP_SQL = f"SELECT doc_id, concat(CASE WHEN doc_id % 5 = 0 THEN 'Talk:' WHEN doc_id % 7 = 0 THEN 'Catégorie:' ELSE '' END, doc_id) AS title, concat(CASE WHEN doc_id % 11 = 0 THEN '#redirect ' ELSE '' END, text) AS text FROM ({WIKI_SQL}) w"
 _WIKITEXT = [(p.replace("(?iu)", "(?i)"), to.replace("$", chr(92)).replace(chr(10), "' || chr(10) || '")) for p, to in normalize.WIKITEXT]
 
@@ -215,6 +226,16 @@ def s8_shared_chats(spark, sf_dir):
     return shapes.shared_chats(_listed(spark, sf_dir, "from", "value"), "x").select("conv_id", "text")
 
 
+@query(f"SELECT doc_id, t AS text FROM (SELECT doc_id, {_strip('text')} AS t FROM documents) WHERE length(t) > 500")
+def s8_encyclopedia(spark, sf_dir):
+    return shapes.encyclopedia(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(f"SELECT doc_id, substr(text, 1, 2000) AS text FROM documents WHERE length(text) >= 200 AND len({_words('text')}) >= 30 AND len(list_distinct({_words('text')})) / len({_words('text')}) >= 0.3 ORDER BY doc_id LIMIT 300")
+def s8_filtered_web(spark, sf_dir):
+    return shapes.filtered_web(table(spark, sf_dir, "documents").select("doc_id", "text"), 300)
+
+
 _ASKED_SQL = "SELECT doc_id, '<|user|>' || chr(10) || {asked} || chr(10) || '<|assistant|>' || chr(10) || {said} || chr(10) AS text FROM documents WHERE {strip} <> ''"
 
 
@@ -486,10 +507,10 @@ def d5_learned_facts(spark, sf_dir):
 
 
 @query(f"""WITH t AS (SELECT pos, trim(fact) AS topic FROM ({FACTS_SQL}) WHERE length(trim(fact)) >= 5), k AS (SELECT pos, topic, substr(lower(topic), 1, 80) AS key FROM t),
-f AS (SELECT min(pos) AS pos, arg_min(topic, pos) AS topic FROM k WHERE key NOT IN (SELECT lower(substr(text, 1, 80)) FROM benchmark) GROUP BY key) SELECT pos, topic FROM f ORDER BY pos LIMIT 80""")
+f AS (SELECT min(pos) AS pos, arg_min(topic, pos) AS topic FROM k WHERE key NOT IN (SELECT lower(text) FROM benchmark) GROUP BY key) SELECT pos, topic FROM f ORDER BY pos LIMIT 80""")
 def d7_enqueue(spark, sf_dir):
-    seen = table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 80))
-    return dedup.enqueued(made(spark, sf_dir, FACTS_SQL).select("pos", F.col("fact").alias("topic")), seen)
+    """Old topics are known by their whole text, new ones by 80 characters: a long one enters again."""
+    return dedup.enqueued(made(spark, sf_dir, FACTS_SQL).select("pos", F.col("fact").alias("topic")), table(spark, sf_dir, "benchmark").select("text"))
 
 
 @query()
@@ -554,6 +575,16 @@ def m3_quota(spark, sf_dir):
     return mix.head_of_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), mix.quota_sizes(50, {"src0": 0.6, "src1": 0.3, "src2": 0.1}))
 
 
+_SHARES = {"src0": 0.5, "src1": 0.25, "src2": 0.15, "src3": 0.1}
+_QUOTAS = " UNION ALL ".join(f"(SELECT source, doc_id, substr(text, 1, 2000) AS text FROM documents WHERE source = '{s}' ORDER BY doc_id LIMIT {max(1, int(200 * n))})" for s, n in _SHARES.items())
+
+
+@query(f"SELECT *, row_number() OVER (ORDER BY md5('42|' || source || '|' || doc_id)) AS place FROM ({_QUOTAS}) QUALIFY place <= 200")
+def m3_in_proportion(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mix.in_proportion({s: docs.filter(F.col("source") == s) for s in _SHARES}, _SHARES, 200)
+
+
 @query("SELECT doc_id, source FROM documents WHERE source IN ('src3', 'src4', 'src5') ORDER BY CASE source WHEN 'src4' THEN 0 WHEN 'src3' THEN 1 ELSE 2 END, doc_id LIMIT 70")
 def m3_deficit_fill(spark, sf_dir):
     return mix.filled_quota(table(spark, sf_dir, "documents").select("doc_id", "source"), 70, {"src4": 0, "src3": 1, "src5": 2})
@@ -565,6 +596,13 @@ def m6_chunks(spark, sf_dir):
     return mix.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("SELECT doc_id, chunk_no, chunk AS text FROM (" + ORACLE["m6_chunks"] + ")")
+def s8_books(spark, sf_dir):
+    """Books whose text is under either of two names."""
+    d = made(spark, sf_dir, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS text, CASE WHEN doc_id % 2 = 1 THEN text END AS content FROM documents")
+    return shapes.books(d).select("doc_id", "chunk_no", "text")
+
+
 @query("SELECT source, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY source")
 def m7_source_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
@@ -758,6 +796,14 @@ def k5_sequences(spark, sf_dir):
     return spark.read.schema("seq_id bigint, ids array<int>").json(at).select("seq_id", F.array_join("ids", " ").alias("ids"))
 
 
+@query()
+def p2_prepared(spark, sf_dir):
+    """Documents by our tokenizer, all but the last of those that are long enough."""
+    docs = table(spark, sf_dir, "documents")
+    most = docs.filter(F.length("text") >= 50).count() - 1
+    return tokens.prepared(docs, tokens.encoder(_merges(spark, sf_dir)), 128, max_docs=most)
+
+
 @query()
 def k6_tokenizer(spark, sf_dir):
     at = scratch(spark, "k6")

@@ -34,13 +34,16 @@ def parsed_lines(lines: DataFrame, schema: str = DOCUMENT, line: str = "line", b
 
 
 def corpus(spark: SparkSession, json_path: str | None, text_path: str | None = None, min_chars: int = 100, max_docs: int | None = None) -> DataFrame:
-    """file, pos, text: JSON lines, normalised and capped by file order, then whole text files, as they are."""
+    """file, pos, text: JSON lines, normalised, the first ``max_docs`` in file order; then, if those did not fill the cap, whole text files, as they are.
+
+    A cap of 0 is none.  A text file is one row, so it must fit a cell; what may grow beyond that belongs in JSON lines.
+    """
     out = None
     if json_path:
         t = spark.read.schema("text string").json(json_path).select(F.col("_metadata.file_path").alias("file"), "text")
         t = t.withColumn("pos", F.monotonically_increasing_id()).withColumn("text", normalize.loaded(F.col("text"))).filter(F.length("text") >= min_chars)
-        out = t.orderBy("file", "pos").limit(max_docs) if max_docs is not None else t
-    if text_path:
+        out = t.orderBy("file", "pos").limit(max_docs) if max_docs else t
+    if text_path and not (max_docs and out is not None and out.count() >= max_docs):
         t = spark.read.text(text_path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"), F.lit(0).cast("long").alias("pos")).filter(F.length("text") >= min_chars)
         out = t if out is None else out.unionByName(t)
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.text import strip
 from loomtext.operators import chat, mix
-from loomtext.operators.gates import language_gate
+from loomtext.operators.gates import language_gate, web_gate
 
 #: Documents of a web source, and their least and greatest lengths.
 WEB_DOCS, WEB_MORE_THAN, WEB_CUT = 50_000, 200, 8000
@@ -67,6 +67,17 @@ def books(rows: DataFrame) -> DataFrame:
     return mix.chunks(whole).withColumnRenamed("chunk", "text")
 
 
+def encyclopedia(rows: DataFrame, more_than: int = 500) -> DataFrame:
+    """Articles of an encyclopedia that are plain text, trimmed, of more than 500 characters."""
+    return rows.withColumn("text", strip(F.coalesce("text", F.lit("")))).filter(F.length("text") > more_than)
+
+
+def filtered_web(rows: DataFrame, most: int, position: str = "doc_id", cut: int = 2000) -> DataFrame:
+    """The first ``most`` web texts by ``position`` that pass the web gate, cut at 2000; the gate sees the whole text as it is."""
+    kept = rows.withColumn("text", F.coalesce("text", F.lit(""))).filter(web_gate(F.col("text")))
+    return mix.within_budget(kept, F.lit(1), most, [position]).withColumn("text", F.substring("text", 1, cut))
+
+
 def web(rows: DataFrame, position: str = "doc_id", most: int = WEB_DOCS, more_than: int = WEB_MORE_THAN, cut: int = WEB_CUT) -> DataFrame:
     """The first 50,000 web texts by ``position`` of more than 200 characters, trimmed and cut at 8000: the cap of the source is its feature."""
     kept = rows.withColumn("text", strip(F.coalesce("text", F.lit("")))).filter(F.length("text") > more_than)

@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -634,3 +635,32 @@ def test_search_of_many_queries_without_rows(spark):
     assert search_all(facts.limit(0), queries).count() == search_all(facts, queries.limit(0)).count() == 0
     none = spark.createDataFrame([], "key string, value string")
     assert {tuple(r) for r in contexts(facts, queries, none).collect()} == {(1, "Faits connus:\n- a b"), (2, "(mémoire vide)")}
+
+
+def test_corpus_stops_at_a_cap_that_lines_fill(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"text": c * 120}) + "\n" for c in "abc"))
+    (tmp_path / "b.txt").write_text("d" * 130)
+    read = lambda n: sorted(r["text"][0] for r in readers.corpus(spark, str(tmp_path / "a.jsonl"), str(tmp_path / "b.txt"), max_docs=n).collect())
+    assert read(2) == ["a", "b"] and read(3) == ["a", "b", "c"] and read(4) == read(None) == read(0) == ["a", "b", "c", "d"]
+
+
+def test_proportions_and_their_order(spark):
+    a = spark.createDataFrame([(i, "x" * 3000) for i in range(30)], "doc_id int, text string")
+    b = spark.createDataFrame([(i, f"b{i}") for i in range(3)] + [(None, "no")], "doc_id int, text string")
+    mixed = lambda parts: [(r["place"], r["source"], r["doc_id"], len(r["text"])) for r in mix.in_proportion({"a": a.repartition(parts), "b": b.repartition(parts)}, {"a": 0.5, "b": 0.49, "c": 0.01}, 20).orderBy("place").collect()]
+    got = mixed(1)
+    assert got == mixed(5) and [p for p, *_ in got] == list(range(1, 14))
+    assert {(s, d) for _, s, d, _ in got} == {("a", i) for i in range(10)} | {("b", i) for i in range(3)} and {n for _, s, _, n in got if s == "a"} == {2000}
+    assert [s for _, s, _, _ in got] != sorted(s for _, s, _, _ in got)
+    assert mix.first_rows(a.limit(0), 3).count() == mix.first_rows(a, 0).count() == 0
+
+
+def test_prepared_sequences_count_long_texts_only(spark):
+    @F.pandas_udf("array<int>")
+    def lengths(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: [len(x) for x in w])
+
+    docs = spark.createDataFrame([(1, "a" * 60), (2, "short"), (3, " b" * 40), (4, "c" * 70), (5, None)], "doc_id int, text string")
+    got = tokens.prepared(docs, lengths, 4, max_docs=2).orderBy("seq_id").collect()
+    assert [r["ids"] for r in got] == [[60, 2, 2, 2, 2]] + [[2] * 5] * 9
+    assert tokens.prepared(docs, lengths, 4, max_docs=0).count() == 0

@@ -157,6 +157,15 @@ def check_t4_encode(got, duck, sf_dir):
     assert {r["doc_id"]: r["ids"] for r in got} == expected
 
 
+def check_p2_prepared(got, duck, sf_dir):
+    made, flat, expected = trained(sf_dir), [], []
+    for (t,) in rows(duck, "SELECT text FROM documents WHERE length(text) >= 50 ORDER BY doc_id")[:-1]:
+        flat += plain_ids(t, made)
+    while len(flat) - 128 * len(expected) >= 129:
+        expected.append(flat[128 * len(expected) :][:129])
+    assert sorted((r["seq_id"], r["ids"]) for r in got) == list(enumerate(expected))
+
+
 @functools.cache
 def their_tokenizer():
     import tiktoken
@@ -317,7 +326,7 @@ def check_a8_inventory(got, duck, sf_dir):
 
 CHECKS = {
     "n3_nfkc": check_n3_nfkc, "h1_page_text": check_h1_page_text, "h2_resolved_links": check_h2_resolved_links, "s6_web_pages": check_s6_web_pages, "s7_crawl": check_s7_crawl, "s7_crawl_hosts": check_s7_crawl_hosts,
-    "r8_sentences": check_r8_sentences, "t3_merges": check_merges, "k6_tokenizer": check_merges, "t4_encode": check_t4_encode, "a8_inventory": check_a8_inventory,
+    "r8_sentences": check_r8_sentences, "t3_merges": check_merges, "k6_tokenizer": check_merges, "t4_encode": check_t4_encode, "p2_prepared": check_p2_prepared, "a8_inventory": check_a8_inventory,
     "d5_learned_facts": check_d5_learned_facts, "d7_learning_loop": check_d7_learning_loop, "s12_resumed_tokens": check_s12_resumed_tokens, "v1_vocab_edges": check_v1_vocab_edges, "v5_aligned": check_v5_aligned, "v6_position_map": check_v6_position_map,
 }
 
