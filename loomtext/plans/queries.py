@@ -30,7 +30,10 @@ WIKI_SQL = """SELECT doc_id, concat('{{infobox|a={{b}}|c}}', chr(10), '== Titre
 chr(10), chr(10), chr(10), chr(10), '{| t', chr(10), '|a |}', '   ', chr(10), '  fin [[Catégorie:Z]] {{ouvert', chr(10), 'reste }} apres', chr(10), 'Voir aussi', chr(10), 'x') AS text FROM documents"""
 BROKEN_SQL = """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(replace(text, chr(10), concat(chr(92), 'n')), concat(chr(92), 't')) WHEN doc_id % 3 = 1 THEN replace(text, chr(10), concat(chr(13), chr(10)))
 ELSE concat(text, chr(10), 'Notes et références', chr(10), 'x') END AS text FROM documents"""
-LINES_SQL = """SELECT * FROM (VALUES (1, '{"text":"a","source":"x"}'), (2, '{bad'), (3, '[1]'), (4, '"s"'), (5, '{"text":null}'), (6, '{"source":"y","n":1}')) t(id, line)"""
+#: A text on one line, without what JSON would escape.
+SAFE = "translate(coalesce(text, ''), concat(chr(9), chr(10), chr(13), chr(34), chr(92)), '     ')"
+LINES_SQL = f"""SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN concat('{{"text":"', {SAFE}, '","source":"', coalesce(source, ''), '"}}') WHEN 1 THEN concat('{{', {SAFE}) WHEN 2 THEN concat('[', doc_id, ']')
+WHEN 3 THEN concat('"', {SAFE}, '"') WHEN 4 THEN '{{"text":null}}' ELSE concat('{{"source":"', coalesce(source, ''), '","n":', doc_id, '}}') END AS line FROM documents"""
 FACTS_SQL = "SELECT doc_id AS pos, text AS fact FROM documents"
 
 
@@ -52,7 +55,7 @@ def table(spark, sf_dir, name):
 
 def made(spark, sf_dir, sql):
     """The rows of an input that is made by SQL over the tables."""
-    return spark.sql(re.sub(r"FROM (documents|conversations|events|benchmark|lineitem)\b", rf"FROM parquet.`{sf_dir}/\1.parquet`", sql))
+    return spark.sql(re.sub(r"FROM (documents|conversations|events|benchmark|lineitem|part)\b", rf"FROM parquet.`{sf_dir}/\1.parquet`", sql))
 
 
 def scratch(spark, name):
@@ -120,7 +123,7 @@ ALPHA = r"\p{L}"
 @query("SELECT id, CASE WHEN ok THEN json_extract_string(line, '$.text') END AS text, CASE WHEN ok THEN json_extract_string(line, '$.source') END AS source, CASE WHEN NOT ok THEN line END AS bad "
        f"FROM (SELECT *, CASE WHEN json_valid(line) THEN json_type(line) = 'OBJECT' ELSE false END AS ok FROM ({LINES_SQL}))")
 def s1_jsonl(spark, sf_dir):
-    return readers.parsed_lines(spark.sql(LINES_SQL), "text string, source string").withColumnRenamed("_bad", "bad")
+    return readers.parsed_lines(made(spark, sf_dir, LINES_SQL), "text string, source string").withColumnRenamed("_bad", "bad")
 
 
 @query(f"WITH r AS (SELECT doc_id, {_repaired('text')} AS text FROM ({BROKEN_SQL})), c AS (SELECT doc_id, {_tail('text')} AS text FROM r) SELECT length(text) AS n_chars FROM c WHERE length(text) >= 100")
@@ -403,12 +406,12 @@ def f8_token_gate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("w")).filter(chat.length_gate(F.col("w"), 10, 200)).select("doc_id")
 
 
-PAIRS_SQL = "SELECT * FROM (VALUES (1, 'Trie', 'b a', 'a b'), (2, 'Dis', '', 'oui'), (3, 'Vide', NULL, ' '), (4, NULL, 'x', 'y')) t(id, instruction, given, output)"
+PAIRS_SQL = """SELECT doc_id AS id, CASE WHEN doc_id % 4 <> 3 THEN source END AS instruction, CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN ' ' END AS given, CASE WHEN doc_id % 5 = 4 THEN ' ' ELSE text END AS output FROM documents"""
 
 
 @query(f"SELECT id FROM ({PAIRS_SQL}) WHERE {_strip('coalesce(instruction, {0})'.format(chr(39) * 2))} <> '' AND {_strip('coalesce(output, {0})'.format(chr(39) * 2))} <> ''")
 def f9_required(spark, sf_dir):
-    return spark.sql(PAIRS_SQL).filter(gates.required(F.col("instruction"), F.col("output"))).select("id")
+    return made(spark, sf_dir, PAIRS_SQL).filter(gates.required(F.col("instruction"), F.col("output"))).select("id")
 
 
 @query("SELECT doc_id FROM documents WHERE length(text) > 40 AND length(text) < 400")
@@ -416,12 +419,12 @@ def f10_candidate_length(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(gates.length_between(F.col("text"), 40, 400)).select("doc_id")
 
 
-SUMS_SQL = "SELECT * FROM (VALUES (1, '1 + (2.5*3)'), (2, 'import os'), (3, ''), (4, '7 % 2')) t(id, e)"
+SUMS_SQL = "SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN concat(doc_id, ' + (2.5*', n_chars, ')') WHEN 1 THEN text WHEN 2 THEN '' ELSE concat(n_chars, ' % 7') END AS e FROM documents"
 
 
 @query(rf"SELECT id, regexp_matches(e, '^[0-9+\-*/.()% ]*$') AS ok FROM ({SUMS_SQL})")
 def f11_arithmetic(spark, sf_dir):
-    return spark.sql(SUMS_SQL).select("id", gates.arithmetic_only(F.col("e")).alias("ok"))
+    return made(spark, sf_dir, SUMS_SQL).select("id", gates.arithmetic_only(F.col("e")).alias("ok"))
 
 
 @query("""WITH r AS (SELECT text AS f FROM benchmark ORDER BY item_id DESC LIMIT 50), n AS (SELECT * FROM (VALUES (' pas '), (' non '), (' jamais '), (' aucun '), (' false '), (' not ')) t(x))
@@ -629,20 +632,23 @@ def c2_shared_chats(spark, sf_dir):
     return chat.turns(table(spark, sf_dir, "conversations")).select("conv_id", chat.render_two_sided(F.col("turns")).alias("text")).filter(F.length("text") > 100)
 
 
-@query("SELECT * FROM (VALUES (1, '<|user|>' || chr(10) || 'Trie' || chr(10) || 'b a' || chr(10) || '<|assistant|>' || chr(10) || 'a b' || chr(10)), (2, '<|user|>' || chr(10) || 'Dis' || chr(10) || '<|assistant|>' || chr(10) || 'oui' || chr(10)), (3, NULL), (4, NULL)) t(id, text)")
+_TRIMMED = "SELECT id, " + ", ".join(_strip(f"coalesce({c}, '')") + f" AS {c}" for c in ("instruction", "given", "output")) + f" FROM ({PAIRS_SQL})"
+
+
+@query(f"SELECT id, CASE WHEN instruction <> '' AND output <> '' THEN '<|user|>' || chr(10) || instruction || CASE WHEN given <> '' THEN chr(10) || given ELSE '' END || chr(10) || '<|assistant|>' || chr(10) || output || chr(10) END AS text FROM ({_TRIMMED})")
 def c3_instructions(spark, sf_dir):
-    return spark.sql(PAIRS_SQL).select("id", chat.instruction(F.col("instruction"), F.col("given"), F.col("output")).alias("text"))
+    return made(spark, sf_dir, PAIRS_SQL).select("id", chat.instruction(F.col("instruction"), F.col("given"), F.col("output")).alias("text"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a'), (2, NULL), (3, 'b')) t(id, answer)")
+@query("SELECT conv_id, (list(text ORDER BY turn, text) FILTER (WHERE role = 'assistant'))[1] AS answer FROM conversations GROUP BY conv_id")
 def c4_first_answer(spark, sf_dir):
-    qa = spark.sql("SELECT * FROM (VALUES (1, named_struct('text', array('a', 'c'))), (2, named_struct('text', CAST(array() AS array<string>))), (3, named_struct('text', array('b')))) t(id, answers)")
-    return qa.select("id", chat.first_answer(F.col("answers")).alias("answer"))
+    said = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"])
+    return chat.turns(table(spark, sf_dir, "conversations")).select("conv_id", chat.first_answer(F.struct(said.alias("text"))).alias("answer"))
 
 
 @query(f"SELECT id, '```' || chr(10) || output || chr(10) || '```' AS text FROM ({PAIRS_SQL})")
 def c5_fenced_code(spark, sf_dir):
-    return spark.sql(PAIRS_SQL).select("id", chat.fenced(F.col("output")).alias("text"))
+    return made(spark, sf_dir, PAIRS_SQL).select("id", chat.fenced(F.col("output")).alias("text"))
 
 
 _OPENINGS = """WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS texts, list(turn ORDER BY turn) AS turns FROM conversations GROUP BY conv_id), p AS (SELECT conv_id, texts, turns, unnest(range(1, len(texts) + 1)) AS i FROM c)
@@ -681,10 +687,17 @@ def c8_padded_batches(spark, sf_dir):
     return b.select("conv_id", "batch_id", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
 
 
-@query("SELECT * FROM (VALUES (1, '5 -1 -1 8 9'), (2, '5 6 7'), (3, '5 6')) t(id, targets)")
+#: A document as tokens of four characters, of which up to all are a prompt; every fourth has none.
+_FOURS = "SELECT doc_id, CAST(floor(length(text) / 4) AS INT) AS n, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE CAST(floor(length(text) * (doc_id % 5) / 4) AS INT) END AS prompt FROM documents WHERE text IS NOT NULL"
+_TARGET = "CASE WHEN prompt > 0 AND n >= 3 AND 4 * (n - 1) >= prompt AND i >= 1 AND 4 * i < prompt THEN -1 ELSE i * 7 + doc_id END"
+
+
+@query(f"SELECT doc_id, array_to_string([{_TARGET} FOR i IN range(n)], ' ') AS targets FROM ({_FOURS})")
 def c9_continuation_targets(spark, sf_dir):
-    t = spark.sql("SELECT * FROM (VALUES (1, array(5, 6, 7, 8, 9), array(0, 2, 4, 6, 8), 5), (2, array(5, 6, 7), array(0, 2, 4), 0), (3, array(5, 6), array(0, 2), 1)) t(id, ids, starts, prompt)")
-    return t.select("id", F.array_join(chat.continuation_targets(F.col("ids"), F.col("starts"), F.col("prompt")), " ").alias("targets"))
+    at = made(spark, sf_dir, _FOURS).withColumn("i", F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>")))
+    ids, starts = F.transform("i", lambda i: i * 7 + F.col("doc_id")), F.transform("i", lambda i: i * 4)
+    t = at.select("doc_id", "prompt", ids.alias("ids"), starts.alias("starts"))
+    return t.select("doc_id", F.array_join(chat.continuation_targets(F.col("ids"), F.col("starts"), F.col("prompt")), " ").alias("targets"))
 
 
 @query(f"""WITH m AS (SELECT conv_id % 9 AS modified, conv_id * 1000 + turn AS position, {_strip('text')} AS topic FROM conversations WHERE role = 'user'), n AS (SELECT DISTINCT conv_id % 9 AS modified FROM conversations ORDER BY 1 DESC LIMIT 5),
@@ -868,17 +881,17 @@ def a10_last(spark, sf_dir):
     return metrics.last(table(spark, sf_dir, "events").select("event_id", "value"), 10, "event_id")
 
 
-@query("SELECT step, round(CASE WHEN step < 100 THEN 3e-4 * (step + 1) / 100 WHEN step >= 1000 THEN 3e-5 ELSE 3e-5 + 0.5 * (3e-4 - 3e-5) * (1 + cos(pi() * (step - 100) / 900)) END, 12) AS lr FROM (SELECT range AS step FROM range(1100))")
+@query("SELECT event_id, round(CASE WHEN event_id < 100 THEN 3e-4 * (event_id + 1) / 100 WHEN event_id >= 1000 THEN 3e-5 ELSE 3e-5 + 0.5 * (3e-4 - 3e-5) * (1 + cos(pi() * (event_id - 100) / 900)) END, 12) AS lr FROM events")
 def w1_learning_rate(spark, sf_dir):
-    return spark.range(1100).select(F.col("id").alias("step"), F.round(metrics.learning_rate(F.col("id"), 100, 1000, 3e-4, 3e-5), 12).alias("lr"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(metrics.learning_rate(F.col("event_id"), 100, 1000, 3e-4, 3e-5), 12).alias("lr"))
 
 
-SHAPES_SQL = "SELECT * FROM (VALUES (32000, 768, 12, 12, 4, 2048), (32000, 1024, 24, 16, 4, 4096)) t(vocab, d, layers, heads, kv, ff)"
+SHAPES_SQL = "SELECT p_partkey, 32000 + p_partkey % 100 AS vocab, 768 AS d, p_size AS layers, 12 AS heads, 4 AS kv, 2048 + p_partkey % 7 AS ff FROM part"
 
 
-@query(f"SELECT CAST(vocab * d + layers * ((heads + 2 * kv) * (d // heads) * d + d * d) + layers * 3 * d * ff AS BIGINT) AS n FROM ({SHAPES_SQL})")
+@query(f"SELECT p_partkey, CAST(vocab * d + layers * ((heads + 2 * kv) * (d // heads) * d + d * d) + layers * 3 * d * ff AS BIGINT) AS n FROM ({SHAPES_SQL})")
 def w2_parameters(spark, sf_dir):
-    return spark.sql(SHAPES_SQL).select(metrics.parameters(*[F.col(c) for c in ("vocab", "d", "layers", "heads", "kv", "ff")]).cast("long").alias("n"))
+    return made(spark, sf_dir, SHAPES_SQL).select("p_partkey", metrics.parameters(*[F.col(c).cast("long") for c in ("vocab", "d", "layers", "heads", "kv", "ff")]).cast("long").alias("n"))
 
 
 # --- retrieval and parsing
@@ -932,9 +945,14 @@ def r2_contexts(spark, sf_dir):
     return lookup.contexts(made(spark, sf_dir, BENCH_SQL), made(spark, sf_dir, TURNS_SQL), prefs)
 
 
-@query("SELECT * FROM (VALUES (1, 'alpha', 3), (2, 'beta', 4), (3, 'gamma ray', 0), (4, 'delta', 1), (5, 'eps', 2)) t(pos, topic, new_pos)")
+#: A queue is 80 topics at most.
+QUEUE_SQL = "SELECT item_id AS pos, text AS topic FROM benchmark ORDER BY item_id LIMIT 80"
+
+
+@query(f"""WITH q AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS i, count(*) OVER () AS n FROM ({QUEUE_SQL})), s AS (SELECT coalesce(min(i), 0) AS start FROM q WHERE i < 15 AND (contains(lower(topic), 'ou') OR contains('ou', lower(topic))))
+SELECT pos, topic, (i - start + n) % n AS new_pos FROM q, s""")
 def r3_prioritised(spark, sf_dir):
-    return recall.prioritised(spark.sql("SELECT * FROM (VALUES (1, 'alpha'), (2, 'beta'), (3, 'gamma ray'), (4, 'delta'), (5, 'eps')) t(pos, topic)"), "Gamma")
+    return recall.prioritised(made(spark, sf_dir, QUEUE_SQL), "Ou")
 
 
 @query(r"SELECT conv_id, turn, CASE WHEN " + " OR ".join(f"contains(lower(text), '{p.replace(chr(39), chr(39) * 2)}')" for p in recall.SEARCH) + r" THEN 'search_web' WHEN regexp_matches(text, '[-+*/]') AND regexp_matches(text, '\p{Nd}') THEN 'calculator' WHEN " + " OR ".join(f"contains(lower(text), '{p}')" for p in recall.DATE) + " THEN 'get_datetime' ELSE 'none' END AS tool FROM conversations")
@@ -942,26 +960,41 @@ def r4_route(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", recall.route(F.col("text")).alias("tool"))
 
 
-@query("SELECT 'distill_s900.pt' AS name, CAST(900 AS BIGINT) AS step")
+_NAMES_SQL = "SELECT event_id, concat(CASE event_id % 3 WHEN 0 THEN 'distill_s' WHEN 1 THEN 'step_' ELSE 'distill_sx' END, event_id, '.pt') AS name FROM events"
+
+
+@query(f"SELECT name, event_id AS step FROM ({_NAMES_SQL}) WHERE event_id % 3 = 0 ORDER BY event_id DESC LIMIT 1")
 def r5_resume_point(spark, sf_dir):
-    return parse.resume_point(spark.sql("SELECT * FROM (VALUES ('distill_s100.pt'), ('distill_s900.pt'), ('last.pt'), ('distill_s90.pt'), ('distill_s9x.pt'), ('step_9999.pt')) t(name)"))
+    return parse.resume_point(made(spark, sf_dir, _NAMES_SQL).select("name"))
+
 
+REPLIES_SQL = f"""SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN concat('FAITS:', chr(10), '- ', {SAFE}, ' [CAT:', coalesce(lang, '?'), ']', chr(10), '- court', chr(10), '2) deuxieme fait assez long de ', coalesce(source, '?'),
+chr(10), 'SUJETS:', chr(10), '* la formation de ', coalesce(source, '?'), chr(10), 'bavardage') WHEN 1 THEN text ELSE source END AS raw FROM documents"""
+_LONG_LINES = f"SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id % 3 = 1 AND length(text) > 50"
 
-REPLIES_SQL = "SELECT id, replace(raw, '/', chr(10)) AS raw FROM (VALUES (1, 'FAITS:/- la lune tourne autour de la terre [CAT:science]/- court/2) deuxieme fait assez long ici/SUJETS:/* la formation des lunes/bavardage'), (2, 'une reponse sans section mais avec une ligne assez longue pour etre un fait/courte'), (3, 'rien')) t(id, raw)"
 
+_BARE = _strip(_sub(_strip("line"), "^[-*]+"))
+_FACT = _strip(_sub(_strip(SAFE), rf"^[-*\p{{Nd}}).{SPACE}]+"))
 
-@query("SELECT id, kind, CAST(n AS INTEGER) AS n, content, category FROM (VALUES (1, 'fact', 1, 'la lune tourne autour de la terre', 'science'), (1, 'fact', 2, 'deuxieme fait assez long ici', NULL), (1, 'topic', 1, 'la formation des lunes', NULL), "
-       "(2, 'fact', 1, 'une reponse sans section mais avec une ligne assez longue pour etre un fait', NULL)) t(id, kind, n, content, category)")
+
+@query(f"""WITH f AS (SELECT doc_id AS id, {_FACT} AS a, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source FROM documents WHERE doc_id % 3 = 0), g AS (SELECT *, a <> '' AND length(a) + length(lang) + 7 >= 15 AS long FROM f),
+l AS (SELECT id, {_BARE} AS content, i FROM ({_LONG_LINES}))
+SELECT id, 'fact' AS kind, 1 AS n, a AS content, lang AS category FROM g WHERE long UNION ALL SELECT id, 'fact', CASE WHEN long THEN 2 ELSE 1 END, 'deuxieme fait assez long de ' || source, NULL FROM g
+UNION ALL SELECT id, 'topic', 1, 'la formation de ' || source, NULL FROM g
+UNION ALL SELECT id, 'fact', row_number() OVER (PARTITION BY id ORDER BY i) AS n, content, NULL FROM l WHERE length(content) > 40 AND length(content) < 400 QUALIFY n <= 12""")
 def r6_facts_and_topics(spark, sf_dir):
-    return parse.facts_and_topics(spark.sql(REPLIES_SQL))
+    """Replies with headings, with long lines alone, and with neither."""
+    return parse.facts_and_topics(made(spark, sf_dir, REPLIES_SQL))
 
 
-CALLS_SQL = """SELECT * FROM (VALUES (1, 'x <answer> oui </answer>'), (2, '<tool> search_web </tool><args>{"query":"a"}</args>'), (3, '<tool>t</tool><args>{bad</args>'), (4, 'rien')) t(id, reply)"""
+CALLS_SQL = f"""SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN concat('x <answer> ', coalesce(text, ''), ' </answer>') WHEN 1 THEN concat('<tool> ', coalesce(source, ''), ' </tool><args>{{"query":"', {SAFE}, '"}}</args>')
+WHEN 2 THEN concat('<tool>', coalesce(lang, ''), '</tool><args>{{', {SAFE}, '</args>') ELSE text END AS reply FROM documents"""
 
 
-@query("SELECT * FROM (VALUES (1, 'oui', NULL, NULL), (2, NULL, 'search_web', 'a'), (3, NULL, 't', NULL), (4, NULL, NULL, NULL)) t(id, answer, tool, query)")
+@query(f"""SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN {_strip("coalesce(text, '')")} END AS answer, CASE doc_id % 4 WHEN 1 THEN coalesce(source, '') WHEN 2 THEN coalesce(lang, '') END AS tool,
+CASE WHEN doc_id % 4 = 1 THEN {SAFE} END AS query FROM documents""")
 def r7_actions(spark, sf_dir):
-    a = spark.sql(CALLS_SQL).withColumn("a", parse.action(F.col("reply")))
+    a = made(spark, sf_dir, CALLS_SQL).withColumn("a", parse.action(F.col("reply")))
     return a.select("id", "a.answer", "a.tool", F.try_element_at("a.args", F.lit("query")).alias("query"))
 
 
@@ -970,22 +1003,30 @@ def r8_sentences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", parse.sentences(F.col("text")).alias("sentences"))
 
 
-STREAM_SQL = """SELECT * FROM (VALUES (1, 1, '{"response":" Bon"}'), (1, 2, 'bad'), (1, 3, '{"response":"jour ","done":true}'), (1, 4, '{"response":"!"}'), (2, 1, '{"response":"a","message":{"content":"b"}}'), (2, 2, '[1]'), (2, 3, '{"error":"x","response":"y","done":true}'), (2, 4, '{"message":{"content":"c"}}'),
-(3, 1, '{"thinking":"je pense"}'), (3, 2, '{"thinking":"encore"}'), (3, 3, '{"response":" donc"}'), (4, 1, '{"response":"","thinking":"rien"}'), (5, 1, 'rien')) t(id, pos, line)"""
+STREAM_SQL = f"""SELECT conv_id AS id, turn AS pos, CASE WHEN conv_id % 3 = 0 AND turn = 1 THEN '{{"error":"x","response":"y","done":true}}' WHEN conv_id % 5 = 0 AND turn = 0 THEN {SAFE}
+WHEN role = 'user' THEN concat('{{"response":" ', {SAFE}, '","done":', CASE WHEN turn >= 2 THEN 'true' ELSE 'false' END, '}}') ELSE concat('{{"message":{{"content":"', {SAFE}, ' "}}}}') END AS line FROM conversations"""
+
 
+_HEARD = f"""SELECT conv_id, turn, CASE WHEN (conv_id % 3 = 0 AND turn = 1) OR (conv_id % 5 = 0 AND turn = 0) THEN '' WHEN role = 'user' THEN ' ' || {SAFE} ELSE {SAFE} || ' ' END AS said,
+min(CASE WHEN role = 'user' AND turn >= 2 THEN turn END) OVER (PARTITION BY conv_id) AS done FROM conversations"""
 
-@query("SELECT * FROM (VALUES (1, 'Bonjour'), (2, 'abc'), (3, 'je pense donc'), (4, ''), (5, '')) t(id, text)")
+
+@query(f"SELECT conv_id AS id, {_strip('said')} AS text FROM (SELECT conv_id, coalesce(string_agg(said, '' ORDER BY turn) FILTER (WHERE done IS NULL OR turn <= done), '') AS said FROM ({_HEARD}) GROUP BY conv_id)")
 def r9_streamed_reply(spark, sf_dir):
-    return parse.streamed(spark.sql(STREAM_SQL))
+    """Conversations as streams: a line that reports an error, one that is no object, and an end before the last line."""
+    return parse.streamed(made(spark, sf_dir, STREAM_SQL))
+
+
+REPLY_SQL = f"""SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN concat('{{"response":" ', {SAFE}, ' ","thinking":"b"}}') WHEN 1 THEN concat('{{"response":"","thinking":" ', {SAFE}, '","message":{{"content":"c"}}}}')
+WHEN 2 THEN concat('{{"message":{{"content":"', {SAFE}, ' ","thinking":"d"}}}}') WHEN 3 THEN concat('{{"message":{{"content":"","thinking":"', {SAFE}, '"}}}}') WHEN 4 THEN concat('{{"error":"x","response":"', {SAFE}, '"}}') ELSE {SAFE} END AS reply FROM documents"""
 
 
-REPLY_SQL = """SELECT * FROM (VALUES (1, '{"response":" a ","thinking":"b"}'), (2, '{"response":"","thinking":" b ","message":{"content":"c"}}'), (3, '{"message":{"content":" c ","thinking":"d"}}'), (4, '{"message":{"content":"","thinking":" d "}}'), (5, '{"text":"","output":" e "}'),
-(6, '{"completion":"f"}'), (7, '{"error":"g","response":"a"}'), (8, '[1]'), (9, NULL), (10, concat('{"thinking":"', repeat('x', 2001), '"}')), (11, concat('{"message":{"thinking":"', repeat('x', 2001), '"}}'))) t(id, reply)"""
+_REPLY_TEXT = "CASE id WHEN 0 THEN t WHEN 1 THEN CASE WHEN length(t) > 2000 THEN substr(t, 1, 2000) || '...' ELSE t END WHEN 2 THEN CASE WHEN s = '' THEN 'd' ELSE t END WHEN 3 THEN substr(t, 1, 2000) ELSE '' END"
 
 
-@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c'), (4, 'd'), (5, 'e'), (6, 'f'), (7, ''), (8, ''), (9, ''), (10, repeat('x', 2000) || '...'), (11, repeat('x', 2000))) t(id, text)")
+@query(f"SELECT doc_id AS id, {_REPLY_TEXT.replace('id WHEN', 'doc_id % 6 WHEN')} AS text FROM (SELECT doc_id, {SAFE} AS s, {_strip(SAFE)} AS t FROM documents)")
 def r10_reply_text(spark, sf_dir):
-    return spark.sql(REPLY_SQL).select("id", parse.reply_text(F.col("reply")).alias("text"))
+    return made(spark, sf_dir, REPLY_SQL).select("id", parse.reply_text(F.col("reply")).alias("text"))
 
 
 @query("SELECT doc_id, CASE WHEN length(t) <= 200 THEN t ELSE substr(t, 1, 120) || ' [...] ' || right(t, 80) END AS text FROM (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13), ' '), chr(10), ' | ') AS t FROM documents)")
