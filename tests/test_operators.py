@@ -664,3 +664,45 @@ def test_prepared_sequences_count_long_texts_only(spark):
     got = tokens.prepared(docs, lengths, 4, max_docs=2).orderBy("seq_id").collect()
     assert [r["ids"] for r in got] == [[60, 2, 2, 2, 2]] + [[2] * 5] * 9
     assert tokens.prepared(docs, lengths, 4, max_docs=0).count() == 0
+
+
+def rows_by_id(df):
+    return {r[0]: tuple(r)[1] if len(r) == 2 else tuple(r)[1:] for r in df.collect()}
+
+
+def test_streamed_replies(spark):
+    lines = {1: ['{"response":" Bon"}', "bad", '{"response":"jour ","done":true}', '{"response":"!"}'], 4: ['{"response":"","thinking":"rien"}'], 5: ["rien"]}
+    lines[2] = ['{"response":"a","message":{"content":"b"}}', "[1]", '{"error":"x","response":"y","done":true}', '{"message":{"content":"c"}}']
+    lines[3] = ['{"thinking":"je pense"}', '{"thinking":"encore"}', '{"response":" donc"}']
+    chunks = spark.createDataFrame([(i, n, x) for i, xs in lines.items() for n, x in enumerate(xs)], "id int, pos int, line string")
+    assert rows_by_id(parse.streamed(chunks)) == {1: "Bonjour", 2: "abc", 3: "je pense donc", 4: "", 5: ""}
+
+
+def test_texts_of_replies(spark):
+    x = "x" * 2001
+    replies = ['{"response":" a ","thinking":"b"}', '{"response":"","thinking":" b ","message":{"content":"c"}}', '{"message":{"content":" c ","thinking":"d"}}', '{"message":{"content":"","thinking":" d "}}', '{"text":"","output":" e "}']
+    replies += ['{"completion":"f"}', '{"error":"g","response":"a"}', "[1]", None, f'{{"thinking":"{x}"}}', f'{{"message":{{"thinking":"{x}"}}}}']
+    df = spark.createDataFrame(list(enumerate(replies)), "id int, reply string")
+    assert list(rows_by_id(df.select("id", parse.reply_text(F.col("reply")))).values()) == ["a", "b", "c", "d", "e", "f", "", "", "", x[:2000] + "...", x[:2000]]
+
+
+def test_actions_of_replies(spark):
+    calls = ["x <answer> oui </answer>", '<tool> search_web </tool><args>{"query":"a"}</args>', "<tool>t</tool><args>{bad</args>", "rien"]
+    a = spark.createDataFrame(list(enumerate(calls)), "id int, reply string").withColumn("a", parse.action(F.col("reply")))
+    assert list(rows_by_id(a.select("id", "a.answer", "a.tool", "a.args")).values()) == [("oui", None, {}), (None, "search_web", {"query": "a"}), (None, "t", {}), (None, None, {})]
+
+
+def test_facts_and_topics_of_replies(spark):
+    raw = ["FAITS:\n- la lune tourne autour de la terre [CAT:science]\n- court\n2) deuxieme fait assez long ici\nSUJETS:\n* la formation des lunes\nbavardage", "une reponse sans section mais avec une ligne assez longue pour etre un fait\ncourte", "rien"]
+    got = parse.facts_and_topics(spark.createDataFrame(list(enumerate(raw)), "id int, raw string"))
+    expected = {(0, "fact", 1, "la lune tourne autour de la terre", "science"), (0, "fact", 2, "deuxieme fait assez long ici", None), (0, "topic", 1, "la formation des lunes", None), (1, "fact", 1, raw[1][:-7], None)}
+    assert {tuple(r[c] for c in ("id", "kind", "n", "content", "category")) for r in got.collect()} == expected
+
+
+def test_small_cases_of_conversations(spark):
+    pairs = spark.createDataFrame([(1, "Trie", "b a", "a b"), (2, "Dis", "", "oui"), (3, "Vide", None, " "), (4, None, "x", "y")], "id int, i string, g string, o string")
+    assert rows_by_id(pairs.select("id", chat.instruction(F.col("i"), F.col("g"), F.col("o")))) == {1: "<|user|>\nTrie\nb a\n<|assistant|>\na b\n", 2: "<|user|>\nDis\n<|assistant|>\noui\n", 3: None, 4: None}
+    t = spark.createDataFrame([(1, [5, 6, 7, 8, 9], [0, 2, 4, 6, 8], 5), (2, [5, 6, 7], [0, 2, 4], 0), (3, [5, 6], [0, 2], 1)], "id int, ids array<int>, starts array<int>, prompt int")
+    assert rows_by_id(t.select("id", chat.continuation_targets(F.col("ids"), F.col("starts"), F.col("prompt")))) == {1: [5, -1, -1, 8, 9], 2: [5, 6, 7], 3: [5, 6]}
+    queue = spark.createDataFrame(list(enumerate(["alpha", "beta", "gamma ray", "delta", "eps"])), "pos int, topic string")
+    assert {r["topic"]: r["new_pos"] for r in recall.prioritised(queue, "Gamma").collect()} == {"alpha": 3, "beta": 4, "gamma ray": 0, "delta": 1, "eps": 2}
