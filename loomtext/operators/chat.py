@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.config import ASST, BOS, EOS, PAD, USER
-from loomtext.functions.text import strip
+from loomtext.functions.text import bound, strip
 from loomtext.session import saved
 
 
@@ -126,8 +126,13 @@ def padded_batches(df: DataFrame, inputs: str, targets: str, batch: int, positio
 def continuation_targets(ids: Column, starts: Column, prompt_chars: Column) -> Column:
     """Targets with -1 at positions 1 up to the first token that starts at or behind the prompt; unchanged without one."""
     at = F.array_min(F.filter(F.transform(starts, lambda s, i: F.when(s >= prompt_chars, i)), lambda i: i.isNotNull()))
-    masked = F.transform(ids, lambda x, i: F.when((i >= 1) & (i < at), -1).otherwise(x))
-    return F.when((prompt_chars <= 0) | (F.size(ids) < 3) | at.isNull() | (at < 1), ids).otherwise(masked)
+
+    # found once a row: in the lambda of every token it would be found anew
+    def masked(at: Column) -> Column:
+        below = F.transform(ids, lambda x, i: F.when((i >= 1) & (i < at), -1).otherwise(x))
+        return F.when((prompt_chars <= 0) | (F.size(ids) < 3) | at.isNull() | (at < 1), ids).otherwise(below)
+
+    return bound(at, masked)
 
 
 def recent_interests(rows: DataFrame, files: int = 5, limit: int = 30) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import json
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 
@@ -706,3 +707,10 @@ def test_small_cases_of_conversations(spark):
     assert rows_by_id(t.select("id", chat.continuation_targets(F.col("ids"), F.col("starts"), F.col("prompt")))) == {1: [5, -1, -1, 8, 9], 2: [5, 6, 7], 3: [5, 6]}
     queue = spark.createDataFrame(list(enumerate(["alpha", "beta", "gamma ray", "delta", "eps"])), "pos int, topic string")
     assert {r["topic"]: r["new_pos"] for r in recall.prioritised(queue, "Gamma").collect()} == {"alpha": 3, "beta": 4, "gamma ray": 0, "delta": 1, "eps": 2}
+
+
+def test_continuation_targets_of_a_long_text_take_linear_time(spark):
+    t = spark.range(1).select(F.sequence(F.lit(0), F.lit(59_999)).alias("ids")).withColumn("starts", F.transform("ids", lambda i: i * 4))
+    began = time.time()
+    got = t.select(F.explode(chat.continuation_targets(F.col("ids"), F.col("starts"), F.lit(200_001))).alias("x")).groupBy("x").count().filter("count > 1 or x = 50001").collect()
+    assert {tuple(r) for r in got} == {(-1, 50_000), (50_001, 1)} and time.time() - began < 30
