@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from datetime import datetime, timezone
+from hashlib import blake2b
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -12,6 +15,8 @@ from loomtext.session import carried
 
 PAGE = "learner string, pos bigint, at timestamp, topics array<string>"
 STEP = "kind string, learner string, pos bigint, at timestamp, topic string, entered bigint, waiting bigint, pages bigint, topics bigint"
+#: Runs of marks that are kept apart, beyond which they become one.
+RUNS = 64
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -20,12 +25,19 @@ def _ms(at: datetime) -> int:
     return round(at.timestamp() * 1000)
 
 
+def _mark(topic: str) -> int:
+    """64 bits of a topic, the same in every process."""
+    return int.from_bytes(blake2b(topic.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
 class Learner(StatefulProcessor):
     """One learner's session, page by page.
 
-    ``known`` has the topics of all sessions that were explored, whole and in lower case; ``met`` the keys that entered the queue in this session;
-    ``queue`` and ``session`` (its end and counters) are read and written once a batch.  Keys are looked up one at a time, so what was seen never has to fit
-    in a worker, and none is looked up while the queue is full.
+    ``known`` has the topics of all sessions that were explored, whole and in lower case; ``marks`` 64 bits of each, a run of them for each batch, which are
+    read once a batch so that ``known`` is asked only for what it probably has; ``met`` the keys that entered the queue in the session that is open;
+    ``queue`` and ``session`` (its end and counters) are read and written once a batch.  Every call of a state goes to the JVM and back, so what begins and
+    ends within a batch stays in the worker: sessions, their keys (no more than the queue and the session's pages) and their timers.  Of what was seen
+    a worker holds 8 bytes a topic, and none is looked up while the queue is full.
     """
 
     def __init__(self, hours: float, cap: int, key_chars: int, min_chars: int):
@@ -34,6 +46,7 @@ class Learner(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.known = handle.getMapState("known", "topic string", "seen boolean")
+        self.marks = handle.getListState("marks", "run binary")
         self.met = handle.getMapState("met", "key string", "seen boolean")
         self.queue = handle.getListState("queue", "topic string")
         self.session = handle.getValueState("session", "until bigint, entered bigint, pages bigint, topics bigint")
@@ -41,48 +54,85 @@ class Learner(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _enter(self, queue: list[str], topic: str | None) -> bool:
-        topic = (topic or "").strip()
-        key = topic.lower()[: self.key_chars]
-        if len(topic) < self.min_chars or len(queue) >= self.cap or self.met.containsKey((key,)) or self.known.containsKey((key,)):
-            return False
-        queue.append(topic)
-        self.met.updateValue((key,), (True,))
-        return True
-
     def _ended(self, learner: str, session: list[int], waiting: int) -> Row:
         """The summary of a session; what it left in the queue may enter again in a later one."""
         until, entered, pages, topics = session
-        self.met.clear()
         at = datetime.fromtimestamp(until / 1000, timezone.utc)
         return Row(kind="session", learner=learner, pos=None, at=at, topic=None, entered=entered, waiting=waiting, pages=pages, topics=topics)
 
     def handleInputRows(self, key, rows, timerValues):
         queue = [r[0] for r in self.queue.get()] if self.queue.exists() else []
         session = list(self.session.get()) if self.session.exists() else None
+        stored = session  # the session whose keys and timer are in the state
+        runs = [bytes(r[0]) for r in self.marks.get()] if self.marks.exists() else []
+        marks = np.sort(np.frombuffer(b"".join(runs), "<u8"))
+        met: set[str] = set()
+        explored: set[str] = set()
+
+        def is_known(k: str) -> bool:
+            if k in explored:
+                return True
+            mark = _mark(k)
+            at = bisect_left(marks, mark)
+            return at < len(marks) and int(marks[at]) == mark and self.known.containsKey((k,))
+
+        def enter(topics: list[str | None]) -> int:
+            entered = 0
+            for topic in topics:
+                if len(queue) >= self.cap:
+                    break
+                topic = (topic or "").strip()
+                k = topic.lower()[: self.key_chars]
+                if len(topic) < self.min_chars or k in met or is_known(k) or (session is stored and self.met.containsKey((k,))):
+                    continue
+                queue.append(topic)
+                met.add(k)
+                entered += 1
+            return entered
+
         for page in sorted(rows, key=lambda r: (r["at"], r["pos"])):
             now = _ms(page["at"])
             if session and now >= session[0]:
-                self.handle.deleteTimer(session[0])
                 yield self._ended(key[0], session, len(queue))
                 queue, session = [], None
+                met.clear()
             if session is None:
                 session = [now + self.length, 0, 0, 0]
-                self.handle.registerTimer(session[0])
             topic = queue.pop(0) if queue else None
             if topic is not None:
-                self.known.updateValue((topic.lower(),), (True,))
+                explored.add(topic.lower())
                 session[3] += 1
-            entered = sum(self._enter(queue, t) for t in page["topics"] or [])
+            entered = enter(page["topics"] or [])
             session[1] += entered
             session[2] += 1
             yield Row(kind="page", learner=key[0], pos=page["pos"], at=page["at"], topic=topic, entered=entered, waiting=len(queue), pages=session[2], topics=session[3])
+        if session is not stored:
+            if stored:
+                self.handle.deleteTimer(stored[0])
+                self.met.clear()
+            if session:
+                self.handle.registerTimer(session[0])
+        for k in met:
+            self.met.updateValue((k,), (True,))
+        self._remember(explored, runs)
         self._keep(queue, session)
 
+    def _remember(self, explored: set[str], runs: list[bytes]) -> None:
+        if not explored:
+            return
+        for topic in explored:
+            self.known.updateValue((topic,), (True,))
+        run = b"".join(_mark(t).to_bytes(8, "little") for t in sorted(explored))
+        if len(runs) < RUNS:
+            self.marks.appendValue((run,))
+        else:
+            self.marks.put([(b"".join([*runs, run]),)])
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         session = list(self.session.get()) if self.session.exists() else None
         if session and session[0] <= expiredTimerInfo.getExpiryTimeInMs():
             yield self._ended(key[0], session, sum(1 for _ in self.queue.get()) if self.queue.exists() else 0)
+            self.met.clear()
             self._keep([], None)
 
     def _keep(self, queue: list[str], session: list[int] | None) -> None:

@@ -7,6 +7,7 @@ import re
 import time
 import unicodedata
 from collections import Counter
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 import pytest
@@ -714,3 +715,35 @@ def test_continuation_targets_of_a_long_text_take_linear_time(spark):
     began = time.time()
     got = t.select(F.explode(chat.continuation_targets(F.col("ids"), F.col("starts"), F.lit(200_001))).alias("x")).groupBy("x").count().filter("count > 1 or x = 50001").collect()
     assert {tuple(r) for r in got} == {(-1, 50_000), (50_001, 1)} and time.time() - began < 30
+
+
+def test_loop_asks_its_state_little(spark):
+    """Sessions that begin and end within a batch, and topics never explored, cost no call of the state for each topic."""
+    calls = Counter()
+
+    class State:
+        def __init__(self):
+            self.held = {}
+
+        def __getattr__(self, name):
+            def call(*a):
+                calls[name] += 1
+                return {"get": lambda: self.held.get("v"), "exists": lambda: "v" in self.held, "containsKey": lambda k: k in self.held, "updateValue": lambda k, v: self.held.update({k: v}), "appendValue": lambda v: self.held.setdefault("v", []).append(v),
+                        "put": lambda v: self.held.update(v=v), "update": lambda v: self.held.update(v=v), "clear": self.held.clear}[name](*a)
+
+            return call
+
+    class Handle:
+        getMapState = getListState = getValueState = lambda self, *a: State()
+
+        def registerTimer(self, at):
+            calls["timer"] += 1
+
+        deleteTimer = registerTimer
+
+    learner = loop.Learner(1.0, 80, 80, 5)
+    learner.init(Handle())
+    start = datetime(2020, 1, 1, tzinfo=timezone.utc)
+    pages = [{"at": start + timedelta(minutes=20 * i), "pos": i, "topics": [f"topic {i} {n}" for n in range(90)]} for i in range(300)]
+    out = [r for half in (pages[:150], pages[150:]) for r in learner.handleInputRows(("a",), iter(half), None)]
+    assert sum(r["kind"] == "session" for r in out) == 99 and sum(calls.values()) < 2 * len(pages)
