@@ -747,3 +747,38 @@ def test_loop_asks_its_state_little(spark):
     pages = [{"at": start + timedelta(minutes=20 * i), "pos": i, "topics": [f"topic {i} {n}" for n in range(90)]} for i in range(300)]
     out = [r for half in (pages[:150], pages[150:]) for r in learner.handleInputRows(("a",), iter(half), None)]
     assert sum(r["kind"] == "session" for r in out) == 99 and sum(calls.values()) < 2 * len(pages)
+
+
+def plain_join(raw, ranks):
+    parts = [raw[i : i + 1] for i in range(len(raw))]
+    while len(parts) > 1:
+        low = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], len(ranks)))
+        if parts[low] + parts[low + 1] not in ranks:
+            break
+        parts[low : low + 2] = [parts[low] + parts[low + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_encoders_of_long_words_and_empty_rows(spark):
+    """Long words by a heap, in time that does not grow with the square of their length; rows of no words, null rows, and marks between rows."""
+    rng = random.Random(5)
+    long = "".join(rng.choice("aabc") for _ in range(700))
+    merges = naive_train([(long, 3), ("abcabc", 9), ("aaaaaaa", 2)], 60)
+    by_rule = list(long.encode())
+    for r, p in enumerate(merges):
+        by_rule = training.merged(by_rule, p, 264 + r)
+    rank = {p: i for i, p in enumerate(merges)}
+    assert tokens.encode_word(long, rank) == by_rule and all(tokens.encode_word("a" * n + "bc", rank) == training._heaped(list(("a" * n + "bc").encode()), rank, 264) for n in range(12))
+    ranks = {bytes([i]): i for i in range(256)} | {p: 256 + i for i, p in enumerate(v for i, v in tokens.vocabulary(merges).items() if i >= 264)}
+    rows = [([long, "abc"],), ([],), (None,), (["aaaa", "é", long[:90]],)]
+    t = spark.createDataFrame(rows, "w array<string>").coalesce(1)
+    one = lambda w: tokens.encode_word(w, rank)
+    got = [r[0] for r in t.select(tokens.encoder(merges, ends=True)("w")).collect()]
+    assert got == [[258, *sum(map(one, w or []), []), 259] for (w,) in rows]
+    assert [r[0] for r in t.select(tokens.rank_encoder(ranks)("w")).collect()] == [sum((plain_join(x.encode(), ranks) for x in w or []), []) for (w,) in rows]
+    back = t.select(tokens.decoder(merges)(tokens.encoder(merges)("w"))).collect()
+    assert [r[0] for r in back] == ["".join(w or []) for (w,) in rows]
+    odd = spark.createDataFrame([([97, 99_999, -4, 258, 195],), (None,)], "i array<int>").select(tokens.decoder(merges)("i")).collect()
+    assert [r[0] for r in odd] == ["a�", None]
+    began, huge = time.time(), "".join(rng.choice("abc") for _ in range(60_000))
+    assert len(tokens.encode_word(huge, rank)) < 60_000 and time.time() - began < 10
