@@ -58,18 +58,18 @@ def contained(candidates: DataFrame, known: DataFrame, candidate: str, fact: str
     t, never over words that all texts have, and those that reach l are verified by their words.
     """
     w = lambda c: F.array_distinct(words(F.lower(c)))
-    k = known.select(w(F.col(fact)).alias("_k")).filter(F.size("_k") > 0).withColumn("_id", F.struct(F.xxhash64("_k").alias("a"), F.xxhash64("_k", F.lit(1)).alias("b")))
-    held = k.select("_id", F.explode("_k").alias("_word")).distinct()
+    # texts and candidates meet by numbers; copies, or texts of one hash, only add to a tally, as what reaches the bound is verified by its words
+    k = known.select(w(F.col(fact)).alias("_k")).filter(F.size("_k") > 0).withColumn("_id", F.xxhash64("_k"))
+    c = saved(candidates.select(candidate).distinct().withColumn("_w", w(F.col(candidate))).filter(F.size("_w") >= 3).withColumn("_c", F.monotonically_increasing_id()))
+    held = k.select("_id", F.explode("_k").alias("_word")).join(c.select(F.explode("_w").alias("_word")).distinct(), "_word", "left_semi")
     often = held.groupBy("_word").agg(F.count("*").alias("_often"))
-    c = candidates.select(candidate).distinct().withColumn("_w", w(F.col(candidate))).filter(F.size("_w") >= 3)
-    ranked = c.select(candidate, F.size("_w").alias("_n"), F.explode("_w").alias("_word")).join(often, "_word")  # words that no text has say nothing
-    order = ranked.groupBy(candidate, "_n").agg(F.array_sort(F.collect_list(F.struct("_often", "_word"))).alias("_o"))
+    ranked = c.select("_c", F.size("_w").alias("_n"), F.explode("_w").alias("_word")).join(often, "_word")  # words that no text has say nothing
+    order = ranked.groupBy("_c", "_n").agg(F.array_sort(F.collect_list(F.struct("_often", "_word"))).alias("_o"))
     order = order.withColumn("_t", F.ceil(F.col("_n") * F.lit(threshold) - 1e-9).cast("int")).withColumn("_l", F.greatest(F.ceil(F.col("_t") / 2).cast("int"), F.lit(1)))
     rarer = F.size("_o") - F.greatest(F.col("_t") - F.col("_l"), F.lit(0))
-    tried = order.filter(rarer > 0).select(candidate, "_l", F.explode(F.slice("_o", F.lit(1), rarer)).alias("_p")).select(candidate, "_l", F.col("_p._word").alias("_word"))
-    pairs = tried.join(held, "_word").groupBy(candidate, "_l", "_id").agg(F.count("*").alias("_m")).filter("_m >= _l").select(candidate, "_id")
-    texts = k.groupBy("_id").agg(F.min("_k").alias("_k"))
-    hits = pairs.join(texts, "_id").join(c, candidate).filter(F.size(F.array_intersect("_w", "_k")) >= F.size("_w") * F.lit(threshold)).select(candidate).distinct()
+    tried = saved(order.filter(rarer > 0).select("_c", "_l", F.explode(F.slice("_o", F.lit(1), rarer)).alias("_p")).select("_c", "_l", F.col("_p._word").alias("_word")))
+    pairs = tried.join(held, "_word").groupBy("_c", "_l", "_id").agg(F.count("*").alias("_m")).filter("_m >= _l").select("_c", "_id")
+    hits = pairs.join(k, "_id").join(c, "_c").filter(F.size(F.array_intersect("_w", "_k")) >= F.size("_w") * F.lit(threshold)).select(candidate).distinct()
     return candidates.join(hits.withColumn("is_known", F.lit(True)), candidate, "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
 
 

@@ -782,3 +782,12 @@ def test_encoders_of_long_words_and_empty_rows(spark):
     assert [r[0] for r in odd] == ["a�", None]
     began, huge = time.time(), "".join(rng.choice("abc") for _ in range(60_000))
     assert len(tokens.encode_word(huge, rank)) < 60_000 and time.time() - began < 10
+
+
+def test_known_facts_meet_by_numbers(spark):
+    """Neither texts nor all words of all texts go through a shuffle before they meet; copies of a text make no fact known."""
+    known = spark.createDataFrame([("a b x y",)] * 9 + [("c d e f",), ("g h",)], "text string")
+    asked = spark.createDataFrame([(1, "a b q r s"), (2, "c d q"), (3, "a b c d"), (4, "g h"), (5, "a b q r")], "id int, fact string")
+    got = dedup.contained(asked, known, "fact", "text")
+    assert {r["id"]: r["is_known"] for r in got.collect()} == {1: False, 2: True, 3: True, 4: False, 5: True}
+    assert "Aggregate [_id#" not in got._jdf.queryExecution().optimizedPlan().toString()
