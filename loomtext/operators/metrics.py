@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import bound, ngrams, words
 
+#: Parts of the range of hashes, as bits; hashes and rows that a task holds before it sends them.
+PART_BITS, HELD, ROWS = 12, 1 << 22, 512
+
 
 def _has_loop(grams: Column, more_than: int) -> Column:
     """Whether a window occurs more than so many times: then two equal ones stand so far apart when they are sorted."""
@@ -18,15 +25,49 @@ def _has_loop(grams: Column, more_than: int) -> Column:
     return bound(F.array_sort(grams), found)
 
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """The distinct rows of two 64-bit hashes, sorted."""
+    hashes = hashes[np.lexsort((hashes[:, 1], hashes[:, 0]))]
+    return hashes[np.r_[True, (hashes[1:] != hashes[:-1]).any(1)]] if len(hashes) else hashes
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct hashes of a task (a, b arrays by row), by their part; up to ``HELD`` are held at a time."""
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        hashes = _distinct(np.concatenate(held))
+        part = (hashes[:, 0] >> np.uint64(64 - PART_BITS)).astype(np.int32)  # ascending, as the hashes are
+        parts, at = np.unique(part, return_index=True)
+        content = [hashes[i:j].tobytes() for i, j in zip(at, [*at[1:], len(part)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(content, pa.binary())], names=["part", "hashes"])
+
+    held, n = [np.empty((0, 2), np.uint64)], 0
+    for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+        held.append(np.stack([batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1)], 1))
+        n += len(held[-1])
+        if n >= HELD:
+            yield sent(held)
+            held, n = [held[0][:0]], 0
+    yield sent(held)
+
+
+def _counted(part: pa.Table) -> pa.Table:
+    hashes = np.frombuffer(b"".join(part.column("hashes").to_pylist()), np.uint64).reshape(-1, 2)
+    return pa.table({"n": pa.array([len(_distinct(hashes))], pa.int64())})
+
+
 def diversity(docs: DataFrame, text: str = "text", more_than: int = 3) -> DataFrame:
     """One row: unique and total word trigrams (lower case), their ratio, documents with a trigram more than three times.
 
-    Totals and loops are had within each document.  Only distinct trigrams meet, by 128 bits of hashes, combined before the exchange.
+    Totals and loops are had within each document.  Only distinct trigrams meet, by 128 bits of hashes, combined before the exchange: a task
+    sends each part of the hashes' range as one row of bytes, and a part, one of 4096, is counted in one group.
     """
     grams = docs.select(ngrams(words(F.lower(text))).alias("g"))
     total = grams.agg(F.coalesce(F.sum(F.size("g")), F.lit(0)).alias("total_trigrams"), F.count(F.when(_has_loop(F.col("g"), more_than), 1)).alias("loop_docs"))
-    hashes = F.transform(F.array_distinct("g"), lambda t: F.struct(F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(1)).alias("b")))
-    unique = grams.select(F.explode(hashes).alias("h")).groupBy("h.a", "h.b").agg(F.lit(1).alias("one")).agg(F.count("*").alias("unique_trigrams"))
+    hashes = lambda *seed: F.transform("d", lambda t: F.xxhash64(t, *seed))
+    distinct = grams.select(F.array_distinct("g").alias("d")).select(hashes().alias("a"), hashes(F.lit(1)).alias("b"))
+    parts = distinct.mapInArrow(_parted, "part int, hashes binary").groupBy("part").applyInArrow(_counted, "n bigint")
+    unique = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unique_trigrams"))
     out = unique.join(total)  # two tables of one row each
     return out.select((F.coalesce(F.try_divide("unique_trigrams", "total_trigrams"), F.lit(0.0))).alias("diversity"), "unique_trigrams", "total_trigrams", "loop_docs")
 

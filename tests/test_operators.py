@@ -791,3 +791,10 @@ def test_known_facts_meet_by_numbers(spark):
     got = dedup.contained(asked, known, "fact", "text")
     assert {r["id"]: r["is_known"] for r in got.collect()} == {1: False, 2: True, 3: True, 4: False, 5: True}
     assert "Aggregate [_id#" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_diversity_counts_parts_of_hashes(spark):
+    docs = spark.createDataFrame([("a b c d a b c",), ("A b c",), ("x",), (None,), ("e f g h",)], "text string").repartition(3)
+    got = metrics.diversity(docs)
+    assert tuple(got.first()) == (6 / 8, 6, 8, 0) and "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(metrics.diversity(docs.limit(0)).first()) == (0.0, 0, 0, 0)
