@@ -798,3 +798,25 @@ def test_diversity_counts_parts_of_hashes(spark):
     got = metrics.diversity(docs)
     assert tuple(got.first()) == (6 / 8, 6, 8, 0) and "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert tuple(metrics.diversity(docs.limit(0)).first()) == (0.0, 0, 0, 0)
+
+
+def test_position_map_equals_a_plain_one(spark):
+    rng = random.Random(9)
+    rows = [(1, [1] * 40, [rng.randint(0, 5) for _ in range(60)]), (2, [], []), (3, [7, 8, 9], [4, 4, 4, 2]), (4, None, None)]
+    data, expected = [], {}
+    for doc, ours, theirs in rows:
+        low = sorted(rng.randint(0, len(theirs)) for _ in ours) if ours is not None else None
+        high = [min(x + rng.randint(0, 3), len(theirs)) for x in low] if ours is not None else None
+        data.append((doc, ours, theirs, low, high))
+        for i, (a, b) in enumerate(zip(low or [], high or [])):
+            weights = {}
+            for x in (theirs or [])[a:b]:
+                for place, y in enumerate(theirs):
+                    if x == y:
+                        weights[place] = weights.get(place, 0) + 1 / (b - a)
+            if weights:
+                expected[doc, i] = [(p, round(w, 9)) for p, w in sorted(weights.items())]
+    t = spark.createDataFrame(data, "doc_id int, our_ids array<int>, their_ids array<int>, low array<int>, high array<int>")
+    for most in (1, 25, 1 << 20):
+        got = vocab.position_map(t, most).collect()
+        assert {(r[0], r[1]): [(p, round(w, 9)) for p, w in zip(r[2], r[3])] for r in got} == expected and len(got) == len(expected)
