@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.config import SKIPPED_TITLES
@@ -33,6 +33,20 @@ def parsed_lines(lines: DataFrame, schema: str = DOCUMENT, line: str = "line", b
     return out.select(*[c for c in lines.columns if c != line], *cols, F.when(failed, F.col(line)).alias(bad))
 
 
+def _first_of_files(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows in order of (file, pos): files are counted, and only the places of the file that crosses ``n`` are sorted, so no task gets the texts."""
+    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = rows.groupBy("file").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    last = files.filter(F.col("before") < n).orderBy(F.desc("file")).first()
+    if last is None:
+        return rows.limit(0)
+    if last["before"] + last["n"] <= n:
+        return rows.filter(F.col("file") <= last["file"])
+    of_last = F.col("file") == last["file"]
+    to = rows.filter(of_last).select("pos").orderBy("pos").limit(n - last["before"]).agg(F.max("pos")).first()[0]
+    return rows.filter((F.col("file") < last["file"]) | (of_last & (F.col("pos") <= to)))
+
+
 def corpus(spark: SparkSession, json_path: str | None, text_path: str | None = None, min_chars: int = 100, max_docs: int | None = None) -> DataFrame:
     """file, pos, text: JSON lines, normalised, the first ``max_docs`` in file order; then, if those did not fill the cap, whole text files, as they are.
 
@@ -42,7 +56,7 @@ def corpus(spark: SparkSession, json_path: str | None, text_path: str | None = N
     if json_path:
         t = spark.read.schema("text string").json(json_path).select(F.col("_metadata.file_path").alias("file"), "text")
         t = t.withColumn("pos", F.monotonically_increasing_id()).withColumn("text", normalize.loaded(F.col("text"))).filter(F.length("text") >= min_chars)
-        out = t.orderBy("file", "pos").limit(max_docs) if max_docs else t
+        out = _first_of_files(t, max_docs) if max_docs else t
     if text_path and not (max_docs and out is not None and out.count() >= max_docs):
         t = spark.read.text(text_path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"), F.lit(0).cast("long").alias("pos")).filter(F.length("text") >= min_chars)
         out = t if out is None else out.unionByName(t)

@@ -820,3 +820,14 @@ def test_position_map_equals_a_plain_one(spark):
     for most in (1, 25, 1 << 20):
         got = vocab.position_map(t, most).collect()
         assert {(r[0], r[1]): [(p, round(w, 9)) for p, w in zip(r[2], r[3])] for r in got} == expected and len(got) == len(expected)
+
+
+def test_first_rows_of_files_without_one_task(spark, tmp_path):
+    at = str(tmp_path / "in")
+    spark.range(30, numPartitions=4).select(F.concat(F.lit("w" * 120), F.col("id")).alias("text")).write.json(at)
+    rows = sorted((r["file"], r["pos"], r["text"]) for r in readers.corpus(spark, at).collect())
+    assert len(rows) == 30 and len({f for f, _, _ in rows}) == 4
+    for n in (1, 7, 8, 15, 29, 30, 99):
+        got = readers.corpus(spark, at, max_docs=n)
+        assert sorted((r["file"], r["pos"], r["text"]) for r in got.collect()) == rows[:n]
+        assert "Limit" not in got._jdf.queryExecution().optimizedPlan().toString()
