@@ -1156,8 +1156,9 @@ def s12_resumed_tokens(spark, sf_dir):
     spark.dataSource.register(FlatTokens)
     at, docs = scratch(spark, "s12"), table(spark, sf_dir, "documents")
     rank = tokens.rank_encoder({bytes(r["piece"]): r["id"] for r in readers.ranked_pieces(spark, THEIRS).collect()})  # a vocabulary
-    ids = docs.select("doc_id", rank(F.regexp_extract_all("text", F.lit(THEIR_SPLIT), F.lit(0))).alias("ids"))
-    ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("ids").write.format("flat_tokens").mode("append").save(f"{at}/ids")
+    # in order before they are encoded: cutting into ranges samples its rows, and would encode them all twice
+    placed = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    placed.select(rank(F.regexp_extract_all("text", F.lit(THEIR_SPLIT), F.lit(0))).alias("ids")).write.format("flat_tokens").mode("append").save(f"{at}/ids")
     for run, until in enumerate((100, 250, None)):
         stream = spark.readStream.format("flat_tokens").option("length", 65)
         stream = stream.option("until", until) if until else stream
