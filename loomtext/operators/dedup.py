@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import FAST_SPACE, alpha_share, words
+from loomtext.operators.blocks import Block, paired
 from loomtext.operators.gates import first_failure
-from loomtext.session import saved
+from loomtext.session import carried, saved
+
+#: Links of a fact that a block tells.
+SOME = 4
 
 
 def content_key(text: Column) -> Column:
@@ -73,22 +81,23 @@ def contained(candidates: DataFrame, known: DataFrame, candidate: str, fact: str
     return candidates.join(hits.withColumn("is_known", F.lit(True)), candidate, "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
 
 
-def covers(facts: DataFrame, fact: str, position: str, threshold: float = 0.55) -> DataFrame:
-    """by, of: an earlier fact (by position) that holds at least ``threshold`` of the distinct words of a later one of three words and more.
+def _covering(threshold: float, some: int) -> Callable[[Block, str, int | None], Iterator[tuple[int, float]]]:
+    def judge(block: Block, low: str, before: int | None) -> Iterator[tuple[int, float]]:
+        have = set(low.split())
+        if len(have) >= 3 and before:
+            held = block.counts(have)[:before]
+            for i in np.flatnonzero(held >= math.ceil(len(have) * threshold - 1e-9))[:some].tolist():
+                yield i, int(held[i]) / len(have)
+
+    return judge
+
 
-    A fact of n words is covered only by one that has t = ceil(threshold * n) of them, so by one that has any of its n - t + 1 rarest.  Those alone look up
-    the postings, those who have too few words are left out there, and the pairs that meet are verified by their words.
+def covers(known: DataFrame, facts: DataFrame, threshold: float = 0.55, some: int = 1) -> DataFrame:
+    """of, by: the first facts of a block of ``known``, ``some`` of each, that come before one of ``facts`` and hold at least ``threshold`` of its distinct words.
+
+    Both are (_pos, _low).  A fact of fewer than three distinct words is covered by none.
     """
-    w = facts.select(F.col(position).alias("id"), F.array_distinct(words(F.lower(F.col(fact)))).alias("w")).withColumn("n", F.size("w"))
-    w = saved(w.filter("n > 0"))
-    held = w.select("id", "n", F.explode("w").alias("word"))
-    often = held.groupBy("word").agg(F.count("*").alias("often"))
-    order = held.filter("n >= 3").join(often, "word").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("o"))
-    order = order.withColumn("t", F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int"))
-    tried = order.select(F.col("id").alias("of"), "t", F.explode(F.slice("o", F.lit(1), F.col("n") - F.col("t") + 1)).alias("x")).select("of", "t", F.col("x.word").alias("word"))
-    met = tried.join(held.select(F.col("id").alias("by"), F.col("n").alias("m"), "word"), "word").filter("by < of and m >= t").select("by", "of").distinct()
-    pairs = met.join(w.select(F.col("id").alias("by"), F.col("w").alias("b")), "by").join(w.select(F.col("id").alias("of"), F.col("w").alias("a"), "n"), "of")
-    return pairs.filter(F.size(F.array_intersect("a", "b")) >= F.col("n") * F.lit(threshold) - 1e-9).select("by", "of")
+    return paired(known, facts.select(F.col("_pos").alias("_q"), "_low"), _covering(threshold, some), "_q").select(F.col("_q").alias("of"), F.col("_pos").alias("by"))
 
 
 def learned(facts: DataFrame, fact: str, position: str, threshold: float = 0.55, log: list[int] | None = None) -> DataFrame:
@@ -97,20 +106,24 @@ def learned(facts: DataFrame, fact: str, position: str, threshold: float = 0.55,
     A fact is refused if an equal one came before, or if one that was *kept* before covers it; a refused fact covers nothing.  So acceptance
     depends on acceptance, and the answer is the first independent set in order of position.  It is found in rounds: facts that no open one covers are kept, what
     they cover is refused, and both leave; a round takes all facts at once, and there are as many as the longest chain of dependences, which ``log``
-    gets with the links that were open.  Positions must be distinct.  Null facts are learned nothing from and not kept.
+    gets with the facts that were open.  Links are never gathered: a round asks for the ``SOME`` first in each block, which tell what is kept and most of what is
+    refused, and then whether one of those kept covers any of the rest.  Positions (integers) must be distinct.  Null facts are learned nothing from and not kept.
     """
     first = facts.filter(F.col(fact).isNotNull()).groupBy(fact).agg(F.min(position).alias("_at"))
-    unique = saved(first.select(fact, F.col("_at").alias(position)))
-    links = saved(covers(unique, fact, position, threshold))
-    refused = links.select("of").limit(0)
-    while n := links.count():
+    unique = saved(first.select(F.col("_at").cast("long").alias("_pos"), F.lower(F.col(fact)).alias("_low")))
+    without = lambda df, gone, column: df.join(gone.select(F.col(column).alias("_pos")).distinct(), "_pos", "left_anti")
+    open_, refused = unique, unique.select("_pos").limit(0)
+    while n := open_.count():
         if log is not None:
             log.append(n)
-        kept = links.select("by").distinct().join(links.select(F.col("of").alias("by")).distinct(), "by", "left_anti")
-        gone = saved(links.join(kept, "by", "left_semi").select("of").distinct())
-        refused = saved(refused.unionByName(gone))
-        links = saved(links.join(gone, "of", "left_anti").join(gone.select(F.col("of").alias("by")), "by", "left_anti").join(kept, "by", "left_anti"))
-    out = unique.select(F.col(position).alias("_at")).join(refused.select(F.col("of").alias("_at")), "_at", "left_anti").withColumn("is_learned", F.lit(True))
+        links = saved(covers(open_, open_, threshold, SOME))
+        kept = saved(without(open_, links, "of"))
+        gone = links.join(kept.select(F.col("_pos").alias("by")), "by", "left_semi").select(F.col("of").alias("_pos")).distinct()
+        rest = saved(without(without(open_, kept, "_pos"), gone, "_pos"))
+        late = saved(covers(kept, rest, threshold).select(F.col("of").alias("_pos")).distinct())
+        refused = saved(refused.unionByName(gone).unionByName(late))
+        open_ = saved(without(rest, late, "_pos"))
+    out = without(unique, refused, "_pos").select(F.col("_pos").alias("_at"), F.lit(True).alias("is_learned"))
     return facts.join(out, F.col(position) == F.col("_at"), "left").drop("_at").withColumn("is_learned", F.coalesce("is_learned", F.lit(False)))
 
 
@@ -119,3 +132,6 @@ def enqueued(topics: DataFrame, seen: DataFrame, topic: str = "topic", position:
     t = topics.withColumn(topic, F.trim(topic)).filter(F.length(topic) >= min_chars).withColumn("_key", F.substring(F.lower(topic), 1, key_chars))
     t = t.join(seen.select(F.lower(F.col(seen.columns[0])).alias("_key")).distinct(), "_key", "left_anti")
     return t.groupBy("_key").agg(F.min(F.struct(position, topic)).alias("_t")).select(F.col(f"_t.{position}"), F.col(f"_t.{topic}")).orderBy(position).limit(cap)
+
+
+carried(__name__)
