@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,9 +84,8 @@ def _covering(threshold: float, some: int) -> Callable[[Block, str, int | None],
     def judge(block: Block, low: str, before: int | None) -> Iterator[tuple[int, float]]:
         have = set(low.split())
         if len(have) >= 3 and before:
-            held = block.counts(have)[:before]
-            for i in np.flatnonzero(held >= math.ceil(len(have) * threshold - 1e-9))[:some].tolist():
-                yield i, int(held[i]) / len(have)
+            for i in block.at_least(have, math.ceil(len(have) * threshold - 1e-9), before)[:some].tolist():
+                yield i, 1.0
 
     return judge
 
