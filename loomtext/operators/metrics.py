@@ -38,7 +38,7 @@ def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _distinct(np.concatenate(held))
         part = (hashes[:, 0] >> np.uint64(64 - PART_BITS)).astype(np.int32)  # ascending, as the hashes are
         parts, at = np.unique(part, return_index=True)
-        content = [hashes[i:j].tobytes() for i, j in zip(at, [*at[1:], len(part)], strict=True)]
+        content = [hashes[i:j].tobytes() for i, j in zip(at, [*at[1:], len(part)][: len(at)], strict=True)]  # a task may have no hash
         return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(content, pa.binary())], names=["part", "hashes"])
 
     held, n = [np.empty((0, 2), np.uint64)], 0

@@ -800,6 +800,13 @@ def test_diversity_counts_parts_of_hashes(spark):
     assert tuple(metrics.diversity(docs.limit(0)).first()) == (0.0, 0, 0, 0)
 
 
+def test_diversity_of_tasks_without_a_trigram(spark):
+    docs = spark.createDataFrame([("a b c",), ("x y",), (None,), ("",)], "text string").repartition(8)
+    assert tuple(metrics.diversity(docs).first()) == (1.0, 1, 1, 0)
+    assert tuple(metrics.diversity(docs.filter("text <> 'a b c'")).first()) == (0.0, 0, 0, 0)
+    assert list(metrics._parted(iter([])))[0].num_rows == 0
+
+
 def test_position_map_equals_a_plain_one(spark):
     rng = random.Random(9)
     rows = [(1, [1] * 40, [rng.randint(0, 5) for _ in range(60)]), (2, [], []), (3, [7, 8, 9], [4, 4, 4, 2]), (4, None, None)]
