@@ -1,5 +1,6 @@
 """Cases that the tables do not hold, and operators that SQL cannot express, against plain Python."""
 
+import itertools
 import math
 import json
 import random
@@ -9,6 +10,7 @@ import unicodedata
 from collections import Counter
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -283,6 +285,43 @@ def test_rounds_of_merges_equal_the_sequential_rule(spark, seed, width, most):
     assert sum(log) == n and (width < 100 or len(log) == 1)
 
 
+def test_segments_and_words_are_merged_as_by_the_plain_rule():
+    """Places of a merge are changed at once and words go on together: runs of one id, ties, neighbours that merge both, vocabularies that lead back."""
+    for seed in range(60):
+        rng = random.Random(seed)
+        words = [([rng.randint(1, 1 + seed % 3) for _ in range(rng.randint(2, 14))], rng.randint(1, 5)) for _ in range(rng.randint(1, 20))]
+        text = [("".join(map(chr, ids)), n) for ids, n in words]
+        ids, sizes = np.array(sum((w for w, _ in words), [])), np.array([len(w) for w, _ in words])
+        merges = training.sequential(ids, np.cumsum(sizes), np.array([n for _, n in words]), 264, 10_000)
+        assert merges == naive_train(text, 10_000)
+        some = merges[: seed % 9 + 1]
+        keys, rank = np.array([a << 32 | b for a, b in some]), {p: i for i, p in enumerate(some)}
+        got = {}
+        for at, n, out in training.settled(ids, sizes, np.sort(keys), 264 + np.argsort(keys)):
+            got |= dict(zip(at.tolist(), (x.tolist() for x in np.split(out, np.cumsum(n)[:-1])), strict=True))
+        assert [got[i] for i in range(len(words))] == [training.folded(w, rank, 264) for w, _ in words]
+
+
+def test_joint_pieces_that_lead_to_earlier_ones(spark):
+    ranks = {bytes([i]): i for i in range(256)} | {b"aba": 256, b"ab": 257, b"bab": 258, b"abab": 259}
+    words = ["".join(p) for n in range(1, 9) for p in itertools.product("ab", repeat=n)]
+    got = spark.createDataFrame([(words,)], "w array<string>").select(tokens.rank_encoder(ranks)("w")).first()[0]
+    assert got == sum((plain_join(w.encode(), ranks) for w in words), [])
+
+
+def test_prepared_encodes_each_text_once(spark):
+    docs = spark.createDataFrame([(i, "ab " * 30) for i in range(8)], "doc_id long, text string")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def encode(words):
+        calls.add(1)
+        return [1] * len(words)
+
+    assert tokens.prepared(docs, encode, 8).count() > 0
+    assert calls.value == 8
+
+
 def test_training_on_documents_takes_few_rounds(spark, sf_dir):
     counts = tokens.word_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40))
     log, one = [], []
